@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from siltstone.llm.decontaminate import op9_decontamination
 from siltstone.llm.sharding import op4_sharding
+from siltstone.llm.tokenstore import op10_token_files
 
 QUERIES = {
     "op4_sharding": op4_sharding,
     "op9_decontamination": op9_decontamination,
+    "op10_token_files": op10_token_files,
 }
 
 #: Hashes, models and tokenizers put all of them beyond SQL; tests/llm holds the brute-force versions.
