@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from siltstone.llm.bpe import op6_byte_bpe
 from siltstone.llm.decontaminate import op9_decontamination
+from siltstone.llm.langid import op8_language_id
 from siltstone.llm.sharding import op4_sharding
 from siltstone.llm.tokenstore import op10_token_files
 
 QUERIES = {
     "op4_sharding": op4_sharding,
     "op6_byte_bpe": op6_byte_bpe,
+    "op8_language_id": op8_language_id,
     "op9_decontamination": op9_decontamination,
     "op10_token_files": op10_token_files,
 }
