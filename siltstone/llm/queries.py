@@ -7,9 +7,11 @@ from siltstone.llm.decontaminate import op9_decontamination
 from siltstone.llm.langid import op8_language_id
 from siltstone.llm.sharding import op4_sharding
 from siltstone.llm.tokenstore import op10_token_files
+from siltstone.llm.toxicity import op5_toxicity
 
 QUERIES = {
     "op4_sharding": op4_sharding,
+    "op5_toxicity": op5_toxicity,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_language_id": op8_language_id,
     "op9_decontamination": op9_decontamination,

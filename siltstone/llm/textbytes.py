@@ -94,11 +94,20 @@ class Words:
         if fold:
             lut = lut.copy()
             lut[65:91] = lut[97:123]
-        power, inverse = _powers(len(buf) + 1)
+        power, self._inverse = _powers(len(buf) + 1)
         sums = np.zeros(len(buf) + 1, np.uint64)
         np.cumsum(lut[buf] * power[: len(buf)], out=sums[1:])
-        h = (sums[self.ends] - sums[self.starts]) * inverse[self.starts]
-        self.hashes = mix(h + (self.ends - self.starts).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+        self._sums, self.buf = sums, buf
+        self.hashes = self._hash(self.starts, self.ends)
+
+    def _hash(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return mix((self._sums[b] - self._sums[a]) * self._inverse[a] + (b - a).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+
+    def affixes(self, size: int) -> np.ndarray:
+        """Hashes of the words' first ``size`` bytes, or their last for a negative one; of whole words that are shorter."""
+        if size > 0:
+            return self._hash(self.starts, np.minimum(self.starts + size, self.ends))
+        return self._hash(np.maximum(self.ends + size, self.starts), self.ends)
 
 
 def lut(is_word) -> np.ndarray:
