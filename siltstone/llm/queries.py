@@ -6,11 +6,13 @@ from siltstone.llm.bpe import op6_byte_bpe
 from siltstone.llm.decontaminate import op9_decontamination
 from siltstone.llm.extract import op2_html_extraction
 from siltstone.llm.langid import op8_language_id
+from siltstone.llm.neardup import op1_near_duplicates
 from siltstone.llm.sharding import op4_sharding
 from siltstone.llm.tokenstore import op10_token_files
 from siltstone.llm.toxicity import op5_toxicity
 
 QUERIES = {
+    "op1_near_duplicates": op1_near_duplicates,
     "op2_html_extraction": op2_html_extraction,
     "op4_sharding": op4_sharding,
     "op5_toxicity": op5_toxicity,
