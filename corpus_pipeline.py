@@ -1,12 +1,72 @@
-"""Cleaning a document corpus in stages; each stage takes what its predecessor kept."""
+"""Cleaning a document corpus in stages; each stage takes what its predecessor kept.
+
+toxicity           documents that the span tagger's score calls toxic go
+near_duplicates    one document of each group of near copies stays, that of the least id
+repeated_strings   byte strings that also start earlier are cut out of the texts
+decontamination    documents with a twentieth or more of their words in benchmark passages go
+byte_bpe           texts are encoded and decoded; ids, counts and digests are added
+
+The first four return the columns of ``documents``. A stage that changes a text changes ``n_chars`` with
+it. Null or empty texts, repeated rows and other columns pass through all stages; an empty table gives
+an empty result.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from siltstone.llm.bpe import encode_decode
+from siltstone.llm.decontaminate import contamination
+from siltstone.llm.neardup import link
+from siltstone.llm.repeats import cut_repeats
+from siltstone.llm.toxicity import learn, tag
 from siltstone.storage import materialize
 
-STAGES: list = []
+
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose id is in ``ids``; null is an id like any other."""
+    ids = ids.select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__id"]), "left_semi")
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return tag(docs, model, spans=False).where("tox_score < 0.5").select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _only(docs, link(docs).where("kept"))
+
+
+def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    cut = cut_repeats(docs)
+    changed = F.col("n_removed") > 0
+    columns = {"text": F.when(changed, F.col("kept_text")).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        columns["n_chars"] = F.when(changed, F.char_length("kept_text").cast("long")).otherwise(F.col("n_chars"))
+    return cut.withColumns(columns).select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bad = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select("uid").distinct()
+    return docs.withColumn("uid", F.xxhash64("doc_id", "text")).join(bad, "uid", "left_anti").select(docs.columns)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    out = encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return out.withColumn("text", F.coalesce("decoded_text", "text")).drop("decoded_text")
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("near_duplicates", near_duplicates),
+    ("repeated_strings", repeated_strings),
+    ("decontamination", decontamination),
+    ("byte_bpe", byte_bpe),
+]
 
 #: The stages are beyond SQL; tests/llm holds a brute-force version.
 ORACLE_SQL = None

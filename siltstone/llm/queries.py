@@ -7,6 +7,7 @@ from siltstone.llm.decontaminate import op9_decontamination
 from siltstone.llm.extract import op2_html_extraction
 from siltstone.llm.langid import op8_language_id
 from siltstone.llm.neardup import op1_near_duplicates
+from siltstone.llm.repeats import op7_repeated_strings
 from siltstone.llm.sharding import op4_sharding
 from siltstone.llm.tokenstore import op10_token_files
 from siltstone.llm.toxicity import op5_toxicity
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_sharding": op4_sharding,
     "op5_toxicity": op5_toxicity,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_repeated_strings": op7_repeated_strings,
     "op8_language_id": op8_language_id,
     "op9_decontamination": op9_decontamination,
     "op10_token_files": op10_token_files,
