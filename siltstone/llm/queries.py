@@ -8,6 +8,7 @@ from siltstone.llm.extract import op2_html_extraction
 from siltstone.llm.langid import op8_language_id
 from siltstone.llm.neardup import op1_near_duplicates
 from siltstone.llm.repeats import op7_repeated_strings
+from siltstone.llm.search import op3_top_k_search
 from siltstone.llm.sharding import op4_sharding
 from siltstone.llm.tokenstore import op10_token_files
 from siltstone.llm.toxicity import op5_toxicity
@@ -15,6 +16,7 @@ from siltstone.llm.toxicity import op5_toxicity
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_html_extraction": op2_html_extraction,
+    "op3_top_k_search": op3_top_k_search,
     "op4_sharding": op4_sharding,
     "op5_toxicity": op5_toxicity,
     "op6_byte_bpe": op6_byte_bpe,
