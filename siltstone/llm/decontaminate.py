@@ -140,7 +140,7 @@ def phrase_matches(index: DataFrame, wins: DataFrame, slop: int = 0) -> DataFram
     ranked = entries.join(lists, "term", "left").select("window", "length", "offset", "term", F.coalesce("n", F.lit(0)).alias("n")).withColumn("rank", F.row_number().over(rare))
     # A window with a term that has no postings occurs nowhere.
     live = ranked.where("rank = 1 and n > 0").select("window", "length", F.col("offset").alias("at"), "term")
-    starts = live.join(posts, "term").select("uid", "window", "length", (F.col("place") - F.col("at")).alias("place")).where("place >= 0")
+    starts = live.join(posts, "term").select("uid", "window", "length", (F.col("place") - F.col("at")).alias("place")).where(F.col("place") >= -slop)
     wanted = starts.join(entries.select("window", "offset", "term"), "window")
     asked = wanted.select("uid", "window", "length", "place", "offset", "term")
     if slop:

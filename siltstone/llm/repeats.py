@@ -202,14 +202,14 @@ def _by_digest(found: DataFrame) -> DataFrame:
 
 
 def ordered(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """The rows with ``ord``, a long that rises with the key: the key itself if that is whole and unique."""
+    """The rows with ``__ord``, a long that rises with the key: the key itself if that is whole and unique."""
     kind = docs.schema[key].dataType.simpleString()
     if kind in ("bigint", "int", "smallint", "tinyint"):
         twice = docs.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n").__gt__(1) | F.col(key).isNull())
         if not twice.limit(1).count():
-            return docs.withColumn("ord", F.col(key).cast("long"))
+            return docs.withColumn("__ord", F.col(key).cast("long"))
     spread = docs.withColumn("__h", F.xxhash64(text))
-    return materialize(spread.repartitionByRange(key, "__h").sortWithinPartitions(key, "__h").withColumn("ord", F.monotonically_increasing_id()).drop("__h"), "ordered")
+    return materialize(spread.repartitionByRange(key, "__h").sortWithinPartitions(key, "__h").withColumn("__ord", F.monotonically_increasing_id()).drop("__h"), "ordered")
 
 
 def find_repeats(docs: DataFrame) -> DataFrame:
@@ -249,9 +249,9 @@ def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     made = ["n_bytes", "n_removed", "n_spans", "kept_bytes", "kept_text"]
     source = ordered(docs.drop(*made), key, text)
-    repeats = find_repeats(source.select("ord", F.col(f"`{text}`").alias("text")))
-    lists = repeats.groupBy("ord").agg(F.collect_list(F.struct("start", "stop")).alias("__cuts"))
-    joined = source.join(lists, "ord", "left").drop("ord")
+    repeats = find_repeats(source.select(F.col("__ord").alias("ord"), F.col(f"`{text}`").alias("text")))
+    lists = repeats.groupBy(F.col("ord").alias("__ord")).agg(F.collect_list(F.struct("start", "stop")).alias("__cuts"))
+    joined = source.join(lists, "__ord", "left").drop("__ord")
     kept = [c for c in docs.columns if c not in made]
     joined = joined.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("binary").alias("__body"), "__cuts")
     schema = T.StructType([docs.schema[c] for c in kept]).add("n_bytes", T.LongType()).add("n_removed", T.LongType()).add("n_spans", T.LongType()).add("kept_bytes", T.BinaryType()).add("kept_text", T.StringType())

@@ -25,7 +25,8 @@ def ring(spark, shards: int, vnodes: int) -> DataFrame:
     """One row per place of the ring: place, arc (number of the arc, clockwise), owner (its shard)."""
     nodes = (
         spark.range(shards * vnodes)
-        .select((F.col("id") % shards).cast("int").alias("owner"), F.pmod(F.xxhash64(F.lit("vnode"), "id"), F.lit(RING)).alias("end"))
+        .select(F.floor(F.col("id") / vnodes).cast("int").alias("owner"), (F.col("id") % vnodes).alias("nth"))
+        .select("owner", F.pmod(F.xxhash64(F.lit("vnode"), "owner", "nth"), F.lit(RING)).alias("end"))
         .groupBy("end")
         .agg(F.min("owner").alias("owner"))
     )
