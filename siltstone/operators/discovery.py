@@ -32,15 +32,19 @@ def path_rule(path: Column) -> Column:
 
 def anchor_rules(anchors: Column) -> Column:
     """Array of ``struct(confidence, order, page_type, rule_id)`` from link texts, best first."""
-    found = []
-    for order, (name, _, words, _) in enumerate(rules.PAGE_TYPES):
-        def hit(text, words=words):
+
+    def has_any(words):
+        def hit(text):
             out = F.lower(text).contains(words[0])
             for w in words[1:]:
                 out = out | F.lower(text).contains(w)
             return out
 
-        n = F.size(F.filter(anchors, hit))
+        return hit
+
+    found = []
+    for order, (name, _, words, _) in enumerate(rules.PAGE_TYPES):
+        n = F.size(F.filter(anchors, has_any(words)))
         confidence = F.least(F.lit(60), F.lit(45) + (n - 1) * 5)
         found.append(F.when(n > 0, F.struct((-confidence).alias("rank"), F.lit(order).alias("order"), F.lit(name).alias("page_type"), F.lit(f"anchor:{name}").alias("rule_id"))))
     return F.array_sort(F.filter(F.array(*found), lambda x: x.isNotNull()))
