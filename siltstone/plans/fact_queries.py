@@ -257,3 +257,54 @@ def upsert_latest(spark, d):
 @query("SELECT event_type AS field, bool_or(value < 1) AS any_conflict, count(*) AS n FROM events GROUP BY 1")
 def evidence_grouping(spark, d):
     return _t(spark, d, "events").groupBy(F.col("event_type").alias("field")).agg(F.bool_or(F.col("value") < 1).alias("any_conflict"), F.count("*").alias("n"))
+
+
+def _parsed(spark, d) -> DataFrame:
+    from siltstone.functions import urls
+    from siltstone.sources.html_pages import parse_pages
+
+    p = _t(spark, d, "pages").select("page_id", "url", "html")
+    return parse_pages(p).withColumn("host", urls.hostname(F.col("url"))).withColumn("page_type", discovery.classify(urls.path(F.col("url")))["page_type"])
+
+
+@query()
+def page_blocks(spark, d):
+    """Text blocks, counts and hashes of all pages (a stateful tokenizer: beyond SQL)."""
+    return _parsed(spark, d).select("page_id", "text", F.sha2("text", 256).alias("text_sha256"), "structural_sha256")
+
+
+@query()
+def page_cleaned(spark, d):
+    return _parsed(spark, d).select("page_id", F.sha2("cleaned", 256).alias("cleaned_sha256"), F.length("cleaned").alias("n_chars"))
+
+
+@query("SELECT page_id, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang, len(regexp_extract_all(html, '<a '))::INT AS n_links, len(regexp_extract_all(html, '<script'))::INT AS n_scripts FROM pages")
+def page_metadata(spark, d):
+    return _parsed(spark, d).select("page_id", "lang", "n_links", "n_scripts")
+
+
+@query("WITH l AS (SELECT unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"[^>]*>', 1)) AS href FROM pages) SELECT 'navigation' AS source, count(*) AS n_links, count(DISTINCT href) AS n_hrefs FROM l")
+def link_provenance_counts(spark, d):
+    links = _parsed(spark, d).select(F.explode("links").alias("l")).select("l.*")
+    per = links.groupBy("source", "href").agg(F.count("*").alias("n"))
+    return per.groupBy("source").agg(F.sum("n").alias("n_links"), F.count("*").alias("n_hrefs"))
+
+
+@query()
+def fact_candidates(spark, d):
+    """Candidates of all extractors over all pages."""
+    from siltstone.operators.extract import extract
+
+    return extract(_parsed(spark, d))
+
+
+@query(
+    "WITH c AS (SELECT lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS company, lower(regexp_extract(regexp_extract(html, '<html lang=\"([^\"]*)\"', 1), '^([A-Za-z]+)', 1)) AS v FROM pages), v AS (SELECT company, v, count(*) AS n FROM c WHERE v <> '' GROUP BY 1, 2), g AS (SELECT company, count(*) AS k, sum(n) AS n, any_value(v) AS v FROM v GROUP BY 1) "
+    "SELECT company, CASE WHEN k = 1 THEN v END AS value, CASE WHEN k = 1 THEN 'accepted' ELSE 'conflicting' END AS status, n::BIGINT AS n_sources FROM g"
+)
+def language_facts(spark, d):
+    """Pages to language facts: parse, extract, reconcile."""
+    from siltstone.operators.extract import extract
+
+    c = extract(_parsed(spark, d), ["language"]).withColumn("id", F.col("page_id"))
+    return reconcile.scalar(c).select("company", "value", "status", "n_sources")
