@@ -8,8 +8,8 @@ does not grow with the benchmark; a false hit only keeps a posting that no windo
 
 A window of a benchmark item is looked up from its rarest term (the shortest posting list). Its
 postings give the possible starts; the offset-adjusted lists of the other terms are then intersected
-with them, which leaves exact phrases. With ``slop`` > 0 every term may lie up to that many positions
-off, which gives proximity matches.
+with them, which leaves exact phrases. With ``slop`` > 0 every other term may lie up to that many
+positions off, seen from the rarest, which gives proximity matches.
 
 Defined cases: a null or wordless text has no words and is hit by nothing; a null or wordless item has
 no windows; repeated rows get equal results; rows that share a ``doc_id`` but not the text are told
