@@ -7,7 +7,10 @@
    to the others become candidates (a star), so a bucket of n classes makes n - 1 pairs.
 4. Candidates whose set sizes allow it are confirmed on their full shingle sets.
 5. A bucket whose classes still fall into several components may hide a link between two classes that
-   are not its centre. Only there the pairs across components are candidates too, and are confirmed.
+   are not its centre. Such buckets make further stars, from centres drawn anew, as long as that finds
+   links. Of the classes that are then left, all pairs of a bucket across components are candidates whose
+   shingles can suffice, judged by counts of the shingles that other components have, in ``STRETCHES``
+   stretches of hashes. The counts bound what two sets share, so this leaves no link out.
 6. Components of the confirmed links, as the least document id in them.
 
 ``BANDS`` bands of ``ROWS`` bins miss a pair at the threshold with a chance of about 6 in 100,000.
@@ -32,6 +35,7 @@ from siltstone.storage import materialize
 
 BANDS, ROWS = 54, 6
 BINS = BANDS * ROWS
+STRETCHES = 128
 _U = np.uint64
 IS_WORD = lut(lambda b: b != 0x20 and not 0x09 <= b <= 0x0D)
 
@@ -142,6 +146,26 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     return materialize(both.mapInArrow(run, "a binary, b binary"), "links")
 
 
+def shared_histograms(members: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """(cls, shared): for each stretch of hashes, how many shingles of the class some class of another component has.
+
+    ``members`` has (cls, root). Two sets share no more than the sum of the lesser counts.
+    """
+
+    def run(batches):
+        for b in pieces(batches, "text"):
+            sets = shingle_sets(Words(b.column(1), IS_WORD), size)
+            which = np.repeat(np.arange(b.num_rows), [len(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(which)), pa.array(np.concatenate([np.zeros(0, _U), *sets]).view(np.int64))], ["cls", "shingle"])
+
+    rows = materialize(texts.mapInArrow(run, "cls binary, shingle long").join(members, "cls"), "shingles")
+    open_ = rows.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("shingle")
+    live = rows.join(open_, "shingle").groupBy("cls", F.pmod("shingle", F.lit(STRETCHES)).cast("int").alias("r")).agg(F.count("*").cast("int").alias("k"))
+    return live.groupBy("cls").agg(F.map_from_entries(F.collect_list(F.struct("r", "k"))).alias("m")).select(
+        "cls", F.transform(F.sequence(F.lit(0), F.lit(STRETCHES - 1)), lambda r: F.coalesce(F.col("m")[r], F.lit(0)).cast("short")).alias("shared")
+    )
+
+
 def link(docs: DataFrame, size: int = 5, percent: int = 75, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id, kept) of every row; ``component_id`` is the least key of all documents it is linked with."""
     sig = signatures(docs, size, key, text)
@@ -151,25 +175,36 @@ def link(docs: DataFrame, size: int = 5, percent: int = 75, key: str = "doc_id",
     centres = members.groupBy("bucket").agg(F.min(F.struct("cls", "n")).alias("centre"), F.count("*").alias("k")).where("k > 1").select("bucket", F.col("centre.cls").alias("a"), F.col("centre.n").alias("n_a"))
     # Buckets of one class are done with; the rest are looked at twice.
     crowded = materialize(members.join(centres, "bucket"), "buckets")
-    stars = materialize(crowded.where((F.col("cls") != F.col("a")) & _fits("n", "n_a", percent)).select("a", F.col("cls").alias("b")).distinct(), "stars")
     texts = docs.select(F.col(key).alias("rep"), F.col(text).alias("text"))
-
-    def of(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-        wanted = classes.join(ids, "cls", "left_semi").select("cls", "rep")
-        return _own_text(texts.join(wanted, texts["rep"].eqNullSafe(wanted["rep"])).select("cls", "text"), size)
-
-    links = confirm(stars, of(stars), size, percent)
-    roots = connected_components(links)
-    named = crowded.select("bucket", "cls", "n").join(roots, F.col("cls") == F.col("node"), "left").select("bucket", "cls", "n", F.coalesce("root", "cls").alias("root"))
-    open_ = named.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
-    named = materialize(named.join(open_, "bucket", "left_semi"), "open")
-    other = named.select("bucket", F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
-    across = named.join(other, "bucket").where((F.col("a") < F.col("cls")) & (F.col("root") != F.col("root_a")) & _fits("n", "n_a", percent))
-    across = materialize(across.select("a", F.col("cls").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"), "across")
-    if across.limit(1).count():
-        links = links.unionByName(confirm(across, of(across), size, percent))
+    wanted = classes.join(crowded.select("cls").distinct(), "cls", "left_semi").select("cls", "rep")
+    texts = _own_text(texts.join(wanted, texts["rep"].eqNullSafe(wanted["rep"])).select("cls", "text"), size)
+    stars = materialize(crowded.where((F.col("cls") != F.col("a")) & _fits("n", "n_a", percent)).select("a", F.col("cls").alias("b")).distinct(), "stars")
+    links = confirm(stars, texts, size, percent)
+    turn = 0
+    while True:
         roots = connected_components(links)
+        named = crowded.select("bucket", "cls", "n").join(roots, F.col("cls") == F.col("node"), "left").select("bucket", "cls", "n", F.coalesce("root", "cls").alias("root"))
+        open_ = named.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
+        crowded = materialize(named.join(open_, "bucket", "left_semi"), "open")
+        # Another star, from a centre that is drawn anew; as long as that finds links, components shrink in number.
+        turn += 1
+        drawn = crowded.groupBy("bucket").agg(F.min_by(F.struct(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a")), F.xxhash64(F.lit(turn), "bucket", "cls")).alias("c")).select("bucket", "c.*")
+        pairs = crowded.join(drawn, "bucket").where((F.col("root") != F.col("root_a")) & _fits("n", "n_a", percent))
+        pairs = pairs.select(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b")).distinct()
+        more = confirm(materialize(pairs, "stars"), texts, size, percent)
+        if not more.limit(1).count():
+            break
+        links = links.unionByName(more)
+    members = crowded.select("cls", "root").distinct()
+    shared = shared_histograms(members, texts.join(members.select("cls"), "cls", "left_semi"), size)
+    here = materialize(crowded.select("bucket", "cls", "n", "root").join(shared, "cls"), "across")
+    other = here.select("bucket", F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"), F.col("shared").alias("shared_a"))
+    most = F.aggregate(F.zip_with("shared", "shared_a", lambda x, y: F.least(x, y).cast("int")), F.lit(0), lambda t, x: t + x)
+    near = most * (100 + percent) >= (F.col("n") + F.col("n_a")) * percent
+    across = here.join(other, "bucket").where((F.col("a") < F.col("cls")) & (F.col("root") != F.col("root_a")) & _fits("n", "n_a", percent) & near)
+    more = confirm(materialize(across.select("a", F.col("cls").alias("b")).distinct(), "across"), texts, size, percent)
+    if more.limit(1).count():
+        roots = connected_components(links.unionByName(more))
     roots = materialize(roots, "roots")
     least = classes.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
     least = materialize(least, "least")
