@@ -41,7 +41,20 @@ def features(words: Words) -> np.ndarray:
     return np.stack([((h + np.uint64(j * 0x51ED27)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BITS)).astype(np.int32) for j, h in enumerate(kinds)], axis=1)
 
 
-def _firsts(words: Words) -> np.ndarray:
+class Tokens:
+    """What the fit needs of the words of many texts, gathered from slices so that little is held at once."""
+
+    def __init__(self, texts: list[str], slice_bytes: int = 1 << 20):
+        self.n_rows, parts = len(texts), []
+        for b in pieces(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["t"])]), "t", slice_bytes):
+            w = Words(b.column(0), IS_LETTER)
+            parts.append((w.hashes, w.counts, features(w)))
+        self.hashes, self.counts, self.features = (np.concatenate(x) for x in zip(*parts, strict=True))
+        self.bounds = np.concatenate([[0], np.cumsum(self.counts)])
+        self.starts = self.hashes
+
+
+def _firsts(words: Words | Tokens) -> np.ndarray:
     first = np.zeros(len(words.starts), np.bool_)
     first[words.bounds[:-1][words.counts > 0]] = True
     return first
@@ -54,7 +67,7 @@ def _hashed(*parts: np.ndarray) -> np.ndarray:
     return h
 
 
-def one_of_each_family(words: Words) -> np.ndarray:
+def one_of_each_family(words: Tokens) -> np.ndarray:
     """Marks documents, leaving out those that share one of two minima over three-word shingles with an earlier one: copies are not evidence."""
     doc = np.repeat(np.arange(words.n_rows), words.counts)
     n = len(doc)
@@ -76,7 +89,7 @@ def one_of_each_family(words: Words) -> np.ndarray:
     return keep
 
 
-def label_tokens(feats: np.ndarray, words: Words, toxic: np.ndarray) -> np.ndarray:
+def label_tokens(feats: np.ndarray, words: Tokens, toxic: np.ndarray) -> np.ndarray:
     """0/1 for each token of the training documents, from the documents' labels.
 
     A word or affix counts once for each different word before it, so copies count once.
@@ -95,7 +108,7 @@ def label_tokens(feats: np.ndarray, words: Words, toxic: np.ndarray) -> np.ndarr
     return (marks[feats].any(axis=1) & (toxic[doc] == 1)).astype(np.int64)
 
 
-def summaries(p: np.ndarray, words: Words) -> np.ndarray:
+def summaries(p: np.ndarray, words: Words | Tokens) -> np.ndarray:
     """[document, x]: what the marginals of a document add up to."""
     sums = np.concatenate([[0], np.cumsum(p)])
     total = sums[words.bounds[1:]] - sums[words.bounds[:-1]]
@@ -123,19 +136,21 @@ def fit(texts: list[str], toxic: list[int]) -> Model | None:
     y = np.array(toxic, np.int64)
     if not len(y) or y.min() == y.max():
         return None
-    keep = one_of_each_family(Words(pa.array(texts, pa.string()), IS_LETTER))
+    keep = one_of_each_family(Tokens(texts))
     keep |= len(set(y[keep].tolist())) < 2
     texts, y = [t for t, k in zip(texts, keep, strict=True) if k], y[keep]
-    words = Words(pa.array(texts, pa.string()), IS_LETTER)
-    feats, first = features(words), _firsts(words)
-    labels = label_tokens(feats, words, y)
+    words = Tokens(texts)
+    labels, first = label_tokens(words.features, words, y), _firsts(words)
     # The chain learns from all toxic documents and about as many others.
     others = np.flatnonzero(y == 0)
     part = y == 1
     part[others[:: max(1, len(others) // max(1, int(part.sum())))]] = True
     chosen = np.repeat(part, words.counts)
-    crf = train(feats[chosen], labels[chosen], first[chosen], 1 << BITS)
-    p = crf.marginals(crf.scores(feats), first)[:, 1]
+    crf = train(words.features[chosen], labels[chosen], first[chosen], 1 << BITS)
+    p = np.empty(len(first))
+    cuts = np.unique(np.append(words.bounds[np.searchsorted(words.bounds, np.arange(0, len(first), 100_000))], len(first)))
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):  # whole documents each
+        p[lo:hi] = crf.marginals(crf.scores(words.features[lo:hi]), first[lo:hi])[:, 1]
     x, w = summaries(p, words), np.zeros(4)
     for _ in range(50):  # Newton steps, lightly damped
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
