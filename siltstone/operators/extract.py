@@ -89,7 +89,58 @@ def technology(pages: DataFrame) -> DataFrame:
     return hit.select(F.col("host").alias("company"), F.col("x.f").alias("field"), F.col("x.v").alias("value"), F.col("x.c").cast("int").alias("confidence"), F.col("x.s").alias("source"), "page_id")
 
 
-EXTRACTORS = {"company_name": company_name, "language": language, "country": country, "business_model": business_model, "contacts": contacts, "technology": technology}
+def trading_name(pages: DataFrame) -> DataFrame:
+    e = _entities(pages)
+    footer = F.regexp_replace(F.regexp_extract("cleaned", r"(?is)<footer[^>]*>(.*?)</footer>", 1), "<[^>]+>", " ")
+
+    def said(column):
+        return F.trim(F.regexp_extract(column, f"(?iU){rules.TRADING_AS}", 1))
+
+    return reduce(
+        DataFrame.unionByName,
+        [
+            _candidates(e, "identity.trading_name", F.get_json_object("e", "$.alternateName"), F.lit(80), "json_ld"),
+            _candidates(pages, "identity.trading_name", said(footer), F.lit(75), "html_element"),
+            _candidates(pages.where(F.coalesce(said(footer), F.lit("")) == ""), "identity.trading_name", said(F.col("text")), F.lit(60), "html_element"),
+        ],
+    )
+
+
+def brands(pages: DataFrame) -> DataFrame:
+    e = _entities(pages).where("page_type in ('product', 'brands')")
+    name = F.coalesce(F.get_json_object("e", "$.brand.name"), F.get_json_object("e", "$.brand"))
+    linked = pages.select("host", "page_id", F.explode("links").alias("l")).where(F.col("l.href").rlike("(?i)/brands?/[^/]+"))
+    return _candidates(e, "business.brands", name, F.lit(70), "json_ld").unionByName(_candidates(linked, "business.brands", F.col("l.anchor"), F.lit(70), "link"))
+
+
+def people(pages: DataFrame) -> DataFrame:
+    e = _entities(pages).where("types = 'person'")
+    return _candidates(e, "organisation.people", F.get_json_object("e", "$.name"), F.lit(80), "json_ld")
+
+
+def wording(pages: DataFrame) -> DataFrame:
+    found = [F.when(F.col("text").rlike(f"(?iU){'|'.join(ps)}"), F.struct(F.lit(f).alias("f"), F.lit(v).alias("v"), F.lit(c).alias("c"))) for f, v, c, ps in rules.WORDING_RULES]
+    ai = F.lower("text").rlike("|".join(rules.AI_WORDS))
+    found.append(F.when(ai, F.struct(F.lit("technology.ai_signals").alias("f"), F.regexp_extract(F.lower("text"), f"({'|'.join(rules.AI_WORDS)})", 1).alias("v"), F.lit(55).alias("c"))))
+    hit = pages.select("host", "page_id", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("x"))
+    return hit.select(F.col("host").alias("company"), F.col("x.f").alias("field"), F.col("x.v").alias("value"), F.col("x.c").cast("int").alias("confidence"), F.lit("html_element").alias("source"), "page_id")
+
+
+def growth(pages: DataFrame) -> DataFrame:
+    """Statements of growth: all matches with 200 characters around them, checked for what must stand nearby, and dated."""
+    parts = []
+    for field, confidence, patterns, nearby in rules.GROWTH_RULES:
+        around = F.regexp_extract_all("text", F.lit(f"(?isU).{{0,200}}?(?:{'|'.join(patterns)}).{{0,200}}"), F.lit(0))
+        rows = pages.select("host", "page_id", F.explode(around).alias("w"))
+        if nearby:
+            rows = rows.where(F.col("w").rlike(f"(?iU){nearby}"))
+        statement = F.regexp_extract("w", f"(?iU)({'|'.join(patterns)})", 1)
+        dated = F.to_json(F.struct(F.lower(statement).alias("statement"), text.date(F.col("w")).alias("event_date")))
+        parts.append(_candidates(rows, field, dated, F.lit(confidence), "html_element"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+EXTRACTORS = {"trading_name": trading_name, "brands": brands, "people": people, "wording": wording, "growth": growth, "company_name": company_name, "language": language, "country": country, "business_model": business_model, "contacts": contacts, "technology": technology}
 
 
 def extract(pages: DataFrame, only: list[str] | None = None) -> DataFrame:

@@ -38,7 +38,7 @@ def scalar(candidates: DataFrame, threshold: int = 70, gap: int = rules.PRIORITY
         F.when(one | wins, F.col("conf")).otherwise(F.col("top")).alias("a_conf"),
         F.when(one | wins, "accepted").otherwise("conflicting").alias("a_status"),
         F.when(one, F.when(F.col("n") > 1, "verified").when(F.col("source") == "deterministic_inference", "inferred").otherwise("measured")).when(wins, "verified").otherwise("conflicting").alias("a_state"),
-        F.when(one, "highest_confidence_scalar").when(wins, "json_ld_overrides_title").otherwise("strong_sources_conflict").alias("a_rule"),
+        F.when(one, "reconciliation.highest_confidence_scalar_selected").when(wins, "reconciliation.json_ld_overrides_title_inference").otherwise("reconciliation.conflicting_strong_sources_preserved").alias("a_rule"),
         F.when(one | wins, F.col("n")).otherwise(F.col("all_n")).alias("a_n"),
     )
     groups = rows.select("company", "field").distinct().join(manual, ["company", "field"], "left").join(auto, ["company", "field"], "left")
@@ -50,7 +50,7 @@ def scalar(candidates: DataFrame, threshold: int = 70, gap: int = rules.PRIORITY
         F.when(by_hand, F.col("m_conf")).otherwise(F.col("a_conf")).alias("confidence"),
         F.when(by_hand, "accepted").otherwise(F.coalesce("a_status", F.lit("unknown"))).alias("status"),
         F.when(by_hand, "verified").otherwise(F.coalesce("a_state", F.lit("unknown"))).alias("state"),
-        F.when(by_hand, "manual_overrides_automated").otherwise(F.coalesce("a_rule", F.lit("below_threshold_unknown"))).alias("rule"),
+        F.when(by_hand, "reconciliation.manual_overrides_automated").otherwise(F.coalesce("a_rule", F.lit("reconciliation.below_threshold_remains_unknown"))).alias("rule"),
         F.when(by_hand, F.lit(1)).otherwise(F.coalesce("a_n", F.lit(0))).cast("long").alias("n_sources"),
     )
 
@@ -70,8 +70,8 @@ def boolean(candidates: DataFrame, threshold: int = 70) -> DataFrame:
         F.when(both, F.lit(None).cast("string")).when(t, "true").when(f, "false").alias("value"),
         F.when(both, F.greatest("tc", "fc")).when(t, F.col("tc")).otherwise(F.col("fc")).alias("confidence"),
         F.when(both, "conflicting").when(t | f, "accepted").otherwise("unknown").alias("status"),
-        F.when(both, "conflicting").when(t | f, F.when(n > 1, "verified").otherwise("measured")).otherwise("unknown").alias("state"),
-        F.when(both, "strong_sources_conflict").when(t, "boolean_true_positive").when(f, "boolean_explicit_false").otherwise("below_threshold_unknown").alias("rule"),
+        F.when(both, "conflicting").when(t | f, "verified").otherwise("unknown").alias("state"),
+        F.when(both, "reconciliation.conflicting_strong_sources_preserved").when(t, "reconciliation.boolean_true_or_unknown_only").when(f, "reconciliation.boolean_false_requires_explicit_evidence").otherwise("reconciliation.below_threshold_remains_unknown").alias("rule"),
         n.cast("long").alias("n_sources"),
     )
 
@@ -96,7 +96,7 @@ def numeric(candidates: DataFrame, threshold: int = 70) -> DataFrame:
         F.when(one | many, F.col("ec")).otherwise(F.col("estc")).alias("confidence"),
         F.when(many, "conflicting").otherwise("accepted").alias("status"),
         F.when(one, "measured").when(many, "conflicting").otherwise("inferred").alias("state"),
-        F.when(one, "exact_beats_estimate").when(many, "exact_values_conflict").otherwise("highest_confidence_scalar").alias("rule"),
+        F.when(one, "reconciliation.exact_value_beats_estimate").when(many, "reconciliation.competing_exact_counts_conflict").otherwise("reconciliation.highest_confidence_scalar_selected").alias("rule"),
         F.when(one | many, F.col("e")).otherwise(F.lit(1)).cast("long").alias("n_sources"),
     )
 

@@ -32,7 +32,7 @@ _SCALAR_SQL = f"""WITH {_SCALARS}, r AS (SELECT *, {_SRC_PRIO} AS prio, lower(tr
   CASE WHEN m.cf IS NOT NULL THEN m.cf WHEN one OR wins THEN conf ELSE top END AS confidence,
   CASE WHEN m.cf IS NOT NULL OR one OR wins THEN 'accepted' WHEN a.key IS NOT NULL THEN 'conflicting' ELSE 'unknown' END AS status,
   CASE WHEN m.cf IS NOT NULL THEN 'verified' WHEN a.key IS NULL THEN 'unknown' WHEN one THEN CASE WHEN n > 1 THEN 'verified' WHEN source = 'deterministic_inference' THEN 'inferred' ELSE 'measured' END WHEN wins THEN 'verified' ELSE 'conflicting' END AS state,
-  CASE WHEN m.cf IS NOT NULL THEN 'manual_overrides_automated' WHEN a.key IS NULL THEN 'below_threshold_unknown' WHEN one THEN 'highest_confidence_scalar' WHEN wins THEN 'json_ld_overrides_title' ELSE 'strong_sources_conflict' END AS rule,
+  CASE WHEN m.cf IS NOT NULL THEN 'reconciliation.manual_overrides_automated' WHEN a.key IS NULL THEN 'reconciliation.below_threshold_remains_unknown' WHEN one THEN 'reconciliation.highest_confidence_scalar_selected' WHEN wins THEN 'reconciliation.json_ld_overrides_title_inference' ELSE 'reconciliation.conflicting_strong_sources_preserved' END AS rule,
   (CASE WHEN m.cf IS NOT NULL THEN 1 WHEN a.key IS NULL THEN 0 WHEN one OR wins THEN n ELSE all_n END)::BIGINT AS n_sources
  FROM g LEFT JOIN m ON g.company = m.company AND g.field = m.field LEFT JOIN a ON g.company = a.company AND g.field = a.field"""
 
@@ -46,8 +46,8 @@ def scalar_reconcile(spark, d):
     """WITH c AS (SELECT l_orderkey AS company, l_shipmode AS field, l_returnflag AS rf, (60 + l_linenumber * 5)::BIGINT AS confidence FROM (SELECT l_orderkey, 'business.' || l_linestatus AS l_shipmode, l_returnflag, l_linenumber FROM lineitem)),
  k AS (SELECT company, field, count(*) FILTER (WHERE confidence >= 70 AND rf = 'R') AS t, count(*) FILTER (WHERE confidence >= 70 AND rf = 'A') AS f, max(confidence) FILTER (WHERE confidence >= 70 AND rf = 'R') AS tc, max(confidence) FILTER (WHERE confidence >= 70 AND rf = 'A') AS fc FROM c GROUP BY 1, 2)
  SELECT company, field, CASE WHEN t > 0 AND f > 0 THEN NULL WHEN t > 0 THEN 'true' WHEN f > 0 THEN 'false' END AS value, CASE WHEN t > 0 AND f > 0 THEN greatest(tc, fc) WHEN t > 0 THEN tc ELSE fc END AS confidence,
- CASE WHEN t > 0 AND f > 0 THEN 'conflicting' WHEN t + f > 0 THEN 'accepted' ELSE 'unknown' END AS status, CASE WHEN t > 0 AND f > 0 THEN 'conflicting' WHEN t > 1 OR (t = 0 AND f > 1) THEN 'verified' WHEN t + f > 0 THEN 'measured' ELSE 'unknown' END AS state,
- CASE WHEN t > 0 AND f > 0 THEN 'strong_sources_conflict' WHEN t > 0 THEN 'boolean_true_positive' WHEN f > 0 THEN 'boolean_explicit_false' ELSE 'below_threshold_unknown' END AS rule, (CASE WHEN t > 0 AND f > 0 THEN t + f WHEN t > 0 THEN t ELSE f END)::BIGINT AS n_sources FROM k"""
+ CASE WHEN t > 0 AND f > 0 THEN 'conflicting' WHEN t + f > 0 THEN 'accepted' ELSE 'unknown' END AS status, CASE WHEN t > 0 AND f > 0 THEN 'conflicting' WHEN t + f > 0 THEN 'verified' ELSE 'unknown' END AS state,
+ CASE WHEN t > 0 AND f > 0 THEN 'reconciliation.conflicting_strong_sources_preserved' WHEN t > 0 THEN 'reconciliation.boolean_true_or_unknown_only' WHEN f > 0 THEN 'reconciliation.boolean_false_requires_explicit_evidence' ELSE 'reconciliation.below_threshold_remains_unknown' END AS rule, (CASE WHEN t > 0 AND f > 0 THEN t + f WHEN t > 0 THEN t ELSE f END)::BIGINT AS n_sources FROM k"""
 )
 def boolean_reconcile(spark, d):
     c = _t(spark, d, "lineitem").select(
@@ -63,7 +63,7 @@ def boolean_reconcile(spark, d):
     """WITH c AS (SELECT l_partkey AS company, 'catalogue.size' AS field, l_orderkey * 10 + l_linenumber AS id, (l_quantity::BIGINT)::VARCHAR AS value, l_returnflag = 'N' AND l_linenumber > 5 AS exact, (60 + l_linenumber * 5)::BIGINT AS confidence FROM lineitem),
  g AS (SELECT company, field, count(*) FILTER (WHERE exact) AS e, count(DISTINCT value) FILTER (WHERE exact) AS ev, max(confidence) FILTER (WHERE exact) AS ec, arg_max(value, confidence * 1000000000000 - id) FILTER (WHERE exact) AS evalue, arg_max(value, confidence * 1000000000000 - id) FILTER (WHERE NOT exact) AS est, max(confidence) FILTER (WHERE NOT exact) AS estc FROM c WHERE confidence >= 70 GROUP BY 1, 2)
  SELECT company, field, CASE WHEN ev = 1 THEN evalue WHEN ev > 1 THEN NULL ELSE est END AS value, CASE WHEN ev > 0 THEN ec ELSE estc END AS confidence, CASE WHEN ev > 1 THEN 'conflicting' ELSE 'accepted' END AS status, CASE WHEN ev = 1 THEN 'measured' WHEN ev > 1 THEN 'conflicting' ELSE 'inferred' END AS state,
- CASE WHEN ev = 1 THEN 'exact_beats_estimate' WHEN ev > 1 THEN 'exact_values_conflict' ELSE 'highest_confidence_scalar' END AS rule, (CASE WHEN ev > 0 THEN e ELSE 1 END)::BIGINT AS n_sources FROM g"""
+ CASE WHEN ev = 1 THEN 'reconciliation.exact_value_beats_estimate' WHEN ev > 1 THEN 'reconciliation.competing_exact_counts_conflict' ELSE 'reconciliation.highest_confidence_scalar_selected' END AS rule, (CASE WHEN ev > 0 THEN e ELSE 1 END)::BIGINT AS n_sources FROM g"""
 )
 def numeric_reconcile(spark, d):
     c = _t(spark, d, "lineitem").select(

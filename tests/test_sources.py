@@ -51,6 +51,23 @@ def test_pasted_table(spark):
     assert [tuple(r) for r in got] == [(7, 1, "a.co", None, None, "Perth"), (7, 2, None, None, None, "Rome")]
 
 
+def test_pasted_grid():
+    cells = lambda *x: "".join(f"<vaadin-grid-cell-content>{c}</vaadin-grid-cell-content>" for c in x)
+    box = "<vaadin-checkbox aria-label='Select Row'></vaadin-checkbox>"
+    html = "<vaadin-grid-column name='domain'></vaadin-grid-column><vaadin-grid-column name='x'></vaadin-grid-column><vaadin-grid-column name='City'></vaadin-grid-column>"
+    html += cells("head", box, "a.co", "1", " Perth ", box, "b.co")
+    assert imports.pasted_rows(html) == [(1, "a.co", None, None, "Perth"), (2, "b.co", None, None, None)]
+    assert imports.pasted_rows(cells(box, "a.co")) == []
+
+
+def test_growth_and_wording(spark):
+    texts = ["<p>We're hiring! Our growing team is opening a new store on 2024-03-01.</p>", "<p>We're hiring a chef.</p>", "<p>Gift set with engraving. Acme Pty trading as Bobs &amp; Co</p>"]
+    pages = spark.createDataFrame([(k, "a.co", "news", t) for k, t in enumerate(texts)], "page_id long, host string, page_type string, html string")
+    got = {(r["page_id"], r["field"]): r["value"] for r in extract(parse_pages(pages), ["growth", "wording", "trading_name"]).collect()}
+    assert set(got) == {(0, "growth.hiring"), (0, "growth.new_store"), (2, "catalogue.bundle_evidence"), (2, "catalogue.customization_evidence"), (2, "identity.trading_name")}
+    assert "2024-03-01" in got[0, "growth.new_store"] and got[2, "identity.trading_name"] == "Bobs & Co"
+
+
 def test_sitemaps(spark):
     body = b"<?xml version='1.0'?><urlset xmlns='http://x'><url><loc> https://a.co/1 </loc></url><url><loc>https://a.co/2</loc></url></urlset>"
     index = b"<sitemapindex><sitemap><loc>https://a.co/s.xml</loc></sitemap></sitemapindex>"
