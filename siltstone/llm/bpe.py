@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.textbytes import pieces
 
-STATES = 150_000
-PAIRS = 300_000
-CACHED_PIECES = 200_000
-CACHED_STRETCHES = 200_000
+STATES = 300_000
+PAIRS = 500_000
+CACHED_PIECES = 250_000
+CACHED_STRETCHES = 350_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -33,12 +33,12 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The definition: again and again merge the leftmost pair of the lowest rank."""
+def merge(piece: bytes, ranks: dict[bytes, int], halves: bool = False) -> list[int]:
+    """The definition: again and again merge the leftmost pair of the lowest rank; with ``halves``, until two are left."""
     parts = [piece[i : i + 1] for i in range(len(piece))]
     get, none = ranks.get, 1 << 62
     pairs = [get(piece[i : i + 2], none) for i in range(len(piece) - 1)]
-    while pairs:
+    while len(pairs) > halves:
         low = min(pairs)
         if low == none:
             break
@@ -79,7 +79,7 @@ class Transducer:
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks))
         self.starts = {b[:k] for b in ranks for k in range(1, len(b))}  # what some token goes on from
-        self.reachable: dict[int, bool] = {}  # whether a token's own bytes merge into it
+        self.halves: dict[int, tuple[int, int] | None] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.reset()
 
@@ -87,48 +87,89 @@ class Transducer:
         self.root = _State(-1, b"", (), ())
         self.states: dict[tuple[int, bytes], _State] = {(-1, b""): self.root}
 
-    def _usable(self, token: int) -> bool:
-        got = self.reachable.get(token)
-        if got is None:
-            got = self.reachable[token] = merge(self.bytes_of[token], self.ranks) == [token]
+    def _made_of(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merge makes this one; None for a single byte, or where its bytes merge otherwise."""
+        if token in self.halves:
+            return self.halves[token]
+        data, got = self.bytes_of[token], None
+        if len(data) > 1:
+            parts = merge(data, self.ranks, halves=True)
+            if len(parts) == 2 and self.ranks.get(data) == token:
+                got = parts[0], parts[1]
+        self.halves[token] = got
         return got
 
+    def _usable(self, token: int) -> bool:
+        return len(self.bytes_of[token]) == 1 or self._made_of(token) is not None
+
     def _compatible(self, a: int, b: int) -> bool:
-        if a < 0:
-            return True
+        """Whether the bytes of both together merge into just these two.
+
+        Merges happen by rising rank. Taken back one by one, the last first, they show which two tokens
+        met at the border meanwhile: had those a merge of lower rank than what came next, it would have
+        crossed the border. Of equal ranks the left one goes first.
+        """
         got = self.pairs.get((a, b))
-        if got is None:
-            if len(self.pairs) > PAIRS:
-                self.pairs.clear()
-            got = self.pairs[a, b] = merge(self.bytes_of[a] + self.bytes_of[b], self.ranks) == [a, b]
+        if got is not None:
+            return got
+        key, rank, data = (a, b), self.ranks.get, self.bytes_of
+        halves_a, halves_b = self._made_of(a), self._made_of(b)
+        got = rank(data[a] + data[b]) is None
+        while got and (halves_a or halves_b):
+            if halves_b is None or halves_a and a > b:
+                limit, a = a, halves_a[1]
+                halves_a = self._made_of(a)
+                crossing = rank(data[a] + data[b])
+                got = crossing is None or crossing >= limit
+            else:
+                limit, b = b, halves_b[0]
+                halves_b = self._made_of(b)
+                crossing = rank(data[a] + data[b])
+                got = crossing is None or crossing > limit
+        if len(self.pairs) > PAIRS:
+            self.pairs.clear()
+        self.pairs[key] = got
         return got
 
     def _step(self, state: _State, byte: int) -> tuple[_State, tuple[int, ...]]:
-        tail, n = state.tail + bytes((byte,)), len(state.tail) + 1
-        get, starts = self.ranks.get, self.starts
-        first = max(0, n - self.longest)
-        for start in range(first, n):
-            token = get(tail[start:])
-            if token is not None and self._usable(token) and self._compatible(state.last[start - 1] if start else state.before, token):
-                break
-        last, from_ = (*state.last, token), (*state.from_, start)
-        # The places where the token over the next byte may start; then back along their chains to where all meet.
-        places = {n, *(s for s in range(first, n) if tail[s:] in starts)}
-        while len(places) > 1:
-            top = max(places)
-            places.remove(top)
-            places.add(from_[top - 1])
-        cut = places.pop()
+        tail = state.tail + bytes((byte,))
+        n, rank, starts, before = len(tail), self.ranks.get, self.starts, state.before
+        last, from_ = state.last, state.from_
+        places, token = [], None
+        for start in range(max(0, n - self.longest), n):
+            part = tail[start:]
+            if token is None:
+                found = rank(part)
+                if found is not None and self._usable(found):
+                    left = last[start - 1] if start else before
+                    if left < 0 or self._compatible(left, found):
+                        token = found
+                        last, from_ = (*last, found), (*from_, start)
+            # Where the token over the next byte may start.
+            if part in starts:
+                places.append(start)
+        # Back along the chains from there to where all of them meet.
+        cut = n
+        for place in places[::-1]:
+            while cut != place:
+                if cut > place:
+                    cut = from_[cut - 1]
+                else:
+                    place = from_[place - 1]
         if cut:
-            out, before = _tokens(last, from_, cut), last[cut - 1]
-            tail, last, from_ = tail[cut:], last[cut:], tuple(f - cut for f in from_[cut:])
+            out = _tokens(last, from_, cut)
+            before = last[cut - 1]
+            tail = tail[cut:]
         else:
-            out, before = (), state.before
-        if len(self.states) > STATES:
-            self.reset()
-        target = self.states.get((before, tail))
+            out = ()
+        key = before, tail
+        target = self.states.get(key)
         if target is None:
-            target = self.states[before, tail] = _State(before, tail, last, from_)
+            if len(self.states) > STATES:
+                self.reset()
+            if cut:
+                last, from_ = last[cut:], tuple([f - cut for f in from_[cut:]])
+            target = self.states[key] = _State(before, tail, last, from_)
         state.next[byte] = target, out
         return target, out
 
@@ -208,6 +249,8 @@ class Codec:
         import regex
 
         self.find = regex.compile(pattern).findall
+        #: Whether the pattern takes a space and the letters after it as one piece.
+        self.words_whole = all(self.find(" " + w) == [" " + w] for w in ("a", "Zz", "sll", "qwertyuiopasdfghjklzxcvbnm"))
         self.transducer = Transducer(ranks)
         self.machine = Utf8Machine(self.transducer.bytes_of)
         self.piece: dict[str, tuple[int, ...]] = {}
@@ -225,7 +268,13 @@ class Codec:
         return out
 
     def _fill(self, part: str) -> tuple[tuple[int, ...], str]:
-        ids = tuple(self._ids(" " + part))
+        piece = " " + part
+        if self.words_whole and part.isascii() and part.isalpha():
+            ids = self.piece.get(piece)
+            if ids is None:
+                ids = self.transducer(piece.encode())
+        else:
+            ids = tuple(self._ids(piece))
         return ids, ",".join(map(str, ids))
 
     def encode(self, text: str) -> tuple[list[int], str]:
