@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.textbytes import pieces
 
-STATES = 300_000
-PAIRS = 500_000
-CACHED_PIECES = 250_000
-CACHED_STRETCHES = 350_000
+STATES = 100_000
+PAIRS = 200_000
+CACHED_PIECES = 100_000
+CACHED_STRETCHES = 120_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
