@@ -1,8 +1,10 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
 The index holds, per document, the postings (term, position) of training tokens that can take part in
-a match: terms of the benchmark, inside runs of such terms that are as long as the shortest window.
-A position outside those runs cannot lie in any match, so leaving it out loses nothing. Which words are
+a match. For exact phrases (``slop`` 0) these are terms of the benchmark, inside runs of such terms that
+are as long as the shortest window: a position outside those runs cannot lie in any exact match. With
+``slop`` > 0 foreign words may stand inside a match, so every posting of a benchmark term is kept; the
+index must be built with a ``slop`` > 0 too. Which words are
 benchmark terms is told by a bitmap of fixed size (``BITMAP`` bits), so what travels to the executors
 does not grow with the benchmark; a false hit only keeps a posting that no window asks for.
 
@@ -87,8 +89,11 @@ def _in_runs(known: np.ndarray, doc_of: np.ndarray, least: int) -> np.ndarray:
     return known & np.repeat(lengths >= least, lengths)
 
 
-def build_index(docs: DataFrame, terms: DataFrame, size: int = 13, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The index, a row per document: (id, uid, n_words, terms, places). Written to the shared folder."""
+def build_index(docs: DataFrame, terms: DataFrame, size: int = 13, key: str = "doc_id", text: str = "text", slop: int = 0) -> DataFrame:
+    """The index, a row per document: (id, uid, n_words, terms, places). Written to the shared folder.
+
+    With ``slop`` 0 it serves exact phrases only; else also proximity matches of any slop.
+    """
     spark = docs.sparkSession
     long_bits = spark.sparkContext.broadcast(_bitmap(terms.where(F.col("n_words") >= size)))
     short = terms.where((F.col("n_words") > 0) & (F.col("n_words") < size))
@@ -103,7 +108,8 @@ def build_index(docs: DataFrame, terms: DataFrame, size: int = 13, key: str = "d
             at = (w.hashes & np.uint64(BITMAP - 1)).astype(np.int64)
             keep = np.zeros(len(at), np.bool_)
             for bits, shortest in maps:
-                keep |= _in_runs((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(np.bool_), rows, shortest)
+                known = (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(np.bool_)
+                keep |= known if slop else _in_runs(known, rows, shortest)
             found = np.flatnonzero(keep)
             counts = np.bincount(rows[found], minlength=w.n_rows)
             yield pa.RecordBatch.from_arrays(
@@ -130,7 +136,8 @@ def phrase_matches(index: DataFrame, wins: DataFrame, slop: int = 0) -> DataFram
     """(uid, place, length, window) of all places where a window occurs.
 
     ``window`` is a digest of its terms: equal windows are looked up once. With ``slop`` 0 the terms
-    stand side by side, in order; else each lies within ``slop`` positions of where it would.
+    stand side by side, in order; else each lies within ``slop`` positions of where it would, and
+    ``index`` must have been built with a ``slop`` > 0.
     """
     posts = postings(index)
     distinct = wins.select(F.xxhash64("terms").alias("window"), "terms").dropDuplicates(["window"])

@@ -227,6 +227,38 @@ def test_proximity(spark):
     assert {uid[r["uid"]] for r in phrase_matches(index, windows(terms), slop=2).collect()} == {1, 2}
 
 
+def test_proximity_with_foreign_words(spark):
+    """Against brute force, with words inside the matches that no item has."""
+    from siltstone.llm.decontaminate import build_index, item_terms, phrase_matches, windows
+
+    rng = random.Random(5)
+    item = [f"w{k}" for k in range(13)]
+    rows = [(1, [*item[:6], "foreign", *item[6:]]), (2, item), (3, [*item[:6], "foreign", "words", *item[6:]]), (4, item[:12])]
+    for i in range(5, 45):
+        words = list(item)
+        for _ in range(rng.randrange(4)):
+            k = rng.randrange(len(words))
+            words[k : k + rng.randrange(2)] = [rng.choice(["foreign", "w3", "other"])]
+        rows.append((i, ["before"] * rng.randrange(3) + words))
+    items = spark.createDataFrame([(1, " ".join(item)), (2, "w3 w9 short")], "item_id long, text string")
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    terms = item_terms(items)
+    often = Counter(w for _, words in rows for w in words)
+    for slop in (0, 1, 2):
+        index = build_index(docs, terms, slop=slop)
+        ids = {r["uid"]: r["id"] for r in index.collect()}
+        got = Counter((ids[r["uid"]], r["place"], r["length"]) for r in phrase_matches(index, windows(terms), slop).collect())
+        expected = Counter()
+        for window in (item, ["w3", "w9", "short"]):
+            at = min(range(len(window)), key=lambda o: (often[window[o]], o))
+            for i, words in rows:
+                for p in (k - at for k, w in enumerate(words) if w == window[at]):
+                    if p >= -slop and all(w in words[max(0, p + o - slop) : max(0, p + o + slop + 1)] for o, w in enumerate(window)):
+                        expected[(i, p, len(window))] += 1
+        assert got == expected
+        assert slop == 0 or any(i == 1 for i, _, _ in got)
+
+
 def test_search(spark, corpus, monkeypatch):
     import math
 
