@@ -6,10 +6,13 @@ confidence, source, page_id, evidence_id.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltstone.functions import rules, text, urls
 
@@ -126,18 +129,48 @@ def wording(pages: DataFrame) -> DataFrame:
     return hit.select(F.col("host").alias("company"), F.col("x.f").alias("field"), F.col("x.v").alias("value"), F.col("x.c").cast("int").alias("confidence"), F.lit("html_element").alias("source"), "page_id")
 
 
-def growth(pages: DataFrame) -> DataFrame:
-    """Statements of growth: all matches with 200 characters around them, checked for what must stand nearby, and dated."""
-    parts = []
+def growth_statements(page: str) -> list[tuple[str, int, str, str]]:
+    """(field, confidence, statement, window) of all matches of each pattern by itself.
+
+    The window is the statement with 200 characters of the whole text on both sides: what one match
+    takes is not lost to the next. Matches without what must stand nearby are left out.
+    """
+    out = []
     for field, confidence, patterns, nearby in rules.GROWTH_RULES:
-        around = F.regexp_extract_all("text", F.lit(f"(?isU).{{0,200}}?(?:{'|'.join(patterns)}).{{0,200}}"), F.lit(0))
-        rows = pages.select("host", "page_id", F.explode(around).alias("w"))
-        if nearby:
-            rows = rows.where(F.col("w").rlike(f"(?iU){nearby}"))
-        statement = F.regexp_extract("w", f"(?iU)({'|'.join(patterns)})", 1)
-        dated = F.to_json(F.struct(F.lower(statement).alias("statement"), text.date(F.col("w")).alias("event_date")))
-        parts.append(_candidates(rows, field, dated, F.lit(confidence), "html_element"))
-    return reduce(DataFrame.unionByName, parts)
+        for pattern in patterns:
+            for m in re.finditer(pattern, page, re.I):
+                window = f"{page[max(0, m.start() - 200) : m.start()]} {m[0]} {page[m.end() : m.end() + 200]}"
+                if nearby is None or re.search(nearby, window, re.I):
+                    out.append((field, confidence, m[0], window))
+    return out
+
+
+def growth(pages: DataFrame) -> DataFrame:
+    """Statements of growth, each with the date nearby, the date of publication and the one in effect.
+
+    The publication date is that of ``article:published_time``, else the day of ``fetched_at`` if the
+    pages have such a column; the date in effect is the one nearby, else that of publication.
+    """
+    kept = [c for c in ("host", "page_id", "published", "fetched_at") if c in pages.columns]
+    schema = T.StructType([pages.schema[c] for c in kept]).add("field", T.StringType()).add("confidence", T.IntegerType()).add("statement", T.StringType()).add("w", T.StringType())
+
+    def run(batches):
+        for b in batches:
+            for start in range(0, b.num_rows, 256):
+                part = b.slice(start, 256)
+                found = [(i, *x) for i, page in enumerate(part.column(len(kept))) for x in growth_statements(page.as_py() or "")]
+                at, *made = zip(*found, strict=True) if found else [()] * 5
+                rows = [c.take(pa.array(at, pa.int64())) for c in part.columns[:-1]]
+                types = [pa.string(), pa.int32(), pa.string(), pa.string()]
+                yield pa.RecordBatch.from_arrays([*rows, *(pa.array(x, t) for x, t in zip(made, types, strict=True))], schema.names)
+
+    rows = pages.select(*kept, "text").mapInArrow(run, schema)
+    published = text.date(F.regexp_replace("published", r"^(\d{4}-\d{2}-\d{2})T.*", "$1"))
+    if "fetched_at" in kept:
+        published = F.coalesce(published, F.col("fetched_at").try_cast("date"))
+    event = text.date(F.col("w"))
+    dated = F.to_json(F.struct(F.lower("statement").alias("statement"), event.alias("event_date"), published.alias("publication_date"), F.coalesce(event, published).alias("effective_date")))
+    return rows.select(F.col("host").alias("company"), "field", dated.alias("value"), "confidence", F.lit("html_element").alias("source"), "page_id")
 
 
 EXTRACTORS = {"trading_name": trading_name, "brands": brands, "people": people, "wording": wording, "growth": growth, "company_name": company_name, "language": language, "country": country, "business_model": business_model, "contacts": contacts, "technology": technology}

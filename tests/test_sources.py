@@ -68,6 +68,31 @@ def test_growth_and_wording(spark):
     assert "2024-03-01" in got[0, "growth.new_store"] and got[2, "identity.trading_name"] == "Bobs & Co"
 
 
+def test_growth_statements_close_together(spark):
+    import datetime
+    import json
+
+    texts = [
+        "<p>In 2023 an international expansion. Then came a merger with Beta on 2024-05-01, then we rebranded.</p>",
+        f"<p>2024-02-03 {'x ' * 80} a merger {'y ' * 60} rebranding {'z ' * 98} merger</p>",
+        f"<p>We're hiring. {'x ' * 70} growth {'y ' * 30} we're hiring {'z ' * 120} We're hiring \U0001f600</p>",
+    ]
+    head = "<meta property='article:published_time' content='2024-06-07T08:09:10Z'>"
+    rows = [(k, "a.co", "news", (head if k == 1 else "") + t) for k, t in enumerate(texts)]
+    pages = parse_pages(spark.createDataFrame(rows, "page_id long, host string, page_type string, html string"))
+    got = {}
+    for r in extract(pages, ["growth"]).collect():
+        v = json.loads(r["value"])
+        got.setdefault(r["page_id"], []).append((r["field"], v["statement"], v.get("event_date"), v.get("publication_date"), v.get("effective_date")))
+    field, day = "growth.expansion", "2024-05-01"
+    assert sorted(got[0]) == [(field, "international expansion", day, None, day), (field, "merger", day, None, day), (field, "rebranded", day, None, day)]
+    out = "2024-06-07"
+    assert sorted(got[1], key=repr) == sorted([(field, "merger", "2024-02-03", out, "2024-02-03"), (field, "rebranding", None, out, out), (field, "merger", None, out, out)], key=repr)
+    assert [x[:2] for x in got[2]] == [("growth.hiring", "we're hiring")] * 2
+    fetched = extract(pages.withColumn("fetched_at", F.lit(datetime.datetime(2024, 8, 9))), ["growth"]).where("page_id = 0").first()
+    assert json.loads(fetched["value"])["publication_date"] == "2024-08-09"
+
+
 def test_sitemaps(spark):
     body = b"<?xml version='1.0'?><urlset xmlns='http://x'><url><loc> https://a.co/1 </loc></url><url><loc>https://a.co/2</loc></url></urlset>"
     index = b"<sitemapindex><sitemap><loc>https://a.co/s.xml</loc></sitemap></sitemapindex>"
