@@ -44,6 +44,16 @@ RESERVED_SUFFIXES = ["local", "internal", "localdomain", "lan", "home", "test",
 COMPOUND_SUFFIXES = "co.nz co.uk org.uk com.au co.za com.br co.jp or.jp ne.jp com.cn co.in co.id com.mx co.il com.sg com.hk co.kr com.tw".split()
 TLD_COUNTRIES = {"au": "Australia", "nz": "New Zealand", "uk": "United Kingdom", "us": "United States", "ca": "Canada"}
 
+# Names of countries in addresses, and what stands for a city: words before a state and a postcode.
+COUNTRY_WORDS = r"Australia|New Zealand|United Kingdom|United States(?: of America)?|U\.S\.A\.|USA|UK|Canada"
+COUNTRY_NAMES = {
+    "australia": "Australia", "new zealand": "New Zealand", "united kingdom": "United Kingdom", "uk": "United Kingdom", "united states": "United States",
+    "united states of america": "United States", "usa": "United States", "u.s.a.": "United States", "canada": "Canada",
+}
+CITY = r"([A-Z][a-zA-Z]+(?:\s[A-Z][a-zA-Z]+){0,2}),?\s+[A-Z]{2,3}\s+\d{4,5}\b"
+# What belongs to a member of a team: the markup from one such class to the next.
+TEAM_BLOCK = r"""(?is)class="[^"]*(?:team-member|person)[^"]*"[^>]*>(.*?)(?=class="[^"]*(?:team-member|person)|\z)"""
+
 # Blocked or challenge pages, in order: class and phrases.
 CHALLENGES = [
     ("cloudflare_challenge", ["checking your browser", "cf-browser-verification", "cf-chl-bypass", "just a moment"]),

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.functions import rules, text, urls
+from siltstone.storage import materialize
 
 
 def _candidates(pages: DataFrame, field: str, value, confidence, source: str, keep=None) -> DataFrame:
@@ -29,6 +30,23 @@ def _entities(pages: DataFrame) -> DataFrame:
     return e.withColumn("types", F.lower(F.coalesce(one, F.lit(""))))
 
 
+def _several(pages: DataFrame, options: list[tuple[str, F.Column, object, str]]) -> DataFrame:
+    """Candidates of (field, value, confidence, source), all in one pass over the pages."""
+    made = [F.struct(F.lit(f).alias("f"), v.alias("v"), (c if isinstance(c, F.Column) else F.lit(c)).cast("int").alias("c"), F.lit(s).alias("s")) for f, v, c, s in options]
+    hit = pages.select("host", "page_id", F.explode(F.array(*made)).alias("x")).where(F.col("x.v").isNotNull() & (F.trim("x.v") != ""))
+    return hit.select(F.col("host").alias("company"), F.col("x.f").alias("field"), F.col("x.v").alias("value"), F.col("x.c").alias("confidence"), F.col("x.s").alias("source"), "page_id")
+
+
+def _plain(markup) -> F.Column:
+    """Text of markup: tags are spaces, white space is collapsed."""
+    return text.collapse(F.regexp_replace(markup, "<[^>]+>", " "))
+
+
+def _inside(tag: str) -> F.Column:
+    """Plain text of the first element of a name; empty if there is none."""
+    return _plain(F.regexp_extract("cleaned", rf"(?is)<{tag}[^>]*>(.*?)</{tag}>", 1))
+
+
 def company_name(pages: DataFrame) -> DataFrame:
     e = _entities(pages)
     org = e.where(F.col("types").contains("organization"))
@@ -42,19 +60,34 @@ def company_name(pages: DataFrame) -> DataFrame:
             _candidates(site, "identity.company_name", name, F.lit(85), "json_ld"),
             _candidates(pages, "identity.company_name", F.col("site_name"), F.lit(78), "open_graph"),
             _candidates(pages.where("page_type = 'homepage'"), "identity.company_name", title, F.lit(55), "meta_tag"),
+            _candidates(pages.where("page_type in ('homepage', 'about')"), "identity.company_name", F.col("logo_alt"), F.lit(50), "html_element"),
+            _candidates(pages.where("page_type = 'about'"), "identity.company_name", _inside("h1"), F.lit(50), "html_element"),
             _candidates(pages, "identity.company_name", urls.fallback_name(F.col("host")), F.lit(20), "deterministic_inference"),
         ],
     )
 
 
 def language(pages: DataFrame) -> DataFrame:
-    return _candidates(pages, "identity.language", F.lower(F.regexp_extract("lang", "^([A-Za-z]+)", 1)), F.lit(70), "html_element")
+    def primary(tag):
+        return F.lower(F.regexp_extract(tag, "^([A-Za-z]+)", 1))
+
+    return _several(pages, [("identity.language", primary(F.col("lang")), 70, "html_element"), ("identity.language", primary(F.trim("content_language")), 60, "meta_tag")])
 
 
 def country(pages: DataFrame) -> DataFrame:
+    """Countries and cities: structured addresses, the address of a contact page, the footer; the domain for countries."""
     e = _entities(pages)
     place = F.coalesce(F.get_json_object("e", "$.address.addressCountry.name"), F.get_json_object("e", "$.address.addressCountry"))
-    return _candidates(e, "identity.country", place, F.when(F.col("types").rlike("store|localbusiness"), 88).otherwise(90), "json_ld").unionByName(_candidates(pages, "identity.country", urls.tld_country(F.col("host")), F.lit(25), "deterministic_inference"))
+    city = F.get_json_object("e", "$.address.addressLocality")
+    trust = F.when(F.col("types").rlike("store|localbusiness"), 88).otherwise(90)
+    structured = _several(e, [("identity.country", place, trust, "json_ld"), ("identity.city", F.when(~city.rlike(r"^[\[{]"), city), trust, "json_ld")])
+    names = F.create_map(*[F.lit(x) for pair in rules.COUNTRY_NAMES.items() for x in pair])
+    said = pages.withColumn("address", F.when(F.col("page_type") == "contact", _inside("address"))).withColumn("footer", _inside("footer"))
+    options = [("identity.country", urls.tld_country(F.col("host")), 25, "deterministic_inference")]
+    for column, confidence in (("address", 75), ("footer", 60)):
+        options.append(("identity.country", names[F.lower(F.regexp_extract(column, rf"(?U)\b({rules.COUNTRY_WORDS})\b", 1))], confidence, "html_element"))
+        options.append(("identity.city", F.regexp_extract(column, f"(?U){rules.CITY}", 1), confidence, "html_element"))
+    return structured.unionByName(_several(said, options))
 
 
 def business_model(pages: DataFrame) -> DataFrame:
@@ -67,11 +100,28 @@ def contacts(pages: DataFrame) -> DataFrame:
     mail = F.filter(F.transform("links", lambda x: F.regexp_extract(x["href"], r"(?i)^mailto:([^?]+)", 1)), lambda x: x != "")
     tel = F.filter(F.transform("links", lambda x: F.regexp_replace(F.regexp_extract(x["href"], r"(?i)^tel:(.+)", 1), "[^0-9+]", "")), lambda x: x != "")
 
+    def stated(key):
+        """Plain values of a key of the structured data."""
+        return F.filter(F.transform("structured", lambda e: F.get_json_object(e, f"$.{key}")), lambda v: v.isNotNull() & ~v.rlike(r"^\s*[\[{]"))
+
+    structured_mail = F.array_distinct(F.transform(stated("email"), lambda v: F.lower(F.trim(v))))
+    structured_tel = F.array_distinct(F.transform(stated("telephone"), lambda v: F.regexp_replace(v, "[^0-9+]", "")))
+
     def rows(field, values, confidence, source):
         x = pages.select("host", "page_id", F.explode(values).alias("v"))
         return _candidates(x, field, F.lower("v"), F.lit(confidence), source)
 
-    return reduce(DataFrame.unionByName, [rows("organisation.emails", mail, 82, "link"), rows("organisation.emails", text.emails(F.col("text")), 70, "html_element"), rows("organisation.phone_numbers", tel, 80, "link"), rows("organisation.phone_numbers", text.phones(F.col("text")), 65, "html_element")])
+    return reduce(
+        DataFrame.unionByName,
+        [
+            rows("organisation.emails", mail, 82, "link"),
+            rows("organisation.emails", structured_mail, 85, "json_ld"),
+            rows("organisation.emails", text.emails(F.col("text")), 70, "html_element"),
+            rows("organisation.phone_numbers", tel, 80, "link"),
+            rows("organisation.phone_numbers", structured_tel, 85, "json_ld"),
+            rows("organisation.phone_numbers", text.phones(F.col("text")), 65, "html_element"),
+        ],
+    )
 
 
 def technology(pages: DataFrame) -> DataFrame:
@@ -118,7 +168,9 @@ def brands(pages: DataFrame) -> DataFrame:
 
 def people(pages: DataFrame) -> DataFrame:
     e = _entities(pages).where("types = 'person'")
-    return _candidates(e, "organisation.people", F.get_json_object("e", "$.name"), F.lit(80), "json_ld")
+    blocks = F.regexp_extract_all("cleaned", F.lit(rules.TEAM_BLOCK), F.lit(1))
+    names = pages.select("host", "page_id", F.explode(F.transform(blocks, lambda b: F.regexp_extract(b, r"(?is)<h[1-6][^>]*>(.*?)</h[1-6]>", 1))).alias("name"))
+    return _candidates(e, "organisation.people", F.get_json_object("e", "$.name"), F.lit(80), "json_ld").unionByName(_candidates(names, "organisation.people", _plain(F.col("name")), F.lit(68), "html_element"))
 
 
 def wording(pages: DataFrame) -> DataFrame:
@@ -177,7 +229,12 @@ EXTRACTORS = {"trading_name": trading_name, "brands": brands, "people": people,
 
 
 def extract(pages: DataFrame, only: list[str] | None = None) -> DataFrame:
-    """All candidates, with ids that depend on nothing but page, field and value."""
+    """All candidates, with ids that depend on nothing but page, field and value.
+
+    Several extractors share one pass over the pages, whose outcome is written to the shared folder.
+    """
+    if only is None or len(only) > 1:
+        pages = materialize(pages, "parsed")
     parts = [f(pages) for name, f in EXTRACTORS.items() if only is None or name in only]
     rows = reduce(DataFrame.unionByName, parts)
     return rows.withColumn("evidence_id", F.sha2(F.concat_ws("|", F.col("page_id").cast("string"), "field", "source", F.sha2("value", 256)), 256))

@@ -93,6 +93,43 @@ def test_growth_statements_close_together(spark):
     assert json.loads(fetched["value"])["publication_date"] == "2024-08-09"
 
 
+def test_sources_of_the_extractors(spark):
+    ld = '{"@type": "Organization", "email": " Info@Acme.com ", "telephone": "+64 9 123-4567", "address": {"addressLocality": "Perth", "addressCountry": "AU"}}'
+    shop = '{"@type": "Store", "email": ["a@b.co"], "address": {"addressLocality": "Hobart"}}'
+    team = "<div class='team-member'><h3>Ann <b>Lee</b></h3><p class='role'>Founder</p></div><div class='x person'><h4>Bo Ray</h4></div><div class='person'><p>none</p></div>"
+    footer = "<footer>1 Road,<br> Auckland, NZ 1010 United States of America</footer>"
+    rows = [
+        (1, "a.co", "contact", f"<script type='application/ld+json'>[{ld}, {shop}]</script><address>2 Hill St, <b>North Sydney</b> NSW 2060, Australia</address>{footer}"),
+        (2, "b.co", "about", f"<meta http-equiv='Content-Language' content='de-CH'><img src='/x.png' alt='Photo'><img src='/logo.png' alt='logo'><img class='Site-Logo' src='/a.png' alt=' Bee Co '><h1>About <i>Bee</i></h1>{team}"),
+        (3, "c.co", "faq", "<meta name='content-language' content='FR'><img id='logo' alt='Cee Co'><h1>Faq</h1><address>3 Way Perth WA 6000, Canada</address>"),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, host string, page_type string, html string")
+    skipped = {"deterministic_inference"}
+    got = {}
+    for r in extract(parse_pages(pages), ["company_name", "language", "country", "contacts", "people"]).collect():
+        if r["source"] not in skipped:
+            got.setdefault(r["page_id"], set()).add((r["field"], r["value"], r["confidence"], r["source"]))
+    assert got[1] == {
+        ("organisation.emails", "info@acme.com", 85, "json_ld"),
+        ("organisation.phone_numbers", "+6491234567", 85, "json_ld"),
+        ("identity.country", "AU", 90, "json_ld"),
+        ("identity.city", "Perth", 90, "json_ld"),
+        ("identity.city", "Hobart", 88, "json_ld"),
+        ("identity.country", "Australia", 75, "html_element"),
+        ("identity.city", "North Sydney", 75, "html_element"),
+        ("identity.country", "United States", 60, "html_element"),
+        ("identity.city", "Auckland", 60, "html_element"),
+    }
+    assert got[2] == {
+        ("identity.language", "de", 60, "meta_tag"),
+        ("identity.company_name", "Bee Co", 50, "html_element"),
+        ("identity.company_name", "About Bee", 50, "html_element"),
+        ("organisation.people", "Ann Lee", 68, "html_element"),
+        ("organisation.people", "Bo Ray", 68, "html_element"),
+    }
+    assert got[3] == {("identity.language", "fr", 60, "meta_tag")}
+
+
 def test_sitemaps(spark):
     body = b"<?xml version='1.0'?><urlset xmlns='http://x'><url><loc> https://a.co/1 </loc></url><url><loc>https://a.co/2</loc></url></urlset>"
     index = b"<sitemapindex><sitemap><loc>https://a.co/s.xml</loc></sitemap></sitemapindex>"
