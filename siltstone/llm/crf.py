@@ -8,9 +8,27 @@ filled in at once. With blocks of about the square root of the length, few Pytho
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 
 
+class Ragged:
+    """The features of tokens, as many of each as it has."""
+
+    def __init__(self, lists: list[list[int]]):
+        self.counts = np.fromiter(map(len, lists), np.int64, len(lists))
+        self.flat = np.fromiter(chain.from_iterable(lists), np.int32, int(self.counts.sum()))
+
+    def __len__(self) -> int:
+        return len(self.counts)
+
+    @property
+    def tokens(self) -> np.ndarray:
+        """The token of each feature in ``flat``."""
+        return np.repeat(np.arange(len(self)), self.counts)
+
+
 class Crf:
     """``weights[feature, label]``, ``trans[from, to]`` and ``start[label]``; labels are 0 to k-1."""
 
@@ -21,8 +39,11 @@ class Crf:
     def k(self) -> int:
         return len(self.start)
 
-    def scores(self, features: np.ndarray) -> np.ndarray:
-        """The labels' scores of each token: the sum of its features' weights (``features[token, slot]``)."""
+    def scores(self, features: np.ndarray | Ragged) -> np.ndarray:
+        """The labels' scores of each token: the sum of its features' weights (``features[token, slot]``, or ragged)."""
+        if isinstance(features, Ragged):
+            tokens = features.tokens
+            return np.stack([np.bincount(tokens, self.weights[features.flat, j], len(features)) for j in range(self.k)], axis=1)
         out = self.weights[features[:, 0]].astype(np.float64)
         for j in range(1, features.shape[1]):
             out += self.weights[features[:, j]]
@@ -125,11 +146,16 @@ class Crf:
         return labels.T.reshape(-1)[:n]
 
 
-def train(features: np.ndarray, labels: np.ndarray, first: np.ndarray, size: int, k: int = 2, rounds: int = 20, rate: float = 0.7, decay: float = 1e-4) -> Crf:
+def train(features: np.ndarray | Ragged, labels: np.ndarray, first: np.ndarray, size: int, k: int = 2, rounds: int = 20, rate: float = 0.7, decay: float = 1e-4) -> Crf:
     """Fit by AdaGrad on the whole likelihood; ``size`` is the number of features."""
     crf = Crf(np.zeros((size, k)), np.zeros((k, k)), np.zeros(k))
-    n, slots = features.shape
-    flat = features.T.ravel()
+    n = len(features)
+    if isinstance(features, Ragged):
+        flat, tokens = features.flat, features.tokens
+        spread = lambda g: g[tokens]
+    else:
+        flat, slots = features.T.ravel(), features.shape[1]
+        spread = lambda g: np.tile(g, slots)
     truth = np.eye(k)[labels]
     inner = np.flatnonzero(~first[1:])
     seen_pairs = np.bincount(labels[inner] * k + labels[inner + 1], minlength=k * k).reshape(k, k)
@@ -137,7 +163,7 @@ def train(features: np.ndarray, labels: np.ndarray, first: np.ndarray, size: int
     for _ in range(rounds):
         p, pairs = crf.marginals(crf.scores(features), first, pairs=True)
         gap = truth - p
-        grad = np.stack([np.bincount(flat, np.tile(gap[:, j], slots), size) for j in range(k)], axis=1)
+        grad = np.stack([np.bincount(flat, spread(gap[:, j]), size) for j in range(k)], axis=1)
         for x, g, s in ((crf.weights, grad, sums[0]), (crf.trans, seen_pairs - pairs, sums[1]), (crf.start, gap[first].sum(axis=0), sums[2])):
             g = g - decay * n / max(size, 1) * x
             s += g * g

@@ -17,21 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.crf import Crf, train
-from siltstone.llm.html_blocks import BITS, PAD, SLOTS, blocks
+from siltstone.llm.crf import Crf, Ragged, train
+from siltstone.llm.html_blocks import BITS, blocks
 from siltstone.llm.html_training import labelled_pages
 from siltstone.llm.textbytes import pieces
 
 _MARKS = ("\x01", "\x02")  # ends of labelled texts, while the training pages are split
 
 
-def _matrix(feats: list[list[int]]) -> np.ndarray:
-    out = np.full((len(feats), SLOTS), PAD, np.int32)
-    for i, f in enumerate(feats):
-        out[i, : len(f)] = f
-    return out
-
-
 def _firsts(counts: list[int]) -> np.ndarray:
     first = np.zeros(sum(counts), np.bool_)
     starts = np.cumsum([0, *counts[:-1]])[np.array(counts, np.int64) > 0] if counts else []
@@ -39,7 +32,7 @@ def _firsts(counts: list[int]) -> np.ndarray:
     return first
 
 
-def training_set(n: int = 900, seed: int = 11) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def training_set(n: int = 900, seed: int = 11) -> tuple[Ragged, np.ndarray, np.ndarray]:
     """(features, labels, first-of-page marks) of the blocks of the labelled pages."""
     feats, labels, counts = [], [], []
     for page in labelled_pages(n, seed):
@@ -52,7 +45,7 @@ def training_set(n: int = 900, seed: int = 11) -> tuple[np.ndarray, np.ndarray,
             labels.append(int(text.count(_MARKS[1]) > text.count(_MARKS[0])))
             feats.append(f)
         counts.append(len(got))
-    return _matrix(feats), np.array(labels), _firsts(counts)
+    return Ragged(feats), np.array(labels), _firsts(counts)
 
 
 @lru_cache(maxsize=1)
@@ -76,7 +69,7 @@ def extract(pages: DataFrame, html: str = "html", crf: Crf | None = None) -> Dat
         for b in pieces(batches, "__html"):
             found = [blocks(x.as_py() or "") for x in b.column(b.num_columns - 1)]
             counts = [len(x) for x in found]
-            feats = _matrix([f for x in found for _, f in x])
+            feats = Ragged([f for x in found for _, f in x])
             labels = crf.viterbi(crf.scores(feats), _firsts(counts)).tolist() if len(feats) else []
             texts, n, at = [], [], 0
             for x in found:

@@ -7,8 +7,6 @@ import re
 import zlib
 
 BITS = 16
-PAD = 0  # the feature of empty slots
-SLOTS = 40
 
 # Fixed values of the HTML standard: elements by how they treat text.
 RAW = frozenset("script style noscript template iframe noembed noframes xmp textarea title".split())
@@ -51,7 +49,7 @@ def _element(tag: str, attributes: str) -> tuple[int, ...]:
         words = dict.fromkeys(w for m in _ATTR.finditer(attributes) for w in _TOKEN.findall(html.unescape(m[2] or m[3] or m[4] or "").lower()))
         if len(_known) > 50_000:
             _known.clear()
-        got = _known[tag, attributes] = (_hash(f"in {tag}"), *(_hash(f"word {w}") for w in list(words)[:8]))
+        got = _known[tag, attributes] = (_hash(f"in {tag}"), *(_hash(f"word {w}") for w in words))
     return got
 
 
@@ -98,12 +96,12 @@ def blocks(page: str) -> list[tuple[str, list[int]]]:
                 block = next((t for t, _ in reversed(stack) if t not in INLINE), "body")
                 feats = _text_features(block, text, linked, before)
                 seen = set(feats)
-                for _, own in reversed(stack):
+                for _, own in reversed(stack):  # all ancestors, however deep
                     for f in own:
                         if f not in seen:
                             seen.add(f)
                             feats.append(f)
-                out.append((text, feats[:SLOTS]))
+                out.append((text, feats))
                 before = block
         linked = 0
 

@@ -429,6 +429,27 @@ def test_html_blocks():
     assert [t for t, _ in blocks("a < b")] == ["a < b"]
 
 
+def test_html_blocks_of_deep_pages():
+    from siltstone.llm.crf import Ragged
+    from siltstone.llm.extract import model
+    from siltstone.llm.html_blocks import _hash, blocks
+
+    depth = 12
+    wrappers = "".join(f"<div class='{' '.join(f'u{chr(97 + d)}{chr(97 + k)}' for k in range(11))}'>" for d in range(depth))
+    said = "<p>Some words, said by a reader of this page, and a few more of them.</p>"
+    deep = [f"<{tag} class='{kind}'>{wrappers}{said}{'</div>' * depth}</{tag.split()[0]}>" for tag, kind in (("article", "post"), ("section id='comments'", "comments"), ("footer", "site"))]
+    got = blocks("<html><body>" + "".join(deep) + "</body></html>")
+    assert len(got) == 3
+    words = {_hash(f"word u{chr(97 + d)}{chr(97 + k)}") for d in range(depth) for k in range(11)}
+    for (_, feats), own in zip(got, (("in article", "word post"), ("in section", "word comments"), ("in footer", "word site")), strict=True):
+        assert {_hash(x) for x in own} | words | {_hash("in body"), _hash("in html")} <= set(feats)
+        assert len(set(feats)) == len(feats)
+    # The scores are the sums of all features, whatever their number.
+    crf = model()
+    feats = [f for _, f in got] + [[1, 2], list(range(1, 300))]
+    assert np.allclose(crf.scores(Ragged(feats)), [crf.weights[f].sum(axis=0) for f in feats])
+
+
 def test_html_extraction(spark):
     from siltstone.llm.extract import extract, model, training_set
 
