@@ -6,7 +6,7 @@ score is the sum of its words' log probabilities. The piece probabilities are fi
 maximisation on at most ``per_language`` documents of each language.
 
 Words are runs of ASCII letters and non-ASCII bytes of the lower-cased text, each behind a word mark.
-A word longer than ``LONGEST`` bytes is scored in stretches of that length.
+Words of more than ``LONGEST`` bytes are summed by logarithms, over all of their segmentations too.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; a null key counts as an
 empty text where its CRC is taken; without labelled rows every text is ``und``; repeated rows get equal
@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.textbytes import Words, flat, lut, mix, pieces
 
-LONGEST = 48
+LONGEST = 48  # up to here plain probabilities do not underflow
+SEGMENT = 4096  # bytes of long words whose pieces are looked up at once
 FLOOR = 1e-6
 PER_LANGUAGE = 300
 ROUNDS = 4
@@ -46,7 +47,7 @@ class Vocabulary:
         normal = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         texts = {sp.id_to_piece(i).lower().replace("▁", " ").encode() for i in normal}
         texts |= {bytes((b,)) for b in range(256)}
-        self.pieces = sorted(t for t in texts if len(t) <= 16)
+        self.pieces = sorted(texts)
         self.n, self.longest = len(self.pieces), max(map(len, self.pieces))
         hashes = np.array([self._hash(t) for t in self.pieces], np.uint64)
         order = np.argsort(hashes)
@@ -83,7 +84,7 @@ class Vocabulary:
             who = live[maybe[hit]]
             found.append((word[who], offset[who], offset[who] + np.int32(size), self.ids[place[hit]]))
         w, a, b, p = (np.concatenate(x) if found else np.zeros(0, np.int64) for x in (zip(*found, strict=True) if found else ((), (), (), ())))
-        order = np.argsort(b.astype(np.int8), kind="stable")
+        order = np.argsort(b.astype(np.int16), kind="stable")
         return w[order], a[order], b[order], p[order]
 
 
@@ -110,15 +111,6 @@ def distinct_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return data, starts, size, inverse, w.bounds
 
 
-def stretches(starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words cut into stretches of at most LONGEST bytes: (starts, lengths, first stretch of each word)."""
-    n = (size + LONGEST - 1) // LONGEST
-    first = np.cumsum(n) - n
-    nth = np.arange(int(n.sum())) - np.repeat(first, n)
-    at = np.repeat(starts, n) + nth * LONGEST
-    return at, np.minimum(np.repeat(size, n) - nth * LONGEST, LONGEST), first
-
-
 def _forward(hits, lengths: np.ndarray, probs: np.ndarray) -> np.ndarray:
     """alpha[place, word, language]."""
     w, a, b, p = hits
@@ -135,15 +127,72 @@ def _forward(hits, lengths: np.ndarray, probs: np.ndarray) -> np.ndarray:
     return alpha
 
 
+def _hits_from(vocab: Vocabulary, data: np.ndarray, starts: np.ndarray, size: np.ndarray, lo: int):
+    """(word, to, piece) of the pieces from each place of [lo, lo + SEGMENT), and the bounds of the places."""
+    live = np.flatnonzero(size > lo)
+    w, a, b, q = vocab.matches(data, starts[live] + lo, np.minimum(size[live] - lo, SEGMENT + vocab.longest - 1))
+    order = np.argsort(a.astype(np.int16), kind="stable")
+    cuts = np.searchsorted(a[order], np.arange(SEGMENT + 1))
+    return live[w[order]], b[order].astype(np.int64) + lo, q[order], cuts
+
+
+def _long_forward(vocab: Vocabulary, data: np.ndarray, starts: np.ndarray, size: np.ndarray, logp: np.ndarray) -> np.ndarray:
+    """log alpha[place, word, language] of words of any length."""
+    most = int(size.max())
+    la = np.full((most + 1, len(size), logp.shape[1]), -np.inf)
+    la[0] = 0
+    for lo in range(0, most, SEGMENT):
+        w, to, q, cuts = _hits_from(vocab, data, starts, size, lo)
+        for k in range(min(SEGMENT, most - lo)):
+            x = slice(cuts[k], cuts[k + 1])  # of one word, pieces from one place end at different ones
+            la[to[x], w[x]] = np.logaddexp(la[to[x], w[x]], la[lo + k, w[x]] + logp[q[x]])
+    return la
+
+
+def _long_expected(vocab: Vocabulary, data: np.ndarray, starts: np.ndarray, size: np.ndarray, p: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The expected number of each piece in words of any length, in one language."""
+    logp, most, expected = np.log(p), int(size.max()), np.zeros(vocab.n)
+    la = _long_forward(vocab, data, starts, size, logp[:, None])[:, :, 0]
+    total = la[size, np.arange(len(size))]
+    lb = np.full_like(la, -np.inf)
+    lb[size, np.arange(len(size))] = 0
+    for lo in range((most - 1) // SEGMENT * SEGMENT, -1, -SEGMENT):
+        w, to, q, cuts = _hits_from(vocab, data, starts, size, lo)
+        share = np.zeros(len(q))
+        for k in range(min(SEGMENT, most - lo) - 1, -1, -1):
+            x = slice(cuts[k], cuts[k + 1])
+            part = lb[to[x], w[x]] + logp[q[x]]
+            np.logaddexp.at(lb[lo + k], w[x], part)
+            share[x] = np.exp(la[lo + k, w[x]] + part - total[w[x]]) * count[w[x]]
+        expected += np.bincount(q, share, vocab.n)
+    return expected
+
+
+def _long_blocks(size: np.ndarray) -> list[np.ndarray]:
+    """The words of more than LONGEST bytes, in blocks of like lengths."""
+    order = np.argsort(size, kind="stable")
+    order, out = order[size[order] > LONGEST], []
+    while len(order):
+        n = 1
+        while n < len(order) and (n + 1) * int(size[order[n]]) <= 1 << 20:
+            n += 1
+        out.append(order[:n])
+        order = order[n:]
+    return out
+
+
 def word_logs(vocab: Vocabulary, data: np.ndarray, starts: np.ndarray, size: np.ndarray, probs: np.ndarray, block: int = 20_000) -> np.ndarray:
     """Log probability of each word in each language."""
-    at, lengths, first = stretches(starts, size)
-    logs = np.empty((len(at), probs.shape[1]))
-    for i in range(0, len(at), block):
-        n = lengths[i : i + block]
-        alpha = _forward(vocab.matches(data, at[i : i + block], n), n, probs)
-        logs[i : i + block] = np.log(np.maximum(alpha[n, np.arange(len(n))], 1e-300))
-    return np.add.reduceat(logs, first) if len(first) else np.zeros((0, probs.shape[1]))
+    logs = np.empty((len(size), probs.shape[1]))
+    short = np.flatnonzero(size <= LONGEST)
+    for i in range(0, len(short), block):
+        at = short[i : i + block]
+        n = size[at]
+        alpha = _forward(vocab.matches(data, starts[at], n), n, probs)
+        logs[at] = np.log(np.maximum(alpha[n, np.arange(len(n))], 1e-300))
+    for at in _long_blocks(size):
+        logs[at] = _long_forward(vocab, data, starts[at], size[at], np.log(probs))[size[at], np.arange(len(at))]
+    return logs
 
 
 def fit(texts: list[str], labels: list[str], vocab: Vocabulary, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
@@ -152,9 +201,11 @@ def fit(texts: list[str], labels: list[str], vocab: Vocabulary, rounds: int = RO
     probs = np.empty((vocab.n, len(languages)))
     for k, language in enumerate(languages):
         data, starts, size, inverse, _ = distinct_words(pa.array([t for t, x in zip(texts, labels, strict=True) if x == language], pa.string()))
-        at, lengths, first = stretches(starts, size)
-        weight = np.repeat(np.bincount(inverse, minlength=len(starts)), np.diff(np.append(first, len(at)))).astype(float)
-        blocks = [(vocab.matches(data, at[i : i + 20_000], lengths[i : i + 20_000]), lengths[i : i + 20_000], weight[i : i + 20_000]) for i in range(0, len(at), 20_000)]
+        weight = np.bincount(inverse, minlength=len(starts)).astype(float)
+        short = np.flatnonzero(size <= LONGEST)
+        parts = [short[i : i + 20_000] for i in range(0, len(short), 20_000)]
+        blocks = [(vocab.matches(data, starts[x], size[x]), size[x], weight[x]) for x in parts]
+        long = _long_blocks(size)
         p = np.full(vocab.n, 1 / vocab.n)
         for _ in range(rounds):
             expected = np.full(vocab.n, 0.01)
@@ -172,6 +223,8 @@ def fit(texts: list[str], labels: list[str], vocab: Vocabulary, rounds: int = RO
                         beta[from_] += np.bincount(w[part], beta[b[part], w[part]] * p[q[part]], len(n))
                 total = np.maximum(alpha[n, np.arange(len(n))], 1e-300)
                 expected += np.bincount(q, alpha[a, w] * p[q] * beta[b, w] / total[w] * count[w], vocab.n)
+            for x in long:
+                expected += _long_expected(vocab, data, starts[x], size[x], p, weight[x])
             p = np.maximum(expected / expected.sum(), FLOOR)
             p /= p.sum()
         probs[:, k] = p

@@ -419,6 +419,44 @@ def test_language_forward_sums_all_segmentations():
         assert np.allclose(np.log(alpha[-1]), logs[i])
 
 
+def test_language_sums_words_of_any_length(monkeypatch):
+    """All pieces of the vocabulary, across any border: against brute force by logarithms, and words cut nowhere in the fit."""
+    import public_tokenizers as P
+    import sentencepiece
+
+    from siltstone.llm import langid
+
+    path = P.path("piece_bpe_32k.model")
+    vocab = langid.vocabulary(path)
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = {sp.id_to_piece(i).lower().replace("▁", " ").encode() for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))}
+    assert texts <= set(vocab.pieces) and vocab.longest == max(map(len, texts)) > 16
+    probs = np.random.default_rng(1).random((vocab.n, 2)) ** 4 + 1e-6
+    probs /= probs.sum(axis=0)
+    number = {p: i for i, p in enumerate(vocab.pieces)}
+    words = ["становништво", "является", "население" * 9, "日本語の文章は空白がなく長い" * 12, "the" * 40, "short"]
+    data, starts, size, _, _ = langid.distinct_words(pa.array([" ".join(words)]))
+    expected = []
+    for i, s in enumerate(starts):
+        word = bytes(data[s : s + size[i]])
+        alpha = np.full((len(word) + 1, 2), -np.inf)
+        alpha[0] = 0
+        for b in range(1, len(word) + 1):
+            for a in range(b):
+                if word[a:b] in number:
+                    alpha[b] = np.logaddexp(alpha[b], alpha[a] + np.log(probs[number[word[a:b]]]))
+        expected.append(alpha[-1])
+    for segment in (4096, 7, 100):
+        monkeypatch.setattr(langid, "SEGMENT", segment)
+        assert np.allclose(langid.word_logs(vocab, data, starts, size, probs), expected)
+    fits = []
+    for segment, longest in ((4096, 48), (7, 48), (4096, 10)):
+        monkeypatch.setattr(langid, "SEGMENT", segment)
+        monkeypatch.setattr(langid, "LONGEST", longest)
+        fits.append(langid.fit([" ".join(words)], ["x"], vocab)[1])
+    assert np.allclose(fits[0], fits[1]) and np.allclose(fits[0], fits[2])
+
+
 def test_html_blocks():
     from siltstone.llm.html_blocks import blocks
 
