@@ -278,6 +278,16 @@ def page_cleaned(spark, d):
     return _parsed(spark, d).select("page_id", F.sha2("cleaned", 256).alias("cleaned_sha256"), F.length("cleaned").alias("n_chars"))
 
 
+@query()
+def fallback_pages(spark, d):
+    """Rules that ask for a browser, over each page's own cleaned markup, whole text and challenge class (beyond SQL)."""
+    from siltstone.functions import text
+    from siltstone.sources.html_pages import parse_pages
+
+    pages = _t(spark, d, "pages").select("page_id", text.challenge(F.col("html")).isNotNull().alias("blocked"), "html")
+    return parse_pages(pages).select("page_id", F.array_join(text.fallback_rules(F.col("cleaned"), F.col("text"), F.col("blocked")), ",").alias("rule_ids"))
+
+
 @query("SELECT page_id, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang, len(regexp_extract_all(html, '<a '))::INT AS n_links, len(regexp_extract_all(html, '<script'))::INT AS n_scripts FROM pages")
 def page_metadata(spark, d):
     return _parsed(spark, d).select("page_id", "lang", "n_links", "n_scripts")
