@@ -2,22 +2,41 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a new temporary one only where that is unset."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset, a new temporary one, for local masters only."""
     base = spark.conf.get("spark.checkpoint.dir", "")
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='siltstone-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+@contextmanager
+def _shuffles_end_with_the_query(spark: SparkSession):
+    """A written table needs its shuffles no more: Spark deletes their files when the write ends."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -25,23 +44,31 @@ def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/siltstone/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with _shuffles_end_with_the_query(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._siltstone_path = path
+    return out
 
 
-def drop(df: DataFrame) -> None:
-    """Delete a table that ``materialize`` wrote and nothing reads any more; free the shuffles behind it."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        if f"/siltstone/{spark.sparkContext.applicationId}/" in str(path):
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def measured(df: DataFrame, label: str, *measures: Column) -> tuple[DataFrame, dict]:
+    """``materialize``, and what aggregates of the rows (aliased columns) came to while they were written."""
+    seen = Observation()
+    out = materialize(df.observe(seen, *measures), label)
+    return out, seen.get
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` returned and nothing reads any more."""
+    for df in tables:
+        _delete(df.sparkSession, df._siltstone_path)
 
 
 def release(spark: SparkSession) -> None:
     """Delete every intermediate table that this application wrote."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/siltstone/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{shared_dir(spark)}/siltstone/{spark.sparkContext.applicationId}")
