@@ -7,16 +7,19 @@
    to the others become candidates (a star), so a bucket of n classes makes n - 1 pairs.
 4. Candidates whose set sizes allow it are confirmed on their full shingle sets.
 5. A bucket whose classes still fall into several components may hide a link between two classes that
-   are not its centre. Such buckets make further stars, from centres drawn anew, as long as that finds
-   links. Of the classes that are then left, all pairs of a bucket across components are candidates whose
-   shingles can suffice, judged by counts of the shingles that other components have, in ``STRETCHES``
-   stretches of hashes. The counts bound what two sets share, so this leaves no link out.
+   are not its centre. Of its classes only those stay that can have such a link at all: enough of their
+   shingles must occur in other components. Counts of these shingles in ``STRETCHES`` stretches of hashes
+   bound what two sets share. Such buckets make further stars, from ``DRAWS`` centres drawn anew in each
+   turn, as long as those find links; each turn's links contract the components to their roots. What is
+   then left of a bucket is compared across components where the bound allows a link, which leaves no
+   link out.
 6. Components of the confirmed links, as the least document id in them.
 
 ``BANDS`` bands of ``ROWS`` bins miss a pair at the threshold with a chance of about 6 in 100,000.
 
 Defined cases: a text with fewer words than a shingle is one shingle; without words, or null, it has no
-shingles and is linked with nothing; rows that share an id are linked by their own texts; a null id is
+shingles and is linked with nothing; very long texts are hashed whole, in slices of their own; equal texts
+are one class, whatever their number; rows that share an id are linked by their own texts; a null id is
 never the least; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -31,11 +34,12 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.components import connected_components
 from siltstone.llm.textbytes import Words, list_array, lut, mix, pieces
-from siltstone.storage import materialize
+from siltstone.storage import drop, materialize
 
 BANDS, ROWS = 54, 6
 BINS = BANDS * ROWS
 STRETCHES = 128
+DRAWS = 3  # centres of a bucket in each further turn
 _U = np.uint64
 IS_WORD = lut(lambda b: b != 0x20 and not 0x09 <= b <= 0x0D)
 
@@ -122,34 +126,38 @@ def _fits(a: str, b: str, percent: int) -> F.Column:
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose full shingle sets are similar enough; ``texts`` has (cls, text)."""
+    """The pairs of classes whose full shingle sets are similar enough. Written to the shared folder.
+
+    ``pairs`` has the classes a and b and their roots root_a and root_b, ``texts`` has (cls, text).
+    """
     left = texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
+    both = pairs.select("a", "b", "root_a", "root_b").join(right, "b").join(left, "a").select("a", "root_a", "root_b", "text_a", "text_b")
 
     def run(batches):
         held: list = [None, None]
         for b in pieces(batches, "text_b"):
-            sets = shingle_sets(Words(b.column(3), IS_WORD), size)
+            sets = shingle_sets(Words(b.column(4), IS_WORD), size)
             good = []
             for i, s in enumerate(sets):
                 c = b.column(0)[i].as_py()
                 if held[0] != c:
-                    held[:] = c, shingle_sets(Words(b.column(2).slice(i, 1), IS_WORD), size)[0]
+                    held[:] = c, shingle_sets(Words(b.column(3).slice(i, 1), IS_WORD), size)[0]
                 t = held[1]
                 small, big = (s, t) if len(s) < len(t) else (t, s)
                 at = np.minimum(np.searchsorted(big, small), max(len(big) - 1, 0))
                 shared = int((big[at] == small).sum()) if len(big) else 0
                 good.append(shared * 100 >= percent * (len(s) + len(t) - shared))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2)], ["root_a", "root_b"]).filter(pa.array(good, pa.bool_()))
 
-    return materialize(both.mapInArrow(run, "a binary, b binary"), "links")
+    return materialize(both.mapInArrow(run, "root_a binary, root_b binary"), "links")
 
 
 def shared_histograms(members: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """(cls, shared): for each stretch of hashes, how many shingles of the class some class of another component has.
 
-    ``members`` has (cls, root). Two sets share no more than the sum of the lesser counts.
+    ``members`` has (cls, root). Two sets share no more than the sum of the lesser counts, and no more
+    than either sum: a class that lacks the sum it needs is linked with nothing outside its component.
     """
 
     def run(batches):
@@ -161,9 +169,63 @@ def shared_histograms(members: DataFrame, texts: DataFrame, size: int) -> DataFr
     rows = materialize(texts.mapInArrow(run, "cls binary, shingle long").join(members, "cls"), "shingles")
     open_ = rows.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("shingle")
     live = rows.join(open_, "shingle").groupBy("cls", F.pmod("shingle", F.lit(STRETCHES)).cast("int").alias("r")).agg(F.count("*").cast("int").alias("k"))
-    return live.groupBy("cls").agg(F.map_from_entries(F.collect_list(F.struct("r", "k"))).alias("m")).select(
+    counts = live.groupBy("cls").agg(F.map_from_entries(F.collect_list(F.struct("r", "k"))).alias("m")).select(
         "cls", F.transform(F.sequence(F.lit(0), F.lit(STRETCHES - 1)), lambda r: F.coalesce(F.col("m")[r], F.lit(0)).cast("short")).alias("shared")
     )
+    out = materialize(counts, "shared")
+    drop(rows)
+    return out
+
+
+class _Open:
+    """The buckets whose classes fall into several components: (bucket, cls, n, root, shared)."""
+
+    def __init__(self, rows: DataFrame):
+        """``rows`` has all buckets; those of one component are left out."""
+        several = rows.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
+        self.rows = materialize(rows.join(several, "bucket", "left_semi"), "open")
+
+    def contract(self, roots: DataFrame) -> _Open:
+        """The same after components have grown; ``roots`` has (node, root) of the old roots that changed."""
+        old = self.rows
+        renamed = old.withColumnRenamed("root", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        new = _Open(renamed.select(*old.columns))
+        drop(old)
+        return new
+
+    def pairs(self, other: DataFrame, percent: int) -> DataFrame:
+        """(a, b, root_a, root_b), once each: members with ``other`` (bucket, a, n_a, root_a, shared_a), where they may be similar enough."""
+        most = F.aggregate(F.zip_with("shared", "shared_a", lambda x, y: F.least(x, y).cast("int")), F.lit(0), lambda t, x: t + x)
+        near = most * (100 + percent) >= (F.col("n") + F.col("n_a")) * percent
+        found = self.rows.join(other, "bucket").where((F.col("root") != F.col("root_a")) & _fits("n", "n_a", percent) & near)
+        one, two = F.struct(F.col("a"), F.col("root_a").alias("r")), F.struct(F.col("cls").alias("a"), F.col("root").alias("r"))
+        found = found.select(F.least(one, two).alias("x"), F.greatest(one, two).alias("y")).distinct()
+        return found.select(F.col("x.a").alias("a"), F.col("y.a").alias("b"), F.col("x.r").alias("root_a"), F.col("y.r").alias("root_b"))
+
+    def stars(self, turn: int, percent: int) -> DataFrame:
+        """Pairs of each bucket's classes with ``DRAWS`` centres of it, drawn anew in each turn."""
+        fields = F.struct(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"), F.col("shared").alias("shared_a"))
+        drawn = [F.min_by(fields, F.xxhash64(F.lit(turn * DRAWS + k), "bucket", "cls")) for k in range(DRAWS)]
+        centres = self.rows.groupBy("bucket").agg(F.array(*drawn).alias("c")).select("bucket", F.explode(F.array_distinct("c")).alias("c")).select("bucket", "c.*")
+        return self.pairs(centres, percent)
+
+    def rest(self, percent: int) -> DataFrame:
+        """All pairs across components that the counts do not rule out."""
+        other = self.rows.select("bucket", F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"), F.col("shared").alias("shared_a"))
+        return self.pairs(other, percent)
+
+
+def _grow(roots: list[DataFrame], pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> bool:
+    """Confirm pairs and contract the components that they link; False if there are none."""
+    tried = materialize(pairs, "stars")
+    links = confirm(tried, texts, size, percent)
+    found = connected_components(links, "root_a", "root_b")
+    drop(tried, links)
+    if found.isEmpty():
+        drop(found)
+        return False
+    roots.append(found)
+    return True
 
 
 def link(docs: DataFrame, size: int = 5, percent: int = 75, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -175,41 +237,38 @@ def link(docs: DataFrame, size: int = 5, percent: int = 75, key: str = "doc_id",
     centres = members.groupBy("bucket").agg(F.min(F.struct("cls", "n")).alias("centre"), F.count("*").alias("k")).where("k > 1").select("bucket", F.col("centre.cls").alias("a"), F.col("centre.n").alias("n_a"))
     # Buckets of one class are done with; the rest are looked at twice.
     crowded = materialize(members.join(centres, "bucket"), "buckets")
-    texts = docs.select(F.col(key).alias("rep"), F.col(text).alias("text"))
     wanted = classes.join(crowded.select("cls").distinct(), "cls", "left_semi").select("cls", "rep")
+    texts = docs.select(F.col(key).alias("rep"), F.col(text).alias("text"))
     texts = _own_text(texts.join(wanted, texts["rep"].eqNullSafe(wanted["rep"])).select("cls", "text"), size)
-    stars = materialize(crowded.where((F.col("cls") != F.col("a")) & _fits("n", "n_a", percent)).select("a", F.col("cls").alias("b")).distinct(), "stars")
-    links = confirm(stars, texts, size, percent)
+    stars = crowded.where((F.col("cls") != F.col("a")) & _fits("n", "n_a", percent)).select("a", F.col("cls").alias("b"), F.col("a").alias("root_a"), F.col("cls").alias("root_b"))
+    roots: list[DataFrame] = []
+    _grow(roots, stars.distinct(), texts, size, percent)
+    named = crowded.select("bucket", "cls", "n").withColumn("root", F.col("cls"))
+    if roots:
+        named = named.drop("root").join(roots[0], F.col("cls") == F.col("node"), "left").select("bucket", "cls", "n", F.coalesce("root", "cls").alias("root"))
+    several = _Open(named)
+    drop(crowded)
+    owners = materialize(several.rows.select("cls", "root").distinct(), "owners")
+    shared = shared_histograms(owners, texts.join(owners, "cls", "left_semi"), size)
+    enough = F.aggregate("shared", F.lit(0), lambda t, x: t + x) * 100 >= F.col("n") * percent
+    open_ = _Open(several.rows.join(shared, "cls").where(enough).select("bucket", "cls", "n", "root", "shared"))
+    drop(several.rows, owners, shared)
     turn = 0
     while True:
-        roots = connected_components(links)
-        named = crowded.select("bucket", "cls", "n").join(roots, F.col("cls") == F.col("node"), "left").select("bucket", "cls", "n", F.coalesce("root", "cls").alias("root"))
-        open_ = named.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
-        crowded = materialize(named.join(open_, "bucket", "left_semi"), "open")
-        # Another star, from a centre that is drawn anew; as long as that finds links, components shrink in number.
         turn += 1
-        drawn = crowded.groupBy("bucket").agg(F.min_by(F.struct(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a")), F.xxhash64(F.lit(turn), "bucket", "cls")).alias("c")).select("bucket", "c.*")
-        pairs = crowded.join(drawn, "bucket").where((F.col("root") != F.col("root_a")) & _fits("n", "n_a", percent))
-        pairs = pairs.select(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b")).distinct()
-        more = confirm(materialize(pairs, "stars"), texts, size, percent)
-        if not more.limit(1).count():
+        if not _grow(roots, open_.stars(turn, percent), texts, size, percent):
             break
-        links = links.unionByName(more)
-    members = crowded.select("cls", "root").distinct()
-    shared = shared_histograms(members, texts.join(members.select("cls"), "cls", "left_semi"), size)
-    here = materialize(crowded.select("bucket", "cls", "n", "root").join(shared, "cls"), "across")
-    other = here.select("bucket", F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"), F.col("shared").alias("shared_a"))
-    most = F.aggregate(F.zip_with("shared", "shared_a", lambda x, y: F.least(x, y).cast("int")), F.lit(0), lambda t, x: t + x)
-    near = most * (100 + percent) >= (F.col("n") + F.col("n_a")) * percent
-    across = here.join(other, "bucket").where((F.col("a") < F.col("cls")) & (F.col("root") != F.col("root_a")) & _fits("n", "n_a", percent) & near)
-    more = confirm(materialize(across.select("a", F.col("cls").alias("b")).distinct(), "across"), texts, size, percent)
-    if more.limit(1).count():
-        roots = connected_components(links.unionByName(more))
-    roots = materialize(roots, "roots")
-    least = classes.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
+        open_ = open_.contract(roots[-1])
+    _grow(roots, open_.rest(percent), texts, size, percent)
+    drop(open_.rows, texts)
+    least = classes.select("cls", "rep", F.col("cls").alias("root"))
+    for grown in roots:
+        least = least.join(grown.withColumnRenamed("root", "next"), F.col("root") == F.col("node"), "left").select("cls", "rep", F.coalesce("next", "root").alias("root"))
     least = materialize(least, "least")
+    drop(classes, *roots)
     ids = least.groupBy("root").agg(F.min("rep").alias("component"))
-    component = least.join(ids, "root").select("cls", "component")
+    component = materialize(least.join(ids, "root").select("cls", "component"), "component")
+    drop(least)
     out = sig.select("id", "n", "cls").join(component, "cls", "left")
     component_id = F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component"))
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component_id.alias("component_id"), F.col("id").eqNullSafe(component_id).alias("kept"))
