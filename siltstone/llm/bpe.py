@@ -13,12 +13,12 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.llm.resident import enter, resident
 from siltstone.llm.textbytes import pieces
 
 STATES = 100_000
@@ -298,9 +298,7 @@ class Codec:
         return ids, ",".join(said)
 
 
-@lru_cache(maxsize=2)
-def codec(path: str, pattern: str) -> Codec:
-    """One for each worker process, whatever the number of its tasks."""
+def _codec(path: str, pattern: str) -> Codec:
     return Codec(load_ranks(path), pattern)
 
 
@@ -320,7 +318,8 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str, text: str = "text",
         schema = schema.add(name, kind)
 
     def run(batches):
-        c = codec(ranks, pattern)
+        enter("byte_bpe")
+        c = resident(_codec, ranks, pattern)
         sha = hashlib.sha256
         for b in pieces(batches, "__text", 1 << 21):
             n, digest, back, back_digest, lists = [], [], [], [], []

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.llm.resident import enter
 from siltstone.llm.textbytes import Words, list_array, lut, pieces
 from siltstone.storage import materialize
 
@@ -51,6 +52,7 @@ def item_terms(items: DataFrame, key: str = "item_id", text: str = "text") -> Da
     """(id, uid, n_words, terms) of every item."""
 
     def run(batches):
+        enter("decontamination")
         for b in pieces(batches, "text"):
             w = Words(b.column(2), IS_WORD)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(w.counts.astype(np.int64)), list_array(w.hashes.view(np.int64), w.counts, pa.int64())], ["id", "uid", "n_words", "terms"])
@@ -101,6 +103,7 @@ def build_index(docs: DataFrame, terms: DataFrame, size: int = 13, key: str = "d
     short_bits = spark.sparkContext.broadcast(_bitmap(short)) if least else None
 
     def run(batches):
+        enter("decontamination")
         maps = [(np.frombuffer(long_bits.value, np.uint8), size)] + ([(np.frombuffer(short_bits.value, np.uint8), int(least))] if least else [])
         for b in pieces(batches, "text"):
             w = Words(b.column(2), IS_WORD)

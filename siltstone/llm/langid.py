@@ -15,14 +15,13 @@ results; among languages of equal score the first by name is taken; other column
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.llm.resident import enter, resident
 from siltstone.llm.textbytes import Words, flat, lut, mix, pieces
 
 LONGEST = 48  # up to here plain probabilities do not underflow
@@ -88,10 +87,9 @@ class Vocabulary:
         return w[order], a[order], b[order], p[order]
 
 
-@lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
-    """One for each worker process."""
-    return Vocabulary(path)
+    """One for each process."""
+    return resident(Vocabulary, path)
 
 
 def distinct_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -255,6 +253,7 @@ def classify(docs: DataFrame, model: tuple[list[str], np.ndarray], vocab_path: s
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
+        enter("language_id")
         vocab = vocabulary(vocab_path)
         for b in pieces(batches, "text", 2 << 20):
             column = b.column(1)

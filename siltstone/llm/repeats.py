@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.llm.resident import enter
 from siltstone.llm.suffixes import Hashes, common_prefixes, suffix_array
 from siltstone.llm.textbytes import flat, mix, pieces
 from siltstone.storage import drop, materialize
@@ -91,6 +92,7 @@ def _spans(docs: DataFrame) -> DataFrame:
     """(h, digest, ord, at): at holds the first start and the number of starts."""
 
     def run(batches):
+        enter("repeated_strings")
         for b in pieces(batches, "text"):
             s = Spans(b.column(1))
             local = s.start - s.offsets[s.row]
@@ -105,6 +107,7 @@ def _anchors(docs: DataFrame) -> DataFrame:
     """The anchor hash of every span."""
 
     def run(batches):
+        enter("repeated_strings")
         for b in pieces(batches, "text"):
             yield pa.RecordBatch.from_arrays([pa.array(Spans(b.column(0)).anchor.view(np.int64))], ["h"])
 
@@ -121,6 +124,7 @@ def _cut_out(found: DataFrame, shards: int) -> DataFrame:
     """(shard, ord, at, body) of the spans asked for."""
 
     def run(batches):
+        enter("repeated_strings")
         for b in pieces(batches, "text"):
             buf, offsets = flat(b.column(1))
             lists = b.column(2)
@@ -184,6 +188,7 @@ def _by_digest(found: DataFrame) -> DataFrame:
     """Repeats among the strings of crowded anchors."""
 
     def run(batches):
+        enter("repeated_strings")
         for b in pieces(batches, "text"):
             buf, offsets = flat(b.column(1))
             lists = b.column(2)
@@ -257,6 +262,7 @@ def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     schema = T.StructType([docs.schema[c] for c in kept]).add("n_bytes", T.LongType()).add("n_removed", T.LongType()).add("n_spans", T.LongType()).add("kept_bytes", T.BinaryType()).add("kept_text", T.StringType())
 
     def run(batches):
+        enter("repeated_strings")
         for b in pieces(batches, "__body"):
             n, removed, spans, bodies = [], [], [], []
             for body, cuts in zip(b.column(len(kept)), b.column(len(kept) + 1), strict=True):

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from siltstone.llm.resident import cleaned
+
 _U = np.uint64
 WIDEST = 4096  # alphabets up to this size are sorted by buckets
 
@@ -144,7 +146,7 @@ class Hashes:
     @classmethod
     def _powers(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
         if not cls._KEPT or len(cls._KEPT[0]) < n:
-            cls._KEPT = []
+            cls._KEPT.clear()
             for base in (cls._BASE, pow(cls._BASE, -1, 2**64)):
                 x = np.full(max(n, 1 << 16), base, _U)
                 x[0] = 1
@@ -165,6 +167,9 @@ class Hashes:
         return (self.sums[np.minimum(start + length, len(self.sums) - 1)] - self.sums[start]) * self.down[start]
 
 
+cleaned(Hashes._KEPT.clear)
+
+
 def common_prefixes(t: np.ndarray, sa: np.ndarray, most: int, exact: bool = True) -> np.ndarray:
     """For each place of the string: the length, up to ``most``, that its suffix shares with the one before it in the array.
 

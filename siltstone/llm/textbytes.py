@@ -7,10 +7,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from siltstone.llm.resident import cleaned
+
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _LUT = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _POWERS: list[np.ndarray] = []
+cleaned(_POWERS.clear)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,18 +79,7 @@ class Words:
     def __init__(self, column: pa.Array, is_word: np.ndarray, fold: bool = True):
         buf, offsets = flat(column)
         self.n_rows = len(offsets) - 1
-        w = np.empty(len(buf) + 1, np.bool_)
-        w[:-1] = is_word[buf]
-        w[-1] = False
-        first = w.copy()
-        first[1:] &= ~w[:-1]
-        cuts = offsets[1:-1]
-        inner = cuts[cuts < len(buf)]
-        first[inner] = w[inner]
-        after = np.empty_like(w)  # the byte after the word's last
-        after[0] = False
-        after[1:] = w[:-1] & (~w[1:] | first[1:])
-        self.starts, self.ends = np.flatnonzero(first[:-1]), np.flatnonzero(after)
+        self.starts, self.ends = self._edges(buf, offsets, is_word)
         self.counts = np.diff(np.searchsorted(self.starts, offsets))
         self.bounds = np.concatenate([[0], np.cumsum(self.counts)])
         lut = _LUT
@@ -100,6 +92,22 @@ class Words:
         self._sums, self.buf = sums, buf
         self.hashes = self._hash(self.starts, self.ends)
 
+    @staticmethod
+    def _edges(buf: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the words start and end."""
+        w = np.empty(len(buf) + 1, np.bool_)
+        w[:-1] = is_word[buf]
+        w[-1] = False
+        first = w.copy()
+        first[1:] &= ~w[:-1]
+        cuts = offsets[1:-1]
+        inner = cuts[cuts < len(buf)]
+        first[inner] = w[inner]
+        after = np.empty_like(w)  # the byte after the word's last
+        after[0] = False
+        after[1:] = w[:-1] & (~w[1:] | first[1:])
+        return np.flatnonzero(first[:-1]), np.flatnonzero(after)
+
     def _hash(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return mix((self._sums[b] - self._sums[a]) * self._inverse[a] + (b - a).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
 

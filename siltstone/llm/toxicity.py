@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.crf import Crf, train
+from siltstone.llm.resident import enter
 from siltstone.llm.textbytes import Words, lut, mix, pieces
 
 PER_CLASS = 600
@@ -191,6 +192,7 @@ def tag(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "
         schema = schema.add("tox_spans", T.ArrayType(T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType())))
 
     def run(batches):
+        enter("toxicity")
         m = sent.value
         for b in pieces(batches, "__text", 2 << 20):
             words = Words(b.column(b.num_columns - 1), IS_LETTER)
