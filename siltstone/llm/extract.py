@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from siltstone.llm.crf import Crf, Ragged, train
 from siltstone.llm.html_blocks import BITS, blocks
 from siltstone.llm.html_training import labelled_pages
+from siltstone.llm.resident import enter
 from siltstone.llm.textbytes import pieces
 
 _MARKS = ("\x01", "\x02")  # ends of labelled texts, while the training pages are split
@@ -65,6 +66,7 @@ def extract(pages: DataFrame, html: str = "html", crf: Crf | None = None) -> Dat
     schema = T.StructType([pages.schema[c] for c in kept]).add("main_text", T.StringType()).add("n_blocks", T.IntegerType())
 
     def run(batches):
+        enter("html_extraction")
         crf = sent.value
         for b in pieces(batches, "__html"):
             found = [blocks(x.as_py() or "") for x in b.column(b.num_columns - 1)]

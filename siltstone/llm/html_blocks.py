@@ -5,6 +5,9 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
+
+from siltstone.llm.resident import cleaned
 
 BITS = 16
 
@@ -29,8 +32,8 @@ SAME = {
     "tfoot": ({"tbody", "thead", "tfoot"}, {"table"}),
 }
 
-_TAG = re.compile(r"<!--(?:>|->)?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>")
-_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+_OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_SPECIAL = re.compile("[>\"']")
 _ATTR = re.compile(r"(?:^|[\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _TOKEN = re.compile(r"[a-z]+")
 
@@ -40,6 +43,7 @@ def _hash(name: str) -> int:
 
 
 _known: dict[tuple[str, str], tuple[int, ...]] = {}
+cleaned(_known.clear)
 
 
 def _element(tag: str, attributes: str) -> tuple[int, ...]:
@@ -49,7 +53,9 @@ def _element(tag: str, attributes: str) -> tuple[int, ...]:
         words = dict.fromkeys(w for m in _ATTR.finditer(attributes) for w in _TOKEN.findall(html.unescape(m[2] or m[3] or m[4] or "").lower()))
         if len(_known) > 50_000:
             _known.clear()
-        got = _known[tag, attributes] = (_hash(f"in {tag}"), *(_hash(f"word {w}") for w in words))
+        got = (_hash(f"in {tag}"), *(_hash(f"word {w}") for w in words))
+        if len(attributes) < 500:
+            _known[tag, attributes] = got
     return got
 
 
@@ -75,17 +81,52 @@ def _text_features(tag: str, text: str, linked: int, before: str) -> list[int]:
     return [_hash(x) for x in out]
 
 
+class _Ends:
+    """Where tags of a page end: at the first ``>`` outside quotes. Each quote is looked at once, whatever the page."""
+
+    def __init__(self, page: str):
+        self.page, self.known, self.last = page, {}, page.rfind(">")
+
+    def of(self, at: int) -> int:
+        """The end of the tag whose attributes begin here; where its quotes do not close, the next ``>``."""
+        page, i, passed = self.page, at, []
+        while True:
+            m = _SPECIAL.search(page, i)
+            end = -1
+            if m is None:
+                break
+            s = m.start()
+            if s in self.known:
+                end = self.known[s]
+                break
+            passed.append(s)
+            if page[s] == ">":
+                end = s
+                break
+            close = page.find(page[s], s + 1)
+            if close < 0:
+                break
+            i = close + 1
+        for s in passed:
+            self.known[s] = end
+        return end if end >= 0 else page.find(">", at)
+
+
 def blocks(page: str) -> list[tuple[str, list[int]]]:
     """(text, features) of the leaf blocks of a page, in order.
 
     A block is the text between two borders of block elements. White space in it, line breaks
     included, is one space. Unclosed and stray tags are taken as browsers do, as far as text goes.
+    The time is linear in the page, but for the features of each block.
     """
     out: list[tuple[str, list[int]]] = []
     stack: list[tuple[str, tuple[int, ...]]] = []
+    holders: list[str] = []  # the elements of the stack that are not inline
+    open_: Counter[str] = Counter()  # how often each tag is on the stack
+    inside: dict[int, int] = {}  # features of all ancestors, however deep, and how often
     parts: list[str] = []
-    linked, links, unseen, before = 0, 0, 0, "start"
-    at, n = 0, len(page)
+    linked, unseen, before = 0, 0, "start"
+    at, n, ends = 0, len(page), _Ends(page)
 
     def flush():
         nonlocal linked, before
@@ -93,25 +134,38 @@ def blocks(page: str) -> list[tuple[str, list[int]]]:
             text = " ".join(html.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                block = next((t for t, _ in reversed(stack) if t not in INLINE), "body")
-                feats = _text_features(block, text, linked, before)
-                seen = set(feats)
-                for _, own in reversed(stack):  # all ancestors, however deep
-                    for f in own:
-                        if f not in seen:
-                            seen.add(f)
-                            feats.append(f)
-                out.append((text, feats))
+                block = holders[-1] if holders else "body"
+                feats = dict.fromkeys(_text_features(block, text, linked, before))
+                out.append((text, list(feats | dict.fromkeys(inside))))
                 before = block
         linked = 0
 
+    def push(tag: str, own: tuple[int, ...]) -> None:
+        nonlocal unseen
+        stack.append((tag, own))
+        open_[tag] += 1
+        unseen += tag in UNSEEN
+        if tag not in INLINE:
+            holders.append(tag)
+        for f in own:
+            inside[f] = inside.get(f, 0) + 1
+
     def pop():
-        nonlocal links, unseen
-        tag, _ = stack.pop()
-        links -= tag == "a"
+        nonlocal unseen
+        tag, own = stack.pop()
+        open_[tag] -= 1
         unseen -= tag in UNSEEN
+        if tag not in INLINE:
+            holders.pop()
+        for f in own:
+            if inside[f] == 1:
+                del inside[f]
+            else:
+                inside[f] -= 1
 
     def close(names, bounds) -> None:
+        if not any(open_[t] for t in names):
+            return
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] in names:
                 if any(t not in INLINE for t, _ in stack[i:]):
@@ -126,43 +180,38 @@ def blocks(page: str) -> list[tuple[str, list[int]]]:
         nonlocal linked
         if text and not unseen:
             parts.append(text)
-            if links:
+            if open_["a"]:
                 linked += len(text)
 
     while at < n:
-        m = _TAG.search(page, at)
         lt = page.find("<", at)
-        if m is None or lt < m.start():
-            # A tag whose quotes do not close, or a plain sign.
-            loose = _LOOSE.match(page, lt) if lt >= 0 else None
-            if loose is None:
-                if lt < 0:
-                    add(page[at:])
-                    break
-                if m is None and re.match(r"<[a-zA-Z/!?]", page[lt : lt + 2]) and ">" not in page[lt:]:
-                    add(page[at:lt])  # the page ends inside a tag
-                    break
-                add(page[at : lt + 1])
-                at = lt + 1
-                continue
-            m = loose
-        add(page[at : m.start()])
-        at = m.end()
-        if m[0].startswith("<!--"):
-            if m[0] in ("<!-->", "<!--->"):
-                continue
-            end = page.find("-->", m.start() + 4)
-            at = n if end < 0 else end + 3
+        if lt < 0:
+            add(page[at:])
+            break
+        m = _OPEN.match(page, lt)
+        if m is None and page[lt + 1 : lt + 2] not in ("!", "?", "/"):
+            add(page[at : lt + 1])  # a plain sign
+            at = lt + 1
             continue
-        if m.lastindex is None or m[2] is None:
+        add(page[at:lt])
+        if page.startswith("<!--", lt):
+            short = next((len(x) for x in ("<!-->", "<!--->") if page.startswith(x, lt)), 0)
+            end = page.find("-->", lt + 4)
+            at = lt + short if short else n if end < 0 else end + 3
             continue
-        tag = m[2].lower()
+        if lt > ends.last:
+            break  # the page ends inside a tag
+        if m is None:
+            at = page.find(">", lt) + 1
+            continue
+        end = ends.of(m.end())
+        tag, attributes, at = m[2].lower(), page[m.end() : end], end + 1
         if m[1]:
-            if tag == "p" and not any(t == "p" for t, _ in stack):
+            if tag == "p" and not open_["p"]:
                 flush()
             elif tag == "br":
                 add(" ")
-            elif any(t == tag for t, _ in stack):
+            else:
                 close({tag}, () if tag not in INLINE else CLOSES_P - {"p"} | {"td", "th", "li", "body"})
             continue
         if tag == "br" or tag == "wbr":
@@ -173,17 +222,15 @@ def blocks(page: str) -> list[tuple[str, list[int]]]:
             close({"p"}, {"button", "td", "th", "table", "caption", "object", "div", "article", "section", "li"})
         if tag == "body" or tag == "html":
             close({"head"}, ())
-            if any(t == tag for t, _ in stack):
+            if open_[tag]:
                 continue
         if tag in SAME:
             close(*SAME[tag])
         if tag not in INLINE:
             flush()
-        if tag in VOID or m[3].endswith("/") and tag in ("svg", "path", "circle", "use"):
+        if tag in VOID or attributes.endswith("/") and tag in ("svg", "path", "circle", "use"):
             continue
-        stack.append((tag, _element(tag, m[3])))
-        links += tag == "a"
-        unseen += tag in UNSEEN
+        push(tag, _element(tag, attributes))
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>]|$)", re.I).search(page, at)
             at = n if end is None else end.start()
