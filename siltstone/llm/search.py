@@ -1,34 +1,39 @@
 """Exact BM25 top-k search with block-max dynamic pruning, per shard, merged with global statistics.
 
-Every document is hashed to a shard of about ``SHARD_DOCS`` documents. A shard's inverted index keeps,
-for each term, its postings in blocks of ``BLOCK`` neighbouring documents and each block's greatest
-impact. A query first adds up these maxima, which bounds every document of a block from above; blocks
-are then scored from the highest bound down, and scoring ends when the k-th best score so far is above
-all bounds that are left. Inverse document frequencies and the average length are those of the whole
-corpus, so the shards' best k merge into the exact best k.
-
-Queries are split into blocks as well; each block meets each shard once. No table is broadcast.
-
-Defined cases: a null or wordless text matches nothing, and as a query finds nothing; equal scores
-(to six decimals) are ordered by key; repeated rows are separate rows; an empty table finds nothing;
-other columns are ignored.
+Every document is hashed to a shard of about ``SHARD_DOCS`` documents. A shard's inverted index is built
+once and stored as a row of a Parquet table: for each term its postings, in blocks of ``BLOCK``
+neighbouring documents, and each block's greatest impact. A query first adds up these maxima, which bounds
+every document of a block from above; blocks are then scored from the highest bound down, and scoring ends
+when the k-th best score so far is above all bounds that are left. Inverse document frequencies and the
+average length are those of the whole corpus, so the shards' best k merge into the exact best k.
+
+Queries are packed into rows of ``QUERY_BLOCK`` each, and each row of queries meets each shard: a stated
+query set against all rows, in blocks. Nothing is copied for it: Spark reads the stored shards again for
+each part of the queries, without a shuffle.
+
+Defined cases: a null or wordless text matches nothing, and as a query finds nothing; very long texts are
+searched and asked for whole; equal scores (to six decimals) are ordered by key, a null key last; keys may
+be of any type that can be ordered; repeated rows are separate rows; an empty table finds nothing; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.decontaminate import IS_WORD
+from siltstone.llm.resident import enter
 from siltstone.llm.textbytes import Words, list_array, pieces
-from siltstone.storage import materialize
+from siltstone.storage import drop, materialize
 
 K1, B = 1.2, 0.75
 BLOCK = 32
 SHARD_DOCS = 8192
-QUERY_BLOCK = 4096
+QUERY_BLOCK = 1024
 
 
 def term_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -36,6 +41,7 @@ def term_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
+        enter("search")
         for b in pieces(batches, "text"):
             w = Words(b.column(1), IS_WORD)
             found = [np.unique(w.hashes[lo:hi].view(np.int64), return_counts=True) for lo, hi in zip(w.bounds[:-1], w.bounds[1:], strict=True)]
@@ -60,30 +66,43 @@ def _ranges(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """The inverted index of a shard: postings by term and document, in blocks with their maxima."""
+    """The inverted index of a shard: postings by term and document, in blocks with their maxima.
 
-    def __init__(self, ids: np.ndarray, lengths: np.ndarray, counts: np.ndarray, terms: np.ndarray, tfs: np.ndarray, average: float):
-        self.ids = ids
-        doc = np.repeat(np.arange(len(ids)), counts)
+    Documents are numbered in the order of their keys, so ties go by number.
+    """
+
+    FIELDS = ("terms", "term_start", "entry_start", "entry_block", "entry_max", "doc", "impact")
+    KINDS = "terms array<long>, term_start array<int>, entry_start array<int>, entry_block array<int>, entry_max array<double>, doc array<int>, impact array<double>"
+
+    def __init__(self, n_docs: int, terms, term_start, entry_start, entry_block, entry_max, doc, impact):
+        self.n_docs, self.terms, self.entry_block, self.entry_max, self.doc, self.impact = n_docs, terms, entry_block, entry_max, doc, impact
+        self.term_start, self.term_stop = term_start, np.append(term_start[1:], len(entry_block))
+        self.entry_start, self.entry_stop = entry_start, np.append(entry_start[1:], len(doc))
+        self.blocks = -(-n_docs // BLOCK)
+
+    @classmethod
+    def build(cls, lengths: np.ndarray, counts: np.ndarray, terms: np.ndarray, tfs: np.ndarray, average: float) -> Index:
+        """From the documents' lengths, numbers of distinct terms, terms and frequencies."""
+        doc = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
         order = np.argsort(terms, kind="stable")
-        terms, self.doc = terms[order], doc[order]
+        terms, doc = terms[order], doc[order]
         tf = tfs[order].astype(np.float64)
-        self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.doc] / average))
-        block = self.doc // BLOCK
-        new_term = np.concatenate([[True], terms[1:] != terms[:-1]]) if len(terms) else np.zeros(0, np.bool_)
-        new_block = new_term | np.concatenate([[True], block[1:] != block[:-1]])[: len(terms)]
-        self.entry_start = np.flatnonzero(new_block)
-        self.entry_stop = np.append(self.entry_start[1:], len(terms))
-        self.entry_block = block[self.entry_start]
-        self.entry_max = np.maximum.reduceat(self.impact, self.entry_start) if len(terms) else np.zeros(0)
+        impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / average))
+        block = doc // BLOCK
+        new_term = np.ones(len(terms), np.bool_)
+        new_term[1:] = terms[1:] != terms[:-1]
+        new_block = new_term.copy()
+        new_block[1:] |= block[1:] != block[:-1]
+        entry_start = np.flatnonzero(new_block)
         at = np.flatnonzero(new_term)
-        self.terms = terms[at]
-        self.term_start = np.searchsorted(self.entry_start, at)
-        self.term_stop = np.append(self.term_start[1:], len(self.entry_start))
-        self.blocks = -(-len(ids) // BLOCK)
+        entry_max = np.maximum.reduceat(impact, entry_start) if len(terms) else np.zeros(0)
+        return cls(len(counts), terms[at], np.searchsorted(entry_start, at).astype(np.int32), entry_start.astype(np.int32), block[entry_start], entry_max, doc, impact)
+
+    def lists(self) -> list:
+        return [getattr(self, f) for f in self.FIELDS]
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(places, scores) of the best k of the shard, ties by id."""
+        """(documents, scores) of the best k of the shard, ties by number."""
         at = np.searchsorted(self.terms, terms)
         known = at < len(self.terms)
         known[known] = self.terms[at[known]] == terms[known]
@@ -106,59 +125,87 @@ class Index:
             e, w = entry[mine], weight[mine]
             start, stop = self.entry_start[e], self.entry_stop[e]
             place = _ranges(start, stop)
-            total = np.bincount(self.doc[place], self.impact[place] * np.repeat(w, stop - start), len(self.ids))
+            total = np.bincount(self.doc[place], self.impact[place] * np.repeat(w, stop - start), self.n_docs)
             hit = np.flatnonzero(total > 0)
             best, scores = np.concatenate([best, hit]), np.concatenate([scores, np.round(total[hit], 6)])
-            keep = np.lexsort((self.ids[best], -scores))[:k]
+            keep = np.lexsort((best, -scores))[:k]
             best, scores = best[keep], scores[keep]
             floor = scores[-1] if len(scores) == k else 0.0
         return best, scores
 
 
+def build_shards(rows: DataFrame, average: float, shards: int) -> DataFrame:
+    """A row per shard: its documents' keys in order, and its index. Written to the shared folder."""
+    kind = rows.schema["id"].dataType
+    shard = F.pmod(F.xxhash64("id", "terms"), F.lit(shards)).cast("int")
+    schema = f"ids array<{kind.simpleString()}>, {Index.KINDS}"
+
+    def run(table: pa.Table) -> pa.Table:
+        enter("search")
+        table = table.combine_chunks()
+        table = table.take(pc.sort_indices(table, sort_keys=[("id", "ascending")]))  # null last
+        lists = table["terms"].combine_chunks()
+        index = Index.build(table["n"].to_numpy().astype(np.float64), lists.value_lengths().to_numpy(zero_copy_only=False), lists.flatten().to_numpy(), table["tfs"].combine_chunks().flatten().to_numpy(), average)
+        ids = table["id"].combine_chunks()
+        columns = [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)]
+        columns += [list_array(x, np.array([len(x)]), pa.from_numpy_dtype(x.dtype)) for x in index.lists()]
+        return pa.table(columns, names=["ids", *Index.FIELDS])
+
+    mine = rows.where("n > 0").select(shard.alias("shard"), "id", "n", "terms", "tfs")
+    return materialize(mine.groupBy("shard").applyInArrow(run, schema), "index")
+
+
+def pack_queries(asked: DataFrame, df: DataFrame, n: int, blocks: int) -> DataFrame:
+    """Rows of many queries each: (rows, counts, terms, weights), terms with their weights. Written to the shared folder."""
+    idf = F.log1p((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    entries = asked.select("row", F.explode(F.arrays_zip("terms", "tfs")).alias("t")).select("row", F.col("t.terms").alias("term"), F.col("t.tfs").alias("tf"))
+    weighted = entries.join(df, "term").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("term", (idf * F.col("tf")).alias("w")))).alias("t"))
+    part = F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")
+    packed = weighted.groupBy(part.alias("part")).agg(F.collect_list(F.struct("row", "t")).alias("q"))
+    return materialize(
+        packed.select(F.col("q.row").alias("rows"), F.transform("q", lambda x: F.size(x["t"])).alias("counts"), F.flatten(F.transform("q", lambda x: x["t"].getField("term"))).alias("terms_of"), F.flatten(F.transform("q", lambda x: x["t"].getField("w"))).alias("weights")), "queries"
+    )
+
+
 def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(query, rank, key, score): the k best documents of every query; both tables have ``key`` and ``text``."""
     rows = term_rows(docs, key, text)
     stats = rows.agg(F.count("*").alias("n"), F.avg("n").alias("length")).first()
     n, average = stats["n"], max(stats["length"] or 0.0, 1e-9)
-    shards = max(1, -(-n // SHARD_DOCS))
-    asked = term_rows(queries, key, text)
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    asked = materialize(term_rows(queries, key, text).withColumn("row", F.monotonically_increasing_id()), "asked")
     needed = asked.select(F.explode("terms").alias("term")).distinct()
     df = rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")).join(needed, "term", "left_semi")
-    idf = F.log1p((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    asked = asked.withColumn("row", F.monotonically_increasing_id())
-    asked = materialize(asked, "queries")
-    weighted = asked.select("row", "id", F.explode(F.arrays_zip("terms", "tfs")).alias("t")).select("row", "id", F.col("t.terms").alias("term"), F.col("t.tfs").alias("tf"))
-    weighted = weighted.join(df, "term").groupBy("row", "id").agg(F.array_sort(F.collect_list(F.struct("term", (idf * F.col("tf")).alias("w")))).alias("t"))
-    q = weighted.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("part"), F.lit(1).alias("is_query"), "row", "id", F.lit(0).cast("long").alias("n"), F.col("t.term").alias("terms"), F.lit(None).cast("array<int>").alias("tfs"), F.col("t.w").alias("weights"))
-    shard = F.pmod(F.xxhash64("id", "terms"), F.lit(shards)).cast("int")
-    s = rows.where("n > 0").select(shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("part"), F.lit(0).alias("is_query"), F.lit(0).cast("long").alias("row"), "id", "n", "terms", "tfs", F.lit(None).cast("array<double>").alias("weights"))
+    packed = pack_queries(asked, df, n, max(1, -(-asked.count() // QUERY_BLOCK)))
+    index = build_shards(rows, average, max(1, -(-n // SHARD_DOCS)))
+    drop(rows)
     kind = docs.schema[key].dataType.simpleString()
 
-    def run(table: pa.Table) -> pa.Table:
-        is_query = table["is_query"].to_numpy() == 1
-        d, asked_ = table.filter(pa.array(~is_query)), table.filter(pa.array(is_query))
-        out = [[], [], [], []]
-        if d.num_rows and asked_.num_rows:
-            lists = d["terms"].combine_chunks()
-            index = Index(d["id"].to_numpy(), d["n"].to_numpy().astype(np.float64), lists.value_lengths().to_numpy(), lists.flatten().to_numpy(), d["tfs"].combine_chunks().flatten().to_numpy(), average)
-            terms, weights = asked_["terms"].combine_chunks(), asked_["weights"].combine_chunks()
-            ends = np.cumsum(terms.value_lengths().to_numpy())
-            flat_terms, flat_weights, at = terms.flatten().to_numpy(), weights.flatten().to_numpy(), 0
-            for row, query_id, end in zip(asked_["row"].to_numpy(), asked_["id"].to_numpy(), ends.tolist(), strict=True):
-                best, scores = index.search(flat_terms[at:end], flat_weights[at:end], k)
-                at = end
-                out[0].append(np.full(len(best), row))
-                out[1].append(np.full(len(best), query_id))
-                out[2].append(index.ids[best])
-                out[3].append(scores)
-        columns = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
-        schema = pa.schema([("row", pa.int64()), ("query", table.schema.field("id").type), ("found", table.schema.field("id").type), ("score", pa.float64())])
-        return pa.table([pa.array(c).cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-
-    found = q.unionByName(s).groupBy("shard", "part").applyInArrow(run, f"row long, query {kind}, found {kind}, score double")
-    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "found"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "rank", F.col("found").alias(key), "score")
+    def flat_list(column: pa.Array, i: int) -> pa.Array:
+        return column.slice(i, 1).flatten()
+
+    def run(batches):
+        enter("search")
+        for b in batches:
+            c = {name: b.column(j) for j, name in enumerate(b.schema.names)}
+            for i in range(b.num_rows):
+                ids = flat_list(c["ids"], i)
+                index_ = Index(len(ids), *(flat_list(c[f], i).to_numpy(zero_copy_only=False) for f in Index.FIELDS))
+                asked_rows, counts, terms, weights = (flat_list(c[f], i).to_numpy(zero_copy_only=False) for f in ("rows", "counts", "terms_of", "weights"))
+                found, at = [], 0
+                for row, end in zip(asked_rows.tolist(), np.cumsum(counts).tolist(), strict=True):
+                    best, scores = index_.search(terms[at:end], weights[at:end], k)
+                    at = end
+                    found.append((np.full(len(best), row), best, scores))
+                if found:
+                    row, best, scores = (np.concatenate(x) for x in zip(*found, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(row), ids.take(pa.array(best)), pa.array(scores)], ["row", "found", "score"])
+
+    # Each block of queries meets each shard once.
+    found = index.crossJoin(packed).mapInArrow(run, f"row long, found {kind}, score double")
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), F.asc_nulls_last("found")))
+    best = found.withColumn("rank", rank).where(F.col("rank") <= k)
+    names = asked.select("row", F.col("id").alias("query"))
+    return best.join(names, "row").select("query", "rank", F.col("found").alias(key), "score")
 
 
 def op3_top_k_search(spark, sf_dir: str) -> DataFrame:
