@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from siltstone.storage import drop, measured
 
 
+MIN_FILES, FILE_ROWS = 8, 500_000
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): the least node of the component of every node in ``edges``. Written to the shared folder.
 
@@ -24,11 +27,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     while mark["n"]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # Keyed by the larger node from here on: no hub is one.
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").repartition("u")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         last, before = edges, mark
-        edges, mark = measured(small.where("u <> v").distinct(), "edges", *marks)
+        # As many files as the edges need, which never grow in number.
+        edges, mark = measured(small.where("u <> v").distinct().coalesce(MIN_FILES + mark["n"] // FILE_ROWS), "edges", *marks)
         drop(last)
         if mark == before:
             break

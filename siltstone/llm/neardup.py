@@ -9,10 +9,9 @@
 5. A bucket whose classes still fall into several components may hide a link between two classes that
    are not its centre. Of its classes only those stay that can have such a link at all: enough of their
    shingles must occur in other components. Counts of these shingles in ``STRETCHES`` stretches of hashes
-   bound what two sets share. Such buckets make further stars, from ``DRAWS`` centres drawn anew in each
-   turn, as long as those find links; each turn's links contract the components to their roots. What is
-   then left of a bucket is compared across components where the bound allows a link, which leaves no
-   link out.
+   bound what two sets share. Such buckets make further stars, from ``DRAWS`` centres drawn by hash, and
+   their links contract the components to their roots. What is then left of a bucket is compared across
+   components where the bound allows a link, which leaves no link out.
 6. Components of the confirmed links, as the least document id in them.
 
 ``BANDS`` bands of ``ROWS`` bins miss a pair at the threshold with a chance of about 6 in 100,000.
@@ -33,13 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.components import connected_components
+from siltstone.llm.resident import enter
 from siltstone.llm.textbytes import Words, list_array, lut, mix, pieces
 from siltstone.storage import drop, materialize
 
 BANDS, ROWS = 54, 6
 BINS = BANDS * ROWS
 STRETCHES = 128
-DRAWS = 3  # centres of a bucket in each further turn
+DRAWS = 3  # centres of a bucket's further stars
 _U = np.uint64
 IS_WORD = lut(lambda b: b != 0x20 and not 0x09 <= b <= 0x0D)
 
@@ -104,6 +104,7 @@ def signatures(docs: DataFrame, size: int = 5, key: str = "doc_id", text: str =
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
+        enter("near_duplicates")
         for b in pieces(batches, "text"):
             sets = shingle_sets(Words(b.column(1), IS_WORD), size)
             found = [bands(s) for s in sets if len(s)]
@@ -135,6 +136,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     both = pairs.select("a", "b", "root_a", "root_b").join(right, "b").join(left, "a").select("a", "root_a", "root_b", "text_a", "text_b")
 
     def run(batches):
+        enter("near_duplicates")
         held: list = [None, None]
         for b in pieces(batches, "text_b"):
             sets = shingle_sets(Words(b.column(4), IS_WORD), size)
@@ -161,6 +163,7 @@ def shared_histograms(members: DataFrame, texts: DataFrame, size: int) -> DataFr
     """
 
     def run(batches):
+        enter("near_duplicates")
         for b in pieces(batches, "text"):
             sets = shingle_sets(Words(b.column(1), IS_WORD), size)
             which = np.repeat(np.arange(b.num_rows), [len(s) for s in sets])
@@ -202,10 +205,10 @@ class _Open:
         found = found.select(F.least(one, two).alias("x"), F.greatest(one, two).alias("y")).distinct()
         return found.select(F.col("x.a").alias("a"), F.col("y.a").alias("b"), F.col("x.r").alias("root_a"), F.col("y.r").alias("root_b"))
 
-    def stars(self, turn: int, percent: int) -> DataFrame:
-        """Pairs of each bucket's classes with ``DRAWS`` centres of it, drawn anew in each turn."""
+    def stars(self, percent: int) -> DataFrame:
+        """Pairs of each bucket's classes with ``DRAWS`` centres of it, drawn by hash."""
         fields = F.struct(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"), F.col("shared").alias("shared_a"))
-        drawn = [F.min_by(fields, F.xxhash64(F.lit(turn * DRAWS + k), "bucket", "cls")) for k in range(DRAWS)]
+        drawn = [F.min_by(fields, F.xxhash64(F.lit(k), "bucket", "cls")) for k in range(DRAWS)]
         centres = self.rows.groupBy("bucket").agg(F.array(*drawn).alias("c")).select("bucket", F.explode(F.array_distinct("c")).alias("c")).select("bucket", "c.*")
         return self.pairs(centres, percent)
 
@@ -217,10 +220,9 @@ class _Open:
 
 def _grow(roots: list[DataFrame], pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> bool:
     """Confirm pairs and contract the components that they link; False if there are none."""
-    tried = materialize(pairs, "stars")
-    links = confirm(tried, texts, size, percent)
+    links = confirm(pairs, texts, size, percent)
     found = connected_components(links, "root_a", "root_b")
-    drop(tried, links)
+    drop(links)
     if found.isEmpty():
         drop(found)
         return False
@@ -253,11 +255,7 @@ def link(docs: DataFrame, size: int = 5, percent: int = 75, key: str = "doc_id",
     enough = F.aggregate("shared", F.lit(0), lambda t, x: t + x) * 100 >= F.col("n") * percent
     open_ = _Open(several.rows.join(shared, "cls").where(enough).select("bucket", "cls", "n", "root", "shared"))
     drop(several.rows, owners, shared)
-    turn = 0
-    while True:
-        turn += 1
-        if not _grow(roots, open_.stars(turn, percent), texts, size, percent):
-            break
+    if _grow(roots, open_.stars(percent), texts, size, percent):
         open_ = open_.contract(roots[-1])
     _grow(roots, open_.rest(percent), texts, size, percent)
     drop(open_.rows, texts)
@@ -278,6 +276,7 @@ def _own_text(rows: DataFrame, size: int) -> DataFrame:
     """(cls, text) where the text's set is that class, once for each: rows that share an id may have other texts."""
 
     def run(batches):
+        enter("near_duplicates")
         for b in pieces(batches, "text"):
             sets = shingle_sets(Words(b.column(1), IS_WORD), size)
             own = [len(s) > 0 and _digest(s) == c.as_py() for s, c in zip(sets, b.column(0), strict=True)]
