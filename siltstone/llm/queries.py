@@ -1,4 +1,7 @@
-"""The queries of this subpackage, by name, and the SQL of those that SQL can express."""
+"""The queries of this subpackage, by name, and the SQL of those that SQL can express.
+
+Hashes, models and tokenizers put the others beyond SQL; tests/llm holds their brute-force versions.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +10,7 @@ from siltstone.llm.decontaminate import op9_decontamination
 from siltstone.llm.extract import op2_html_extraction
 from siltstone.llm.langid import op8_language_id
 from siltstone.llm.neardup import op1_near_duplicates
+from siltstone.llm.oracle import ORACLE_SQL  # noqa: F401
 from siltstone.llm.repeats import op7_repeated_strings
 from siltstone.llm.search import op3_top_k_search
 from siltstone.llm.sharding import op4_sharding
@@ -25,6 +29,3 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_token_files": op10_token_files,
 }
-
-#: Hashes, models and tokenizers put all of them beyond SQL; tests/llm holds the brute-force versions.
-ORACLE_SQL: dict[str, str] = {}
