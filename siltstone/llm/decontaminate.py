@@ -14,8 +14,8 @@ with them, which leaves exact phrases. With ``slop`` > 0 every other term may li
 positions off, seen from the rarest, which gives proximity matches.
 
 Defined cases: a null or wordless text has no words and is hit by nothing; a null or wordless item has
-no windows; repeated rows get equal results; rows that share a ``doc_id`` but not the text are told
-apart; empty tables give empty or unhit results; other columns are ignored.
+no windows; very long texts are indexed whole, in slices of their own; repeated rows get equal results;
+rows that share a ``doc_id`` but not the text are told apart; a null key is a key like any other; empty tables give empty or unhit results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,16 +32,18 @@ from siltstone.storage import materialize
 BITMAP = 1 << 24
 IS_WORD = lut(lambda b: b >= 0x80 or 0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A)
 
-_TERMS = "id {id}, uid long, n_words long, terms array<long>"
-_INDEX = "id {id}, uid long, n_words long, terms array<long>, places array<int>"
+_TERMS = "id {id}, uid binary, n_words long, terms array<long>"
+_INDEX = "id {id}, uid binary, n_words long, terms array<long>, places array<int>"
 
 
-def _uid(key: str, text: str) -> F.Column:
-    return F.xxhash64(F.col(key), F.col(text))
+def row_id(key: str, text: str) -> F.Column:
+    """128 bits that stand for a row's key and text; repeated rows share them."""
+    parts = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in (key, text)]
+    return F.unhex(F.md5(F.concat(parts[0], F.lit("\0"), parts[1])))
 
 
 def _rows(table: DataFrame, key: str, text: str) -> DataFrame:
-    return table.select(F.col(key).alias("id"), _uid(key, text).alias("uid"), F.col(text).alias("text"))
+    return table.select(F.col(key).alias("id"), row_id(key, text).alias("uid"), F.col(text).alias("text"))
 
 
 def _kind(table: DataFrame, key: str) -> str:
