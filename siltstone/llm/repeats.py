@@ -213,8 +213,8 @@ def ordered(docs: DataFrame, key: str, text: str) -> DataFrame:
         twice = docs.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n").__gt__(1) | F.col(key).isNull())
         if not twice.limit(1).count():
             return docs.withColumn("__ord", F.col(key).cast("long"))
-    spread = docs.withColumn("__h", F.xxhash64(text))
-    return materialize(spread.repartitionByRange(key, "__h").sortWithinPartitions(key, "__h").withColumn("__ord", F.monotonically_increasing_id()).drop("__h"), "ordered")
+    by_text = F.xxhash64(text)
+    return materialize(docs.repartitionByRange(F.col(key), by_text).sortWithinPartitions(F.col(key), by_text).withColumn("__ord", F.monotonically_increasing_id()), "ordered")
 
 
 def find_repeats(docs: DataFrame) -> DataFrame:
@@ -245,21 +245,25 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     return out
 
 
-def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", prefix: str = "") -> DataFrame:
     """The rows of ``docs`` with n_bytes, n_removed, n_spans, kept_bytes (the bytes that stay) and kept_text.
 
-    ``kept_text`` is without characters of which only some bytes stay.
+    ``kept_text`` is without characters of which only some bytes stay. Columns of these names, behind
+    ``prefix``, and of the names __ord, __cuts and __body are replaced.
     """
     from pyspark.sql import types as T
 
-    made = ["n_bytes", "n_removed", "n_spans", "kept_bytes", "kept_text"]
-    source = ordered(docs.drop(*made), key, text)
+    made = [prefix + c for c in ("n_bytes", "n_removed", "n_spans", "kept_bytes", "kept_text")]
+    docs = docs.drop(*made, "__ord", "__cuts", "__body")
+    source = ordered(docs, key, text)
     repeats = find_repeats(source.select(F.col("__ord").alias("ord"), F.col(f"`{text}`").alias("text")))
     lists = repeats.groupBy(F.col("ord").alias("__ord")).agg(F.collect_list(F.struct("start", "stop")).alias("__cuts"))
     joined = source.join(lists, "__ord", "left").drop("__ord")
     kept = [c for c in docs.columns if c not in made]
     joined = joined.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("binary").alias("__body"), "__cuts")
-    schema = T.StructType([docs.schema[c] for c in kept]).add("n_bytes", T.LongType()).add("n_removed", T.LongType()).add("n_spans", T.LongType()).add("kept_bytes", T.BinaryType()).add("kept_text", T.StringType())
+    schema = T.StructType([docs.schema[c] for c in kept])
+    for name, kind in zip(made, (T.LongType(), T.LongType(), T.LongType(), T.BinaryType(), T.StringType()), strict=True):
+        schema = schema.add(name, kind)
 
     def run(batches):
         enter("repeated_strings")

@@ -183,7 +183,14 @@ def common_prefixes(t: np.ndarray, sa: np.ndarray, most: int, exact: bool = True
     got = np.zeros(len(at), np.int64)
     step = 1 << most.bit_length()
     if not exact:
-        got[(room >= most) & (h.of(at, most) == h.of(other, most))] = most
+        # Equal hashes are followed by a look at the symbols themselves.
+        maybe = np.flatnonzero((room >= most) & (h.of(at, most) == h.of(other, most)))
+        for lo in range(0, len(maybe), 1 << 16):
+            x = maybe[lo : lo + (1 << 16)]
+            same = np.ones(len(x), np.bool_)
+            for k in range(most):
+                same &= t[at[x] + k] == t[other[x] + k]
+            got[x[same]] = most
         step = 0
     while step:
         more = got + step
