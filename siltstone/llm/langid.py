@@ -28,6 +28,7 @@ LONGEST = 48  # up to here plain probabilities do not underflow
 SEGMENT = 4096  # bytes of long words whose pieces are looked up at once
 FLOOR = 1e-6
 PER_LANGUAGE = 300
+LONGEST_SAMPLE = 1 << 17  # bytes of a text that is learnt from
 ROUNDS = 4
 _U = np.uint64
 _MARK = 0x20  # stands for the vocabulary's word mark
@@ -235,13 +236,13 @@ def held_out(key: str) -> F.Column:
 
 
 def sample(rows: DataFrame, label: str, key: str, text: str, most: int) -> tuple[list[str], list[str]]:
-    """About ``most`` rows of each label, chosen by a hash of the key."""
+    """About ``most`` rows of each label, chosen by a hash of the key: one for each key, of ``LONGEST_SAMPLE`` bytes at most."""
     spread = F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 30))
     counts = rows.groupBy(label).agg(F.count("*").alias("n")).collect()  # a row per language
     if not counts:
         return [], []
     limits = F.create_map(*[F.lit(x) for r in counts for x in (r[label], int(min(1.0, most / r["n"]) * (1 << 30)))])
-    got = rows.where(spread < limits[F.col(label)]).select(F.col(text).alias("t"), F.col(label).alias("l"), F.col(key).alias("k"))
+    got = rows.where((spread < limits[F.col(label)]) & (F.octet_length(text) <= LONGEST_SAMPLE)).groupBy(F.col(key).alias("k"), F.col(label).alias("l")).agg(F.min(text).alias("t"))
     found = sorted(((r["l"], str(r["k"]), r["t"]) for r in got.toLocalIterator()))
     return [t for _, _, t in found], [x for x, _, _ in found]
 

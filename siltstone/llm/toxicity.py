@@ -7,7 +7,8 @@ its probability of being toxic. A logistic regression on what a document's margi
 on the training documents, makes the document's score.
 
 About ``PER_CLASS`` toxic documents and four times as many others at most are learnt from, chosen by a
-hash of the key.
+hash of the key; of a key that repeats one text, and toxic if any of its labels says so. Texts of more than
+``LONGEST_SAMPLE`` bytes are not learnt from. Every text is scored, whole.
 
 Defined cases: a null or wordless text scores as one without toxic tokens and has no spans; a null key
 counts as an empty text where its CRC is taken; labels that are null are not learnt from; without
@@ -25,10 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.crf import Crf, train
-from siltstone.llm.resident import enter
+from siltstone.llm.resident import enter, trim
 from siltstone.llm.textbytes import Words, lut, mix, pieces
 
 PER_CLASS = 600
+LONGEST_SAMPLE = 1 << 17  # bytes of a text that is learnt from
 BITS = 18
 AFFIXES = (4, 5, 6, 7, 8, -4)
 MIN_SEEN = 6  # different words before an affix or word in toxic documents, for it to mark tokens
@@ -45,11 +47,11 @@ def features(words: Words) -> np.ndarray:
 class Tokens:
     """What the fit needs of the words of many texts, gathered from slices so that little is held at once."""
 
-    def __init__(self, texts: list[str], slice_bytes: int = 1 << 20):
+    def __init__(self, texts: list[str], slice_bytes: int = 1 << 20, with_features: bool = True):
         self.n_rows, parts = len(texts), []
         for b in pieces(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["t"])]), "t", slice_bytes):
             w = Words(b.column(0), IS_LETTER)
-            parts.append((w.hashes, w.counts, features(w)))
+            parts.append((w.hashes, w.counts, features(w) if with_features else np.zeros((0, 0), np.int32)))
         self.hashes, self.counts, self.features = (np.concatenate(x) for x in zip(*parts, strict=True))
         self.bounds = np.concatenate([[0], np.cumsum(self.counts)])
         self.starts = self.hashes
@@ -137,7 +139,7 @@ def fit(texts: list[str], toxic: list[int]) -> Model | None:
     y = np.array(toxic, np.int64)
     if not len(y) or y.min() == y.max():
         return None
-    keep = one_of_each_family(Tokens(texts))
+    keep = one_of_each_family(Tokens(texts, with_features=False))
     keep |= len(set(y[keep].tolist())) < 2
     texts, y = [t for t, k in zip(texts, keep, strict=True) if k], y[keep]
     words = Tokens(texts)
@@ -167,27 +169,33 @@ def held_out(key) -> F.Column:
 
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = PER_CLASS) -> Model | None:
     """A model from the labelled documents that are not held out."""
-    known = labels.select(F.col(key), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & ~held_out(key))
+    known = labels.select(F.col(key), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & ~held_out(key)).groupBy(key).agg(F.max("y").alias("y"))
     n = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
         return None
     spread = F.pmod(F.xxhash64(F.lit("toxic"), key), F.lit(1 << 30))
     share = F.when(F.col("y") == 1, min(1.0, per_class / n[1])).otherwise(min(1.0, 4 * per_class / n[0])) * (1 << 30)
-    # About 5 * per_class rows.
+    # About 5 * per_class keys, each with one text of at most LONGEST_SAMPLE bytes.
     chosen = known.where(spread < share)
-    rows = docs.select(F.col(key), F.col(text).alias("t")).join(F.broadcast(chosen), key).select("t", "y", key)
-    found = sorted(((str(r[key]), r["t"] or "", r["y"]) for r in rows.toLocalIterator()))
-    return fit([t for _, t, _ in found], [y for _, _, y in found])
+    short = docs.select(F.col(key), F.coalesce(text, F.lit("")).alias("t")).where(F.octet_length("t") <= LONGEST_SAMPLE)
+    rows = short.join(F.broadcast(chosen), key).groupBy(key).agg(F.min("t").alias("t"), F.max("y").alias("y"))
+    found = sorted((str(r[key]), r["t"], r["y"]) for r in rows.toLocalIterator())
+    model = fit([t for _, t, _ in found], [y for _, _, y in found])
+    trim()
+    return model
 
 
-def tag(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text", spans: bool = True) -> DataFrame:
-    """The columns of ``docs`` and ``tox_score`` (0 to 1) and, on request, ``tox_spans``: [start, end) in characters."""
+def tag(docs: DataFrame, model: Model | None, text: str = "text", spans: bool = True, score: str = "tox_score") -> DataFrame:
+    """The columns of ``docs`` and ``tox_score`` (0 to 1) and, on request, ``tox_spans``: [start, end) in characters.
+
+    Columns of these names are replaced; the score's may be chosen.
+    """
     from pyspark.sql import types as T
 
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c not in ("tox_score", "tox_spans")]
+    kept = [c for c in docs.columns if c != score and not (spans and c == "tox_spans")]
     source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text"))
-    schema = T.StructType([docs.schema[c] for c in kept]).add("tox_score", T.DoubleType())
+    schema = T.StructType([docs.schema[c] for c in kept]).add(score, T.DoubleType())
     if spans:
         schema = schema.add("tox_spans", T.ArrayType(T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType())))
 
@@ -196,8 +204,8 @@ def tag(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "
         m = sent.value
         for b in pieces(batches, "__text", 2 << 20):
             words = Words(b.column(b.num_columns - 1), IS_LETTER)
-            score, p = m.score(words) if m else (np.zeros(b.num_rows), np.zeros(len(words.starts)))
-            out = [*b.columns[:-1], pa.array(score)]
+            scores, p = m.score(words) if m else (np.zeros(b.num_rows), np.zeros(len(words.starts)))
+            out = [*b.columns[:-1], pa.array(scores)]
             if spans:
                 out.append(_spans(words, p >= 0.5, b.column(b.num_columns - 1)))
             yield pa.RecordBatch.from_arrays(out, schema.names)
