@@ -7,8 +7,9 @@ decontamination    documents with a twentieth or more of their words in benchmar
 byte_bpe           texts are encoded and decoded; ids, counts and digests are added
 
 The first four return the columns of ``documents``. A stage that changes a text changes ``n_chars`` with
-it. Null or empty texts, repeated rows and other columns pass through all stages; an empty table gives
-an empty result.
+it. Null texts stay null, empty ones empty; very long texts, repeated rows and other columns, whatever
+their names, pass through all stages; of equal texts one stays; rows without a ``doc_id`` are rows like any
+others; an empty table gives an empty result. Only a column named like one that ``byte_bpe`` adds is replaced.
 """
 
 from __future__ import annotations
@@ -17,47 +18,56 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.bpe import encode_decode
-from siltstone.llm.decontaminate import contamination
+from siltstone.llm.decontaminate import contamination, row_id
 from siltstone.llm.neardup import link
 from siltstone.llm.repeats import cut_repeats
 from siltstone.llm.toxicity import learn, tag
-from siltstone.storage import materialize
+from siltstone.storage import drop, materialize
 
+ADDED = ("n_tokens", "ids_sha256", "decoded_sha256", "ids")
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose id is in ``ids``; null is an id like any other."""
-    ids = ids.select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__id"]), "left_semi")
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, rest): the other columns out of the way of what the operators call theirs."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*(others or [F.lit(0).alias("none")])).alias("rest"))
+
+
+def _unpacked(packed: DataFrame, docs: DataFrame, *more: str, **changed) -> DataFrame:
+    """The columns of ``docs`` again, some of them changed, and more of those of ``packed``."""
+    own = {c: F.col(c) if c in ("doc_id", "text") else F.col("rest").getField(c) for c in docs.columns if c not in more}
+    return packed.select(*[changed.get(c, value).alias(c) for c, value in own.items()], *more)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return tag(docs, model, spans=False).where("tox_score < 0.5").select(docs.columns)
+    return _unpacked(tag(_packed(docs), model, spans=False).where("tox_score < 0.5"), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, link(docs).where("kept"))
+    kept = link(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    packed = _packed(docs)
+    return _unpacked(packed.join(kept, packed["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi"), docs)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = cut_repeats(docs)
-    changed = F.col("n_removed") > 0
+    cut, changed = cut_repeats(_packed(docs)), F.col("n_removed") > 0
     columns = {"text": F.when(changed, F.col("kept_text")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        columns["n_chars"] = F.when(changed, F.char_length("kept_text").cast("long")).otherwise(F.col("n_chars"))
-    return cut.withColumns(columns).select(docs.columns)
+        columns["n_chars"] = F.when(changed, F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("rest.n_chars"))
+    return _unpacked(cut, docs, **columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bad = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select("uid").distinct()
-    return docs.withColumn("uid", F.xxhash64("doc_id", "text")).join(bad, "uid", "left_anti").select(docs.columns)
+    return _unpacked(_packed(docs).withColumn("uid", row_id("doc_id", "text")).join(bad, "uid", "left_anti"), docs)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    out = encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    return out.withColumn("text", F.coalesce("decoded_text", "text")).drop("decoded_text")
+    out = encode_decode(_packed(docs), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return _unpacked(out, docs, *ADDED, text=F.when(F.col("text").isNotNull(), F.col("decoded_text")))
 
 
 STAGES = [
@@ -74,9 +84,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialize(docs, f"stage-{name}")
+            if last is not None:
+                drop(last)
+            last = docs
     return docs
