@@ -36,12 +36,12 @@ CRAWL_DENIED = ["account", "cart", "checkout", "search"]
 CRAWL_CAPS = {"product": 5, "collection": 8, "category": 8, "unknown": 3}
 CRAWL_PAGES = 30
 PREFERRED_SOURCES = ["navigation", "footer", "robots", "sitemap", "sitemap_index"]
-EXCLUDED_EXTENSIONS = "jpg jpeg png gif svg webp ico bmp tiff mp4 mov avi webm mkv woff woff2 ttf otf eot css js mjs zip rar tar gz exe dmg apk msi".split()
+EXCLUDED_EXTENSIONS = ["jpg", "jpeg", "png", "gif", "svg", "webp", "ico", "bmp", "tiff", "mp4", "mov", "avi", "webm", "mkv", "woff", "woff2", "ttf", "otf", "eot", "css", "js", "mjs", "zip", "rar", "tar", "gz", "exe", "dmg", "apk", "msi"]
 
 TRACKING_PARAMS = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "gclid", "fbclid"]
-REDACTED_PARAMS = "utm_source utm_medium utm_campaign utm_content utm_term mc_cid mc_eid vero_id vero_conv klaviyo_id _kx subscriber_id contact_id customer_id email recipient uid".split()
+REDACTED_PARAMS = ["utm_source", "utm_medium", "utm_campaign", "utm_content", "utm_term", "mc_cid", "mc_eid", "vero_id", "vero_conv", "klaviyo_id", "_kx", "subscriber_id", "contact_id", "customer_id", "email", "recipient", "uid"]
 RESERVED_SUFFIXES = ["local", "internal", "localdomain", "lan", "home", "test", "invalid", "example"]
-COMPOUND_SUFFIXES = "co.nz co.uk org.uk com.au co.za com.br co.jp or.jp ne.jp com.cn co.in co.id com.mx co.il com.sg com.hk co.kr com.tw".split()
+COMPOUND_SUFFIXES = ["co.nz", "co.uk", "org.uk", "com.au", "co.za", "com.br", "co.jp", "or.jp", "ne.jp", "com.cn", "co.in", "co.id", "com.mx", "co.il", "com.sg", "com.hk", "co.kr", "com.tw"]
 TLD_COUNTRIES = {"au": "Australia", "nz": "New Zealand", "uk": "United Kingdom", "us": "United States", "ca": "Canada"}
 
 # Names of countries in addresses, and what stands for a city: words before a state and a postcode.
@@ -76,6 +76,7 @@ BINARY_SIGNATURES = [
 ]
 REJECTED_CONTENT_TYPES = ["image/", "video/", "audio/", "application/pdf", "application/zip", "application/x-msdownload", "application/octet-stream", "application/gzip"]
 RETRYABLE_STATUS = [408, 425, 429, 500, 502, 503, 504]
+RETRYABLE_ERRORS = ["timeout", "connection_error"]
 
 # Roles, in order: category and pattern (ASCII word borders, any case).
 ROLES = [
@@ -101,6 +102,7 @@ BUSINESS_RULES = [
     ("business.online_only", True, 80, [r"\bonline[\s-]only\s+store\b", r"\bexclusively\s+online\b", r"\bno\s+physical\s+retail\s+location\b"]),
     ("business.custom_products", True, 72, [r"\bpersonali[sz]ation\b", r"\bcustom\s+engraving\b", r"\bmade\s+to\s+order\b", r"\bcustom\s+printing\b", r"\bbespoke\s+product\b", r"\bupload\s+(?:your\s+)?artwork\b"]),
     ("business.wholesale", False, 75, [r"\bwe\s+do\s+not\s+offer\s+wholesale\b", r"\bno\s+wholesale\s+program\b"]),
+    ("business.click_and_collect", False, 75, [r"\bclick\s*(?:and|&)\s*collect\s+is\s+not\s+available\b"]),
 ]
 
 # Technology marks: name, field, script hosts, generator words, markup, confidence.
@@ -176,6 +178,13 @@ WORDING_RULES = [
     ("operations.pickup_available", "true", 75, [r"\bpickup\s+(?:is\s+)?available\b", r"\bcurbside\s+pickup\b", r"\bin-?store\s+pickup\b"]),
     ("organisation.internal_it_status", "detected", 72, [r"\b(?:head\s+of\s+engineering|software\s+engineer|in[\s-]house\s+develop(?:er|ment)|internal\s+it\s+team|technology\s+lead|engineering\s+careers|we\s+are\s+hiring\s+(?:a\s+)?developers?)\b"]),
 ]
+# Places: wording of pages that list other firms' shops, and the parts of an address in order.
+STOCKIST_WORDING = [r"\bstockists?\b", r"\bfind\s+us\s+at\s+these\s+retailers\b", r"\bavailable\s+at\s+these\s+retailers\b"]
+ADDRESS_PARTS = ["streetAddress", "addressLocality", "addressRegion", "postalCode", "addressCountry"]
+# Catalogues: markup of variant selectors and of inputs for custom goods, and the least sample of variants.
+VARIANT_SELECT = r"""(?i)<select[^>]+(?:name|id|class)="[^"]*(?:variant|size|colou?r)[^"]*\""""
+CUSTOM_INPUT = r"""(?i)<input[^>]+type="file"|<input[^>]+(?:name|id|class)="[^"]*(?:engrav|personali[sz]|monogram|custom-text)[^"]*\""""
+LEAST_VARIANT_SAMPLE = 5
 TRADING_AS = r"trading\s+as\s+([A-Z][\w&'.\- ]{1,60})"
 
 SOURCE_PRIORITY = {

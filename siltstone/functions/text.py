@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import rules
 
 EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
-PHONE = r"\+?[0-9][0-9 ().-]{5,}[0-9]"
+PHONE = r"\+?[0-9][0-9\s().-]{7,}[0-9]"
 
 
 def collapse(value: Column) -> Column:

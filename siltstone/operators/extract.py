@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.functions import rules, text, urls
+from siltstone.operators import shops
 from siltstone.storage import materialize
 
 
@@ -27,7 +28,8 @@ def _candidates(pages: DataFrame, field: str, value, confidence, source: str, ke
 def _entities(pages: DataFrame) -> DataFrame:
     e = pages.select("host", "page_id", "page_type", F.explode("structured").alias("e"))
     one = F.get_json_object("e", "$.@type")
-    return e.withColumn("types", F.lower(F.coalesce(one, F.lit(""))))
+    several = F.array_join(F.from_json(one, "array<string>"), " ")
+    return e.withColumn("types", F.lower(F.coalesce(F.when(one.startswith("["), several).otherwise(one), F.lit(""))))
 
 
 def _several(pages: DataFrame, options: list[tuple[str, F.Column, object, str]]) -> DataFrame:
@@ -167,7 +169,7 @@ def brands(pages: DataFrame) -> DataFrame:
 
 
 def people(pages: DataFrame) -> DataFrame:
-    e = _entities(pages).where("types = 'person'")
+    e = _entities(pages).where(F.col("types").rlike("(^| )person( |$)"))
     blocks = F.regexp_extract_all("cleaned", F.lit(rules.TEAM_BLOCK), F.lit(1))
     names = pages.select("host", "page_id", F.explode(F.transform(blocks, lambda b: F.regexp_extract(b, r"(?is)<h[1-6][^>]*>(.*?)</h[1-6]>", 1))).alias("name"))
     return _candidates(e, "organisation.people", F.get_json_object("e", "$.name"), F.lit(80), "json_ld").unionByName(_candidates(names, "organisation.people", _plain(F.col("name")), F.lit(68), "html_element"))
@@ -225,7 +227,11 @@ def growth(pages: DataFrame) -> DataFrame:
     return rows.select(F.col("host").alias("company"), "field", dated.alias("value"), "confidence", F.lit("html_element").alias("source"), "page_id")
 
 
-EXTRACTORS = {"trading_name": trading_name, "brands": brands, "people": people, "wording": wording, "growth": growth, "company_name": company_name, "language": language, "country": country, "business_model": business_model, "contacts": contacts, "technology": technology}
+def _of_shops(f):
+    return lambda pages: f(pages).select("company", "field", "value", "confidence", "source", "page_id")
+
+
+EXTRACTORS = {"operations": _of_shops(shops.operations), "catalogue": _of_shops(shops.catalogue), "trading_name": trading_name, "brands": brands, "people": people, "wording": wording, "growth": growth, "company_name": company_name, "language": language, "country": country, "business_model": business_model, "contacts": contacts, "technology": technology}
 
 
 def extract(pages: DataFrame, only: list[str] | None = None) -> DataFrame:

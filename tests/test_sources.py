@@ -161,3 +161,67 @@ def test_stream(spark, tmp_path):
     for _ in range(2):
         keep_latest(page_stream(spark, f"{tmp_path}/in", rows.schema), t, ["page_id"], "seq", f"{tmp_path}/cp").awaitTermination()
     assert [(r["page_id"], r["title"]) for r in t.read().select("page_id", F.col("title")).collect()] == [(1, "new")]
+
+
+def test_shops(spark):
+    import json
+
+    from siltstone.operators import shops
+
+    store = {"@type": ["Thing", "Store"], "name": "Acme  Warehouse", "address": {"streetAddress": "1 Hill  St", "addressLocality": "Perth", "addressCountry": "AU"}, "telephone": "1", "geo": {"latitude": -31.5}}
+    plain = {"@type": "LocalBusiness", "name": "Bee", "address": "2 Road, Rome"}
+    ld = f"<script type='application/ld+json'>{json.dumps([store, plain, {'@type': 'Organization', 'name': 'x'}])}</script>"
+    links = "".join(f"<a href='{h}'>x</a>" for h in ("/products/a", "/products/b", "/products/a", "/collections/c", "/category/d", "/about"))
+    offers = "<script type='application/ld+json'>" + json.dumps({"@type": "Product", "offers": [{"price": 1}, {"price": 2}]}) + "</script>"
+    rows = [
+        (1, "a.co", "contact", ld), (2, "a.co", "returns", ld + "<p>Find us at these retailers</p>"), (3, "a.co", "collection", links + "<p>Page 1 of 7</p>"), (4, "a.co", "category", links),
+        (5, "a.co", "category", "<script type='application/ld+json'>{\"numberOfItems\": 12}</script>" + links), (6, "a.co", "product", offers), (7, "a.co", "product", "<select class='pick-Size'></select><input name='engraving-1'>" + offers), (8, "a.co", "about", None),
+    ]
+    pages = parse_pages(spark.createDataFrame(rows, "page_id long, host string, page_type string, html string"))
+    got = {(r["page_id"], r["field"], r["value"], r["confidence"], r["dedup_key"]) for r in shops.operations(pages).collect() if r["field"] != "operations.locations"}
+    assert got == {(1, "operations.warehouse_count", "1", 78, None), (1, "operations.retail_store_count", "1", 78, None), (2, "operations.returns_location_count", "2", 70, None)}
+    places = [(r["page_id"], r["dedup_key"], r["confidence"], json.loads(r["value"])) for r in shops.operations(pages).collect() if r["field"] == "operations.locations"]
+    assert sorted(p[:3] for p in places) == [(1, "1 hill st perth au", 82), (1, "2 road, rome", 82), (2, "1 hill st perth au", 70), (2, "2 road, rome", 70)]
+    assert {p[3]["location_type"] for p in places} == {"warehouse", "retail_store"} and {p[3]["ownership"] for p in places if p[0] == 2} == {"stockist"}
+    got = {(r["page_id"], r["field"].split(".")[1], r["value"], r["confidence"], r["source"], r["sample_size"]) for r in shops.catalogue(pages).collect()}
+    guess = "deterministic_inference"
+    assert got == {
+        (3, "product_count_estimate", "14", 60, guess, 2), (4, "product_count_estimate", "2", 40, guess, 2), (5, "product_count", "12", 82, "json_ld", None),
+        *((k, "collection_count", "2", 50, guess, 2) for k in (3, 4, 5)), (6, "variant_evidence", "true", 68, "json_ld", None), (7, "variant_evidence", "true", 68, "html_element", None), (7, "customization_evidence", "true", 75, "form", None),
+    }
+    counted = pages.where("page_id = 3").selectExpr("*", "40L as sitemap_products", "3L as sitemap_collections", "10L as known_products", "2.25D as median_variants", "6L as variant_sample")
+    got = {(r["field"].split(".")[1], r["value"], r["confidence"]) for r in shops.catalogue(counted).collect()}
+    assert got == {("product_count", "40", 90), ("collection_count", "3", 88), ("sku_count_estimate", "22", 55)}
+    assert shops.operations(pages.limit(0)).unionByName(shops.catalogue(pages.limit(0))).count() == 0
+
+
+def test_tables_of_two_writers(spark, tmp_path):
+    table = Table(spark, str(tmp_path / "t"))
+    assert table.read() is None and table.number() == 0
+    rows = lambda *x: spark.createDataFrame(list(x), "id long, v string, document_version long")
+    assert table.write(rows((1, "a", 1), (2, "b", 1)))
+    # Both have read version 1: the second is told that it came too late.
+    assert table.write(rows((1, "first", 1), (2, "b", 1)), after=1) and not table.write(rows((1, "second", 1)), after=1)
+    assert {tuple(r) for r in table.read().collect()} == {(1, "first", 1), (2, "b", 1)}
+    table.compare_and_set(rows((1, "new", 1), (2, "stale", 7), (9, "none", 1)), ["id"])
+    assert {tuple(r) for r in table.read().collect()} == {(1, "new", 2), (2, "b", 1)}
+    table.expire(1)
+    assert table.number() == 3 and table.read().count() == 2 and len([p for p in (tmp_path / "t").iterdir() if p.name.startswith("v-")]) == 1
+
+
+def test_archives_over_the_limit():
+    from siltstone.sources.imports import sitemap_entries
+
+    body = b"<urlset>" + b"".join(b"<url><loc>http://a.co/%d</loc></url>" % k for k in range(30)) + b"</urlset>"
+    assert sitemap_entries(gzip.compress(body))[2] is None and len(sitemap_entries(gzip.compress(body))[1]) == 30
+    assert sitemap_entries(gzip.compress(body), size=100) == ("urlset", [], "archive of more than 100 bytes")
+    kind, found, warning = sitemap_entries(body, most=20)
+    assert (kind, len(found), warning) == ("urlset", 20, "more than 20 addresses")
+    assert sitemap_entries(gzip.compress(body)[:-20])[2].startswith("unreadable")
+
+
+def test_long_texts_are_marked(monkeypatch):
+    from siltstone.sources import html_pages
+
+    monkeypatch.setattr(html_pages, "TEXT_LIMIT", 10)
+    assert [parse_page(f"<p>{'x' * n}</p>")["truncated"] for n in (10, 11)] == [False, True]
