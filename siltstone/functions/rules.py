@@ -105,6 +105,16 @@ BUSINESS_RULES = [
     ("business.click_and_collect", False, 75, [r"\bclick\s*(?:and|&)\s*collect\s+is\s+not\s+available\b"]),
 ]
 
+# Parts of words of which each pattern above needs one: cheap to look for first. They are free of letters that other letters fold to (i, k, s).
+BUSINESS_PARTS = {
+    "business.wholesale": ["whole", "toc", "reta"],
+    "business.trade_accounts": ["trade", "account"],
+    "business.click_and_collect": ["collect", "tore"],
+    "business.subscription": ["cr", "recurr", "member"],
+    "business.booking": ["boo", "chedule", "erve"],
+    "business.online_only": ["onl", "reta"],
+    "business.custom_products": ["onal", "tom", "made", "product", "upload"],
+}
 # Technology marks: name, field, script hosts, generator words, markup, confidence.
 TECHNOLOGIES = [
     ("shopify", "technology.commerce_platform", ["cdn.shopify.com", "shopifycdn.com"], ["shopify"], [], 85),

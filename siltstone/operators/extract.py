@@ -93,7 +93,13 @@ def country(pages: DataFrame) -> DataFrame:
 
 
 def business_model(pages: DataFrame) -> DataFrame:
-    found = [F.when(F.col("text").rlike(f"(?iU){'|'.join(ps)}"), F.struct(F.lit(field).alias("f"), F.lit(str(value).lower()).alias("v"), F.lit(c).alias("c"))) for field, value, c, ps in rules.BUSINESS_RULES]
+    """Statements of a business model. The patterns run only over texts that have a part of what they need."""
+    pages = pages.withColumn("low", F.lower("text"))
+
+    def may(field):
+        return reduce(lambda a, b: a | b, [F.contains("low", F.lit(w)) for w in rules.BUSINESS_PARTS[field]])
+
+    found = [F.when(may(field) & F.col("text").rlike(f"(?iU){'|'.join(ps)}"), F.struct(F.lit(field).alias("f"), F.lit(str(value).lower()).alias("v"), F.lit(c).alias("c"))) for field, value, c, ps in rules.BUSINESS_RULES]
     hit = pages.select("host", "page_id", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("x"))
     return hit.select(F.col("host").alias("company"), F.col("x.f").alias("field"), F.col("x.v").alias("value"), F.col("x.c").cast("int").alias("confidence"), F.lit("html_element").alias("source"), "page_id")
 

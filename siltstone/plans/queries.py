@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import rules, text, urls
-from siltstone.operators import crawl, discovery, reconcile, views
+from siltstone.operators import crawl, discovery, extract, reconcile, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -264,18 +264,8 @@ def tech_signatures(spark, d):
 
     s = _t(spark, d, "pages").select("page_id", pick(F.col("page_id")).alias("src"), pick(F.floor(F.col("page_id") / 6)).alias("gen"), F.concat(F.lower("html"), pick(F.floor(F.col("page_id") / 36))).alias("low"))
 
-    def any_of(column, words):
-        out = F.lit(False)
-        for w in words:
-            out = out | F.col(column).contains(w)
-        return out
-
-    found = []
-    for name, field, hosts, generators, marks, conf in rules.TECHNOLOGIES:
-        source = F.when(any_of("src", hosts), "script_marker").when(any_of("gen", generators), "meta_tag").when(any_of("low", marks), "html_element")
-        found.append(F.when(source.isNotNull(), F.struct(F.lit(name).alias("technology"), F.lit(field).alias("field"), F.lit(conf).alias("confidence"), source.alias("source"))))
-    hit = F.filter(F.array(*found), lambda x: x.isNotNull())
-    return s.select("page_id", F.explode(hit).alias("t")).select("page_id", "t.*")
+    pages = s.select(F.lit("h").alias("host"), "page_id", F.array("src").alias("script_hosts"), F.col("gen").alias("generator"), F.col("low").alias("cleaned"))
+    return extract.technology(pages).select("page_id", F.col("value").alias("technology"), "field", "confidence", "source")
 
 
 _PHRASES = ["Wholesale  enquiries here", "we do not offer wholesale", "click & collect", "made to order", "trade account", "online-only store", "nothing"]
@@ -291,8 +281,8 @@ def _business_sql() -> str:
 def pattern_rules_simple(spark, d):
     said = F.element_at(F.array(*[F.lit(p) for p in _PHRASES]), (F.col("doc_id") % 7 + 1).cast("int"))
     s = _t(spark, d, "documents").select("doc_id", F.concat("text", F.lit(" "), said).alias("t"))
-    found = [F.when(F.col("t").rlike(f"(?i){'|'.join(ps)}"), F.struct(F.lit(field).alias("field"), F.lit(value).alias("value"), F.lit(conf).alias("confidence"))) for field, value, conf, ps in rules.BUSINESS_RULES]
-    return s.select("doc_id", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("f")).select("doc_id", "f.*")
+    pages = s.select(F.lit("h").alias("host"), F.col("doc_id").alias("page_id"), F.col("t").alias("text"))
+    return extract.business_model(pages).select(F.col("page_id").alias("doc_id"), "field", (F.col("value") == "true").alias("value"), "confidence")
 
 
 _IMPORT = f"i AS (SELECT page_id, 0 AS batch, CASE WHEN page_id % 13 = 0 THEN NULL ELSE regexp_replace({_HOST}, '^www\\.', '') END AS domain FROM pages), o AS (SELECT *, CASE WHEN domain IS NULL THEN 'invalid' WHEN row_number() OVER (PARTITION BY batch, domain ORDER BY page_id) > 1 THEN 'duplicate' ELSE 'importable' END AS outcome FROM i)"
