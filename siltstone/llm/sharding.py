@@ -7,10 +7,11 @@ that have room. With ``slack=0`` the capacities add up to the number of rows, so
 at most; with more, fewer keys move when a shard is added.
 
 Only counts per place (at most ``RING`` rows, whatever the input) decide the layout. The rows are
-dealt by place, so no group of equal texts or sources lands in one task.
+dealt by place and a hash of key, size and CRC, and repeated rows are counted before they move: neither
+equal texts nor one key with a large share of all rows land in one task.
 
-Defined cases: a null text has no bytes (size 1, CRC 0); a null ``doc_id`` is a key like any other;
-repeated rows are separate rows; an empty table gives an empty result; other columns are ignored.
+Defined cases: a null text has no bytes (size 1, CRC 0); very long texts only count with their size and CRC;
+a null ``doc_id`` is a key like any other; repeated rows are separate rows; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 RING = 1 << 14
+SPLITS = 64  # windows that the rows of one place are dealt to
+CHUNK = 1000  # repeated rows that move as one
 
 
 def ring(spark, shards: int, vnodes: int) -> DataFrame:
@@ -97,14 +100,24 @@ def shard(docs: DataFrame, shards: int = 16, vnodes: int = 64, slack: float = 0.
     places = ring(spark, shards, vnodes)
     counts = docs.select(place(F.col(key)).alias("place")).groupBy("place").agg(F.count("*").alias("n"))
     starts, pieces = layout(counts, places, shards, slack)
-    rows = docs.select(
+    # Repeated rows are counted first, and come back in chunks.
+    same = docs.select(
         F.col(key).alias("_key"),
         (F.octet_length(body) + 1).cast("long").alias("size"),
         F.crc32(body.cast("binary")).alias("text_crc32"),
-        place(F.col(key)).alias("place"),
     )
-    nth = F.row_number().over(Window.partitionBy("place").orderBy(F.xxhash64("_key"), "_key", "text_crc32", "size")) - 1
-    ranked = rows.withColumn("nth", nth).join(F.broadcast(starts), "place").withColumn("at", F.col("offset") + F.col("nth"))
+    same = same.groupBy("_key", "size", "text_crc32").agg(F.count("*").alias("n"))
+    chunks = same.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.expr(f"cast((n - 1) div {CHUNK} as int)")))).withColumn("n", F.least(F.lit(CHUNK), F.col("n") - F.col("chunk").cast("long") * CHUNK))
+    # The rows of a place, however many, are dealt to SPLITS windows; few rows tell where each of these begins.
+    mixed = F.xxhash64(F.lit("split"), "_key", "size", "text_crc32", "chunk")
+    chunks = chunks.withColumn("place", place(F.col("_key"))).withColumn("mixed", mixed).withColumn("split", F.pmod("mixed", F.lit(SPLITS)).cast("int"))
+    until = (Window.unboundedPreceding, -1)
+    parts = chunks.groupBy("place", "split").agg(F.sum("n").alias("k"))
+    parts = parts.select("place", "split", F.coalesce(F.sum("k").over(Window.partitionBy("place").orderBy("split").rowsBetween(*until)), F.lit(0)).alias("begin"))
+    in_order = Window.partitionBy("place", "split").orderBy("mixed", "_key", "size", "text_crc32", "chunk").rowsBetween(*until)
+    dealt = chunks.withColumn("before", F.coalesce(F.sum("n").over(in_order), F.lit(0))).join(parts, ["place", "split"])
+    dealt = dealt.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    ranked = dealt.join(F.broadcast(starts), "place").withColumn("at", F.col("offset") + F.col("begin") + F.col("before") + F.col("nth"))
     hit = (ranked["arc"] == pieces["arc"]) & (F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi"))
     return ranked.join(F.broadcast(pieces), hit).select(
         F.col("_key").alias(key), "size", "text_crc32", F.col("shard").cast("int").alias("shard"), (F.col("base") + F.col("at") - F.col("lo")).cast("long").alias("slot")
