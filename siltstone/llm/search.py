@@ -2,10 +2,10 @@
 
 Every document is hashed to a shard of about ``SHARD_DOCS`` documents. A shard's inverted index is built
 once and stored as a row of a Parquet table: for each term its postings, in blocks of ``BLOCK``
-neighbouring documents, and each block's greatest impact. A query first adds up these maxima, which bounds
-every document of a block from above; blocks are then scored from the highest bound down, and scoring ends
-when the k-th best score so far is above all bounds that are left. Inverse document frequencies and the
-average length are those of the whole corpus, so the shards' best k merge into the exact best k.
+neighbouring documents, and each block's greatest impact. A query's cursors go through a shard's documents in
+order; they stop only at pivots, blocks whose maxima add up to more than the k-th best score so far (block-max
+WAND, with the same blocks for all terms). Inverse document frequencies and the average length are those of
+the whole corpus, so the shards' best k merge into the exact best k.
 
 Queries are packed into rows of ``QUERY_BLOCK`` each, and each row of queries meets each shard: a stated
 query set against all rows, in blocks. Nothing is copied for it: Spark reads the stored shards again for
@@ -34,6 +34,7 @@ K1, B = 1.2, 0.75
 BLOCK = 32
 SHARD_DOCS = 8192
 QUERY_BLOCK = 1024
+FIRST_STEP, LAST_STEP = 2, 32  # pivots that are scored at once, before the k-th best score is looked at again
 
 
 def term_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -102,36 +103,42 @@ class Index:
         return [getattr(self, f) for f in self.FIELDS]
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(documents, scores) of the best k of the shard, ties by number."""
+        """(documents, scores) of the best k of the shard, ties by number.
+
+        The cursors of all terms go through the documents together, in order. The next pivots are the next
+        blocks whose maxima add up to more than the k-th best score so far; no cursor stops in between. Of
+        equal scores the earlier document wins, so a block that can only reach that score is passed by too.
+        """
         at = np.searchsorted(self.terms, terms)
         known = at < len(self.terms)
         known[known] = self.terms[at[known]] == terms[known]
         at, weights = at[known], weights[known]
-        if not len(at):
-            return np.zeros(0, np.int64), np.zeros(0)
         lo, hi = self.term_start[at], self.term_stop[at]
         entry = _ranges(lo, hi)
         weight = np.repeat(weights, hi - lo)
         blocks = self.entry_block[entry]
         bound = np.bincount(blocks, self.entry_max[entry] * weight, self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        best, scores, floor, done, step = np.zeros(0, np.int64), np.zeros(0), 0.0, 0, max(1, 2 * k // BLOCK + 1)
-        while done < len(order) and (len(best) < k or bound[order[done]] >= floor - 1e-6):
+        best, scores, floor, cursor, step = np.zeros(0, np.int64), np.zeros(0), 0.0, 0, FIRST_STEP
+        while True:
+            pivots = cursor + np.flatnonzero(bound[cursor:] > floor)[:step]
+            if not len(pivots):
+                return best, scores
+            cursor, step = int(pivots[-1]) + 1, min(step * 2, LAST_STEP)
             take = np.zeros(self.blocks, np.bool_)
-            take[order[done : done + step]] = True
-            done, step = done + step, step * 2
+            take[pivots] = True
             mine = take[blocks]
             e, w = entry[mine], weight[mine]
             start, stop = self.entry_start[e], self.entry_stop[e]
             place = _ranges(start, stop)
-            total = np.bincount(self.doc[place], self.impact[place] * np.repeat(w, stop - start), self.n_docs)
+            first = int(pivots[0]) * BLOCK
+            total = np.bincount(self.doc[place] - first, self.impact[place] * np.repeat(w, stop - start))
             hit = np.flatnonzero(total > 0)
-            best, scores = np.concatenate([best, hit]), np.concatenate([scores, np.round(total[hit], 6)])
-            keep = np.lexsort((best, -scores))[:k]
-            best, scores = best[keep], scores[keep]
-            floor = scores[-1] if len(scores) == k else 0.0
-        return best, scores
+            best, scores = np.concatenate([best, hit + first]), np.concatenate([scores, np.round(total[hit], 6)])
+            if len(best) > k:
+                keep = np.lexsort((best, -scores))[:k]
+                best, scores = best[keep], scores[keep]
+            if len(best) == k:
+                floor = float(scores.min())
 
 
 def build_shards(rows: DataFrame, average: float, shards: int) -> DataFrame:
