@@ -13,6 +13,9 @@ from itertools import chain
 import numpy as np
 
 
+TOKENS_AT_ONCE = 100_000  # of a training set, in whole sequences
+
+
 class Ragged:
     """The features of tokens, as many of each as it has."""
 
@@ -150,21 +153,32 @@ def train(features: np.ndarray | Ragged, labels: np.ndarray, first: np.ndarray,
     """Fit by AdaGrad on the whole likelihood; ``size`` is the number of features."""
     crf = Crf(np.zeros((size, k)), np.zeros((k, k)), np.zeros(k))
     n = len(features)
-    if isinstance(features, Ragged):
-        flat, tokens = features.flat, features.tokens
-        spread = lambda g: g[tokens]
-    else:
-        flat, slots = features.T.ravel(), features.shape[1]
-        spread = lambda g: np.tile(g, slots)
-    truth = np.eye(k)[labels]
     inner = np.flatnonzero(~first[1:])
     seen_pairs = np.bincount(labels[inner] * k + labels[inner + 1], minlength=k * k).reshape(k, k)
     sums = [np.full(x.shape, 1e-8) for x in (crf.weights, crf.trans, crf.start)]
+    if isinstance(features, Ragged):
+        parts = [(0, n)]
+        places = lambda lo, hi: (features.flat, lambda g: g[features.tokens])
+        some = lambda lo, hi: features
+    else:
+        # Whole sequences each, so that little is held at once.
+        begins = np.append(np.flatnonzero(first), n)
+        cuts = np.unique(np.append(begins[np.searchsorted(begins, np.arange(0, n, TOKENS_AT_ONCE))], n)).tolist()
+        parts = list(zip([0, *cuts[1:-1]], cuts[1:], strict=True)) if len(cuts) > 1 else []
+        places = lambda lo, hi: (features[lo:hi].T.ravel(), lambda g: np.tile(g, features.shape[1]))
+        some = lambda lo, hi: features[lo:hi]
+    eye = np.eye(k)
     for _ in range(rounds):
-        p, pairs = crf.marginals(crf.scores(features), first, pairs=True)
-        gap = truth - p
-        grad = np.stack([np.bincount(flat, spread(gap[:, j]), size) for j in range(k)], axis=1)
-        for x, g, s in ((crf.weights, grad, sums[0]), (crf.trans, seen_pairs - pairs, sums[1]), (crf.start, gap[first].sum(axis=0), sums[2])):
+        grad, pairs, starts = np.zeros((size, k)), np.zeros((k, k)), np.zeros(k)
+        for lo, hi in parts:
+            p, here = crf.marginals(crf.scores(some(lo, hi)), first[lo:hi], pairs=True)
+            gap = eye[labels[lo:hi]] - p
+            flat, spread = places(lo, hi)
+            for j in range(k):
+                grad[:, j] += np.bincount(flat, spread(gap[:, j]), size)
+            pairs += here
+            starts += gap[first[lo:hi]].sum(axis=0)
+        for x, g, s in ((crf.weights, grad, sums[0]), (crf.trans, seen_pairs - pairs, sums[1]), (crf.start, starts, sums[2])):
             g = g - decay * n / max(size, 1) * x
             s += g * g
             x += rate * g / np.sqrt(s)

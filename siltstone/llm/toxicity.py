@@ -51,8 +51,8 @@ class Tokens:
         self.n_rows, parts = len(texts), []
         for b in pieces(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["t"])]), "t", slice_bytes):
             w = Words(b.column(0), IS_LETTER)
-            parts.append((w.hashes, w.counts, features(w) if with_features else np.zeros((0, 0), np.int32)))
-        self.hashes, self.counts, self.features = (np.concatenate(x) for x in zip(*parts, strict=True))
+            parts.append([w.hashes, w.counts, features(w) if with_features else np.zeros((0, 0), np.int32)])
+        self.hashes, self.counts, self.features = (np.concatenate([p.pop(0) for p in parts]) for _ in range(3))
         self.bounds = np.concatenate([[0], np.cumsum(self.counts)])
         self.starts = self.hashes
 
@@ -97,7 +97,7 @@ def label_tokens(feats: np.ndarray, words: Tokens, toxic: np.ndarray) -> np.ndar
 
     A word or affix counts once for each different word before it, so copies count once.
     """
-    doc = np.repeat(np.arange(words.n_rows), words.counts)
+    doc = np.repeat(np.arange(words.n_rows, dtype=np.int32), words.counts)
     before = np.roll(words.hashes, 1)
     seen = [np.zeros(1 << BITS), np.zeros(1 << BITS)]
     for y in (0, 1):
@@ -202,7 +202,7 @@ def tag(docs: DataFrame, model: Model | None, text: str = "text", spans: bool =
     def run(batches):
         enter("toxicity")
         m = sent.value
-        for b in pieces(batches, "__text", 2 << 20):
+        for b in pieces(batches, "__text"):
             words = Words(b.column(b.num_columns - 1), IS_LETTER)
             scores, p = m.score(words) if m else (np.zeros(b.num_rows), np.zeros(len(words.starts)))
             out = [*b.columns[:-1], pa.array(scores)]
