@@ -75,6 +75,7 @@ BINARY_SIGNATURES = [
     ("7F454C46", "Linux executable"),
 ]
 REJECTED_CONTENT_TYPES = ["image/", "video/", "audio/", "application/pdf", "application/zip", "application/x-msdownload", "application/octet-stream", "application/gzip"]
+CHARSETS = {"utf-8": "UTF-8", "utf8": "UTF-8", "us-ascii": "UTF-8", "ascii": "UTF-8", "iso-8859-1": "ISO-8859-1", "latin-1": "ISO-8859-1", "latin1": "ISO-8859-1", "utf-16le": "UTF-16LE", "utf-16be": "UTF-16BE"}
 RETRYABLE_STATUS = [408, 425, 429, 500, 502, 503, 504]
 RETRYABLE_ERRORS = ["timeout", "connection_error"]
 

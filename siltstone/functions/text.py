@@ -92,6 +92,35 @@ def page_content_type(value: Column) -> Column:
     return F.coalesce(page | ~bad, F.lit(True))
 
 
+def decode_body(body: Column, content_type: Column, most: int = 5 << 20) -> Column:
+    """(html, charset, replaced, truncated, error) of a response body.
+
+    The charset is that of the header, else of a byte-order mark, else UTF-8; one that is not known here is
+    read as UTF-8. Bytes that are none of its characters are replaced, and ``replaced`` says so. Only the
+    first ``most`` bytes are read. An empty, binary or unwanted body has an error and no text.
+    """
+    head = F.hex(F.substring(body, 1, 3))
+    named = F.lower(F.regexp_extract(content_type, r"(?i)charset\s*=\s*[\"']?([^\"';\s]+)", 1))
+    known = F.create_map(*[F.lit(x) for p in rules.CHARSETS.items() for x in p])
+    mark = F.when(head.startswith("EFBBBF"), "UTF-8").when(head.startswith("FFFE"), "UTF-16LE").when(head.startswith("FEFF"), "UTF-16BE")
+    charset = F.coalesce(known[F.nullif(named, F.lit(""))], mark, F.lit("UTF-8"))
+    part = F.substring(body, 1, most)
+    whole = part.cast("string")
+    one_byte = F.decode(part, "ISO-8859-1")
+    text = F.when(charset == "UTF-8", F.make_valid_utf8(whole)).when(charset == "ISO-8859-1", one_byte)
+    error = F.when(F.coalesce(F.octet_length(body), F.lit(0)) == 0, "empty body").when(binary_signature(body).isNotNull(), F.concat(F.lit("binary: "), binary_signature(body))).when(~page_content_type(content_type), "content type")
+    text = F.when(charset.startswith("UTF-16"), F.when(charset == "UTF-16LE", F.decode(part, "UTF-16LE")).otherwise(F.decode(part, "UTF-16BE"))).otherwise(text)
+    replaced = (charset == "UTF-8") & ~F.is_valid_utf8(whole)
+    return F.struct(
+        F.when(error.isNull(), F.regexp_replace(text, "^\ufeff", "")).alias("html"), charset.alias("charset"), (error.isNull() & replaced).alias("replaced"), (F.octet_length(body) > most).alias("truncated"), error.alias("error")
+    )
+
+
+def content_hashes(raw: Column, cleaned: Column, text: Column, structure: Column) -> Column:
+    """The four hashes that tell what of a page has changed."""
+    return F.struct(F.sha2(raw, 256).alias("raw_sha256"), F.sha2(cleaned, 256).alias("cleaned_sha256"), F.sha2(collapse(text), 256).alias("text_sha256"), structure.alias("structural_sha256"))
+
+
 def fallback_rules(html: Column, text: Column, blocked: Column) -> Column:
     """Ids of the rules that ask for a browser, the strongest first."""
     n = F.length(F.trim(text))

@@ -45,6 +45,27 @@ def select_targets(candidates: DataFrame, pages: int = rules.CRAWL_PAGES, caps:
     return both.withColumn("position", F.row_number().over(Window.partitionBy("run").orderBy("type_order", "priority", "url"))).drop("type_order")
 
 
+def robots_sitemaps(files: DataFrame, text: str = "text") -> DataFrame:
+    """(origin, sitemap, line): what robots files name as sitemaps, wherever they do."""
+    lines = files.select("origin", F.posexplode(F.split(text, r"\r\n|\r|\n")).alias("line", "l"))
+    found = F.regexp_extract("l", r"(?i)^\s*sitemap\s*:\s*([^\s#]+)", 1)
+    return lines.select("origin", found.alias("sitemap"), "line").where("sitemap <> ''")
+
+
+def robots_delays(files: DataFrame, agent: str, text: str = "text") -> DataFrame:
+    """(origin, delay) in seconds, for the agent itself or else for all; delays that are no numbers count as none."""
+    from siltstone.operators.filters import matched_delay
+
+    rows = robots_rules(files, text).where("kind = 'crawl-delay'")
+    return matched_delay(rows.select("origin", "agent", F.when(F.trim("pattern").rlike(r"^\d+(\.\d+)?$"), F.trim("pattern").cast("double")).alias("delay")), agent)
+
+
+def latest_before(targets: DataFrame, pages: DataFrame, columns: list[str], keys: list[str] = ("company", "url"), order: str = "fetched_at") -> DataFrame:
+    """Targets with columns of the latest page of their company and address."""
+    last = pages.groupBy(*keys).agg(*[F.max_by(c, order).alias(c) for c in columns])
+    return targets.join(last, list(keys), "left")
+
+
 def robots_rules(files: DataFrame, text: str = "text") -> DataFrame:
     """(origin, agent, kind, pattern, line) of robots files (origin, text).
 

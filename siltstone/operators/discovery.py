@@ -111,6 +111,28 @@ def reconcile_urls(candidates: DataFrame) -> DataFrame:
     )
 
 
+def fan_out(urls: DataFrame) -> DataFrame:
+    """A candidate for each source and anchor of an address (``run``, ``url``, ``ord``, ``sources``, ``anchors``); without anchors, one without."""
+    by_source = urls.select(*[c for c in urls.columns if c != "sources"], F.posexplode_outer("sources").alias("nth_source", "source"))
+    return by_source.select(*[c for c in by_source.columns if c != "anchors"], F.posexplode_outer("anchors").alias("nth_anchor", "anchor")).select(
+        *[c for c in urls.columns if c not in ("sources", "anchors")], "source", "anchor", F.coalesce("nth_source", F.lit(0)).alias("nth_source"), F.coalesce("nth_anchor", F.lit(0)).alias("nth_anchor")
+    )
+
+
+def in_phases(*streams: DataFrame) -> DataFrame:
+    """Candidates of several streams in a fixed order: that of the streams (``phase``), then their own (``ord``)."""
+    out = streams[0].withColumn("phase", F.lit(0))
+    for k, s in enumerate(streams[1:], 1):
+        out = out.unionByName(s.withColumn("phase", F.lit(k)), allowMissingColumns=True)
+    return out
+
+
+def with_discovered(targets: DataFrame, urls: DataFrame, columns: list[str], url: str = "url", order: str = "ord") -> DataFrame:
+    """Targets with columns of the first discovered address of the same normal form; null where there is none."""
+    first = urls.groupBy(url).agg(*[F.min_by(c, order).alias(c) for c in columns])
+    return targets.join(first, url, "left")
+
+
 def first_candidates(candidates: DataFrame, most: int = 2000) -> DataFrame:
     """The first ``most`` candidates of each run, before merging."""
     return candidates.withColumn("_n", F.row_number().over(Window.partitionBy("run").orderBy("ord"))).where(F.col("_n") <= most).drop("_n")

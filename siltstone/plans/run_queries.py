@@ -337,3 +337,44 @@ def shop_candidates(spark, d):
 def count_facts(spark, d):
     c = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("company"), F.lit("catalogue.product_count").alias("field"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_partkey") % 6).cast("string").alias("value"), (F.col("l_linenumber") % 2 == 0).alias("exact"), (F.lit(60) + F.col("l_suppkey") % 40).alias("confidence"))
     return reconcile.numeric(c).select("company", "field", "status")
+
+
+@query(
+    """WITH u AS (SELECT event_id, user_id AS run, CASE WHEN event_id % 4 = 0 THEN [] ELSE [event_type, 'nav'] END AS s, CASE WHEN event_id % 3 = 0 THEN [] ELSE ['a', props] END AS a FROM events),
+ x AS (SELECT event_id, run, unnest(CASE WHEN len(s) = 0 THEN [NULL] ELSE s END) AS source, generate_subscripts(CASE WHEN len(s) = 0 THEN [NULL] ELSE s END, 1)::INT - 1 AS nth_source, a FROM u)
+ SELECT event_id, run, source, unnest(CASE WHEN len(a) = 0 THEN [NULL] ELSE a END) AS anchor, nth_source, generate_subscripts(CASE WHEN len(a) = 0 THEN [NULL] ELSE a END, 1)::INT - 1 AS nth_anchor FROM x"""
+)
+def candidate_fan_out(spark, d):
+    from siltstone.operators import discovery
+
+    k, none = F.col("event_id"), F.array().cast("array<string>")
+    u = _t(spark, d, "events").select(k, F.col("user_id").alias("run"), F.when(k % 4 == 0, none).otherwise(F.array("event_type", F.lit("nav"))).alias("sources"), F.when(k % 3 == 0, none).otherwise(F.array(F.lit("a"), "props")).alias("anchors"))
+    return discovery.fan_out(u)
+
+
+@query(
+    "WITH c AS (SELECT 0 AS phase, event_id AS ord, user_id AS run, event_type AS source FROM events UNION ALL SELECT 1, o_orderkey, o_custkey, o_orderstatus FROM orders UNION ALL SELECT 2, c_custkey, c_custkey % 50, 'sitemap' FROM customer)"
+    " SELECT run, source, phase, ord FROM c QUALIFY row_number() OVER (PARTITION BY run ORDER BY phase, ord) <= 3"
+)
+def candidate_streams(spark, d):
+    from siltstone.operators import discovery
+
+    e = _t(spark, d, "events").select(F.col("event_id").alias("ord"), F.col("user_id").alias("run"), F.col("event_type").alias("source"))
+    o = _t(spark, d, "orders").select(F.col("o_orderkey").alias("ord"), F.col("o_custkey").alias("run"), F.col("o_orderstatus").alias("source"))
+    c = _t(spark, d, "customer").select(F.col("c_custkey").alias("ord"), (F.col("c_custkey") % 50).alias("run"), F.lit("sitemap").alias("source"))
+    both = discovery.in_phases(e, o, c).withColumnRenamed("ord", "own").withColumn("ord", F.struct("phase", "own"))
+    return discovery.first_candidates(both, 3).select("run", "source", "phase", F.col("own").alias("ord"))
+
+
+@query(
+    """WITH u AS (SELECT event_type || (event_id % 50)::VARCHAR AS url, event_id, user_id FROM events), f AS (SELECT url, arg_min(user_id, event_id) AS user_id FROM u GROUP BY 1), p AS (SELECT o_custkey AS company, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus FROM orders GROUP BY 1)
+ SELECT c_custkey, f.user_id, p.o_orderstatus FROM customer LEFT JOIN f ON f.url = 'view' || (c_custkey % 70)::VARCHAR LEFT JOIN p ON p.company = c_custkey"""
+)
+def target_lookups(spark, d):
+    from siltstone.operators import crawl, discovery
+
+    targets = _t(spark, d, "customer").select("c_custkey", F.concat(F.lit("view"), F.col("c_custkey") % 70).alias("url"), F.col("c_custkey").alias("company"))
+    urls = _t(spark, d, "events").select(F.concat("event_type", F.col("event_id") % 50).alias("url"), F.col("event_id").alias("ord"), "user_id")
+    pages = _t(spark, d, "orders").select(F.col("o_custkey").alias("company"), F.col("o_orderkey").alias("fetched_at"), "o_orderstatus")
+    found = discovery.with_discovered(targets, urls, ["user_id"])
+    return crawl.latest_before(found, pages, ["o_orderstatus"], keys=["company"]).select("c_custkey", "user_id", "o_orderstatus")

@@ -225,3 +225,33 @@ def test_long_texts_are_marked(monkeypatch):
 
     monkeypatch.setattr(html_pages, "TEXT_LIMIT", 10)
     assert [parse_page(f"<p>{'x' * n}</p>")["truncated"] for n in (10, 11)] == [False, True]
+
+
+def test_bodies(spark):
+    from siltstone.functions import text
+
+    rows = [
+        (1, "é ü".encode(), "text/html; charset=utf-8"), (2, "é ü".encode("latin-1"), "text/html; charset=ISO-8859-1"), (3, b"\xff\xfe" + "hé".encode("utf-16-le"), None), (4, b"\xef\xbb\xbfab", "text/html"),
+        (5, b"a\xffb", "text/html; charset=unheard-of"), (6, b"", "text/html"), (7, None, None), (8, b"%PDF-1.4 x", "text/html"), (9, b"abc", "image/png"), (10, b"x" * 50, "text/html"),
+    ]
+    df = spark.createDataFrame(rows, "k int, body binary, kind string").select("k", text.decode_body(F.col("body"), F.col("kind"), 40).alias("d"))
+    got = {r["k"]: r["d"] for r in df.collect()}
+    assert [got[k]["html"] for k in (1, 2, 3, 4)] == ["é ü", "é ü", "hé", "ab"] and [got[k]["charset"] for k in (1, 2, 3)] == ["UTF-8", "ISO-8859-1", "UTF-16LE"]
+    assert got[5]["html"] == "a�b" and got[5]["replaced"] and not got[1]["replaced"]
+    assert got[6]["error"] == got[7]["error"] == "empty body" and got[8]["error"].startswith("binary") and got[9]["error"] == "content type" and got[9]["html"] is None
+    assert got[10]["truncated"] and got[10]["html"] == "x" * 40
+
+
+def test_robots_sitemaps_and_delays(spark):
+    from siltstone.operators import crawl
+
+    a = "Sitemap: http://a.co/s.xml # main\nUser-agent: *\nCrawl-delay: 2.5\nDisallow: /x\n  SITEMAP:http://a.co/t.xml\nUser-agent: Silt\nCrawl-delay: soon\n"
+    b = "User-agent: silt\nCrawl-delay: 4\nUser-agent: *\nDisallow:\nCrawl-delay: 9"
+    files = spark.createDataFrame([("a", a), ("b", b), ("c", ""), ("d", None)], "origin string, text string")
+    assert {(r["origin"], r["sitemap"]) for r in crawl.robots_sitemaps(files).collect()} == {("a", "http://a.co/s.xml"), ("a", "http://a.co/t.xml")}
+    assert {(r["origin"], r["delay"]) for r in crawl.robots_delays(files, "silt").collect()} == {("a", 2.5), ("b", 4.0)}
+
+
+def test_page_meta_of_robots():
+    r = parse_page("<meta name='Robots' content='noindex'><meta property='og:title' content='T'>")
+    assert (r["robots"], r["og_title"]) == ("noindex", "T")
