@@ -69,38 +69,38 @@ def _ranges(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
 class Index:
     """The inverted index of a shard: postings by term and document, in blocks with their maxima.
 
-    Documents are numbered in the order of their keys, so ties go by number.
+    Documents are numbered in the order of their keys, so ties go by number. Stored are the documents'
+    lengths and, of each term in order, its number of postings, their documents and frequencies; the blocks
+    and their greatest impacts follow from these when a shard is opened.
     """
 
-    FIELDS = ("terms", "term_start", "entry_start", "entry_block", "entry_max", "doc", "impact")
-    KINDS = "terms array<long>, term_start array<int>, entry_start array<int>, entry_block array<int>, entry_max array<double>, doc array<int>, impact array<double>"
+    FIELDS = ("lengths", "terms", "counts", "doc", "tf")
+    KINDS = "lengths array<int>, terms array<long>, counts array<int>, doc array<int>, tf array<int>"
 
-    def __init__(self, n_docs: int, terms, term_start, entry_start, entry_block, entry_max, doc, impact):
-        self.n_docs, self.terms, self.entry_block, self.entry_max, self.doc, self.impact = n_docs, terms, entry_block, entry_max, doc, impact
-        self.term_start, self.term_stop = term_start, np.append(term_start[1:], len(entry_block))
-        self.entry_start, self.entry_stop = entry_start, np.append(entry_start[1:], len(doc))
-        self.blocks = -(-n_docs // BLOCK)
-
-    @classmethod
-    def build(cls, lengths: np.ndarray, counts: np.ndarray, terms: np.ndarray, tfs: np.ndarray, average: float) -> Index:
-        """From the documents' lengths, numbers of distinct terms, terms and frequencies."""
-        doc = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
-        order = np.argsort(terms, kind="stable")
-        terms, doc = terms[order], doc[order]
-        tf = tfs[order].astype(np.float64)
-        impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / average))
+    def __init__(self, lengths: np.ndarray, terms: np.ndarray, counts: np.ndarray, doc: np.ndarray, tf: np.ndarray, average: float):
+        self.terms, self.doc, self.n_docs = terms, doc, len(lengths)
+        self.blocks = -(-self.n_docs // BLOCK)
+        norm = K1 * (1 - B + B * lengths / average)
+        self.impact = tf * (K1 + 1) / (tf + norm[doc])
+        at = np.cumsum(counts) - counts
         block = doc // BLOCK
-        new_term = np.ones(len(terms), np.bool_)
-        new_term[1:] = terms[1:] != terms[:-1]
-        new_block = new_term.copy()
-        new_block[1:] |= block[1:] != block[:-1]
-        entry_start = np.flatnonzero(new_block)
-        at = np.flatnonzero(new_term)
-        entry_max = np.maximum.reduceat(impact, entry_start) if len(terms) else np.zeros(0)
-        return cls(len(counts), terms[at], np.searchsorted(entry_start, at).astype(np.int32), entry_start.astype(np.int32), block[entry_start], entry_max, doc, impact)
-
-    def lists(self) -> list:
-        return [getattr(self, f) for f in self.FIELDS]
+        new = np.ones(len(doc), np.bool_)
+        new[1:] = block[1:] != block[:-1]
+        new[at] = True
+        self.entry_start = np.flatnonzero(new).astype(np.int32)
+        self.entry_stop = np.append(self.entry_start[1:], np.int32(len(doc)))
+        self.entry_block = block[self.entry_start]
+        self.entry_max = np.maximum.reduceat(self.impact, self.entry_start) if len(doc) else np.zeros(0)
+        self.term_start = np.searchsorted(self.entry_start, at)
+        self.term_stop = np.append(self.term_start[1:], len(self.entry_start))
+
+    @staticmethod
+    def sort(sizes: np.ndarray, terms: np.ndarray, tfs: np.ndarray) -> list[np.ndarray]:
+        """(terms, counts, doc, tf) from the documents' numbers of distinct terms, their terms and frequencies."""
+        doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        order = np.argsort(terms, kind="stable")
+        distinct, counts = np.unique(terms, return_counts=True)
+        return [distinct, counts.astype(np.int32), doc[order], tfs[order]]
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(documents, scores) of the best k of the shard, ties by number.
@@ -141,7 +141,7 @@ class Index:
                 floor = float(scores.min())
 
 
-def build_shards(rows: DataFrame, average: float, shards: int) -> DataFrame:
+def build_shards(rows: DataFrame, shards: int) -> DataFrame:
     """A row per shard: its documents' keys in order, and its index. Written to the shared folder."""
     kind = rows.schema["id"].dataType
     shard = F.pmod(F.xxhash64("id", "terms"), F.lit(shards)).cast("int")
@@ -149,28 +149,27 @@ def build_shards(rows: DataFrame, average: float, shards: int) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         enter("search")
-        table = table.combine_chunks()
-        table = table.take(pc.sort_indices(table, sort_keys=[("id", "ascending")]))  # null last
-        lists = table["terms"].combine_chunks()
-        index = Index.build(table["n"].to_numpy().astype(np.float64), lists.value_lengths().to_numpy(zero_copy_only=False), lists.flatten().to_numpy(), table["tfs"].combine_chunks().flatten().to_numpy(), average)
-        ids = table["id"].combine_chunks()
+        table = table.take(pc.sort_indices(table, sort_keys=[("id", "ascending")])).combine_chunks()  # null last
+        lists, ids = table["terms"].combine_chunks(), table["id"].combine_chunks()
+        made = [table["n"].to_numpy().astype(np.int32), *Index.sort(lists.value_lengths().to_numpy(zero_copy_only=False), lists.flatten().to_numpy(), table["tfs"].combine_chunks().flatten().to_numpy())]
         columns = [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)]
-        columns += [list_array(x, np.array([len(x)]), pa.from_numpy_dtype(x.dtype)) for x in index.lists()]
+        columns += [list_array(x, np.array([len(x)]), pa.from_numpy_dtype(x.dtype)) for x in made]
         return pa.table(columns, names=["ids", *Index.FIELDS])
 
-    mine = rows.where("n > 0").select(shard.alias("shard"), "id", "n", "terms", "tfs")
+    # A file for each shard or two: a reader holds little at once.
+    mine = rows.where("n > 0").select(shard.alias("shard"), "id", "n", "terms", "tfs").repartition(shards, "shard")
     return materialize(mine.groupBy("shard").applyInArrow(run, schema), "index")
 
 
 def pack_queries(asked: DataFrame, df: DataFrame, n: int, blocks: int) -> DataFrame:
-    """Rows of many queries each: (rows, counts, terms, weights), terms with their weights. Written to the shared folder."""
+    """Rows of many queries each: (rows, sizes, terms_of, weights), terms with their weights. Written to the shared folder."""
     idf = F.log1p((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     entries = asked.select("row", F.explode(F.arrays_zip("terms", "tfs")).alias("t")).select("row", F.col("t.terms").alias("term"), F.col("t.tfs").alias("tf"))
     weighted = entries.join(df, "term").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("term", (idf * F.col("tf")).alias("w")))).alias("t"))
     part = F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")
     packed = weighted.groupBy(part.alias("part")).agg(F.collect_list(F.struct("row", "t")).alias("q"))
     return materialize(
-        packed.select(F.col("q.row").alias("rows"), F.transform("q", lambda x: F.size(x["t"])).alias("counts"), F.flatten(F.transform("q", lambda x: x["t"].getField("term"))).alias("terms_of"), F.flatten(F.transform("q", lambda x: x["t"].getField("w"))).alias("weights")), "queries"
+        packed.select(F.col("q.row").alias("rows"), F.transform("q", lambda x: F.size(x["t"])).alias("sizes"), F.flatten(F.transform("q", lambda x: x["t"].getField("term"))).alias("terms_of"), F.flatten(F.transform("q", lambda x: x["t"].getField("w"))).alias("weights")), "queries"
     )
 
 
@@ -183,7 +182,7 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id",
     needed = asked.select(F.explode("terms").alias("term")).distinct()
     df = rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")).join(needed, "term", "left_semi")
     packed = pack_queries(asked, df, n, max(1, -(-asked.count() // QUERY_BLOCK)))
-    index = build_shards(rows, average, max(1, -(-n // SHARD_DOCS)))
+    index = build_shards(rows, max(1, -(-n // SHARD_DOCS)))
     drop(rows)
     kind = docs.schema[key].dataType.simpleString()
 
@@ -196,10 +195,10 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id",
             c = {name: b.column(j) for j, name in enumerate(b.schema.names)}
             for i in range(b.num_rows):
                 ids = flat_list(c["ids"], i)
-                index_ = Index(len(ids), *(flat_list(c[f], i).to_numpy(zero_copy_only=False) for f in Index.FIELDS))
-                asked_rows, counts, terms, weights = (flat_list(c[f], i).to_numpy(zero_copy_only=False) for f in ("rows", "counts", "terms_of", "weights"))
+                index_ = Index(*(flat_list(c[f], i).to_numpy(zero_copy_only=False) for f in Index.FIELDS), average)
+                asked_rows, sizes, terms, weights = (flat_list(c[f], i).to_numpy(zero_copy_only=False) for f in ("rows", "sizes", "terms_of", "weights"))
                 found, at = [], 0
-                for row, end in zip(asked_rows.tolist(), np.cumsum(counts).tolist(), strict=True):
+                for row, end in zip(asked_rows.tolist(), np.cumsum(sizes).tolist(), strict=True):
                     best, scores = index_.search(terms[at:end], weights[at:end], k)
                     at = end
                     found.append((np.full(len(best), row), best, scores))
