@@ -75,8 +75,8 @@ def _bitmap(terms: DataFrame) -> bytes:
     at = terms.select(F.explode("terms").alias("t")).select((F.col("t").bitwiseAND(BITMAP - 1)).cast("int").alias("at"))
     bits = np.zeros(BITMAP // 8, np.uint8)
     # Bytes of the bitmap, each the OR of its bits: at most BITMAP / 8 small rows.
-    for row in at.groupBy((F.col("at") / 8).cast("int").alias("byte")).agg(F.expr("bit_or(shiftleft(1, at % 8))").alias("v")).toLocalIterator():
-        bits[row["byte"]] = row["v"]
+    found = at.groupBy((F.col("at") / 8).cast("int").alias("byte")).agg(F.expr("bit_or(shiftleft(1, at % 8))").alias("v")).toPandas()
+    bits[found["byte"].to_numpy(np.int64)] = found["v"].to_numpy(np.int64)
     return bits.tobytes()
 
 
