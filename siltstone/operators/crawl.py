@@ -23,7 +23,8 @@ def select_targets(candidates: DataFrame, pages: int = rules.CRAWL_PAGES, caps:
 
     ``candidates``: run, url, ord, page_type, priority, depth, preferred. Priority 1 and included URLs
     always stay; the rest fills up by priority, type, depth, source and URL under the caps of their
-    categories (collections and categories share one). Caps are window ranks, so a run of any size is one plan.
+    categories (collections and categories share one). Caps are window ranks under a fixed limit, so of a run of
+    any size only the first ``pages`` of each category leave a task.
     """
     caps = caps or rules.CRAWL_CAPS
     order = F.coalesce(_map({t: i for i, t in enumerate(rules.CRAWL_ORDER)})[F.col("page_type")], F.lit(len(rules.CRAWL_ORDER)))
@@ -36,11 +37,11 @@ def select_targets(candidates: DataFrame, pages: int = rules.CRAWL_PAGES, caps:
     cap = F.coalesce(_map({k: v for k, v in caps.items() if k != "category"})[F.col("category")], F.lit(1 << 30))
     fill = ["priority", "type_order", "depth", (~F.col("preferred")).cast("int"), "url"]
     pool = known.where(~F.col("always")).withColumn("category", category).withColumn("cap", cap)
-    pool = pool.withColumn("_c", F.row_number().over(Window.partitionBy("run", F.coalesce("category", F.lit("-"))).orderBy(*fill))).where("_c <= cap")
+    pool = pool.withColumn("_c", F.row_number().over(Window.partitionBy("run", F.coalesce("category", F.lit("-"))).orderBy(*fill))).where((F.col("_c") <= F.lit(pages)) & (F.col("_c") <= F.col("cap")))
     fixed = known.where("always")
     room = fixed.groupBy("run").agg(F.count("*").alias("fixed"))
     pool = pool.join(room, "run", "left").withColumn("_t", F.row_number().over(Window.partitionBy("run").orderBy(*fill)))
-    pool = pool.where(F.col("_t") <= F.lit(pages) - F.coalesce("fixed", F.lit(0)))
+    pool = pool.where((F.col("_t") <= F.lit(pages)) & (F.col("_t") <= F.lit(pages) - F.coalesce("fixed", F.lit(0))))
     both = fixed.select("run", "url", "page_type", "priority", "depth", "type_order").unionByName(pool.select("run", "url", "page_type", "priority", "depth", "type_order"))
     return both.withColumn("position", F.row_number().over(Window.partitionBy("run").orderBy("type_order", "priority", "url"))).drop("type_order")
 

@@ -96,9 +96,11 @@ def reconcile_urls(candidates: DataFrame) -> DataFrame:
     ``candidates``: run, url, ord, page_type, confidence, priority, depth, source, anchor, same_domain.
     """
     def ordered(c):
-        return F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("ord", c)))), lambda s: s[c]))
+        # Distinct values first: a home page that every page links to has few anchors, but very many links.
+        distinct = candidates.where(F.col(c).isNotNull()).groupBy("run", "url", c).agg(F.min("ord").alias("ord"))
+        return distinct.groupBy("run", "url").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", c))), lambda s: s[c]).alias(f"{c}s"))
 
-    return candidates.groupBy("run", "url").agg(
+    rows = candidates.groupBy("run", "url").agg(
         F.max_by("page_type", F.struct("confidence", (-F.col("ord")).alias("o"))).alias("page_type"),
         F.max("confidence").alias("confidence"),
         F.min("priority").alias("priority"),
@@ -106,9 +108,11 @@ def reconcile_urls(candidates: DataFrame) -> DataFrame:
         F.bool_or("same_domain").alias("same_domain"),
         F.count("*").alias("merged"),
         F.min("ord").alias("first_ord"),
-        ordered("source").alias("sources"),
-        ordered("anchor").alias("anchors"),
     )
+    none = F.array().cast("array<string>")
+    for c in ("source", "anchor"):
+        rows = rows.join(ordered(c), ["run", "url"], "left").withColumn(f"{c}s", F.coalesce(f"{c}s", none))
+    return rows
 
 
 def fan_out(urls: DataFrame) -> DataFrame:

@@ -41,6 +41,12 @@ def transitions(events: DataFrame, allowed: dict[str, list[str]], key: str, orde
 
 
 def import_rows(rows: DataFrame, domain: str = "domain", order: str = "row_number", batch: str = "batch") -> DataFrame:
-    """Adds ``outcome``: invalid without a domain, duplicate behind the first of its domain, else importable."""
-    w = Window.partitionBy(batch, domain).orderBy(order)
-    return rows.withColumn("outcome", F.when(F.col(domain).isNull(), "invalid").when(F.row_number().over(w) > 1, "duplicate").otherwise("importable"))
+    """Adds ``outcome``: invalid without a domain, duplicate behind the first of its domain, else importable.
+
+    ``order`` is unique within a batch. Domains are aggregated and joined back, so that neither rows without
+    one nor a very frequent one end up in one task.
+    """
+    first = rows.where(F.col(domain).isNotNull()).groupBy(batch, domain).agg(F.min(order).alias("_first"))
+    both = rows.join(first, [batch, domain], "left")
+    outcome = F.when(F.col(domain).isNull(), "invalid").when(F.col(order) > F.col("_first"), "duplicate").otherwise("importable")
+    return both.withColumn("outcome", outcome).select(*rows.columns, "outcome")
