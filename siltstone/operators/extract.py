@@ -155,7 +155,8 @@ def trading_name(pages: DataFrame) -> DataFrame:
     footer = F.regexp_replace(F.regexp_extract("cleaned", r"(?is)<footer[^>]*>(.*?)</footer>", 1), "<[^>]+>", " ")
 
     def said(column):
-        return F.trim(F.regexp_extract(column, f"(?iU){rules.TRADING_AS}", 1))
+        # The pattern runs only where a part of its first word is found.
+        return F.when(F.contains(F.lower(column), F.lit("trad")), F.trim(F.regexp_extract(column, f"(?iU){rules.TRADING_AS}", 1))).otherwise(F.when(column.isNotNull(), ""))
 
     return reduce(
         DataFrame.unionByName,
@@ -183,7 +184,7 @@ def people(pages: DataFrame) -> DataFrame:
 
 def wording(pages: DataFrame) -> DataFrame:
     found = [F.when(F.col("text").rlike(f"(?iU){'|'.join(ps)}"), F.struct(F.lit(f).alias("f"), F.lit(v).alias("v"), F.lit(c).alias("c"))) for f, v, c, ps in rules.WORDING_RULES]
-    ai = F.lower("text").rlike("|".join(rules.AI_WORDS))
+    ai = reduce(lambda a, b: a | b, [F.contains(F.lower("text"), F.lit(w)) for w in rules.AI_WORDS])
     found.append(F.when(ai, F.struct(F.lit("technology.ai_signals").alias("f"), F.regexp_extract(F.lower("text"), f"({'|'.join(rules.AI_WORDS)})", 1).alias("v"), F.lit(55).alias("c"))))
     hit = pages.select("host", "page_id", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("x"))
     return hit.select(F.col("host").alias("company"), F.col("x.f").alias("field"), F.col("x.v").alias("value"), F.col("x.c").cast("int").alias("confidence"), F.lit("html_element").alias("source"), "page_id")
