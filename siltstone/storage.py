@@ -24,17 +24,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def _shuffles_end_with_the_query(spark: SparkSession):
-    """A written table needs its shuffles no more: Spark deletes their files when the write ends."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Settings of the session that hold for what is run inside."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def materialize(df: DataFrame, label: str = "t") -> DataFrame:
@@ -44,7 +46,8 @@ def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/siltstone/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    with _shuffles_end_with_the_query(spark):
+    # A written table needs its shuffles no more: Spark deletes their files when the write ends.
+    with settings(spark, {_CLEANUP: "true"}):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._siltstone_path = path
