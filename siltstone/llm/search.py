@@ -28,12 +28,12 @@ from pyspark.sql import functions as F
 from siltstone.llm.decontaminate import IS_WORD
 from siltstone.llm.resident import enter
 from siltstone.llm.textbytes import Words, list_array, pieces
-from siltstone.storage import drop, materialize
+from siltstone.storage import drop, materialize, settings
 
 K1, B = 1.2, 0.75
 BLOCK = 32
-SHARD_DOCS = 8192
-QUERY_BLOCK = 1024
+SHARD_DOCS = 4096
+QUERY_BLOCK = 512
 FIRST_STEP, LAST_STEP = 2, 32  # pivots that are scored at once, before the k-th best score is looked at again
 
 
@@ -206,8 +206,10 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id",
                     row, best, scores = (np.concatenate(x) for x in zip(*found, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(row), ids.take(pa.array(best)), pa.array(scores)], ["row", "found", "score"])
 
-    # Each block of queries meets each shard once.
-    found = index.crossJoin(packed).mapInArrow(run, f"row long, found {kind}, score double")
+    # Each block of queries meets each shard once. The rows are large: few are read and sent at a time.
+    with settings(docs.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "1", "spark.sql.parquet.columnarReaderBatchSize": "4"}):
+        found = materialize(index.crossJoin(packed).mapInArrow(run, f"row long, found {kind}, score double"), "found")
+    drop(index, packed)
     rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), F.asc_nulls_last("found")))
     best = found.withColumn("rank", rank).where(F.col("rank") <= k)
     names = asked.select("row", F.col("id").alias("query"))
