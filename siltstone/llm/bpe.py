@@ -473,8 +473,10 @@ def _codec(path: str, pattern: str) -> Codec:
 def encode_decode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", ids: bool = True) -> DataFrame:
     """The rows of ``docs`` with n_tokens, ids_sha256, decoded_text, decoded_sha256 (and ids).
 
-    A null text is an empty one: no tokens, an empty decoded text. Columns of ``docs`` whose names
-    clash with the new ones are replaced.
+    Defined cases: a null text is an empty one, with no tokens and an empty decoded text; very long texts are
+    encoded whole, in slices of their own; a very long piece takes a step of the transducer for each byte;
+    repeated rows get equal results; an empty table gives an empty result; other columns pass, but for those
+    whose names clash with the new ones, which are replaced.
     """
     from pyspark.sql import types as T
 

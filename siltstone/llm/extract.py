@@ -4,8 +4,9 @@ The model is trained on the labelled pages of ``html_training``; Viterbi picks t
 article. What can hold no article text (scripts, styles, head, form lists) makes no blocks.
 
 Defined cases: a null or empty page, or one without article blocks, has an empty text; unclosed tags,
-stray tags and cut-off pages are read as far as they go; repeated rows get equal results; columns whose
-names clash with the new ones are replaced.
+stray tags and cut-off pages are read as far as they go; very long pages are read whole, in slices of their
+own; repeated rows get equal results; an empty table gives an empty result; other columns pass, but for
+those whose names clash with the new ones, which are replaced.
 """
 
 from __future__ import annotations

@@ -5,9 +5,10 @@ A file is one self-contained blob: a table of its documents (id, number of ids)
 of their ids, which answers access, count and occurrence lookups without unpacking. Files are rows of
 a Parquet table, so that they live wherever Spark can write; ``export`` puts them into single files.
 
-Defined cases: a null text is empty, and an empty document still has its end id; rows that share an
-id stand side by side, ordered by a hash of the text; a null id comes first; an empty table has no
-files; other columns are ignored.
+Defined cases: a null text is empty, and an empty document still has its end id; a very long text is
+encoded whole and stays in one file, however large; rows that share an id stand side by side, ordered by a
+hash of the text; repeated rows are separate documents; a null id comes first; an empty table has no files;
+other columns are ignored; an id that does not fit the planes fails the write.
 """
 
 from __future__ import annotations

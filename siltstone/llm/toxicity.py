@@ -12,8 +12,8 @@ hash of the key; of a key that repeats one text, and toxic if any of its labels
 
 Defined cases: a null or wordless text scores as one without toxic tokens and has no spans; a null key
 counts as an empty text where its CRC is taken; labels that are null are not learnt from; without
-labelled rows of both classes every score is 0; repeated rows get equal results; other columns are
-ignored.
+labelled rows of both classes every score is 0; very long texts are scored whole, in slices of their own; repeated
+rows get equal results; an empty table gives an empty result; other columns pass.
 """
 
 from __future__ import annotations

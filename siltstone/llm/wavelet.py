@@ -18,6 +18,8 @@ class WaveletMatrix:
 
     @classmethod
     def build(cls, ids: np.ndarray, width: int) -> WaveletMatrix:
+        if len(ids) and int(ids.max()) >> width:
+            raise ValueError(f"ids need more than {width} bit-planes")
         cur = ids.astype(np.uint16 if width <= 16 else np.uint32)
         planes, ranks, zeros = [], [], []
         for shift in range(width - 1, -1, -1):

@@ -238,3 +238,11 @@ def test_broken_markup_takes_linear_time():
         began = time.process_time()
         blocks(part * (300_000 // len(part)))
         assert time.process_time() - began < 8
+
+
+def test_ids_that_do_not_fit():
+    from siltstone.llm.wavelet import WaveletMatrix
+
+    assert WaveletMatrix.build(np.array([1, 65535], "<u4"), 16).tokens().tolist() == [1, 65535]
+    with pytest.raises(ValueError, match="bit-planes"):
+        WaveletMatrix.build(np.array([65536], "<u4"), 16)
