@@ -51,8 +51,58 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit, 0)
 FROM docs d LEFT JOIN hits h USING (doc_id) LEFT JOIN named i USING (doc_id)
 """
 
+_ROUND = """
+near{r} AS (
+    SELECT rid, CAST(min(d * 16 + c) % 16 AS BIGINT) AS c, min(d) AS d FROM (
+        SELECT p.rid, q.c, sum((p.x - q.x) * (p.x - q.x)) AS d FROM parts p JOIN at{r} q USING (i) GROUP BY p.rid, q.c) GROUP BY rid)"""
+_MOVE = """
+means{r} AS (SELECT n.c, p.i, CAST(floor(CAST(sum(p.x) AS DOUBLE) / count(*)) AS BIGINT) AS x FROM near{r} n JOIN parts p USING (rid) GROUP BY n.c, p.i),
+at{s} AS (SELECT a.c, a.i, coalesce(m.x, a.x) AS x FROM at{r} a LEFT JOIN means{r} m USING (c, i))"""
+
+#: Three rounds, each with all distances.
+CENTROIDS = f"""
+WITH kept AS (
+    SELECT vec_id, row_number() OVER () AS rid, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (SELECT rid, unnest(v) AS x, unnest(range(64)) AS i FROM kept),
+firsts AS (SELECT v, row_number() OVER (ORDER BY sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')), v) - 1 AS c FROM kept QUALIFY c < 16),
+at0 AS (SELECT c, unnest(v) AS x, unnest(range(64)) AS i FROM firsts),{",".join(_ROUND.format(r=r) + "," + _MOVE.format(r=r, s=r + 1) for r in range(3))},{_ROUND.format(r=3)},
+digests AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM at3 GROUP BY c)
+SELECT k.vec_id, CAST(n.c AS INTEGER) AS cluster, CAST(n.d AS BIGINT) AS distance, CAST(sum(n.d) OVER (PARTITION BY n.c) AS BIGINT) AS cluster_inertia,
+    CAST(sum(n.d) OVER () AS BIGINT) AS inertia, g.centroid_sha256
+FROM kept k JOIN near3 n USING (rid) JOIN digests g ON n.c = g.c
+"""
+
+#: CRC-32 byte by byte, over a table made from its polynomial.
+RESAMPLING = f"""
+WITH tab AS (
+    SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(CAST(b AS BIGINT), list_transform(range(8), lambda k: CAST(k AS BIGINT))),
+        lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+docs AS (SELECT doc_id, {_WORDS9} AS w, row_number() OVER () AS rid FROM documents),
+uses AS (SELECT rid, unnest(w) AS word FROM docs),
+aims AS (SELECT unnest({_WORDS9}) AS word FROM benchmark),
+vocabulary AS (SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM uses UNION SELECT word FROM aims)),
+buckets AS (
+    SELECT word, xor(list_reduce(list_prepend(4294967295, list_transform(range(len(h) // 2), lambda k: CAST('0x' || h[2 * k + 1:2 * k + 2] AS BIGINT))),
+        lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) % 10000 AS bucket FROM vocabulary, tab),
+s AS (SELECT bucket, count(*) AS s FROM uses JOIN buckets USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM aims JOIN buckets USING (word) GROUP BY bucket),
+gain AS (
+    SELECT bucket, CAST(floor(1000 * ln((CAST(coalesce(t, 0) + 1 AS DOUBLE) * CAST((SELECT count(*) FROM uses) + 10000 AS DOUBLE))
+        / (CAST(s + 1 AS DOUBLE) * CAST((SELECT count(*) FROM aims) + 10000 AS DOUBLE)))) AS BIGINT) AS g FROM s LEFT JOIN t USING (bucket)),
+sums AS (SELECT rid, sum(g) AS g FROM uses JOIN buckets USING (word) JOIN gain USING (bucket) GROUP BY rid),
+scores AS (
+    SELECT d.doc_id, d.rid, CAST(len(w) AS BIGINT) AS n_features, coalesce(CAST(g // len(w) - CASE WHEN g < 0 AND g % len(w) <> 0 THEN 1 ELSE 0 END AS BIGINT), 0) AS weight,
+        CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS noise
+    FROM docs d LEFT JOIN sums USING (rid)),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY n_features >= 20 ORDER BY weight + noise DESC, doc_id) AS BIGINT) AS r, count(*) OVER (PARTITION BY n_features >= 20) AS n FROM scores)
+SELECT doc_id, n_features, weight, weight + noise AS score, CASE WHEN n_features >= 20 AND r <= 10 * n // 100 THEN r END AS rank FROM ranked
+"""
+
 ORACLE_SQL = {
     "op1_near_duplicates": NEAR_DUPLICATES,
     "op3_top_k_search": TOP_K,
     "op9_decontamination": DECONTAMINATION,
+    "op11_centroid_clustering": CENTROIDS,
+    "op12_importance_resampling": RESAMPLING,
 }
