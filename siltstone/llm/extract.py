@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.crf import Crf, Ragged, train
-from siltstone.llm.html_blocks import BITS, blocks
+from siltstone.llm.html_blocks import BITS, Blocks, blocks, leaf_blocks
 from siltstone.llm.html_training import labelled_pages
 from siltstone.llm.resident import enter
 from siltstone.llm.textbytes import pieces
@@ -50,6 +50,22 @@ def training_set(n: int = 900, seed: int = 11) -> tuple[Ragged, np.ndarray, np.n
     return Ragged(feats), np.array(labels), _firsts(counts)
 
 
+def _scores(crf: Crf, found: list[Blocks]) -> np.ndarray:
+    """The labels' scores of all blocks: of their own features, and of their ancestors' as running sums.
+
+    Weights count in whole units of 2**-20, so sums are exact, whatever order they are made in.
+    """
+    unit, before = np.round(crf.weights * 2.0**20), np.cumsum([0, *(len(x) for x in found)])
+    own = Crf(unit, crf.trans, crf.start).scores(Ragged([f for x in found for _, f in x]))
+    moved = [(i + b, f, sign) for x, b in zip(found, before.tolist()) for i, f, sign in [*x.changes, *((len(x), f, -1) for f in x.left())]]
+    if moved:
+        at, feature, sign = np.array(moved).T
+        delta = np.zeros((len(own) + 1, crf.k))
+        np.add.at(delta, at, unit[feature] * sign[:, None])
+        own += np.cumsum(delta, axis=0)[:-1]
+    return own / 2.0**20
+
+
 @lru_cache(maxsize=1)
 def model() -> Crf:
     """Trained once for each process; the same everywhere, as nothing in it is left to chance."""
@@ -70,10 +86,9 @@ def extract(pages: DataFrame, html: str = "html", crf: Crf | None = None) -> Dat
         enter("html_extraction")
         crf = sent.value
         for b in pieces(batches, "__html"):
-            found = [blocks(x.as_py() or "") for x in b.column(b.num_columns - 1)]
+            found = [leaf_blocks(x.as_py() or "") for x in b.column(b.num_columns - 1)]
             counts = [len(x) for x in found]
-            feats = Ragged([f for x in found for _, f in x])
-            labels = crf.viterbi(crf.scores(feats), _firsts(counts)).tolist() if len(feats) else []
+            labels = crf.viterbi(_scores(crf, found), _firsts(counts)).tolist() if sum(counts) else []
             texts, n, at = [], [], 0
             for x in found:
                 mine = [t for (t, _), y in zip(x, labels[at : at + len(x)], strict=True) if y]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 from siltstone.llm.resident import cleaned
 
@@ -112,18 +112,57 @@ class _Ends:
         return end if end >= 0 else page.find(">", at)
 
 
+class Blocks(list):
+    """(text, own features) of the leaf blocks of a page, in order, and how the features of their ancestors come and go.
+
+    ``changes`` has (block, feature, +1 or -1): from this block on, some open element has the feature, or none has it any more.
+    Pages of any depth take space for each element once.
+    """
+
+    def __init__(self):
+        super().__init__()
+        self.changes: list[tuple[int, int, int]] = []
+
+    def left(self) -> list[int]:
+        """Features that are still there at the end."""
+        total: Counter[int] = Counter()
+        for _, f, sign in self.changes:
+            total[f] += sign
+        return [f for f, n in total.items() if n]
+
+    def features(self) -> list[list[int]]:
+        """All features of every block, each once."""
+        out, inside, at = [], {}, 0
+        for i, (_, own) in enumerate(self):
+            while at < len(self.changes) and self.changes[at][0] <= i:
+                _, f, sign = self.changes[at]
+                if sign > 0:
+                    inside[f] = True
+                else:
+                    del inside[f]
+                at += 1
+            out.append(list(dict.fromkeys(own) | inside))
+        return out
+
+
 def blocks(page: str) -> list[tuple[str, list[int]]]:
-    """(text, features) of the leaf blocks of a page, in order.
+    """(text, features) of the leaf blocks of a page, in order; space grows with the depth of the page, too."""
+    found = leaf_blocks(page)
+    return [(text, feats) for (text, _), feats in zip(found, found.features())]
+
+
+def leaf_blocks(page: str) -> Blocks:
+    """The leaf blocks of a page.
 
     A block is the text between two borders of block elements. White space in it, line breaks
     included, is one space. Unclosed and stray tags are taken as browsers do, as far as text goes.
-    The time is linear in the page, but for the features of each block.
+    Time and space are linear in the page.
     """
-    out: list[tuple[str, list[int]]] = []
+    out = Blocks()
     stack: list[tuple[str, tuple[int, ...]]] = []
-    holders: list[str] = []  # the elements of the stack that are not inline
-    open_: Counter[str] = Counter()  # how often each tag is on the stack
-    inside: dict[int, int] = {}  # features of all ancestors, however deep, and how often
+    holders: list[tuple[int, str]] = []  # the elements of the stack that are not inline, and their places
+    open_: defaultdict[str, list[int]] = defaultdict(list)  # the places of each tag on the stack
+    inside: Counter[int] = Counter()  # features of all ancestors, however deep, and how often
     parts: list[str] = []
     linked, unseen, before = 0, 0, "start"
     at, n, ends = 0, len(page), _Ends(page)
@@ -134,47 +173,44 @@ def blocks(page: str) -> list[tuple[str, list[int]]]:
             text = " ".join(html.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                block = holders[-1] if holders else "body"
-                feats = dict.fromkeys(_text_features(block, text, linked, before))
-                out.append((text, list(feats | dict.fromkeys(inside))))
+                block = holders[-1][1] if holders else "body"
+                own = dict.fromkeys(_text_features(block, text, linked, before))
+                out.append((text, [f for f in own if not inside[f]]))
                 before = block
         linked = 0
 
     def push(tag: str, own: tuple[int, ...]) -> None:
         nonlocal unseen
-        stack.append((tag, own))
-        open_[tag] += 1
+        open_[tag].append(len(stack))
         unseen += tag in UNSEEN
         if tag not in INLINE:
-            holders.append(tag)
+            holders.append((len(stack), tag))
+        stack.append((tag, own))
         for f in own:
-            inside[f] = inside.get(f, 0) + 1
+            inside[f] += 1
+            if inside[f] == 1:
+                out.changes.append((len(out), f, 1))
 
     def pop():
         nonlocal unseen
         tag, own = stack.pop()
-        open_[tag] -= 1
+        open_[tag].pop()
         unseen -= tag in UNSEEN
         if tag not in INLINE:
             holders.pop()
         for f in own:
-            if inside[f] == 1:
-                del inside[f]
-            else:
-                inside[f] -= 1
+            inside[f] -= 1
+            if not inside[f]:
+                out.changes.append((len(out), f, -1))
 
     def close(names, bounds) -> None:
-        if not any(open_[t] for t in names):
+        i = max((open_[t][-1] for t in names if open_[t]), default=-1)
+        if i < 0 or any(open_[t] and open_[t][-1] > i for t in bounds):
             return
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in names:
-                if any(t not in INLINE for t, _ in stack[i:]):
-                    flush()
-                while len(stack) > i:
-                    pop()
-                return
-            if stack[i][0] in bounds:
-                return
+        if holders and holders[-1][0] >= i:
+            flush()
+        while len(stack) > i:
+            pop()
 
     def add(text: str) -> None:
         nonlocal linked
