@@ -173,7 +173,7 @@ def shared_histograms(members: DataFrame, texts: DataFrame, size: int) -> DataFr
     open_ = rows.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("shingle")
     live = rows.join(open_, "shingle").groupBy("cls", F.pmod("shingle", F.lit(STRETCHES)).cast("int").alias("r")).agg(F.count("*").cast("int").alias("k"))
     counts = live.groupBy("cls").agg(F.map_from_entries(F.collect_list(F.struct("r", "k"))).alias("m")).select(
-        "cls", F.transform(F.sequence(F.lit(0), F.lit(STRETCHES - 1)), lambda r: F.coalesce(F.col("m")[r], F.lit(0)).cast("short")).alias("shared")
+        "cls", F.transform(F.sequence(F.lit(0), F.lit(STRETCHES - 1)), lambda r: F.coalesce(F.col("m")[r], F.lit(0))).alias("shared")
     )
     out = materialize(counts, "shared")
     drop(rows)
@@ -198,7 +198,7 @@ class _Open:
 
     def pairs(self, other: DataFrame, percent: int) -> DataFrame:
         """(a, b, root_a, root_b), once each: members with ``other`` (bucket, a, n_a, root_a, shared_a), where they may be similar enough."""
-        most = F.aggregate(F.zip_with("shared", "shared_a", lambda x, y: F.least(x, y).cast("int")), F.lit(0), lambda t, x: t + x)
+        most = F.aggregate(F.zip_with("shared", "shared_a", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda t, x: t + x)
         near = most * (100 + percent) >= (F.col("n") + F.col("n_a")) * percent
         found = self.rows.join(other, "bucket").where((F.col("root") != F.col("root_a")) & _fits("n", "n_a", percent) & near)
         one, two = F.struct(F.col("a"), F.col("root_a").alias("r")), F.struct(F.col("cls").alias("a"), F.col("root").alias("r"))
@@ -252,7 +252,7 @@ def link(docs: DataFrame, size: int = 5, percent: int = 75, key: str = "doc_id",
     drop(crowded)
     owners = materialize(several.rows.select("cls", "root").distinct(), "owners")
     shared = shared_histograms(owners, texts.join(owners, "cls", "left_semi"), size)
-    enough = F.aggregate("shared", F.lit(0), lambda t, x: t + x) * 100 >= F.col("n") * percent
+    enough = F.aggregate("shared", F.lit(0).cast("long"), lambda t, x: t + x) * 100 >= F.col("n") * percent
     open_ = _Open(several.rows.join(shared, "cls").where(enough).select("bucket", "cls", "n", "root", "shared"))
     drop(several.rows, owners, shared)
     if _grow(roots, open_.stars(percent), texts, size, percent):
