@@ -9,7 +9,7 @@ A phrase is a template without regions.
 
 A template is looked for in the words of a whole text, wherever its first mandatory words stand; from each of these places
 the automaton runs on for as long as a longer match may come, which the template bounds. So time grows with the text alone.
-Regions that may be empty say nothing at the edge of a template and are left out there.
+Regions that may be empty say nothing at the beginning of a template and are left out there; at its end they make a match longer.
 
 Defined cases: a null, empty or wordless text has no words, no matches and a score of 0; every place of a repeated or overlapping phrase
 counts; very long texts are scanned whole, from words of about 1 MiB of text at a time; repeated rows get equal results; a null key is a key
@@ -79,8 +79,6 @@ class Template:
         regions = parse(markup)
         while regions and _may_be_empty(regions[0]):
             regions.pop(0)
-        while regions and _may_be_empty(regions[-1]):
-            regions.pop()
         if not regions or regions[0][0] != "word":
             raise ValueError(f"a template must begin with mandatory wording: {markup[:60]!r}")
         n = next((i for i, r in enumerate(regions) if r[0] != "word"), len(regions))

@@ -232,17 +232,85 @@ def test_pipeline_keeps_columns(spark, small, tmp_path):
 def test_broken_markup_takes_linear_time():
     import time
 
-    from siltstone.llm.html_blocks import blocks
+    from siltstone.llm.html_blocks import leaf_blocks
 
     for part in ("<a x='", "<a x='>", "<a '>'", "<a \"'>", "<div>x", "<li>x", "</p>x", "<td><div>", "<"):
         began = time.process_time()
-        blocks(part * (300_000 // len(part)))
+        leaf_blocks(part * (300_000 // len(part)))
         assert time.process_time() - began < 8
 
 
+def test_deep_and_stray_markup_takes_linear_time():
+    """Pages of 5 MB: stray inline ends under open inline elements, and nested elements with class words of their own."""
+    import time
+
+    from siltstone.llm.extract import _scores, model
+    from siltstone.llm.html_blocks import leaf_blocks
+
+    n = 5_000_000
+    stray = "<i><div>" + "<b>" * (n // 6) + "</i>" * (n // 8)
+    names = ["".join("abcdefghij"[int(d)] for d in str(k)) for k in range(n // 24)]
+    nested = "".join(f"<div class='w{x}'>x" for x in names)
+    began = time.process_time()
+    assert len(leaf_blocks(stray)) == 0
+    found = leaf_blocks(nested)
+    assert len(found) == len(names) and len(found.changes) < 3 * len(names)
+    assert _scores(model(), [found]).shape == (len(names), 2)
+    assert time.process_time() - began < 60
+
+
+def test_running_sums_are_those_of_all_features():
+    """Scores by running sums against sums over the listed features, over several pages of a slice."""
+    from siltstone.llm.crf import Crf, Ragged
+    from siltstone.llm.extract import _scores, model
+    from siltstone.llm.html_blocks import blocks, leaf_blocks
+    from siltstone.llm.html_training import labelled_pages
+
+    pages = ["".join(t for t, _ in page) for page in labelled_pages(12, 5)] + ["", "<div class='post'>open", "<p>x</p>"]
+    crf = model()
+    unit = Crf(np.round(crf.weights * 2.0**20), crf.trans, crf.start)
+    listed = unit.scores(Ragged([f for p in pages for _, f in blocks(p)])) / 2.0**20
+    assert np.array_equal(_scores(crf, [leaf_blocks(p) for p in pages]), listed)
+
+
 def test_ids_that_do_not_fit():
     from siltstone.llm.wavelet import WaveletMatrix
 
     assert WaveletMatrix.build(np.array([1, 65535], "<u4"), 16).tokens().tolist() == [1, 65535]
     with pytest.raises(ValueError, match="bit-planes"):
         WaveletMatrix.build(np.array([65536], "<u4"), 16)
+
+
+def test_near_duplicates_keeps_one_row_of_a_group(spark, small, tmp_path):
+    """Ids of several texts, repeated rows, rows without an id and texts without words."""
+    import corpus_pipeline
+
+    r = random.Random(8)
+    a, b, t, u, v = (" ".join("".join(r.choice("abcdef") for _ in range(4)) for _ in range(30)) for _ in range(5))
+
+    def kept(rows):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+        out = corpus_pipeline.near_duplicates(spark, docs, small)
+        assert out.columns == docs.columns
+        return Counter((x["doc_id"], x["text"]) for x in out.collect())
+
+    assert kept([(3, b, "s"), (5, a, "s"), (5, b, "s")]) == Counter([(3, b), (5, a)])
+    assert kept([(9, t, "s"), (9, t, "other")] + [(9, t, "s")] * 50) == Counter([(9, t)])
+    assert kept([(None, u, "s"), (None, u, "s"), (4, v, "s")]) == Counter([(None, u), (4, v)])
+    near = f"{v} one more"
+    assert kept([(2, near, "s"), (1, v, "s"), (1, v, None), (7, None, "s"), (7, None, "s"), (8, "", "s"), (8, "", "s"), (6, "one two", "s"), (6, "one two", "s")]) == Counter(
+        [(1, v), (7, None), (7, None), (8, ""), (8, ""), (6, "one two")]
+    )
+    assert not kept([(1, "x", "s")]) - Counter([(1, "x")])
+
+
+def test_counts_of_very_long_texts(spark, monkeypatch):
+    """With one stretch in all, its count of shared shingles is far beyond what two bytes hold."""
+    from siltstone.llm import neardup
+
+    monkeypatch.setattr(neardup, "STRETCHES", 1)
+    n = 40_000
+    texts = spark.createDataFrame([(bytes([k]), " ".join(f"w{i}" for i in range(n + 4)) + f" end{k}") for k in (1, 2)], "cls binary, text string")
+    members = spark.createDataFrame([(bytes([k]), bytes([k])) for k in (1, 2)], "cls binary, root binary")
+    got = neardup.shared_histograms(members, texts, 5)
+    assert sorted(r["shared"][0] for r in got.collect()) == [n, n]
