@@ -1,7 +1,7 @@
 """Cleaning a document corpus in stages; each stage takes what its predecessor kept.
 
 toxicity           documents that the span tagger's score calls toxic go
-near_duplicates    one document of each group of near copies stays, that of the least id
+near_duplicates    one document of each group of near copies stays, that of the least id; of equal rows one
 repeated_strings   byte strings that also start earlier are cut out of the texts
 decontamination    documents with a twentieth or more of their words in benchmark passages go
 byte_bpe           texts are encoded and decoded; ids, counts and digests are added
@@ -45,9 +45,14 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = link(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    packed = _packed(docs)
-    return _unpacked(packed.join(kept, packed["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi"), docs)
+    # Rows are told apart by id and text: rows that share an id may be of different groups.
+    packed = _packed(docs).withColumn("uid", row_id("doc_id", "text"))
+    found = materialize(link(packed.select(F.struct("doc_id", "uid").alias("row"), "text"), key="row"), "links")
+    kept = found.where("kept").groupBy("row.uid").agg(F.count(F.lit(1)).alias("n"), F.max("n_shingles").alias("words"))
+    repeated = (F.col("n") > 1) & (F.col("words") > 0)  # a text without words has no copies
+    once = packed.join(kept.where(~repeated), "uid", "left_semi")
+    several = packed.join(kept.where(repeated), "uid", "left_semi").groupBy("uid").agg(*[F.first(c).alias(c) for c in ("doc_id", "text", "rest")])
+    return _unpacked(once.unionByName(several), docs)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
