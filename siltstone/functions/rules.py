@@ -40,6 +40,14 @@ EXCLUDED_EXTENSIONS = ["jpg", "jpeg", "png", "gif", "svg", "webp", "ico", "bmp",
 
 TRACKING_PARAMS = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "gclid", "fbclid"]
 REDACTED_PARAMS = ["utm_source", "utm_medium", "utm_campaign", "utm_content", "utm_term", "mc_cid", "mc_eid", "vero_id", "vero_conv", "klaviyo_id", "_kx", "subscriber_id", "contact_id", "customer_id", "email", "recipient", "uid"]
+# Networks that no public site is in: private, local, reserved and group addresses; and the parts of them that are public.
+INNER_NETWORKS = [
+    "0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.168.0.0/16",
+    "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4",
+    "::/8", "100::/8", "200::/7", "400::/6", "800::/5", "1000::/4", "2001::/23", "2001:db8::/32", "2002::/16",
+    "4000::/3", "6000::/3", "8000::/3", "a000::/3", "c000::/3", "e000::/4", "f000::/5", "f800::/6", "fc00::/7", "fe00::/9", "fe80::/10", "ff00::/8",
+]
+OUTER_NETWORKS = ["192.0.0.9/32", "192.0.0.10/32", "2001:1::1/128", "2001:1::2/128", "2001:3::/32", "2001:4:112::/48", "2001:20::/28", "2001:30::/28"]
 RESERVED_SUFFIXES = ["local", "internal", "localdomain", "lan", "home", "test", "invalid", "example"]
 COMPOUND_SUFFIXES = ["co.nz", "co.uk", "org.uk", "com.au", "co.za", "com.br", "co.jp", "or.jp", "ne.jp", "com.cn", "co.in", "co.id", "com.mx", "co.il", "com.sg", "com.hk", "co.kr", "com.tw"]
 TLD_COUNTRIES = {"au": "Australia", "nz": "New Zealand", "uk": "United Kingdom", "us": "United States", "ca": "Canada"}
@@ -75,7 +83,14 @@ BINARY_SIGNATURES = [
     ("7F454C46", "Linux executable"),
 ]
 REJECTED_CONTENT_TYPES = ["image/", "video/", "audio/", "application/pdf", "application/zip", "application/x-msdownload", "application/octet-stream", "application/gzip"]
-CHARSETS = {"utf-8": "UTF-8", "utf8": "UTF-8", "us-ascii": "UTF-8", "ascii": "UTF-8", "iso-8859-1": "ISO-8859-1", "latin-1": "ISO-8859-1", "latin1": "ISO-8859-1", "utf-16le": "UTF-16LE", "utf-16be": "UTF-16BE"}
+# Charsets by name: those of several bytes that Spark reads, those of one byte a character (read by the tables of these names), and those that an Arrow batch reads.
+CHARSETS = {"utf-8": "UTF-8", "utf8": "UTF-8", "utf-8-sig": "UTF-8", "utf-16": "UTF-16", "utf16": "UTF-16", "utf-16le": "UTF-16LE", "utf-16-le": "UTF-16LE", "utf-16be": "UTF-16BE", "utf-16-be": "UTF-16BE"}
+BYTE_CHARSETS = [
+    "us-ascii", "ascii", "latin-1", "latin1", "iso-8859-1", "iso-8859-2", "iso-8859-3", "iso-8859-4", "iso-8859-5", "iso-8859-6", "iso-8859-7", "iso-8859-8", "iso-8859-9", "iso-8859-10", "iso-8859-11",
+    "iso-8859-13", "iso-8859-14", "iso-8859-15", "iso-8859-16", "windows-1250", "windows-1251", "windows-1252", "windows-1253", "windows-1254", "windows-1255", "windows-1256", "windows-1257", "windows-1258",
+    "cp1250", "cp1251", "cp1252", "cp1253", "cp1254", "cp1255", "cp1256", "cp1257", "cp1258", "cp437", "cp850", "cp852", "cp866", "koi8-r", "koi8-u", "tis-620",
+]
+BATCH_CHARSETS = ["shift_jis", "shift-jis", "sjis", "euc-jp", "iso-2022-jp", "gb2312", "gbk", "gb18030", "big5", "euc-kr", "cp949"]
 RETRYABLE_STATUS = [408, 425, 429, 500, 502, 503, 504]
 RETRYABLE_ERRORS = ["timeout", "connection_error"]
 

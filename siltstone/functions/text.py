@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltstone.functions import rules
 
@@ -92,30 +96,110 @@ def page_content_type(value: Column) -> Column:
     return F.coalesce(page | ~bad, F.lit(True))
 
 
+def charset_of(body: Column, content_type: Column) -> Column:
+    """The charset of the header, else of a byte-order mark, else UTF-8; one that nothing here reads counts as UTF-8."""
+    head = F.hex(F.substring(body, 1, 3))
+    named = F.lower(F.regexp_extract(content_type, r"(?i)charset\s*=\s*[\"']?([^\"';\s]+)", 1))
+    table = rules.CHARSETS | {c: "ISO-8859-1" if c in ("latin-1", "latin1", "iso-8859-1") else c for c in rules.BYTE_CHARSETS + rules.BATCH_CHARSETS}
+    known = F.coalesce(F.create_map(*[F.lit(x) for p in table.items() for x in p])[F.nullif(named, F.lit(""))], F.when(named != "", "UTF-8"))
+    mark = F.when(head.startswith("FFFE"), "UTF-16LE").when(head.startswith("FEFF"), "UTF-16BE")
+    asked = F.coalesce(known, mark, F.lit("UTF-8"))
+    return F.when(asked == "UTF-16", F.coalesce(mark, F.lit("UTF-16LE"))).otherwise(asked)
+
+
+def _one_byte(part: Column, charset: Column) -> Column:
+    """Text of one byte a character; a byte that the charset lacks is U+FFFD."""
+    low, high = F.decode(part, "ISO-8859-1"), "".join(map(chr, range(128, 256)))
+    tables: dict[str, list[str]] = {}
+    for name in rules.BYTE_CHARSETS:
+        tables.setdefault(bytes(range(128, 256)).decode(name, "replace"), []).append(name)
+    chain = F.lit(None).cast("string")
+    for table, names in tables.items():
+        chain = F.when(F.lower(charset).isin(names), F.translate(low, high, table)).otherwise(chain)
+    return chain
+
+
+def _utf16(part: Column, charset: Column) -> tuple[Column, Column]:
+    """(text, where the first malformed bytes are or null): halves without their other half are U+FFFD, and so is an odd byte at the end."""
+    raw = F.hex(part)
+    pattern = F.when(charset == "UTF-16LE", F.regexp_replace(raw, "(..)(..)", "$2$1")).otherwise(raw)
+    units = F.regexp_extract_all(pattern, F.lit("(.{4})"), F.lit(1))
+
+    def lone(x, i):
+        high, low = x.rlike("^D[89AB]"), x.rlike("^D[C-F]")
+        after, before = F.get(units, i + 1), F.get(units, i - 1)
+        return high & ~F.coalesce(after.rlike("^D[C-F]"), F.lit(False)) | low & ~F.coalesce((i > 0) & before.rlike("^D[89AB]"), F.lit(False))
+
+    marks = F.transform(units, lone)
+    fixed = F.array_join(F.transform(units, lambda x, i: F.when(F.get(marks, i), "FFFD").otherwise(x)), "")
+    odd = F.octet_length(part) % 2 == 1
+    cut_pair = F.coalesce(F.element_at(marks, -1) & F.element_at(units, -1).rlike("^D[89AB]"), F.lit(False))  # the odd byte belongs to it
+    whole = F.concat(fixed, F.when(odd & ~F.when(F.size(units) > 0, cut_pair).otherwise(False), "FFFD").otherwise(""))
+    first = F.nullif(F.array_position(marks, True), F.lit(0).cast("long"))
+    return F.decode(F.unhex(whole), "UTF-16BE"), F.coalesce((first - 1) * 2, F.when(odd, F.octet_length(part).cast("long") - 1))
+
+
+def _decoded(part: Column, charset: Column) -> tuple[Column, Column, Column]:
+    """(text, whether bytes were replaced, whether the first of these are among the last eight) of what the JVM decodes."""
+    size, whole = F.octet_length(part), part.cast("string")
+    wide, bad_at = _utf16(part, charset)
+    narrow = _one_byte(part, charset)
+    is_wide, is_utf8 = charset.startswith("UTF-16"), charset == "UTF-8"
+    near = F.greatest(size - 8, F.lit(0))
+    # Malformed only behind ``near``: what comes before is whole, up to the end of the character that lies across.
+    sound = reduce(lambda a, b: a | b, [F.is_valid_utf8(F.substr(part, F.lit(1), near + k).cast("string")) for k in range(4)])
+    text = F.when(is_utf8, F.make_valid_utf8(whole)).when(is_wide, wide).otherwise(narrow)
+    replaced = F.when(is_utf8, ~F.is_valid_utf8(whole)).when(is_wide, bad_at.isNotNull()).otherwise(F.instr(narrow, "\ufffd") > 0)
+    late = F.when(is_utf8, sound).when(is_wide, bad_at >= near).otherwise(F.instr(narrow, "\ufffd") > near)
+    return text, replaced, replaced & late
+
+
+def body_error(body: Column, content_type: Column) -> Column:
+    """Why a body is no page: empty, binary, or of an unwanted type; null if it is one."""
+    return F.when(F.coalesce(F.octet_length(body), F.lit(0)) == 0, "empty body").when(binary_signature(body).isNotNull(), F.concat(F.lit("binary: "), binary_signature(body))).when(~page_content_type(content_type), "content type")
+
+
 def decode_body(body: Column, content_type: Column, most: int = 5 << 20) -> Column:
     """(html, charset, replaced, truncated, error) of a response body.
 
-    The charset is that of the header, else of a byte-order mark, else UTF-8; one that is not known here is
-    read as UTF-8. Bytes that are none of its characters are replaced, and ``replaced`` says so. Only the
-    first ``most`` bytes are read. An empty, binary or unwanted body has an error and no text.
+    The charset is ``charset_of``. Bytes that are none of its characters are replaced by U+FFFD, and ``replaced`` says
+    so; no body fails. Only the first ``most`` bytes are read: ``truncated`` marks longer bodies, and those whose first
+    malformed bytes are among the last eight, as if cut. An empty, binary or unwanted body has an error and
+    no text. ``BATCH_CHARSETS`` are read as UTF-8 here; ``decoded`` reads them, too.
     """
-    head = F.hex(F.substring(body, 1, 3))
-    named = F.lower(F.regexp_extract(content_type, r"(?i)charset\s*=\s*[\"']?([^\"';\s]+)", 1))
-    known = F.create_map(*[F.lit(x) for p in rules.CHARSETS.items() for x in p])
-    mark = F.when(head.startswith("EFBBBF"), "UTF-8").when(head.startswith("FFFE"), "UTF-16LE").when(head.startswith("FEFF"), "UTF-16BE")
-    charset = F.coalesce(known[F.nullif(named, F.lit(""))], mark, F.lit("UTF-8"))
-    part = F.substring(body, 1, most)
-    whole = part.cast("string")
-    one_byte = F.decode(part, "ISO-8859-1")
-    text = F.when(charset == "UTF-8", F.make_valid_utf8(whole)).when(charset == "ISO-8859-1", one_byte)
-    error = F.when(F.coalesce(F.octet_length(body), F.lit(0)) == 0, "empty body").when(binary_signature(body).isNotNull(), F.concat(F.lit("binary: "), binary_signature(body))).when(~page_content_type(content_type), "content type")
-    text = F.when(charset.startswith("UTF-16"), F.when(charset == "UTF-16LE", F.decode(part, "UTF-16LE")).otherwise(F.decode(part, "UTF-16BE"))).otherwise(text)
-    replaced = (charset == "UTF-8") & ~F.is_valid_utf8(whole)
+    charset = charset_of(body, content_type)
+    charset = F.when(charset.isin(rules.BATCH_CHARSETS), "UTF-8").otherwise(charset)
+    error = body_error(body, content_type)
+    text, replaced, late = _decoded(F.substring(body, 1, most), charset)
     return F.struct(
-        F.when(error.isNull(), F.regexp_replace(text, "^\ufeff", "")).alias("html"), charset.alias("charset"), (error.isNull() & replaced).alias("replaced"), (F.octet_length(body) > most).alias("truncated"), error.alias("error")
+        F.when(error.isNull(), F.regexp_replace(text, "^\ufeff", "")).alias("html"), charset.alias("charset"), (error.isNull() & replaced).alias("replaced"), ((F.octet_length(body) > most) | error.isNull() & late).alias("truncated"), error.alias("error")
     )
 
 
+@F.pandas_udf(T.StructType().add("html", T.StringType()).add("replaced", T.BooleanType()).add("late", T.BooleanType()))
+def _in_batches(bodies: pd.Series, charsets: pd.Series) -> pd.DataFrame:
+    def one(body, charset):
+        try:
+            return body.decode(charset), False, False
+        except UnicodeDecodeError as e:
+            return body.decode(charset, "replace"), True, e.start >= len(body) - 8
+
+    return pd.DataFrame([one(b, c) for b, c in zip(bodies, charsets)], columns=["html", "replaced", "late"])
+
+
+def decoded(pages: DataFrame, body: str, content_type: str, out: str = "decoded", most: int = 5 << 20) -> DataFrame:
+    """``pages`` with ``out``, as ``decode_body`` has it, and with East Asian charsets read as what they are.
+
+    Only bodies in ``BATCH_CHARSETS`` pass through Python. ``pages`` is read twice.
+    """
+    charset = charset_of(F.col(body), F.col(content_type))
+    rare = F.coalesce(charset.isin(rules.BATCH_CHARSETS), F.lit(False))
+    error, longer = body_error(F.col(body), F.col(content_type)), F.octet_length(body) > most
+    other = pages.where(rare).withColumn("__d", _in_batches(F.substring(body, 1, most), charset))
+    made = F.struct(F.when(error.isNull(), F.col("__d.html")).alias("html"), charset.alias("charset"), (error.isNull() & F.col("__d.replaced")).alias("replaced"), (longer | error.isNull() & F.col("__d.late")).alias("truncated"), error.alias("error"))
+    return pages.where(~rare).withColumn(out, decode_body(F.col(body), F.col(content_type), most)).unionByName(other.withColumn(out, made).drop("__d"))
+
+
 def content_hashes(raw: Column, cleaned: Column, text: Column, structure: Column) -> Column:
     """The four hashes that tell what of a page has changed."""
     return F.struct(F.sha2(raw, 256).alias("raw_sha256"), F.sha2(cleaned, 256).alias("cleaned_sha256"), F.sha2(collapse(text), 256).alias("text_sha256"), structure.alias("structural_sha256"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import rules
+from siltstone.functions.addresses import ip_number, is_inner
 
-_IPV4 = r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$"
 _LABELS = r"^(?!-)[a-z0-9-]{1,63}(?<!-)(\.(?!-)[a-z0-9-]{1,63}(?<!-))*$"
 
 
@@ -15,6 +15,83 @@ def _authority(url: Column) -> Column:
     return F.regexp_extract(F.trim(url), r"(?i)^[a-z][a-z0-9+.-]*://([^/?#]*)", 1)
 
 
+def _clean(url: Column) -> Column:
+    """Without blanks and control characters around it, and without line breaks and tabs."""
+    return F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\r\n]", "")
+
+
+def parts(url: Column) -> Column:
+    """``struct(scheme, authority, path, query, fragment)`` of a URL or a relative reference; what is missing or empty is null, but for the path."""
+    value = _clean(url)
+    rest = F.regexp_replace(value, r"^[A-Za-z][A-Za-z0-9+.-]*:", "")
+    tail = F.regexp_replace(rest, r"^//[^/?#]*", "")
+
+    def part(of, pattern):
+        return F.nullif(F.regexp_extract(of, pattern, 1), F.lit(""))
+
+    return F.struct(
+        F.lower(part(value, r"^([A-Za-z][A-Za-z0-9+.-]*):")).alias("scheme"),
+        part(rest, r"^//([^/?#]*)").alias("authority"),
+        F.regexp_extract(tail, r"^([^?#]*)", 1).alias("path"),
+        part(tail, r"^[^?#]*\?([^#]*)").alias("query"),
+        part(tail, r"#(.*)$").alias("fragment"),
+    )
+
+
+def _merged(base: Column, path: Column) -> Column:
+    """A path without dot segments, taken from the folder of ``base`` if it is relative.
+
+    Segments are folded from left to right; ``..`` takes back one, if there is one. Where paths are merged, empty
+    segments inside count for nothing. What stands behind a ``;`` in the last segment is no part of it.
+    """
+    last = F.regexp_extract(path, r"(;[^/]*)$", 1)
+    own = F.split(F.regexp_replace(path, r";[^/]*$", ""), "/", -1)
+    above = F.split(F.regexp_replace(base, r"[^/]+$", ""), "/", -1)
+    both = F.concat(above, own)
+    inner = F.filter(F.slice(both, 2, F.greatest(F.size(both) - 2, F.lit(0))), lambda x: x != "")
+    both = F.concat(F.slice(both, 1, 1), inner, F.slice(both, -1, 1))
+    segments = F.when(path.startswith("/"), own).otherwise(both)
+
+    def step(done, segment):
+        back = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(segment == "..", back).when(segment == ".", done).otherwise(F.concat(done, F.array(segment)))
+
+    folded = F.aggregate(segments, F.array().cast("array<string>"), step)
+    folded = F.when(F.element_at(segments, -1).isin(".", ".."), F.concat(folded, F.array(F.lit("")))).otherwise(folded)
+    joined = F.array_join(folded, "/")
+    return F.concat(F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined)), last)
+
+
+def _resolved(base: Column, ref: Column, base_url: Column, ref_url: Column) -> Column:
+    """A reference against its base, both as ``parts`` and as they are."""
+    def whole(authority, path, query):
+        rooted = F.when((path == "") | path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
+        return F.concat(base["scheme"], F.lit("://"), authority, rooted, F.when(query.isNotNull(), F.concat(F.lit("?"), query)).otherwise(""), F.when(ref["fragment"].isNotNull(), F.concat(F.lit("#"), ref["fragment"])).otherwise(""))
+
+    return (
+        F.when(_clean(ref_url) == "", base_url)
+        .when(ref["scheme"].isNotNull() & (ref["scheme"] != base["scheme"]), _clean(ref_url))
+        .when(ref["authority"].isNotNull(), whole(ref["authority"], ref["path"], ref["query"]))
+        .when(ref["path"] == "", whole(base["authority"], base["path"], F.coalesce(ref["query"], base["query"])))
+        .otherwise(whole(base["authority"], _merged(base["path"], ref["path"]), ref["query"]))
+    )
+
+
+def resolve(base: Column, ref: Column) -> Column:
+    """The absolute form of a link on the page ``base``; a null on either side is null.
+
+    A reference with a scheme of its own stays as it is, unless the scheme is the base's; one that is empty is the
+    base. Empty queries and fragments are dropped. For tables, ``with_resolved`` parses each side once.
+    """
+    return _resolved(parts(base), parts(ref), base, ref)
+
+
+def with_resolved(df: DataFrame, base: str, ref: str, out: str) -> DataFrame:
+    """``df`` with ``out``: ``resolve`` of two of its columns, each parsed once a row."""
+    both = df.withColumns({"__base": parts(F.col(base)), "__ref": parts(F.col(ref))})
+    return both.withColumn(out, _resolved(F.col("__base"), F.col("__ref"), F.col(base), F.col(ref))).drop("__base", "__ref")
+
+
 def scheme(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.trim(url), r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
 
@@ -49,8 +126,9 @@ def rejection(url: Column) -> Column:
         .when(_authority(url).contains("@"), "credentials in URL are not allowed")
         .when(host == "", "malformed URL: missing host")
         .when((host == "localhost") | host.endswith(".localhost"), "localhost is not allowed")
-        .when(host.rlike(_IPV4) & host.rlike(r"^(10\.|127\.|0\.|169\.254\.|192\.168\.|172\.(1[6-9]|2\d|3[01])\.)"), "private/internal IP addresses are not allowed")
-        .when(host.rlike(_IPV4) | host.startswith("["), "IP address literals are not allowed")
+        .when(host.startswith("[") & ip_number(host).isNull(), "malformed URL")
+        .when(ip_number(host).isNotNull() & is_inner(ip_number(host)), "private/internal IP addresses are not allowed")
+        .when(ip_number(host).isNotNull(), "IP address literals are not allowed")
         .when(F.length(host) > 253, "malformed URL: host too long")
         .when(~host.contains("."), "malformed URL: host has no domain suffix")
         .when(F.substring_index(host, ".", -1).isin(rules.RESERVED_SUFFIXES), "private/internal hostnames are not allowed")

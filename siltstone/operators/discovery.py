@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import rules, urls
+from siltstone.storage import drop, materialize
 
 
 def _map(pairs: dict) -> Column:
@@ -78,18 +81,6 @@ def href_links(pages: DataFrame, html: str = "html") -> DataFrame:
     )
 
 
-def resolve(base: Column, href: Column) -> Column:
-    """Absolute form of a link with a full, host-absolute or relative path."""
-    origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    folder = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^?#]*/)", 1)
-    return (
-        F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
-        .when(href.startswith("//"), F.concat(urls.scheme(base), F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(origin, href))
-        .otherwise(F.concat(F.when(folder.rlike("://[^/]+/"), folder).otherwise(F.concat(origin, F.lit("/"))), href))
-    )
-
-
 def reconcile_urls(candidates: DataFrame) -> DataFrame:
     """One row per (run, url): first best type, least priority and depth, ordered distinct sources and anchors.
 
@@ -142,11 +133,39 @@ def first_candidates(candidates: DataFrame, most: int = 2000) -> DataFrame:
     return candidates.withColumn("_n", F.row_number().over(Window.partitionBy("run").orderBy("ord"))).where(F.col("_n") <= most).drop("_n")
 
 
+def sitemap_search(roots: DataFrame, edges: DataFrame, depth: int = 5, files: int = 50, order: str | None = None) -> DataFrame:
+    """(run, url, depth, position) of the sitemap files that each run reads, breadth first: ``files`` of a run at most.
+
+    ``roots``: run, url, ord; ``edges``: parent, child, ord (the places in a file). Files are read in the order in which they
+    were met: by the place of the file that names them, then by their place in it; with ``order`` set to ``url``, by depth
+    and address. A file is read once a run, cycles end, and what lies deeper than ``depth`` is not read.
+
+    Each level is stored: it joins the edges once with the level above, leaves out what the run has read, and keeps the
+    first files by a ranked window under a fixed limit, so a run with very many files leaves few rows in a task. The loop ends where a level is empty.
+    """
+    def place(key):
+        return F.col("url") if order == "url" else key
+
+    first = roots.groupBy("run", "url").agg(F.min(F.struct(F.lit(0).alias("at"), F.col("ord"))).alias("key"))
+    levels: list[DataFrame] = []
+    counts = None
+    for d in range(depth + 1):
+        ranked = first.withColumn("n", F.row_number().over(Window.partitionBy("run").orderBy(place(F.col("key")), "url"))).where(F.col("n") <= files)
+        if counts is not None:
+            ranked = ranked.join(counts, "run", "left").withColumn("n", F.col("n") + F.coalesce("read", F.lit(0))).where(F.col("n") <= files)
+        level = materialize(ranked.select("run", "url", F.lit(d).alias("depth"), F.col("n").cast("int").alias("position")), "sitemaps")
+        if level.isEmpty():
+            drop(level)
+            break
+        levels.append(level)
+        seen = reduce(DataFrame.unionByName, levels)
+        counts = seen.groupBy("run").agg(F.max("position").alias("read"))
+        met = edges.join(level.select("run", F.col("url").alias("parent"), F.col("position").alias("at")), "parent")
+        first = met.groupBy("run", F.col("child").alias("url")).agg(F.min(F.struct("at", "ord")).alias("key")).join(seen.select("run", "url"), ["run", "url"], "left_anti")
+    return seen if levels else first.select("run", "url", F.lit(0).alias("depth"), F.lit(0).alias("position"))
+
+
 def sitemap_closure(roots: DataFrame, edges: DataFrame, depth: int = 5, files: int = 50) -> DataFrame:
-    """(url, depth) of sitemap files reached from the roots, breadth first: at most ``files`` of them."""
-    seen = roots.select("url").distinct().withColumn("depth", F.lit(0))
-    front = seen
-    for d in range(1, depth + 1):
-        front = edges.join(front.select(F.col("url").alias("parent")), "parent").select(F.col("child").alias("url")).distinct().join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(d))
-        seen = seen.unionByName(front)
-    return seen.orderBy("depth", "url").limit(files)
+    """(url, depth) of sitemap files reached from the roots, by depth and address: at most ``files`` of them."""
+    found = sitemap_search(roots.select(F.lit(0).alias("run"), "url", F.lit(0).alias("ord")), edges.select("parent", "child", F.lit(0).alias("ord")), depth, files, order="url")
+    return found.select("url", "depth").orderBy("depth", "url")
