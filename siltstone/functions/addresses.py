@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from siltstone.functions import rules
+from siltstone.functions.binding import let
 
 _OCTET = r"(0|[1-9]\d?|1\d\d|2[0-4]\d|25[0-5])"
 _IPV4 = rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$"
@@ -22,31 +23,40 @@ def _hex4(host: Column) -> Column:
     return F.concat(*[F.lower(F.lpad(F.hex(F.regexp_extract(host, _IPV4, k).try_cast("long")), 2, "0")) for k in (1, 2, 3, 4)])
 
 
-def ip_number(host: Column) -> Column:
-    """An IP literal as its family and 32 hex digits, which sort as their numbers; null for other hosts.
+def _groups(half: Column) -> Column:
+    return F.when(half == "", F.array().cast("array<string>")).otherwise(F.split(half, ":", -1))
 
-    IPv6 may stand in brackets, with ``::``, a zone and an IPv4 tail. Octets above 255 or with leading zeros make no
-    address, nor do more than four digits of a group or too many groups.
-    """
-    bare = F.regexp_replace(F.regexp_replace(F.lower(host), r"^\[|\]$", ""), r"%[^%]+$", "")
+
+def _padded(part: Column) -> Column:
+    return F.array_join(F.transform(part, lambda g: F.lpad(g, 4, "0")), "")
+
+
+def _number6(bare: Column) -> Column:
+    """The number of an IPv6 literal in small letters without brackets and zone; null for other texts."""
     tail = F.regexp_extract(bare, r":([^:]*\.[^:]*)$", 1)
     digits = _hex4(tail)
     plain = F.when(tail == "", bare).when(tail.rlike(_IPV4), F.concat(F.regexp_extract(bare, r"^(.*:)[^:]*$", 1), F.substring(digits, 1, 4), F.lit(":"), F.substring(digits, 5, 4)))
-    halves = F.split(plain, "::", -1)
 
-    def groups(half):
-        return F.when(half == "", F.array().cast("array<string>")).otherwise(F.split(half, ":", -1))
+    def wide(p):
+        n = F.size(p["head"]) + F.size(p["rest"])
+        fits = F.when(p["halves"] == 1, n == 8).otherwise((p["halves"] == 2) & (n <= 7))
+        fine = F.forall(F.concat(p["head"], p["rest"]), lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+        return F.when(fits & fine, F.concat(F.lit(_SIX), _padded(p["head"]), F.repeat(F.lit("0"), (F.lit(8) - n) * 4), _padded(p["rest"])))
 
-    head, rest = groups(F.get(halves, F.lit(0))), groups(F.coalesce(F.get(halves, F.lit(1)), F.lit("")))
-    n = F.size(head) + F.size(rest)
-    fits = F.when(F.size(halves) == 1, n == 8).otherwise((F.size(halves) == 2) & (n <= 7))
-    fine = F.forall(F.concat(head, rest), lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+    def parted(halves):
+        return F.struct(F.size(halves).alias("halves"), _groups(F.get(halves, F.lit(0))).alias("head"), _groups(F.coalesce(F.get(halves, F.lit(1)), F.lit(""))).alias("rest"))
 
-    def padded(part):
-        return F.array_join(F.transform(part, lambda g: F.lpad(g, 4, "0")), "")
+    return let(let(F.split(plain, "::", -1), parted), wide)
 
-    wide = F.concat(F.lit(_SIX), padded(head), F.repeat(F.lit("0"), (F.lit(8) - n) * 4), padded(rest))
-    return F.when(bare.rlike(_IPV4), F.concat(F.lit(_FOUR), _hex4(bare))).when(bare.contains(":") & fits & fine, wide)
+
+def ip_number(host: Column) -> Column:
+    """An IP literal as its family and 32 hex digits, which sort as their numbers; null for other hosts.
+
+    IPv6 may stand in brackets, with ``::``, a zone and an IPv4 tail. Octets above 255 or with leading zeros make no
+    address, nor do more than four digits of a group or too many groups.
+    """
+    bare = F.regexp_replace(F.regexp_replace(F.lower(host), r"^\[|\]$", ""), r"%[^%]+$", "")
+    return F.when(host.rlike(_IPV4), F.concat(F.lit(_FOUR), _hex4(host))).when(host.contains(":"), let(bare, _number6))
 
 
 @lru_cache(maxsize=1)
@@ -80,7 +90,7 @@ def inner_ranges() -> list[tuple[str, str]]:
 def is_inner(number: Column) -> Column:
     """Whether an address (of ``ip_number``) is private, local, reserved or a group's."""
     ranges = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in inner_ranges()])
-    return F.exists(ranges, lambda r: (number >= r["a"]) & (number <= r["b"]))
+    return F.when(number.isNotNull(), let(number, lambda n: F.exists(ranges, lambda r: (n >= r["a"]) & (n <= r["b"]))))
 
 
 def in_ranges(points: DataFrame, ranges: DataFrame, number: str = "number", first: str = "first", last: str = "last") -> DataFrame:

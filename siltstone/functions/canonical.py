@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltstone.functions.binding import let
+
 #: What has a short escape of its own.
 ESCAPES = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
 
@@ -25,23 +27,31 @@ def quoted(value: Column) -> Column:
 
 def number(value: Column) -> Column:
     """A double with its shortest digits: plain from 1e-4 to below 1e16, else with an exponent of two digits at least."""
-    said = F.abs(value).cast("string")
-    mantissa, power = F.regexp_extract(said, r"^([0-9.]+)", 1), F.coalesce(F.regexp_extract(said, r"E(-?\d+)$", 1).try_cast("int"), F.lit(0))
-    whole, part = F.substring_index(mantissa, ".", 1), F.regexp_replace(F.substring_index(mantissa, ".", -1), "0+$", "")
-    digits = F.regexp_replace(F.concat(whole, part), "^0+", "")
-    # The number is 0.digits times ten to the power of ``point``.
-    point = F.length(whole) + power - (F.length(F.concat(whole, part)) - F.length(digits)) * F.when(F.concat(whole, part).startswith("0"), 1).otherwise(0)
-    bare = F.regexp_replace(digits, "0+$", "")
-    n = F.length(bare)
-    exponent = point - 1
-    power_text = F.concat(F.when(exponent < 0, "-").otherwise("+"), F.when(F.abs(exponent) < 10, "0").otherwise(""), F.abs(exponent).cast("string"))
-    scientific = F.concat(F.substring(bare, 1, 1), F.when(n > 1, F.concat(F.lit("."), F.substr(bare, F.lit(2)))).otherwise(""), F.lit("e"), power_text)
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), bare)
-    large = F.concat(bare, F.repeat(F.lit("0"), point - n), F.lit(".0"))
-    mixed = F.concat(F.substr(bare, F.lit(1), point), F.lit("."), F.substr(bare, point + 1))
-    plain = F.when(value == 0, "0.0").when((exponent < -4) | (exponent >= 16), scientific).when(point <= 0, small).when(point >= n, large).otherwise(mixed)
-    sign = F.when(value.cast("string").startswith("-"), "-").otherwise("")
-    return F.when(F.isnan(value), "NaN").when(said == "Infinity", F.concat(sign, F.lit("Infinity"))).otherwise(F.concat(sign, plain))
+    def text(v):
+        said = F.abs(v).cast("string")
+        mantissa, power = F.regexp_extract(said, r"^([0-9.]+)", 1), F.coalesce(F.regexp_extract(said, r"E(-?\d+)$", 1).try_cast("int"), F.lit(0))
+        known = F.struct(F.substring_index(mantissa, ".", 1).alias("whole"), F.concat(F.substring_index(mantissa, ".", 1), F.regexp_replace(F.substring_index(mantissa, ".", -1), "0+$", "")).alias("all"), power.alias("power"))
+        sign = F.when(v.cast("string").startswith("-"), "-").otherwise("")
+        return F.when(F.isnan(v), "NaN").when(said == "Infinity", F.concat(sign, F.lit("Infinity"))).otherwise(F.concat(sign, let(let(known, _point), lambda p: F.when(v == 0, "0.0").otherwise(_laid_out(p)))))
+
+    return F.when(value.isNotNull(), let(value, text))
+
+
+def _point(k: Column) -> Column:
+    """(digits, point): the number is 0.digits times ten to the power of ``point``."""
+    digits = F.regexp_replace(k["all"], "^0+", "")
+    return F.struct(F.regexp_replace(digits, "0+$", "").alias("digits"), (F.length(k["whole"]) + k["power"] - (F.length(k["all"]) - F.length(digits))).alias("point"))
+
+
+def _laid_out(p: Column) -> Column:
+    digits, point = p["digits"], p["point"]
+    n, exponent = F.length(digits), point - 1
+    power = F.concat(F.when(exponent < 0, "-").otherwise("+"), F.when(F.abs(exponent) < 10, "0").otherwise(""), F.abs(exponent).cast("string"))
+    scientific = F.concat(F.substring(digits, 1, 1), F.when(n > 1, F.concat(F.lit("."), F.substr(digits, F.lit(2)))).otherwise(""), F.lit("e"), power)
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits)
+    large = F.concat(digits, F.repeat(F.lit("0"), point - n), F.lit(".0"))
+    mixed = F.concat(F.substr(digits, F.lit(1), point), F.lit("."), F.substr(digits, point + 1))
+    return F.when((exponent < -4) | (exponent >= 16), scientific).when(point <= 0, small).when(point >= n, large).otherwise(mixed)
 
 
 def json_text(value: Column, kind: T.DataType) -> Column:

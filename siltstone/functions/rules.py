@@ -91,6 +91,8 @@ BYTE_CHARSETS = [
     "cp1250", "cp1251", "cp1252", "cp1253", "cp1254", "cp1255", "cp1256", "cp1257", "cp1258", "cp437", "cp850", "cp852", "cp866", "koi8-r", "koi8-u", "tis-620",
 ]
 BATCH_CHARSETS = ["shift_jis", "shift-jis", "sjis", "euc-jp", "iso-2022-jp", "gb2312", "gbk", "gb18030", "big5", "euc-kr", "cp949"]
+ACTIVE_RUNS = ["queued", "running"]
+DONE_RUNS = ["completed", "completed_with_warnings", "partial"]
 RETRYABLE_STATUS = [408, 425, 429, 500, 502, 503, 504]
 RETRYABLE_ERRORS = ["timeout", "connection_error"]
 
@@ -242,3 +244,19 @@ WORKFLOW = {
     "customer": ["archived"],
     "archived": ["unreviewed"],
 }
+
+# Extractors: name here, id, version, the page types they are for (none: all), and their rank.
+EXTRACTORS = [
+    ("company_name", "identity.company_name", "v1", ["homepage", "about"], 100),
+    ("trading_name", "identity.trading_name", "v1", [], 90),
+    ("country", "identity.country_city", "v1", [], 90),
+    ("business_model", "business.model_signals", "v1", [], 80),
+    ("contacts", "organisation.contact_signals", "v1", [], 70),
+    ("operations", "operations.physical_locations", "v1", [], 70),
+    ("brands", "business.brands", "v1", ["brands", "product"], 60),
+    ("technology", "technology.signatures", "v1", [], 60),
+    ("catalogue", "catalogue.product_signals", "v1", [], 55),
+    ("language", "identity.language", "v1", [], 50),
+    ("growth", "growth.signals", "v1", [], 50),
+]
+GROUPS = ["identity", "business", "catalogue", "operations", "technology", "organisation", "growth"]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.functions import rules
+from siltstone.functions.binding import let
 
 EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
 PHONE = r"\+?[0-9][0-9\s().-]{7,}[0-9]"
@@ -109,49 +110,45 @@ def charset_of(body: Column, content_type: Column) -> Column:
 
 def _one_byte(part: Column, charset: Column) -> Column:
     """Text of one byte a character; a byte that the charset lacks is U+FFFD."""
-    low, high = F.decode(part, "ISO-8859-1"), "".join(map(chr, range(128, 256)))
-    tables: dict[str, list[str]] = {}
-    for name in rules.BYTE_CHARSETS:
-        tables.setdefault(bytes(range(128, 256)).decode(name, "replace"), []).append(name)
-    chain = F.lit(None).cast("string")
-    for table, names in tables.items():
-        chain = F.when(F.lower(charset).isin(names), F.translate(low, high, table)).otherwise(chain)
-    return chain
+    high = bytes(range(128, 256))
+    tables = F.create_map(*[F.lit(x) for name in ["ISO-8859-1", *rules.BYTE_CHARSETS] for x in (name, high.decode(name, "replace"))])
+    return F.call_function("translate", F.decode(part, "ISO-8859-1"), F.lit(high.decode("latin-1")), tables[charset])
+
+
+_HIGH, _LOW = "D[89AB][0-9A-F]{2} ", "D[C-F][0-9A-F]{2} "
+
 
+def _utf16(part: Column, charset: Column) -> Column:
+    """(text, replaced, late): halves without their other half are U+FFFD, and so is an odd byte at the end.
 
-def _utf16(part: Column, charset: Column) -> tuple[Column, Column]:
-    """(text, where the first malformed bytes are or null): halves without their other half are U+FFFD, and so is an odd byte at the end."""
+    Works on hex digits in units of four with a blank behind each, so patterns meet whole units alone.
+    """
     raw = F.hex(part)
-    pattern = F.when(charset == "UTF-16LE", F.regexp_replace(raw, "(..)(..)", "$2$1")).otherwise(raw)
-    units = F.regexp_extract_all(pattern, F.lit("(.{4})"), F.lit(1))
-
-    def lone(x, i):
-        high, low = x.rlike("^D[89AB]"), x.rlike("^D[C-F]")
-        after, before = F.get(units, i + 1), F.get(units, i - 1)
-        return high & ~F.coalesce(after.rlike("^D[C-F]"), F.lit(False)) | low & ~F.coalesce((i > 0) & before.rlike("^D[89AB]"), F.lit(False))
-
-    marks = F.transform(units, lone)
-    fixed = F.array_join(F.transform(units, lambda x, i: F.when(F.get(marks, i), "FFFD").otherwise(x)), "")
-    odd = F.octet_length(part) % 2 == 1
-    cut_pair = F.coalesce(F.element_at(marks, -1) & F.element_at(units, -1).rlike("^D[89AB]"), F.lit(False))  # the odd byte belongs to it
-    whole = F.concat(fixed, F.when(odd & ~F.when(F.size(units) > 0, cut_pair).otherwise(False), "FFFD").otherwise(""))
-    first = F.nullif(F.array_position(marks, True), F.lit(0).cast("long"))
-    return F.decode(F.unhex(whole), "UTF-16BE"), F.coalesce((first - 1) * 2, F.when(odd, F.octet_length(part).cast("long") - 1))
-
-
-def _decoded(part: Column, charset: Column) -> tuple[Column, Column, Column]:
-    """(text, whether bytes were replaced, whether the first of these are among the last eight) of what the JVM decodes."""
-    size, whole = F.octet_length(part), part.cast("string")
-    wide, bad_at = _utf16(part, charset)
-    narrow = _one_byte(part, charset)
-    is_wide, is_utf8 = charset.startswith("UTF-16"), charset == "UTF-8"
-    near = F.greatest(size - 8, F.lit(0))
+    lone = f"{_HIGH}(?!{_LOW})|(?<!{_HIGH}){_LOW}"
+
+    def read(units):
+        odd = F.octet_length(part) % 2 == 1
+        own = odd & ~units.rlike(f"{_HIGH}..$")  # an odd byte behind half a pair belongs to it
+        fixed = F.regexp_replace(F.regexp_replace(F.regexp_replace(units, lone, "FFFD "), "(?<= |^)..$", ""), " ", "")
+        bad_at = F.coalesce(F.floor((F.nullif(F.regexp_instr(units, F.lit(lone)), F.lit(0)) - 1) / 5) * 2, F.when(odd, F.octet_length(part).cast("long") - 1))
+        return F.struct(F.decode(F.unhex(F.concat(fixed, F.when(own, "FFFD").otherwise(""))), "UTF-16BE").alias("text"), bad_at.isNotNull().alias("replaced"), F.coalesce(bad_at >= F.octet_length(part) - 8, F.lit(False)).alias("late"))
+
+    return let(F.regexp_replace(F.when(charset == "UTF-16LE", F.regexp_replace(raw, "(..)(..)", "$2$1")).otherwise(raw), "(....)", "$1 "), read)
+
+
+def _decoded(part: Column, charset: Column) -> Column:
+    """(text, replaced, late) of what the JVM decodes: whether bytes were replaced, and whether the first of these are among the last eight."""
+    near = F.greatest(F.octet_length(part) - 8, F.lit(0))
+
+    def flagged(text):
+        first = F.instr(text, "\ufffd")
+        return F.struct(text.alias("text"), (first > 0).alias("replaced"), (first > near).alias("late"))
+
     # Malformed only behind ``near``: what comes before is whole, up to the end of the character that lies across.
     sound = reduce(lambda a, b: a | b, [F.is_valid_utf8(F.substr(part, F.lit(1), near + k).cast("string")) for k in range(4)])
-    text = F.when(is_utf8, F.make_valid_utf8(whole)).when(is_wide, wide).otherwise(narrow)
-    replaced = F.when(is_utf8, ~F.is_valid_utf8(whole)).when(is_wide, bad_at.isNotNull()).otherwise(F.instr(narrow, "\ufffd") > 0)
-    late = F.when(is_utf8, sound).when(is_wide, bad_at >= near).otherwise(F.instr(narrow, "\ufffd") > near)
-    return text, replaced, replaced & late
+    valid = F.is_valid_utf8(part.cast("string"))
+    utf8 = F.struct(F.make_valid_utf8(part.cast("string")).alias("text"), (~valid).alias("replaced"), (~valid & sound).alias("late"))
+    return F.when(charset == "UTF-8", utf8).when(charset.startswith("UTF-16"), _utf16(part, charset)).otherwise(let(_one_byte(part, charset), flagged))
 
 
 def body_error(body: Column, content_type: Column) -> Column:
@@ -167,13 +164,19 @@ def decode_body(body: Column, content_type: Column, most: int = 5 << 20) -> Colu
     malformed bytes are among the last eight, as if cut. An empty, binary or unwanted body has an error and
     no text. ``BATCH_CHARSETS`` are read as UTF-8 here; ``decoded`` reads them, too.
     """
-    charset = charset_of(body, content_type)
-    charset = F.when(charset.isin(rules.BATCH_CHARSETS), "UTF-8").otherwise(charset)
-    error = body_error(body, content_type)
-    text, replaced, late = _decoded(F.substring(body, 1, most), charset)
-    return F.struct(
-        F.when(error.isNull(), F.regexp_replace(text, "^\ufeff", "")).alias("html"), charset.alias("charset"), (error.isNull() & replaced).alias("replaced"), ((F.octet_length(body) > most) | error.isNull() & late).alias("truncated"), error.alias("error")
-    )
+    def named(p):
+        charset = charset_of(p["body"], p["kind"])
+        charset = F.when(charset.isin(rules.BATCH_CHARSETS), "UTF-8").otherwise(charset)
+        return F.struct(charset.alias("charset"), body_error(p["body"], p["kind"]).alias("error"), F.substring(p["body"], 1, most).alias("part"), F.coalesce(F.octet_length(p["body"]) > most, F.lit(False)).alias("longer"))
+
+    def read(p):
+        found = F.when(p["error"].isNull(), _decoded(p["part"], p["charset"]))
+        return let(F.struct(p.alias("p"), found.alias("found")), lambda x: F.struct(
+            F.regexp_replace(x["found"]["text"], "^\ufeff", "").alias("html"), x["p"]["charset"].alias("charset"), F.coalesce(x["found"]["replaced"], F.lit(False)).alias("replaced"),
+            (x["p"]["longer"] | F.coalesce(x["found"]["late"], F.lit(False))).alias("truncated"), x["p"]["error"].alias("error"),
+        ))
+
+    return let(let(F.struct(body.alias("body"), content_type.alias("kind")), named), read)
 
 
 @F.pandas_udf(T.StructType().add("html", T.StringType()).add("replaced", T.BooleanType()).add("late", T.BooleanType()))
@@ -194,7 +197,7 @@ def decoded(pages: DataFrame, body: str, content_type: str, out: str = "decoded"
     """
     charset = charset_of(F.col(body), F.col(content_type))
     rare = F.coalesce(charset.isin(rules.BATCH_CHARSETS), F.lit(False))
-    error, longer = body_error(F.col(body), F.col(content_type)), F.octet_length(body) > most
+    error, longer = body_error(F.col(body), F.col(content_type)), F.coalesce(F.octet_length(body) > most, F.lit(False))
     other = pages.where(rare).withColumn("__d", _in_batches(F.substring(body, 1, most), charset))
     made = F.struct(F.when(error.isNull(), F.col("__d.html")).alias("html"), charset.alias("charset"), (error.isNull() & F.col("__d.replaced")).alias("replaced"), (longer | error.isNull() & F.col("__d.late")).alias("truncated"), error.alias("error"))
     return pages.where(~rare).withColumn(out, decode_body(F.col(body), F.col(content_type), most)).unionByName(other.withColumn(out, made).drop("__d"))

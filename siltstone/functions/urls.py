@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import rules
 from siltstone.functions.addresses import ip_number, is_inner
+from siltstone.functions.binding import let
 
 _LABELS = r"^(?!-)[a-z0-9-]{1,63}(?<!-)(\.(?!-)[a-z0-9-]{1,63}(?<!-))*$"
 
@@ -83,7 +84,7 @@ def resolve(base: Column, ref: Column) -> Column:
     A reference with a scheme of its own stays as it is, unless the scheme is the base's; one that is empty is the
     base. Empty queries and fragments are dropped. For tables, ``with_resolved`` parses each side once.
     """
-    return _resolved(parts(base), parts(ref), base, ref)
+    return let(F.struct(parts(base).alias("b"), parts(ref).alias("r")), lambda p: _resolved(p["b"], p["r"], base, ref))
 
 
 def with_resolved(df: DataFrame, base: str, ref: str, out: str) -> DataFrame:
@@ -98,7 +99,7 @@ def scheme(url: Column) -> Column:
 
 def hostname(url: Column) -> Column:
     """Lower-case host without credentials, port and trailing dots; empty if there is none."""
-    host = F.regexp_replace(F.regexp_replace(_authority(url), "^.*@", ""), r":\d*$", "")
+    host = F.regexp_replace(F.regexp_replace(_authority(url), "^.*@", ""), r"^(\[[^\]]*\]|[^:]*).*$", "$1")
     return F.regexp_replace(F.lower(host), r"\.+$", "")
 
 
@@ -114,22 +115,32 @@ def query(url: Column) -> Column:
     return F.regexp_extract(F.trim(url), r"^[^?#]*\?([^#]*)", 1)
 
 
-def rejection(url: Column) -> Column:
-    """Why an absolute URL is not taken; null if it is. The first reason in order counts."""
-    value, low, host = F.trim(url), F.lower(F.trim(url)), hostname(url)
-    port = F.regexp_extract(F.regexp_replace(_authority(url), "^.*@", ""), r":([^:\]]*)$", 1)
-    chain = F.when(F.coalesce(value, F.lit("")) == "", "empty URL")
+def _known(url: Column) -> Column:
+    """What rejection and normal form ask of a URL, each computed once."""
+    return F.struct(F.trim(url).alias("value"), F.lower(F.trim(url)).alias("low"), scheme(url).alias("scheme"), _authority(url).alias("authority"), hostname(url).alias("host"), path(url).alias("path"), query(url).alias("query"))
+
+
+def _rejection(u: Column) -> Column:
+    host = u["host"]
+    port = F.regexp_extract(F.regexp_replace(u["authority"], "^.*@", ""), r":([^:\]]*)$", 1)
+    chain = F.when(F.coalesce(u["value"], F.lit("")) == "", "empty URL")
     for bad in ("javascript", "mailto", "tel", "data", "file", "ftp"):
-        chain = chain.when(low.startswith(f"{bad}:"), f"disallowed scheme: {bad}")
+        chain = chain.when(u["low"].startswith(f"{bad}:"), f"disallowed scheme: {bad}")
+    address = F.when(host.startswith("[") | host.rlike(r"^[0-9.]+$"), ip_number(host))
+    inner = "private/internal IP addresses are not allowed"
     return (
-        chain.when(~scheme(url).isin("http", "https"), F.concat(F.lit("unsupported scheme: "), F.when(scheme(url) == "", "(none)").otherwise(scheme(url))))
-        .when(_authority(url).contains("@"), "credentials in URL are not allowed")
+        chain.when(~u["scheme"].isin("http", "https"), F.concat(F.lit("unsupported scheme: "), F.when(u["scheme"] == "", "(none)").otherwise(u["scheme"])))
+        .when(u["authority"].contains("@"), "credentials in URL are not allowed")
         .when(host == "", "malformed URL: missing host")
         .when((host == "localhost") | host.endswith(".localhost"), "localhost is not allowed")
-        .when(host.startswith("[") & ip_number(host).isNull(), "malformed URL")
-        .when(ip_number(host).isNotNull() & is_inner(ip_number(host)), "private/internal IP addresses are not allowed")
-        .when(ip_number(host).isNotNull(), "IP address literals are not allowed")
-        .when(F.length(host) > 253, "malformed URL: host too long")
+        .when(host.startswith("[") | host.rlike(r"^[0-9.]+$"), let(address, lambda n: F.when(n.isNotNull(), F.when(is_inner(n), inner).otherwise("IP address literals are not allowed")).when(host.startswith("["), "malformed URL").otherwise(_name_rejection(host, port))))
+        .otherwise(_name_rejection(host, port))
+    )
+
+
+def _name_rejection(host: Column, port: Column) -> Column:
+    return (
+        F.when(F.length(host) > 253, "malformed URL: host too long")
         .when(~host.contains("."), "malformed URL: host has no domain suffix")
         .when(F.substring_index(host, ".", -1).isin(rules.RESERVED_SUFFIXES), "private/internal hostnames are not allowed")
         .when(~host.rlike(_LABELS), "malformed URL: invalid host label")
@@ -137,16 +148,24 @@ def rejection(url: Column) -> Column:
     )
 
 
+def rejection(url: Column) -> Column:
+    """Why an absolute URL is not taken; null if it is. The first reason in order counts."""
+    return let(_known(url), _rejection)
+
+
 def normalize(url: Column, retain_query: bool = False) -> Column:
     """The canonical form of an absolute URL; null if it is rejected."""
-    port = F.regexp_extract(_authority(url), r":(\d+)$", 1)
-    default = F.when(scheme(url) == "http", "80").otherwise("443")
-    authority = F.concat(hostname(url), F.when((port != "") & (port != default), F.concat(F.lit(":"), port)).otherwise(""))
-    out = F.concat(scheme(url), F.lit("://"), authority, path(url))
-    if retain_query:
-        pairs = F.array_sort(F.filter(F.split(query(url), "&"), lambda p: (p != "") & ~F.lower(F.substring_index(p, "=", 1)).isin(rules.TRACKING_PARAMS)))
-        out = F.concat(out, F.when(F.size(pairs) > 0, F.concat(F.lit("?"), F.array_join(pairs, "&"))).otherwise(""))
-    return F.when(rejection(url).isNull(), out)
+    def form(u):
+        port = F.regexp_extract(u["authority"], r":(\d+)$", 1)
+        default = F.when(u["scheme"] == "http", "80").otherwise("443")
+        authority = F.concat(u["host"], F.when((port != "") & (port != default), F.concat(F.lit(":"), port)).otherwise(""))
+        out = F.concat(u["scheme"], F.lit("://"), authority, u["path"])
+        if retain_query:
+            pairs = F.array_sort(F.filter(F.split(u["query"], "&"), lambda p: (p != "") & ~F.lower(F.substring_index(p, "=", 1)).isin(rules.TRACKING_PARAMS)))
+            out = F.concat(out, F.when(F.size(pairs) > 0, F.concat(F.lit("?"), F.array_join(pairs, "&"))).otherwise(""))
+        return F.when(_rejection(u).isNull(), out)
+
+    return let(_known(url), form)
 
 
 def website(value: Column) -> Column:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.functions import canonical, rules
 from siltstone.operators import reconcile
 
 #: The rule that an array strategy is recorded under.
@@ -23,6 +24,50 @@ def normal(value: Column) -> Column:
     return F.lower(F.regexp_replace(value, r"(?U)^\s+|\s+$", ""))
 
 
+def value_key(value: Column, kind: Column, apart: bool = False) -> Column:
+    """The typed key under which equal values meet, from a value's text and its kind (string, enum, integer, float, boolean, else JSON).
+
+    Texts are trimmed and folded. Numbers and booleans share one tag and one form, so ``1``, ``1.0`` and ``true`` are one value, as
+    they are in the engine whose results these are; with ``apart`` each kind has a tag of its own. A text is never a number: ``"1"`` and ``1`` differ.
+    """
+    figure = value.try_cast("double")
+    whole = value.try_cast("decimal(38,0)")
+    number = F.when(value.rlike(r"^\s*[+-]?\d{1,37}\s*$"), whole.cast("string")).when((figure == F.floor(figure)) & (F.abs(figure) < 1e15), figure.cast("long").cast("string")).otherwise(canonical.number(figure))
+    flag = F.lower(F.trim(value))
+    tag = (lambda own: F.lit(f"{own}:")) if apart else (lambda own: F.lit("number:"))
+    return (
+        F.when(kind.isin("string", "enum"), F.concat(F.lit("text:"), normal(value)))
+        .when(kind == "integer", F.concat(tag("integer"), number))
+        .when(kind == "float", F.concat(tag("float"), number))
+        .when(kind == "boolean", F.concat(tag("boolean"), F.when(flag == "true", "1").when(flag == "false", "0")))
+        .otherwise(F.concat(F.lit("json:"), value))
+    )
+
+
+def group_maps(facts: DataFrame, total: int = 52) -> DataFrame:
+    """One row a company: a map for each group of fields, short name to what is known, and how well it is.
+
+    ``facts``: company, field, ord, value, state, confidence, evidence (an array), verified_at. The group is the field's name up to its first
+    dot; fields of no group of ``rules.GROUPS`` count for nothing. Of several facts of a field the last by ``ord`` is shown, while
+    ``quality`` counts all: accepted, conflicting and stale ones, the whole mean confidence of the accepted, the fields
+    shown, and all there are. A company has at most as many map entries as there are fields.
+    """
+    rows = facts.withColumn("group", F.substring_index("field", ".", 1)).where(F.col("group").isin(rules.GROUPS))
+    rows = rows.withColumn("short", F.when(F.instr("field", ".") > 0, F.regexp_replace("field", r"^[^.]*\.", "")).otherwise(""))
+    accepted = ~F.col("state").isin("stale", "conflicting")
+    shown = F.struct("value", F.col("state").alias("verification_state"), "confidence", F.col("evidence").alias("evidence_ids"), F.col("verified_at").alias("last_verified_at"))
+    per_field = rows.groupBy("company", "group", "short").agg(
+        F.max_by(shown, "ord").alias("shown"), F.count_if(accepted).alias("a"), F.count_if(F.col("state") == "conflicting").alias("c"), F.count_if(F.col("state") == "stale").alias("s"), F.sum(F.when(accepted, F.col("confidence")).otherwise(0)).alias("sum")
+    )
+    entry = F.struct("short", "shown")
+    maps = [F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("group") == g, entry)), lambda x, y: F.when(x["short"] < y["short"], -1).when(x["short"] > y["short"], 1).otherwise(0))).alias(g) for g in rules.GROUPS]
+    mean = F.when(F.sum("a") > 0, F.floor(F.sum("sum") / F.sum("a"))).otherwise(0).cast("long")
+    quality = F.struct(
+        F.sum("a").alias("facts_accepted"), F.sum("c").alias("facts_conflicting"), F.sum("s").alias("facts_stale"), mean.alias("average_confidence"), F.count(F.lit(1)).alias("fields_covered"), F.lit(total).cast("long").alias("fields_total")
+    )
+    return per_field.groupBy("company").agg(*maps, quality.alias("quality"))
+
+
 def arrays(candidates: DataFrame, rule: str = ARRAY_RULES["set_union"], threshold: int = 70) -> DataFrame:
     """One fact per (company, field): its items by ``dedup_key``, else by value.
 

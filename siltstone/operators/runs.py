@@ -9,8 +9,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltstone.functions import rules
+from siltstone.functions.canonical import json_text
 
 
 def idempotency_key(*parts: Column, options: list[Column] = ()) -> Column:
@@ -25,6 +27,60 @@ def as_set(values: Column) -> Column:
     return F.array_sort(F.array_distinct(F.coalesce(values, F.array().cast("array<string>"))))
 
 
+def json_digest(value: Column, kind: T.DataType) -> Column:
+    """SHA-256 of a value's canonical JSON text."""
+    return F.sha2(json_text(value, kind), 256)
+
+
+def _listed(values: Column) -> Column:
+    """A list in order, repeats kept; a missing one is empty."""
+    return F.array_sort(F.coalesce(values, F.array().cast("array<string>")))
+
+
+_STRINGS = T.ArrayType(T.StringType())
+CRAWL_OPTIONS = T.StructType().add("manual_urls", _STRINGS).add("include_page_types", _STRINGS).add("exclude_page_types", _STRINGS).add("max_pages", T.LongType()).add("browser_policy", T.StringType()).add("force_refresh", T.BooleanType())
+EXTRACTION_OPTIONS = T.StructType().add("extractor_ids", _STRINGS).add("page_types", _STRINGS).add("force_refresh", T.BooleanType())
+#: Lists of a crawl's settings whose order says nothing.
+UNORDERED = ("response_headers_allowlist", "retryable_status_codes", "always_browser_page_types")
+
+
+def _options(options: dict[str, Column], kind: T.StructType) -> Column:
+    """A struct of ``kind`` from the options that are given: lists in order, a missing flag is false."""
+    def one(f):
+        value = options.get(f.name, F.lit(None).cast(f.dataType))
+        return _listed(value) if isinstance(f.dataType, T.ArrayType) else F.coalesce(value, F.lit(False)) if isinstance(f.dataType, T.BooleanType) else value.cast(f.dataType)
+
+    return F.struct(*[one(f).alias(f.name) for f in kind.fields])
+
+
+def crawl_key(company: Column, discovery_run: Column, config: Column, config_kind: T.StructType, options: dict[str, Column]) -> Column:
+    """The key of a crawl request: equal for equal requests, in the bytes that other tools compute.
+
+    ``config`` is a struct of the settings; those in ``UNORDERED`` are put in order. ``options`` may hold what
+    ``CRAWL_OPTIONS`` names. Both are hashed as canonical JSON.
+    """
+    fields = [F.array_sort(config.getField(f.name)).alias(f.name) if f.name in UNORDERED else config.getField(f.name).alias(f.name) for f in config_kind.fields]
+    return F.sha2(F.concat_ws("|", company.cast("string"), discovery_run.cast("string"), json_digest(F.struct(*fields), config_kind), json_digest(_options(options, CRAWL_OPTIONS), CRAWL_OPTIONS)), 256)
+
+
+def extraction_key(company: Column, crawl_run: Column, options: dict[str, Column]) -> Column:
+    """The key of an extraction request; ``options`` may hold what ``EXTRACTION_OPTIONS`` names."""
+    return F.sha2(F.concat_ws("|", company.cast("string"), crawl_run.cast("string"), json_digest(_options(options, EXTRACTION_OPTIONS), EXTRACTION_OPTIONS)), 256)
+
+
+def reuse(requests: DataFrame, runs: DataFrame, keys: list[str] = ("company", "key"), run: str = "run_id", created: str = "created_at", status: str = "status") -> DataFrame:
+    """Requests with ``outcome`` and ``known_run``: the latest run of the same company and key that is active or done.
+
+    ``rejected``: it is queued or running; ``reused``: it is done, its facts stand for the request; ``new``: there is none. Failed and
+    cancelled runs count for nothing. Runs are reduced to one a key before they are joined.
+    """
+    live = runs.where(F.col(status).isin(rules.ACTIVE_RUNS + rules.DONE_RUNS))
+    last = live.groupBy(*keys).agg(F.max_by(F.struct(F.col(run).alias("known_run"), F.col(status).alias("__status")), F.struct(created, run)).alias("__last"))
+    known = F.col("__last.__status")
+    outcome = F.when(known.isin(rules.ACTIVE_RUNS), "rejected").when(known.isNotNull(), "reused").otherwise("new")
+    return requests.join(last, list(keys), "left").select(*[F.col(f"`{c}`") for c in requests.columns], outcome.alias("outcome"), F.col("__last.known_run").alias("known_run"))
+
+
 def admit(requests: DataFrame, runs: DataFrame, statuses: list[str], key: str = "key", run: str = "run_id", status: str = "status") -> DataFrame:
     """Adds ``blocked_by``: the least run of the same key in one of the statuses; null for a request that may start."""
     live = runs.where(F.col(status).isin(statuses)).groupBy(key).agg(F.min(run).alias("blocked_by"))

@@ -60,8 +60,8 @@ def boolean_reconcile(spark, d):
 
 
 @query(
-    """WITH c AS (SELECT l_partkey AS company, 'catalogue.size' AS field, l_orderkey * 10 + l_linenumber AS id, (l_quantity::BIGINT)::VARCHAR AS value, l_returnflag = 'N' AND l_linenumber > 5 AS exact, (60 + l_linenumber * 5)::BIGINT AS confidence FROM lineitem),
- g AS (SELECT company, field, count(*) FILTER (WHERE exact) AS e, count(DISTINCT value) FILTER (WHERE exact) AS ev, max(confidence) FILTER (WHERE exact) AS ec, arg_max(value, confidence * 1000000000000 - id) FILTER (WHERE exact) AS evalue, arg_max(value, confidence * 1000000000000 - id) FILTER (WHERE NOT exact) AS est, max(confidence) FILTER (WHERE NOT exact) AS estc FROM c WHERE confidence >= 70 GROUP BY 1, 2)
+    """WITH c AS (SELECT l_partkey AS company, 'catalogue.size' AS field, (l_orderkey * 10 + l_linenumber) * 100000000 + l_suppkey AS id, (l_quantity::BIGINT)::VARCHAR AS value, l_returnflag = 'N' AND l_linenumber > 5 AS exact, (60 + l_linenumber * 5)::BIGINT AS confidence FROM lineitem),
+ g AS (SELECT company, field, count(*) FILTER (WHERE exact) AS e, count(DISTINCT value) FILTER (WHERE exact) AS ev, max(confidence) FILTER (WHERE exact) AS ec, arg_max(value, confidence::HUGEINT * 100000000000000000000 - id) FILTER (WHERE exact) AS evalue, arg_max(value, confidence::HUGEINT * 100000000000000000000 - id) FILTER (WHERE NOT exact) AS est, max(confidence) FILTER (WHERE NOT exact) AS estc FROM c WHERE confidence >= 70 GROUP BY 1, 2)
  SELECT company, field, CASE WHEN ev = 1 THEN evalue WHEN ev > 1 THEN NULL ELSE est END AS value, CASE WHEN ev > 0 THEN ec ELSE estc END AS confidence, CASE WHEN ev > 1 THEN 'conflicting' ELSE 'accepted' END AS status, CASE WHEN ev = 1 THEN 'measured' WHEN ev > 1 THEN 'conflicting' ELSE 'inferred' END AS state,
  CASE WHEN ev = 1 THEN 'reconciliation.exact_value_beats_estimate' WHEN ev > 1 THEN 'reconciliation.competing_exact_counts_conflict' ELSE 'reconciliation.highest_confidence_scalar_selected' END AS rule, (CASE WHEN ev > 0 THEN e ELSE 1 END)::BIGINT AS n_sources FROM g"""
 )
@@ -69,7 +69,7 @@ def numeric_reconcile(spark, d):
     c = _t(spark, d, "lineitem").select(
         F.col("l_partkey").alias("company"),
         F.lit("catalogue.size").alias("field"),
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
+        ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100_000_000 + F.col("l_suppkey")).alias("id"),
         F.col("l_quantity").cast("long").cast("string").alias("value"),
         ((F.col("l_returnflag") == "N") & (F.col("l_linenumber") > 5)).alias("exact"),
         (F.lit(60) + F.col("l_linenumber") * 5).cast("long").alias("confidence"),
@@ -78,12 +78,12 @@ def numeric_reconcile(spark, d):
 
 
 @query(
-    """WITH i AS (SELECT l_suppkey AS company, lower(l_returnflag) AS key, arg_max(l_returnflag, l_linenumber * 1000000000000 - l_orderkey * 10 - l_linenumber) AS value, max(60 + l_linenumber * 5)::BIGINT AS confidence, count(*) AS n, min(l_orderkey * 10 + l_linenumber) AS f FROM lineitem WHERE 60 + l_linenumber * 5 >= 70 GROUP BY 1, 2)
- SELECT company, 'catalogue.flags' AS field, string_agg(value, ',' ORDER BY f) AS items, max(confidence) AS confidence, sum(n)::BIGINT AS n_sources FROM i GROUP BY 1"""
+    """WITH i AS (SELECT l_suppkey AS company, lower(l_returnflag) AS key, arg_max(l_returnflag, l_linenumber::HUGEINT * 100000000000000000000 - ((l_orderkey * 10 + l_linenumber) * 100000000 + l_partkey)) AS value, max(60 + l_linenumber * 5)::BIGINT AS confidence, count(*) AS n, min((l_orderkey * 10 + l_linenumber) * 100000000 + l_partkey) AS f FROM lineitem WHERE 60 + l_linenumber * 5 >= 70 GROUP BY 1, 2)
+ SELECT company, 'catalogue.flags' AS field, string_agg(value, ',' ORDER BY f, value) AS items, max(confidence) AS confidence, sum(n)::BIGINT AS n_sources FROM i GROUP BY 1"""
 )
 def set_union_reconcile(spark, d):
     c = _t(spark, d, "lineitem").select(
-        F.col("l_suppkey").alias("company"), F.lit("catalogue.flags").alias("field"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_returnflag").alias("value"), (F.lit(60) + F.col("l_linenumber") * 5).cast("long").alias("confidence")
+        F.col("l_suppkey").alias("company"), F.lit("catalogue.flags").alias("field"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100_000_000 + F.col("l_partkey")).alias("id"), F.col("l_returnflag").alias("value"), (F.lit(60) + F.col("l_linenumber") * 5).cast("long").alias("confidence")
     )
     out = reconcile.union(c)
     return out.select("company", "field", F.array_join(F.transform("items", lambda s: s["value"]), ",").alias("items"), "confidence", "n_sources")

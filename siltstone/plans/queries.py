@@ -73,11 +73,24 @@ def url_query_redaction(spark, d):
     return _t(spark, d, "pages").select("page_id", urls.redact_query(F.col("url")).alias("redacted"))
 
 
-@query("SELECT v AS url, r AS reason FROM (VALUES ('', 'empty URL'), ('mailto:a@b.co', 'disallowed scheme: mailto'), ('ws://a.co/', 'unsupported scheme: ws'), ('https://u:p@a.co/', 'credentials in URL are not allowed'), ('https:///x', 'malformed URL: missing host'), ('http://localhost/', 'localhost is not allowed'), ('http://10.0.0.1/', 'private/internal IP addresses are not allowed'), ('http://8.8.8.8/', 'IP address literals are not allowed'), ('http://intranet/', 'malformed URL: host has no domain suffix'), ('http://a.test/', 'private/internal hostnames are not allowed'), ('http://-a.co/', 'malformed URL: invalid host label'), ('http://a.co/x', NULL)) t(v, r)")
+# What stands before, in place of the host, and behind the path of a page's address, and why the whole is rejected.
+_REJECTED = [
+    ("mailto:", "", "disallowed scheme: mailto"), ("JavaScript:", "", "disallowed scheme: javascript"), ("ws://", "a.co", "unsupported scheme: ws"), ("", "a.co", "unsupported scheme: (none)"), ("https://", "u:p@a.co", "credentials in URL are not allowed"),
+    ("https://", "", "malformed URL: missing host"), ("http://", "localhost", "localhost is not allowed"), ("http://", "10.0.0.1", "private/internal IP addresses are not allowed"), ("http://", "8.8.8.8:80", "IP address literals are not allowed"),
+    ("http://", "[fe80::1]:80", "private/internal IP addresses are not allowed"), ("http://", "[2606:4700::1]", "IP address literals are not allowed"), ("http://", "intranet", "malformed URL: host has no domain suffix"),
+    ("http://", "a.test", "private/internal hostnames are not allowed"), ("http://", "-a.co", "malformed URL: invalid host label"), ("http://", "a.co:port", "malformed URL"), ("http://", "999.1.1.1", None), (" HTTPS://", "A.co.", None),
+]
+
+
+@query(
+    "SELECT page_id, CASE page_id % " + f"{len(_REJECTED)} " + " ".join(f"WHEN {i} THEN '{scheme}{host}'" for i, (scheme, host, _) in enumerate(_REJECTED)) + " END || regexp_extract(url, '^[a-z]+://[^/]*(.*)$', 1) AS url, CASE page_id % " + f"{len(_REJECTED)} " + " ".join(f"WHEN {i} THEN '{why}'" for i, (_, _, why) in enumerate(_REJECTED) if why) + " END AS reason FROM pages"
+)
 def url_rejections(spark, d):
-    bad = ["", "mailto:a@b.co", "ws://a.co/", "https://u:p@a.co/", "https:///x", "http://localhost/", "http://10.0.0.1/", "http://8.8.8.8/", "http://intranet/", "http://a.test/", "http://-a.co/", "http://a.co/x"]
-    rows = spark.createDataFrame([(x,) for x in bad], "url string")
-    return rows.select("url", urls.rejection(F.col("url")).alias("reason"))
+    """Every page's path behind a scheme and host of its own, most of them not to be taken."""
+    k, path = F.col("page_id") % len(_REJECTED), F.regexp_extract("url", "^[a-z]+://[^/]*(.*)$", 1)
+    front = F.element_at(F.array(*[F.lit(scheme + host) for scheme, host, _ in _REJECTED]), (k + 1).cast("int"))
+    rows = _t(spark, d, "pages").select("page_id", F.concat(front, path).alias("url"))
+    return rows.select("page_id", "url", urls.rejection(F.col("url")).alias("reason"))
 
 
 @query(f"WITH p AS (SELECT page_id, {_PATH} AS path FROM pages) SELECT page_id, {_TYPE} AS page_type FROM p")
