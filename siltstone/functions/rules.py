@@ -62,6 +62,8 @@ CITY = r"([A-Z][a-zA-Z]+(?:\s[A-Z][a-zA-Z]+){0,2}),?\s+[A-Z]{2,3}\s+\d{4,5}\b"
 # What belongs to a member of a team: the markup from one such class to the next.
 TEAM_BLOCK = r"""(?is)class="[^"]*(?:team-member|person)[^"]*"[^>]*>(.*?)(?=class="[^"]*(?:team-member|person)|\z)"""
 
+ROLE_BLOCK = r"""(?is)class="[^"]*(?:role|title)[^"]*"[^>]*>(.*?)</"""
+
 # Blocked or challenge pages, in order: class and phrases.
 CHALLENGES = [
     ("cloudflare_challenge", ["checking your browser", "cf-browser-verification", "cf-chl-bypass", "just a moment"]),

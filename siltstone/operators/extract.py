@@ -1,21 +1,18 @@
 """Fact candidates from parsed pages: each extractor is a projection; all share one schema.
 
-Input: page_id, host, page_type and the columns of the page pass. Output: company, field, value,
-confidence, source, page_id, evidence_id.
+Input: page_id, host, page_type and the columns of the page pass. An extractor gives company, field, value,
+confidence, source and page_id, and may give more (``MORE``); ``extract`` adds the evidence.
 """
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from siltstone.functions import rules, text, urls
-from siltstone.operators import shops
+from siltstone.operators import facts, matches, shops
 from siltstone.storage import materialize
 
 
@@ -105,31 +102,39 @@ def business_model(pages: DataFrame) -> DataFrame:
 
 
 def contacts(pages: DataFrame) -> DataFrame:
-    mail = F.filter(F.transform("links", lambda x: F.regexp_extract(x["href"], r"(?i)^mailto:([^?]+)", 1)), lambda x: x != "")
-    tel = F.filter(F.transform("links", lambda x: F.regexp_replace(F.regexp_extract(x["href"], r"(?i)^tel:(.+)", 1), "[^0-9+]", "")), lambda x: x != "")
+    """E-mail addresses and telephone numbers, each once a page: of links before structured data before text, and there the first.
+
+    The value is the normal form; the fragment is the contact as it is written.
+    """
+    def linked(scheme):
+        return F.transform(F.filter("links", lambda x: F.lower(x["href"]).startswith(f"{scheme}:")), lambda x: F.substring(x["href"], len(scheme) + 2, 1 << 20))
 
     def stated(key):
         """Plain values of a key of the structured data."""
-        return F.filter(F.transform("structured", lambda e: F.get_json_object(e, f"$.{key}")), lambda v: v.isNotNull() & ~v.rlike(r"^\s*[\[{]"))
-
-    structured_mail = F.array_distinct(F.transform(stated("email"), lambda v: F.lower(F.trim(v))))
-    structured_tel = F.array_distinct(F.transform(stated("telephone"), lambda v: F.regexp_replace(v, "[^0-9+]", "")))
+        return F.transform(F.filter(F.transform("structured", lambda e: F.get_json_object(e, f"$.{key}")), lambda v: v.isNotNull() & ~v.rlike(r"^\s*[\[{]")), lambda v: F.trim(v))
+
+    def bare(v):
+        return F.regexp_replace(v, "[^0-9+]", "")
+
+    def ranked(field, normal, *sources):
+        made = [_numbered(values, k, normal) for k, (values, _, _) in enumerate(sources)]
+        rows = pages.select("host", "page_id", F.explode(F.concat(*made)).alias("x")).where("x.value <> ''")
+        first = rows.groupBy("host", "page_id", F.col("x.value").alias("value")).agg(F.min(F.struct("x.rank", "x.nth", "x.raw")).alias("x"))
+        confidence = F.element_at(F.array(*[F.lit(c) for _, c, _ in sources]), F.col("x.rank") + 1)
+        source = F.element_at(F.array(*[F.lit(s) for _, _, s in sources]), F.col("x.rank") + 1)
+        return first.select(F.col("host").alias("company"), F.lit(field).alias("field"), "value", confidence.cast("int").alias("confidence"), source.alias("source"), "page_id", F.col("x.raw").alias("fragment"), F.col("value").alias("dedup_key"))
+
+    mails = F.transform(linked("mailto"), lambda v: F.trim(F.substring_index(v, "?", 1)))
+    said = F.filter(F.regexp_extract_all("text", F.lit(text.PHONE), F.lit(0)), lambda v: F.length(F.regexp_replace(v, "[^0-9]", "")).between(7, 15))
+    written = F.regexp_extract_all("text", F.lit(text.EMAIL), F.lit(0))
+    none = F.array().cast("array<string>")
+    return ranked("organisation.emails", F.lower, (mails, 82, "link"), (stated("email"), 85, "json_ld"), (F.coalesce(written, none), 70, "html_element")).unionByName(
+        ranked("organisation.phone_numbers", bare, (linked("tel"), 80, "link"), (stated("telephone"), 85, "json_ld"), (F.coalesce(said, none), 65, "html_element"))
+    )
 
-    def rows(field, values, confidence, source):
-        x = pages.select("host", "page_id", F.explode(values).alias("v"))
-        return _candidates(x, field, F.lower("v"), F.lit(confidence), source)
 
-    return reduce(
-        DataFrame.unionByName,
-        [
-            rows("organisation.emails", mail, 82, "link"),
-            rows("organisation.emails", structured_mail, 85, "json_ld"),
-            rows("organisation.emails", text.emails(F.col("text")), 70, "html_element"),
-            rows("organisation.phone_numbers", tel, 80, "link"),
-            rows("organisation.phone_numbers", structured_tel, 85, "json_ld"),
-            rows("organisation.phone_numbers", text.phones(F.col("text")), 65, "html_element"),
-        ],
-    )
+def _numbered(values, rank: int, normal) -> F.Column:
+    return F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v, i: F.struct(F.lit(rank).alias("rank"), i.alias("nth"), normal(F.trim(v)).alias("value"), F.trim(v).alias("raw")))
 
 
 def technology(pages: DataFrame) -> DataFrame:
@@ -175,79 +180,139 @@ def brands(pages: DataFrame) -> DataFrame:
     return _candidates(e, "business.brands", name, F.lit(70), "json_ld").unionByName(_candidates(linked, "business.brands", F.col("l.anchor"), F.lit(70), "link"))
 
 
+def persons(pages: DataFrame) -> DataFrame:
+    """(host, page_id, url, nth, name, role_title, role_category, email, phone, source) of the people that pages name.
+
+    People of the structured data come first, with what is said of them there; then members of team blocks: the first heading
+    is the name, the first element of a role or title class what they do. Those without a name are left out.
+    """
+    url = F.col("url") if "url" in pages.columns else F.lit(None).cast("string")
+
+    def blank(v):
+        return F.coalesce(v, F.lit(""))
+
+    def stated(e):
+        said = lambda key: F.get_json_object(e, f"$.{key}")
+        return F.struct(F.trim(said("name")).alias("name"), blank(said("jobTitle")).alias("role_title"), said("email").alias("email"), said("telephone").alias("phone"), F.lit("json_ld").alias("source"))
+
+    def is_person(e):
+        one = F.get_json_object(e, "$.@type")
+        return F.coalesce(F.lower(one) == "person", F.lit(False)) | F.coalesce(F.exists(F.from_json(F.when(one.startswith("["), one), "array<string>"), lambda x: F.lower(x) == "person"), F.lit(False))
+
+    def member(block):
+        name, role = F.regexp_extract(block, r"(?is)<h[1-6][^>]*>(.*?)</h[1-6]>", 1), F.regexp_extract(block, rules.ROLE_BLOCK, 1)
+        none = F.lit(None).cast("string")
+        return F.struct(_plain(name).alias("name"), _plain(role).alias("role_title"), none.alias("email"), none.alias("phone"), F.lit("team_block").alias("source"))
+
+    found = F.concat(F.transform(F.filter("structured", is_person), stated), F.transform(F.regexp_extract_all("cleaned", F.lit(rules.TEAM_BLOCK), F.lit(1)), member))
+    rows = pages.select("host", "page_id", url.alias("url"), F.posexplode(found).alias("nth", "p")).where("p.name <> ''")
+    return rows.select("host", "page_id", "url", "nth", "p.name", "p.role_title", text.role(F.col("p.role_title")).alias("role_category"), "p.email", "p.phone", "p.source")
+
+
 def people(pages: DataFrame) -> DataFrame:
-    e = _entities(pages).where(F.col("types").rlike("(^| )person( |$)"))
-    blocks = F.regexp_extract_all("cleaned", F.lit(rules.TEAM_BLOCK), F.lit(1))
-    names = pages.select("host", "page_id", F.explode(F.transform(blocks, lambda b: F.regexp_extract(b, r"(?is)<h[1-6][^>]*>(.*?)</h[1-6]>", 1))).alias("name"))
-    return _candidates(e, "organisation.people", F.get_json_object("e", "$.name"), F.lit(80), "json_ld").unionByName(_candidates(names, "organisation.people", _plain(F.col("name")), F.lit(68), "html_element"))
+    """People with their attributes, and the same people as contacts to turn to, ranked by their roles (``sort_key``)."""
+    rows = persons(pages).withColumn("priority", text.contact_priority(F.col("role_category")))
+    whole = {"ignoreNullFields": "false"}
+    attributes = F.to_json(F.struct("name", "role_title", "role_category", "email", "phone", F.col("url").alias("source_url")), whole)
+    contact = F.to_json(F.struct("name", "role_title", "role_category", "priority", F.col("url").alias("source_url")), whole)
+    fragment = F.regexp_replace(F.concat("name", F.lit(" — "), "role_title"), "^[ —]+|[ —]+$", "")
+    structured = F.col("source") == "json_ld"
+    none = F.lit(None).cast("int")
+
+    def one(field, value, confidence, source, order):
+        return F.struct(F.lit(field).alias("field"), value.alias("value"), confidence.cast("int").alias("confidence"), source.alias("source"), order.alias("sort_key"))
+
+    both = F.array(
+        one("organisation.people", attributes, F.when(structured, 80).otherwise(68), F.when(structured, "json_ld").otherwise("html_element"), none),
+        one("organisation.recommended_contact_candidates", contact, F.lit(55), F.lit("deterministic_inference"), F.col("priority")),
+    )
+    key = F.concat_ws("|", F.lower("name"), "role_category")
+    return rows.select(F.col("host").alias("company"), "page_id", fragment.alias("fragment"), key.alias("dedup_key"), F.explode(both).alias("x")).select("company", "x.field", "x.value", "x.confidence", "x.source", "page_id", "fragment", "dedup_key", "x.sort_key")
 
 
-def wording(pages: DataFrame) -> DataFrame:
-    found = [F.when(F.col("text").rlike(f"(?iU){'|'.join(ps)}"), F.struct(F.lit(f).alias("f"), F.lit(v).alias("v"), F.lit(c).alias("c"))) for f, v, c, ps in rules.WORDING_RULES]
-    ai = reduce(lambda a, b: a | b, [F.contains(F.lower("text"), F.lit(w)) for w in rules.AI_WORDS])
-    found.append(F.when(ai, F.struct(F.lit("technology.ai_signals").alias("f"), F.regexp_extract(F.lower("text"), f"({'|'.join(rules.AI_WORDS)})", 1).alias("v"), F.lit(55).alias("c"))))
-    hit = pages.select("host", "page_id", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("x"))
-    return hit.select(F.col("host").alias("company"), F.col("x.f").alias("field"), F.col("x.v").alias("value"), F.col("x.c").cast("int").alias("confidence"), F.lit("html_element").alias("source"), "page_id")
+def _placed(found: DataFrame, value, dedup_key=None) -> DataFrame:
+    """Candidates of matches: each with its place, its words and what stands around them."""
+    locator = F.concat(F.lit("text["), F.col("start"), F.lit(":"), F.col("end"), F.lit("]"))
+    key = F.lit(None).cast("string") if dedup_key is None else dedup_key
+    return found.select(F.col("host").alias("company"), "field", value.alias("value"), "confidence", F.lit("html_element").alias("source"), "page_id", "fragment", "prefix", "suffix", locator.alias("place"), key.alias("dedup_key"))
 
 
-def growth_statements(page: str) -> list[tuple[str, int, str, str]]:
-    """(field, confidence, statement, window) of all matches of each pattern by itself.
+def _stated(of: list[matches.Rule]):
+    def found(pages):
+        return _placed(matches.pattern_matches(pages.select("host", "page_id", "page_type", "text"), of), F.col("said"))
 
-    The window is the statement with 200 characters of the whole text on both sides: what one match
-    takes is not lost to the next. Matches without what must stand nearby are left out.
-    """
-    out = []
-    for field, confidence, patterns, nearby in rules.GROWTH_RULES:
-        for pattern in patterns:
-            for m in re.finditer(pattern, page, re.I):
-                window = f"{page[max(0, m.start() - 200) : m.start()]} {m[0]} {page[m.end() : m.end() + 200]}"
-                if nearby is None or re.search(nearby, window, re.I):
-                    out.append((field, confidence, m[0], window))
-    return out
+    return found
+
+
+def ai_signals(pages: DataFrame) -> DataFrame:
+    words = "|".join(rules.AI_WORDS)
+    said = F.regexp_extract(F.lower("text"), f"({words})", 1)
+    return _several(pages, [("technology.ai_signals", F.nullif(said, F.lit("")), 55, "html_element")])
+
+
+def wording(pages: DataFrame) -> DataFrame:
+    return _full(_stated(matches.WORDING)(pages)).unionByName(_full(ai_signals(pages)))
 
 
 def growth(pages: DataFrame) -> DataFrame:
     """Statements of growth, each with the date nearby, the date of publication and the one in effect.
 
-    The publication date is that of ``article:published_time``, else the day of ``fetched_at`` if the
+    Every match of each pattern counts by itself; the date is looked for in the statement with 200 characters of the text on
+    both sides, where what must stand nearby is, too. The publication date is that of ``article:published_time``, else the day of ``fetched_at`` if the
     pages have such a column; the date in effect is the one nearby, else that of publication.
     """
-    kept = [c for c in ("host", "page_id", "published", "fetched_at") if c in pages.columns]
-    schema = T.StructType([pages.schema[c] for c in kept]).add("field", T.StringType()).add("confidence", T.IntegerType()).add("statement", T.StringType()).add("w", T.StringType())
-
-    def run(batches):
-        for b in batches:
-            for start in range(0, b.num_rows, 256):
-                part = b.slice(start, 256)
-                found = [(i, *x) for i, page in enumerate(part.column(len(kept))) for x in growth_statements(page.as_py() or "")]
-                at, *made = zip(*found, strict=True) if found else [()] * 5
-                rows = [c.take(pa.array(at, pa.int64())) for c in part.columns[:-1]]
-                types = [pa.string(), pa.int32(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([*rows, *(pa.array(x, t) for x, t in zip(made, types, strict=True))], schema.names)
-
-    rows = pages.select(*kept, "text").mapInArrow(run, schema)
+    kept = [c for c in ("host", "page_id", "page_type", "published", "fetched_at") if c in pages.columns]
+    rows = matches.pattern_matches(pages.select(*kept, "text"), matches.GROWTH)
     published = text.date(F.regexp_replace("published", r"^(\d{4}-\d{2}-\d{2})T.*", "$1"))
     if "fetched_at" in kept:
         published = F.coalesce(published, F.col("fetched_at").try_cast("date"))
-    event = text.date(F.col("w"))
-    dated = F.to_json(F.struct(F.lower("statement").alias("statement"), event.alias("event_date"), published.alias("publication_date"), F.coalesce(event, published).alias("effective_date")))
-    return rows.select(F.col("host").alias("company"), "field", dated.alias("value"), "confidence", F.lit("html_element").alias("source"), "page_id")
+    event = text.date(F.concat_ws(" ", "prefix", "fragment", "suffix"))
+    dated = F.to_json(F.struct(F.lower("fragment").alias("statement"), event.alias("event_date"), published.alias("publication_date"), F.coalesce(event, published).alias("effective_date")))
+    return _placed(rows, dated, F.concat_ws("|", "rule", F.lower("fragment")))
+
+
+#: What candidates carry beside the common columns, and what stands for it where an extractor has none.
+MORE = ["fragment", "prefix", "suffix", "place", "dedup_key", "sort_key"]
+
 
+def _full(rows: DataFrame) -> DataFrame:
+    """Candidates with all columns: the fragment of one that has none is its value."""
+    def one(c):
+        if c in rows.columns:
+            return F.col(c)
+        return F.col("value") if c == "fragment" else F.lit(None).cast("int" if c == "sort_key" else "string")
 
-def _of_shops(f):
-    return lambda pages: f(pages).select("company", "field", "value", "confidence", "source", "page_id")
+    return rows.select("company", "field", "value", F.col("confidence").cast("int").alias("confidence"), "source", "page_id", *[one(c).alias(c) for c in MORE])
 
 
-EXTRACTORS = {"operations": _of_shops(shops.operations), "catalogue": _of_shops(shops.catalogue), "trading_name": trading_name, "brands": brands, "people": people, "wording": wording, "growth": growth, "company_name": company_name, "language": language, "country": country, "business_model": business_model, "contacts": contacts, "technology": technology}
+EXTRACTORS = {
+    "operations": shops.operations, "catalogue": shops.catalogue, "trading_name": trading_name, "brands": brands, "people": people, "wording": wording, "growth": growth, "company_name": company_name,
+    "language": language, "country": country, "business_model": _stated(matches.BUSINESS), "contacts": contacts, "technology": technology,
+}
+
+
+def extractor_of(field) -> F.Column:
+    """The id of the extractor whose candidates are of a field."""
+    exact = {"identity.city": "identity.country_city", "identity.country": "identity.country_city"} | {x[1]: x[1] for x in rules.EXTRACTORS}
+    groups = {i.split(".")[0]: i for _, i, _, _, _ in rules.EXTRACTORS if not i.startswith(("identity.", "business.brands"))}
+    table = F.create_map(*[F.lit(x) for p in exact.items() for x in p])
+    by_group = F.create_map(*[F.lit(x) for p in groups.items() for x in p])
+    return F.coalesce(table[field], by_group[F.substring_index(field, ".", 1)])
 
 
 def extract(pages: DataFrame, only: list[str] | None = None) -> DataFrame:
-    """All candidates, with ids that depend on nothing but page, field and value.
+    """All candidates with their evidence: company, field, value, confidence, source, page_id, extractor_id, dedup_key, sort_key, place, evidence_id, excerpt, prefix, suffix, truncated.
 
-    Several extractors share one pass over the pages, whose outcome is written to the shared folder.
+    An extractor sees only pages of the types it is for. The pages are written to the shared folder, since all extractors share
+    one pass over them. The id of an evidence depends on page, field, locator and fragment alone; candidates of pattern rules have the matched words
+    as fragment and their ``place`` in the text, others what is written on the page.
     """
-    if only is None or len(only) > 1:
-        pages = materialize(pages, "parsed")
-    parts = [f(pages) for name, f in EXTRACTORS.items() if only is None or name in only]
-    rows = reduce(DataFrame.unionByName, parts)
-    return rows.withColumn("evidence_id", F.sha2(F.concat_ws("|", F.col("page_id").cast("string"), "field", "source", F.sha2("value", 256)), 256))
+    pages = materialize(pages, "parsed")
+    types = {name: kinds for name, _, _, kinds, _ in rules.EXTRACTORS}
+
+    def seen(name):
+        return pages.where(F.col("page_type").isin(types[name])) if types.get(name) else pages
+
+    parts = [_full(f(seen(name))) for name, f in EXTRACTORS.items() if only is None or name in only]
+    drafts = reduce(DataFrame.unionByName, parts).withColumn("locator", F.lit(None).cast("string")).withColumn("extractor_id", extractor_of(F.col("field")))
+    return facts.with_evidence(drafts).drop("fragment", "locator")

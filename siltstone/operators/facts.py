@@ -182,15 +182,19 @@ def evidence_id(page: Column, field: Column, locator: Column, fragment: Column)
     return F.sha2(F.concat_ws("|", page.cast("string"), field, F.coalesce(locator, F.lit("")), F.sha2(fragment, 256)), 256)
 
 
-def with_evidence(drafts: DataFrame, most: int = 300) -> DataFrame:
+def with_evidence(drafts: DataFrame, most: int = 300, around: int = 120) -> DataFrame:
     """Drafts (page_id, field, value, locator, fragment) with their evidence; one without a fragment is dropped.
 
     The excerpt is the fragment with e-mail addresses redacted, but for facts on contacts, cut at ``most``
-    characters; ``truncated`` says so.
+    characters; ``truncated`` says so. Drafts may bring ``prefix`` and ``suffix``, which are redacted alike and cut at ``around``.
     """
     from siltstone.functions import text
 
-    plain = text.collapse(F.col("fragment"))
-    shown = F.when(F.col("field").isin("organisation.emails", "organisation.people", "organisation.recommended_contact_candidates"), plain).otherwise(text.redact_emails(plain))
-    rows = drafts.where(F.coalesce(plain, F.lit("")) != "").withColumn("shown", shown)
-    return rows.select(*drafts.columns, evidence_id(F.col("page_id"), F.col("field"), F.col("locator"), F.col("fragment")).alias("evidence_id"), text.excerpt(F.col("shown"), most).alias("excerpt"), (F.char_length("shown") > most).alias("truncated"))
+    plain, field = text.collapse(F.col("fragment")), F.col("field")
+    open_ = field.isin("organisation.emails", "organisation.people", "organisation.recommended_contact_candidates")
+    rows = drafts.where(F.coalesce(plain, F.lit("")) != "").withColumn("shown", F.when(open_, plain).otherwise(text.redact_emails(plain)))
+
+    def said(c):
+        return text.excerpt(F.when(open_, F.col(c)).otherwise(text.redact_emails(F.col(c))), around).alias(c) if c in ("prefix", "suffix") else F.col(c)
+
+    return rows.select(*[said(c) for c in drafts.columns], evidence_id(F.col("page_id"), field, F.col("locator"), F.col("fragment")).alias("evidence_id"), text.excerpt(F.col("shown"), most).alias("excerpt"), (F.char_length("shown") > most).alias("truncated"))
