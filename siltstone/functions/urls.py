@@ -16,62 +16,82 @@ def _authority(url: Column) -> Column:
     return F.regexp_extract(F.trim(url), r"(?i)^[a-z][a-z0-9+.-]*://([^/?#]*)", 1)
 
 
+def _behind(text: Column, n: Column | int) -> Column:
+    """What stands behind the first ``n`` characters."""
+    return F.substr(text, n + 1 if isinstance(n, Column) else F.lit(n + 1))
+
+
 def _clean(url: Column) -> Column:
     """Without blanks and control characters around it, and without line breaks and tabs."""
-    return F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\r\n]", "")
+    bare = F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\r\n]", "")
+    return F.when(url.rlike(r"[\x00-\x20]"), bare).otherwise(url)
 
 
 def parts(url: Column) -> Column:
-    """``struct(scheme, authority, path, query, fragment)`` of a URL or a relative reference; what is missing or empty is null, but for the path."""
-    value = _clean(url)
-    rest = F.regexp_replace(value, r"^[A-Za-z][A-Za-z0-9+.-]*:", "")
-    tail = F.regexp_replace(rest, r"^//[^/?#]*", "")
-
-    def part(of, pattern):
-        return F.nullif(F.regexp_extract(of, pattern, 1), F.lit(""))
-
-    return F.struct(
-        F.lower(part(value, r"^([A-Za-z][A-Za-z0-9+.-]*):")).alias("scheme"),
-        part(rest, r"^//([^/?#]*)").alias("authority"),
-        F.regexp_extract(tail, r"^([^?#]*)", 1).alias("path"),
-        part(tail, r"^[^?#]*\?([^#]*)").alias("query"),
-        part(tail, r"#(.*)$").alias("fragment"),
-    )
+    """``struct(value, scheme, authority, path, query, fragment)`` of a URL or a relative reference; what is missing or empty is null, but for the path."""
+    def third(p):
+        slashes, none = p["rest"].startswith("//"), F.lit("")
+        authority = F.when(slashes, F.substring_index(_behind(p["rest"], 2), "/", 1)).otherwise(none)
+        path = F.when(slashes, _behind(p["rest"], F.length(authority) + 2)).otherwise(p["rest"])
+        return F.struct(p["value"].alias("value"), F.nullif(F.lower(p["scheme"]), none).alias("scheme"), F.nullif(authority, none).alias("authority"), path.alias("path"), F.nullif(p["query"], none).alias("query"), F.nullif(p["fragment"], none).alias("fragment"))
 
+    def second(p):
+        head = F.substring_index(p["head"], "?", 1)
+        scheme = F.when(head.contains(":"), F.regexp_extract(head, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)).otherwise("")
+        rest = F.when(scheme != "", _behind(head, F.length(scheme) + 1)).otherwise(head)
+        return F.struct(p["value"].alias("value"), scheme.alias("scheme"), rest.alias("rest"), _behind(p["head"], F.length(head) + 1).alias("query"), p["fragment"].alias("fragment"))
 
-def _merged(base: Column, path: Column) -> Column:
-    """A path without dot segments, taken from the folder of ``base`` if it is relative.
+    def first(value):
+        head = F.substring_index(value, "#", 1)
+        return F.struct(value.alias("value"), head.alias("head"), _behind(value, F.length(head) + 1).alias("fragment"))
 
-    Segments are folded from left to right; ``..`` takes back one, if there is one. Where paths are merged, empty
-    segments inside count for nothing. What stands behind a ``;`` in the last segment is no part of it.
-    """
-    last = F.regexp_extract(path, r"(;[^/]*)$", 1)
-    own = F.split(F.regexp_replace(path, r";[^/]*$", ""), "/", -1)
-    above = F.split(F.regexp_replace(base, r"[^/]+$", ""), "/", -1)
-    both = F.concat(above, own)
-    inner = F.filter(F.slice(both, 2, F.greatest(F.size(both) - 2, F.lit(0))), lambda x: x != "")
-    both = F.concat(F.slice(both, 1, 1), inner, F.slice(both, -1, 1))
-    segments = F.when(path.startswith("/"), own).otherwise(both)
+    return let(let(let(_clean(url), first), second), third)
+
+
+def _folded(path: Column, relative: Column) -> Column:
+    """A path without dot segments. Segments are taken from left to right; ``..`` takes back one, if there is one.
 
+    In a relative path that was put behind its folder, empty segments inside count for nothing.
+    """
     def step(done, segment):
         back = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
         return F.when(segment == "..", back).when(segment == ".", done).otherwise(F.concat(done, F.array(segment)))
 
-    folded = F.aggregate(segments, F.array().cast("array<string>"), step)
-    folded = F.when(F.element_at(segments, -1).isin(".", ".."), F.concat(folded, F.array(F.lit("")))).otherwise(folded)
-    joined = F.array_join(folded, "/")
-    return F.concat(F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined)), last)
+    def fold(segments):
+        folded = F.aggregate(segments, F.array().cast("array<string>"), step)
+        closed = F.element_at(segments, -1).isin(".", "..")
+        return F.array_join(F.when(closed, F.concat(folded, F.array(F.lit("")))).otherwise(folded), "/")
+
+    def packed(every):
+        inner = F.filter(F.slice(every, 2, F.greatest(F.size(every) - 2, F.lit(0))), lambda x: x != "")
+        return F.when(relative, F.concat(F.slice(every, 1, 1), inner, F.slice(every, -1, 1))).otherwise(every)
+
+    odd = path.startswith(".") | path.contains("/.") | relative & path.contains("//")
+    return F.when(odd, let(let(F.split(path, "/", -1), packed), fold)).otherwise(path)
+
+
+def _merged(base: Column, path: Column) -> Column:
+    """A path against that of its base: taken from the folder of ``base`` if it is relative, and without dot segments. What stands behind a ``;`` in the last segment is no part of it."""
+    def whole(p):
+        relative = ~p["path"].startswith("/")
+        folder = F.substr(base, F.lit(1), F.length(base) - F.length(F.substring_index(base, "/", -1)))
+        joined = F.when(relative, F.concat(F.when(folder == "", "/").otherwise(folder), p["path"])).otherwise(p["path"])
+        return let(let(joined, lambda x: _folded(x, relative)), lambda x: F.concat(F.when(x.startswith("/"), x).otherwise(F.concat(F.lit("/"), x)), p["last"]))
+
+    last = F.substring_index(path, "/", -1)
+    params = F.when(last.contains(";"), _behind(last, F.instr(last, ";") - 1)).otherwise("")
+    return let(let(params, lambda x: F.struct(x.alias("last"), F.substr(path, F.lit(1), F.length(path) - F.length(x)).alias("path"))), whole)
 
 
-def _resolved(base: Column, ref: Column, base_url: Column, ref_url: Column) -> Column:
-    """A reference against its base, both as ``parts`` and as they are."""
+def _resolved(base: Column, ref: Column, base_url: Column) -> Column:
+    """A reference against its base, both as ``parts``."""
     def whole(authority, path, query):
         rooted = F.when((path == "") | path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
         return F.concat(base["scheme"], F.lit("://"), authority, rooted, F.when(query.isNotNull(), F.concat(F.lit("?"), query)).otherwise(""), F.when(ref["fragment"].isNotNull(), F.concat(F.lit("#"), ref["fragment"])).otherwise(""))
 
     return (
-        F.when(_clean(ref_url) == "", base_url)
-        .when(ref["scheme"].isNotNull() & (ref["scheme"] != base["scheme"]), _clean(ref_url))
+        F.when(ref["value"] == "", base_url)
+        .when(ref["scheme"].isNotNull() & (ref["scheme"] != base["scheme"]), ref["value"])
         .when(ref["authority"].isNotNull(), whole(ref["authority"], ref["path"], ref["query"]))
         .when(ref["path"] == "", whole(base["authority"], base["path"], F.coalesce(ref["query"], base["query"])))
         .otherwise(whole(base["authority"], _merged(base["path"], ref["path"]), ref["query"]))
@@ -82,15 +102,14 @@ def resolve(base: Column, ref: Column) -> Column:
     """The absolute form of a link on the page ``base``; a null on either side is null.
 
     A reference with a scheme of its own stays as it is, unless the scheme is the base's; one that is empty is the
-    base. Empty queries and fragments are dropped. For tables, ``with_resolved`` parses each side once.
+    base. Empty queries and fragments are dropped. Each side is parsed once.
     """
-    return let(F.struct(parts(base).alias("b"), parts(ref).alias("r")), lambda p: _resolved(p["b"], p["r"], base, ref))
+    return let(F.struct(parts(base).alias("b"), parts(ref).alias("r")), lambda p: _resolved(p["b"], p["r"], base))
 
 
 def with_resolved(df: DataFrame, base: str, ref: str, out: str) -> DataFrame:
-    """``df`` with ``out``: ``resolve`` of two of its columns, each parsed once a row."""
-    both = df.withColumns({"__base": parts(F.col(base)), "__ref": parts(F.col(ref))})
-    return both.withColumn(out, _resolved(F.col("__base"), F.col("__ref"), F.col(base), F.col(ref))).drop("__base", "__ref")
+    """``df`` with ``out``: ``resolve`` of two of its columns."""
+    return df.withColumn(out, resolve(F.col(base), F.col(ref)))
 
 
 def scheme(url: Column) -> Column:

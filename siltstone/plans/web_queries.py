@@ -45,7 +45,7 @@ def reference_resolution(spark, d):
     """All references of the standard on a folder of every page's host, and every page's own links, made absolute."""
     pages = _t(spark, d, "pages").select("page_id", "url", "html")
     base = F.concat(F.regexp_extract("url", "^([a-z]+://[^/?#]*)", 1), F.lit("/b/c/d;p?q"))
-    given = pages.select("page_id", base.alias("base"), F.posexplode(F.array(*[F.lit(x) for x in _REFERENCES])).alias("ord", "ref"))
+    given = pages.select("page_id", base.alias("base")).select("page_id", "base", F.posexplode(F.array(*[F.lit(x) for x in _REFERENCES])).alias("ord", "ref"))
     links = discovery.href_links(pages).select("page_id", F.col("url").alias("base"), (F.col("ord") + 1000).alias("ord"), F.col("href").alias("ref"))
     return urls.with_resolved(given.unionByName(links), "base", "ref", "resolved").select("page_id", "ord", "ref", "resolved")
 
