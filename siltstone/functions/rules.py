@@ -28,10 +28,10 @@ PAGE_TYPES = [
 ]
 PATH_PREFIXES = [("product", ["/products/", "/product/"]), ("collection", ["/collections/"]), ("category", ["/category/", "/categories/"])]
 PRIORITY = {name: p for name, _, _, p in PAGE_TYPES} | {"homepage": 1, "product": 3, "collection": 3, "category": 3, "unknown": 3}
-CRAWL_ORDER = (
-    "homepage wholesale trade contact about store_locator click_and_collect shipping careers returns faq support team brands subscription blog news"
-    " collection category product privacy terms unknown account cart checkout search"
-).split()
+CRAWL_ORDER = [
+    "homepage", "wholesale", "trade", "contact", "about", "store_locator", "click_and_collect", "shipping", "careers", "returns", "faq", "support", "team", "brands", "subscription", "blog", "news",
+    "collection", "category", "product", "privacy", "terms", "unknown", "account", "cart", "checkout", "search",
+]
 CRAWL_DENIED = ["account", "cart", "checkout", "search"]
 CRAWL_CAPS = {"product": 5, "collection": 8, "category": 8, "unknown": 3}
 CRAWL_PAGES = 30

@@ -54,11 +54,13 @@ def robots_sitemaps(files: DataFrame, text: str = "text") -> DataFrame:
 
 
 def robots_delays(files: DataFrame, agent: str, text: str = "text") -> DataFrame:
-    """(origin, delay) in seconds, for the agent itself or else for all; delays that are no numbers count as none."""
+    """(origin, delay) in seconds, for the agent itself or else for all. Of several lines of an agent the last number counts; what is no number counts for nothing."""
     from siltstone.operators.filters import matched_delay
 
     rows = robots_rules(files, text).where("kind = 'crawl-delay'")
-    return matched_delay(rows.select("origin", "agent", F.when(F.trim("pattern").rlike(r"^\d+(\.\d+)?$"), F.trim("pattern").cast("double")).alias("delay")), agent)
+    said = F.trim("pattern")
+    number = F.when(said.rlike(r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"), said.cast("double"))
+    return matched_delay(rows.select("origin", "agent", number.alias("delay"), "line").where("delay is not null"), agent)
 
 
 def latest_before(targets: DataFrame, pages: DataFrame, columns: list[str], keys: list[str] = ("company", "url"), order: str = "fetched_at") -> DataFrame:

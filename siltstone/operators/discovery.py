@@ -81,6 +81,24 @@ def href_links(pages: DataFrame, html: str = "html") -> DataFrame:
     )
 
 
+def page_candidates(parsed: DataFrame, url: str = "url") -> DataFrame:
+    """(page_id, source_url, ord, href, normalized_url, source, anchor) of what parsed pages link to: anchors, then the canonical address, then alternates.
+
+    Addresses are made absolute against the page; those that are rejected are left out.
+    """
+    def entry(href, anchor, source):
+        return F.struct(href.alias("href"), anchor.alias("anchor"), source.alias("source"))
+
+    none = F.lit(None).cast("string")
+    anchors = F.transform("links", lambda x: entry(x["href"], F.nullif(x["anchor"], F.lit("")), F.when(x["source"] == "html_link", "body_link").otherwise(x["source"])))
+    canonical = F.when(F.col("canonical").isNotNull(), F.array(entry(F.col("canonical"), none, F.lit("canonical")))).otherwise(F.array().cast("array<struct<href:string,anchor:string,source:string>>"))
+    alternates = F.transform("alternates", lambda x: entry(x, none, F.lit("alternate")))
+    rows = parsed.select("page_id", F.col(url).alias("source_url"), F.posexplode(F.concat(anchors, canonical, alternates)).alias("ord", "x"))
+    rows = rows.select("page_id", "source_url", "ord", "x.href", "x.source", "x.anchor")
+    absolute = urls.with_resolved(rows, "source_url", "href", "absolute").withColumn("normalized_url", urls.normalize(F.col("absolute")))
+    return absolute.where("normalized_url is not null").select("page_id", "source_url", "ord", "href", "normalized_url", "source", "anchor")
+
+
 def reconcile_urls(candidates: DataFrame) -> DataFrame:
     """One row per (run, url): first best type, least priority and depth, ordered distinct sources and anchors.
 

@@ -64,7 +64,9 @@ def seconds(value: Column) -> Column:
 
 
 def matched_delay(delays: DataFrame, agent: str) -> DataFrame:
-    """(origin, delay): the delay for the agent itself, else that for all; ``delays`` has origin, agent, delay."""
+    """(origin, delay): the delay for the agent itself, else that for all; ``delays`` has origin, agent, delay, and may have line: then the last of an agent counts, else the greatest."""
+    if "line" in delays.columns:
+        delays = delays.groupBy("origin", F.lower("agent").alias("agent")).agg(F.max_by("delay", "line").alias("delay"))
     own = F.max(F.when(F.lower("agent") == agent.lower(), F.col("delay")))
     every = F.max(F.when(F.col("agent") == "*", F.col("delay")))
     return delays.groupBy("origin").agg(F.coalesce(own, every).alias("delay"))

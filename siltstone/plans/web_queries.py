@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.functions import addresses, rules, text, urls
-from siltstone.operators import asof, discovery, facts, gate, runs
+from siltstone.operators import asof, crawl, discovery, facts, gate, runs
 from siltstone.plans.queries import _CANON, _LINKS, _list, _t, query
 from siltstone.plans.run_queries import _pick, _pick_sql
 
@@ -251,3 +251,38 @@ def extractor_audit(spark, d):
     candidates = _t(spark, d, "pages").where(p % 4 > 0).select(p, _pick(_IDS, p).alias("extractor_id"), F.explode(F.sequence(F.lit(1).cast("long"), p % 4)).alias("n"))
     failures = _t(spark, d, "pages").where(p % 13 == 0).select(p, F.lit("growth.signals").alias("extractor_id"))
     return gate.executions(pages, candidates, failures)
+
+
+_DELAYS = ["10", "2", "1e1", "0.5", "soon", ".25", "7 # then"]
+
+
+@query(
+    f"""WITH p AS (SELECT page_id, ([{_list(_DELAYS)}])[page_id % 7 + 1] AS a, ([{_list(_DELAYS)}])[page_id // 7 % 7 + 1] AS b, page_id % 3 AS k FROM pages), v AS (SELECT page_id, k, TRY_CAST(trim(split_part(a, '#', 1)) AS DOUBLE) AS a, TRY_CAST(trim(split_part(b, '#', 1)) AS DOUBLE) AS b FROM p)
+ SELECT page_id AS origin, CASE WHEN k < 2 THEN coalesce(b, a) ELSE coalesce(a, 99) END AS delay FROM v WHERE k = 2 OR a IS NOT NULL OR b IS NOT NULL"""
+)
+def robots_last_delay(spark, d):
+    """Delays of a robots file of each page's own, with two lines: for the agent, for all, or one for each."""
+    p = F.col("page_id")
+    a, b = _pick(_DELAYS, p), _pick(_DELAYS, F.floor(p / 7))
+    said = (
+        F.when(p % 3 == 0, F.concat(F.lit("User-agent: Silt\nCrawl-delay: "), a, F.lit("\nDisallow: /x\nUser-agent: other\nUser-agent: silt\ncrawl-delay:"), b))
+        .when(p % 3 == 1, F.concat(F.lit("User-agent: *\nCrawl-delay: "), a, F.lit("\nCrawl-delay: "), b)).otherwise(F.concat(F.lit("User-agent: *\nCrawl-delay: 99\n\nUser-agent: silt\nCrawl-delay: "), a))
+    )
+    files = _t(spark, d, "pages").select(p.alias("origin"), said.alias("text"))
+    return crawl.robots_delays(files, "silt").select("origin", "delay")
+
+
+@query(
+    f"""WITH l AS (SELECT page_id, url AS page, href, 'navigation' AS source FROM ({_LINKS}) UNION ALL SELECT page_id, url, '/c/' || page_id || '/', 'canonical' FROM pages UNION ALL SELECT page_id, url, '//alt.co/' || page_id, 'alternate' FROM pages),
+ a AS (SELECT page_id, source, CASE WHEN starts_with(href, '//') THEN split_part(page, ':', 1) || ':' || href ELSE regexp_extract(page, '^([a-z]+://[^/?#]*)', 1) || href END AS url FROM l)
+ SELECT page_id, source, {_CANON} AS normalized_url, count(*) AS n FROM a GROUP BY 1, 2, 3"""
+)
+def page_link_candidates(spark, d):
+    """All pages' anchors with a canonical and an alternate address put before them, as candidates."""
+    from siltstone.sources.html_pages import parse_pages
+
+    p = F.col("page_id").cast("string")
+    head = F.concat(F.lit("<link rel=Canonical href=' /c/"), p, F.lit("/ '><link rel=canonical href=/late><link rel=alternate href='//ALT.co/"), p, F.lit("#x'><link rel=alternate href='mailto:a@b.co'><link rel=icon href=/i>"))
+    pages = _t(spark, d, "pages").select("page_id", "url", F.concat(head, "html").alias("html"))
+    found = discovery.page_candidates(parse_pages(pages))
+    return found.groupBy("page_id", "source", "normalized_url").agg(F.count("*").alias("n"))

@@ -258,3 +258,39 @@ def test_robots_sitemaps_and_delays(spark):
 def test_page_meta_of_robots():
     r = parse_page("<meta name='Robots' content='noindex'><meta property='og:title' content='T'>")
     assert (r["robots"], r["og_title"]) == ("noindex", "T")
+
+
+def test_cleaned_markup_reads_as_the_page():
+    """Cleaned markup, read again: the same elements with the same attributes, but for what is to go."""
+    from siltstone.sources.html_pages import recorded, shown
+
+    def elements(html):
+        return [(k, v, [(n, x) for n, x in a if not n.startswith("on") and n not in ("nonce", "integrity")] if k == "open" else None) for k, v, a in shown(recorded(html)[0]) if k in ("open", "close")]
+
+    odd = """<div data-x="a &quot;b&quot; c &lt;p> &amp;amp; d" onclick="x()" nonce=1 hidden title='"'><img width=" 1" height=1><img src="//tracker.x/p.gif"><img width=0 height=0><a href="?a=1&b=2&amp;c">x</a><svg><p>no</p></svg>
+    <noscript>n<noscript>n</noscript>still</noscript><script async src=s.js integrity=y>var t = "</p>";</script><style>p{}</style></div></noscript><br/>"""
+    for page in (PAGE, odd):
+        assert elements(parse_page(page)["cleaned"]) == elements(page)
+    r = parse_page(odd)
+    assert 'data-x="a &quot;b&quot; c <p> &amp;amp; d"' in r["cleaned"] and "tracker" not in r["cleaned"] and 'width="0"' in r["cleaned"] and "still" not in r["text"] and "var t" not in r["cleaned"]
+
+
+def test_cleaned_pages_of_the_driver(spark, small):
+    import re
+
+    for x in spark.read.parquet(f"{small}/pages.parquet").limit(40).collect():
+        page = x["html"] or ""
+        r = parse_page(page)
+        scripts = re.sub(r"(?is)(<(script|style)[^>]*>).*?(</\2>)", r"\1\3", re.sub(r"(?s)<!--.*?-->|<!DOCTYPE[^>]*>", "", page))
+        assert [t.lower() for t in re.findall(r"</?[a-zA-Z0-9]+", scripts)] == re.findall(r"</?[a-z0-9]+", r["cleaned"])
+        assert not r["truncated"]
+
+
+def test_broken_pages_take_bounded_time():
+    import time
+
+    for part in ("<a x='", "<a x='>", "<a '>", "<a \"'>", "<div>x", "</p>x", "<!--", "<script>"):
+        began = time.process_time()
+        r = parse_page("<p>said</p>" + part * (1_000_000 // len(part)))
+        assert time.process_time() - began < 20 and r["text"].startswith("said")
+    assert parse_page("<p>said</p>" + "<a x='" * 100_000)["truncated"] and not parse_page("<p>said</p><a x='")["truncated"]
