@@ -321,13 +321,36 @@ def jobs_of_all_kinds(spark, d):
     return runs.jobs({"discovery": e, "crawl": o, "extraction": x}, table).select("kind", "run_id", "company", "status")
 
 
-@query()
+_PLACES = ["/stores", "/contact", "/returns", "/collections/x", "/about"]
+_SHOPS = """p AS (SELECT page_id, page_id % 5 AS k, lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS company FROM pages),
+ s AS (SELECT *, 'Shop ' || page_id || CASE WHEN page_id % 7 = 0 THEN ' Warehouse' WHEN page_id % 7 = 1 THEN ' Showroom' ELSE '' END AS name, CASE WHEN page_id % 7 = 0 THEN 'warehouse' WHEN page_id % 7 = 1 THEN 'showroom' ELSE 'retail_store' END AS kind FROM p),
+ r AS (SELECT company, 'operations.locations' AS field, '{"location_type":"' || kind || '","ownership":"owned","name":"' || name || '","address_line":"' || page_id || ' High St","city":"Perth","postal_code":"6000","country":"AU","phone":"' || page_id || '"}' AS value, 82 AS confidence, page_id, page_id || ' high st perth 6000 au' AS dedup_key, NULL AS exact, NULL AS method FROM s
+  UNION ALL SELECT company, 'operations.' || kind || '_count', '1', 78, page_id, NULL, true, 'exact' FROM s WHERE k < 2
+  UNION ALL SELECT company, 'operations.returns_location_count', '1', 70, page_id, NULL, true, 'exact' FROM s WHERE k = 2
+  UNION ALL SELECT company, 'catalogue.product_count', (page_id % 90)::VARCHAR, 82, page_id, NULL, true, 'exact' FROM s WHERE k = 3 AND page_id % 2 = 0
+  UNION ALL SELECT company, 'catalogue.product_count_estimate', CASE WHEN page_id % 3 = 0 THEN '24' ELSE '2' END, CASE WHEN page_id % 3 = 0 THEN 60 ELSE 40 END, page_id, NULL, false, CASE WHEN page_id % 3 = 0 THEN 'pagination_derived' ELSE 'sampled_collection' END FROM s WHERE k = 3 AND page_id % 2 = 1
+  UNION ALL SELECT company, 'catalogue.collection_count', '1', 50, page_id, NULL, false, 'counted_navigation_links' FROM s)"""
+
+
+@query(f"WITH {_SHOPS} SELECT company, field, value, confidence, page_id, dedup_key, exact, method FROM r")
 def shop_candidates(spark, d):
-    """Places, counts and catalogue marks of all pages; tested by hand-made pages."""
-    from siltstone.operators import shops
-
-    pages = _parsed(spark, d)
-    return shops.operations(pages).unionByName(shops.catalogue(pages))
+    """Places, their counts and catalogue marks of all pages, with a shop, a list of goods and links put before each."""
+    from siltstone.operators import discovery, shops
+    from siltstone.functions import urls
+    from siltstone.sources.html_pages import parse_pages
+    from siltstone.storage import materialize
+
+    k, p = F.col("page_id"), F.col("page_id").cast("string")
+    kind = F.when(k % 7 == 0, " Warehouse").when(k % 7 == 1, " Showroom").otherwise("")
+    shop = F.concat(F.lit('<script type="application/ld+json">[{"@type": "Store", "name": "Shop '), p, kind, F.lit('", "telephone": "'), p, F.lit('", "address": {"streetAddress": "'), p, F.lit(' High St", "addressLocality": "Perth", "postalCode": "6000", "addressCountry": "AU"}}'))
+    goods = F.when(k % 2 == 0, F.concat(F.lit(', {"@type": "ItemList", "numberOfItems": '), (k % 90).cast("string"), F.lit("}"))).otherwise("")
+    links = F.lit(']</script><a href="/collections/all">all</a><a href="/products/a">a</a><a href="/product/b">b</a><a href="/products/a">again</a>')
+    page = F.concat(F.lit("<p>page 1 of "), F.when(k % 3 == 0, "12").otherwise("none"), F.lit("</p>"))
+    pages = _t(spark, d, "pages").select(
+        "page_id", urls.hostname(F.col("url")).alias("host"), discovery.classify(_pick(_PLACES, k))["page_type"].alias("page_type"), F.concat(shop, goods, links, page, "html").alias("html")
+    )
+    parsed = materialize(parse_pages(pages), "parsed")
+    return shops.operations(parsed).unionByName(shops.catalogue(parsed)).select("company", "field", "value", "confidence", "page_id", "dedup_key", "exact", "method")
 
 
 @query(
