@@ -3,14 +3,15 @@
 Each language gives every piece of a fixed public vocabulary a probability. A word's probability is the
 sum over all its segmentations into pieces (single bytes included), by the forward algorithm; a text's
 score is the sum of its words' log probabilities. The piece probabilities are fitted by expectation
-maximisation on at most ``per_language`` documents of each language.
+maximisation on about ``PER_LANGUAGE`` documents of each language, of ``LONGEST_SAMPLE`` bytes at most: bounds of the fit alone.
 
 Words are runs of ASCII letters and non-ASCII bytes of the lower-cased text, each behind a word mark.
 Words of more than ``LONGEST`` bytes are summed by logarithms, over all of their segmentations too.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; a null key counts as an
 empty text where its CRC is taken; without labelled rows every text is ``und``; repeated rows get equal
-results; among languages of equal score the first by name is taken; other columns are ignored.
+results; among languages of equal score the first by name is taken; very long texts are scored whole, in slices of their own; an
+empty table gives an empty result; other columns, whatever their names, are ignored, as only the key and what is new is returned.
 """
 
 from __future__ import annotations

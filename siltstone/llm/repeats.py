@@ -6,7 +6,7 @@ smaller key, or earlier in the same one. The strings are judged on the input.
 1. Anchors. Among the ``WINDOW`` short strings in each string of LIMIT bytes one is chosen by hash, so
    equal strings choose equal anchors. The starts that chose one anchor are neighbours; they and their
    text make a span. Anchors that occur once need no further look: no string there is repeated.
-2. Equal spans. Spans with equal anchor and text are grouped by digest, with partial aggregation; all
+2. Equal spans. Spans of one anchor with equal text are told by a digest of 64 bits, with partial aggregation; all
    but the earliest are repeats as a whole.
 3. Suffix arrays. Anchors that are left with several different spans are dealt to shards of bounded
    size. A shard's spans are joined into one string whose suffix array is built by induced sorting;
@@ -16,7 +16,7 @@ smaller key, or earlier in the same one. The strings are judged on the input.
    not fit a shard. Its strings are grouped by 128-bit digests instead, with partial aggregation.
 5. The repeats are brought back to their documents, merged, and cut out.
 
-Defined cases: a null text is empty; a text shorter than LIMIT is kept whole; rows that share a key, or
+Defined cases: a null text is empty; a text shorter than LIMIT is kept whole; very long texts are anchored whole, in slices of their own; rows that share a key, or
 have none, come in the order of key (null first) and text hash; an empty table gives an empty result;
 a cut may fall inside a character.
 """

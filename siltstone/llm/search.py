@@ -2,9 +2,10 @@
 
 Every document is hashed to a shard of about ``SHARD_DOCS`` documents. A shard's inverted index is built
 once and stored as a row of a Parquet table: for each term its postings, in blocks of ``BLOCK``
-neighbouring documents, and each block's greatest impact. A query's cursors go through a shard's documents in
-order; they stop only at pivots, blocks whose maxima add up to more than the k-th best score so far (block-max
-WAND, with the same blocks for all terms). Inverse document frequencies and the average length are those of
+neighbouring documents; each block's greatest impact follows when a shard is opened. The blocks are the same for all terms, so the
+maxima of a query's terms are added up for every block at once, and blocks are then scored from left to right where the sum is more than the
+k-th best score so far: the bound of block-max WAND, without cursors of single terms that leap over each other. Blocks that cannot
+reach the best k are not scored, but the postings of a shard are read whole. Inverse document frequencies and the average length are those of
 the whole corpus, so the shards' best k merge into the exact best k.
 
 Queries are packed into rows of ``QUERY_BLOCK`` each, and each row of queries meets each shard: a stated
@@ -105,8 +106,8 @@ class Index:
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(documents, scores) of the best k of the shard, ties by number.
 
-        The cursors of all terms go through the documents together, in order. The next pivots are the next
-        blocks whose maxima add up to more than the k-th best score so far; no cursor stops in between. Of
+        All terms go through the blocks together, in order. The next pivots are the next
+        blocks whose maxima add up to more than the k-th best score so far. Of
         equal scores the earlier document wins, so a block that can only reach that score is passed by too.
         """
         at = np.searchsorted(self.terms, terms)

@@ -29,6 +29,12 @@ CONTRACT = {
 }
 
 
+@pytest.fixture(scope="module")
+def sf001(small):
+    """The next larger driver tables."""
+    return small.replace("sf0.001", "sf0.01")
+
+
 @pytest.fixture(scope="module")
 def results(spark, small):
     """The rows of every query, run once."""
@@ -314,3 +320,114 @@ def test_counts_of_very_long_texts(spark, monkeypatch):
     members = spark.createDataFrame([(bytes([k]), bytes([k])) for k in (1, 2)], "cls binary, root binary")
     got = neardup.shared_histograms(members, texts, 5)
     assert sorted(r["shared"][0] for r in got.collect()) == [n, n]
+
+
+def test_op2_texts_are_those_of_the_articles(spark, sf001):
+    """Every page of the driver against the text of its own article element, by an independent reading: nearly all are equal, and none is far off."""
+    import html as markup
+
+    def article(page):
+        inner = re.search(r"(?is)<article[^>]*>(.*?)</article>", page)[1]
+        inner = re.sub(r"(?is)<(script|style|form|aside|figure)[^>]*>.*?</\1>|<!--.*?-->", "", inner)
+        parts = re.split(r"(?i)</?(?:p|div|h[1-6]|li|ul|ol|blockquote|section|table|tr|td|th|header|footer|pre|dl|dt|dd)(?:\s[^>]*)?>", re.sub(r"(?i)<br[^>]*>", " ", inner))
+        texts = [" ".join(markup.unescape(re.sub(r"<[^>]+>", "", x)).split()) for x in parts]
+        return [x for x in texts if x]
+
+    pages = {r["page_id"]: r["html"] or "" for r in spark.read.parquet(f"{sf001}/pages.parquet").collect()}
+    with_article = [k for k, p in pages.items() if re.search(r"(?i)<article", p)]
+    got = {r["page_id"]: r["text"].split("\n") if r["text"] else [] for r in QUERIES["op2_html_extraction"](spark, sf001).collect()}
+    assert len(with_article) > 100
+    shared = [len(set(got[k]) & set(article(pages[k]))) / max(1, len(set(got[k]) | set(article(pages[k])))) for k in with_article]
+    assert np.mean(shared) > 0.9 and np.mean([x == 1 for x in shared]) > 0.6
+
+
+def test_op5_finds_the_toxic(spark, sf001):
+    """Held-out labels: most toxic documents are found, and nearly no clean one is marked."""
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf001}/labels.parquet").where("toxic is not null").collect()}
+    rows = [r for r in QUERIES["op5_toxicity"](spark, sf001).collect() if r["held_out"] and r["doc_id"] in labels]
+    toxic, clean = ([r["predicted"] for r in rows if labels[r["doc_id"]] == y] for y in (1, 0))
+    assert toxic and clean
+    assert np.mean(toxic) >= 0.8 and np.mean(clean) <= 0.05
+
+
+def test_op5_score_from_marginals():
+    """The score is the logistic function of sums over the tokens' marginals."""
+    from siltstone.llm.toxicity import summaries
+
+    class Two:
+        n_rows, counts, bounds = 3, np.array([3, 0, 2]), np.array([0, 3, 3, 5])
+
+    p = np.array([0.1, 0.9, 0.5, 0.0, 0.25])
+    wanted = [[1, 0.9, np.log1p(1.5), min(1.5 / 3 * 20, 3)], [1, 0, 0, 0], [1, 0.25, np.log1p(0.25), min(0.25 / 2 * 20, 3)]]
+    assert np.allclose(summaries(p, Two), wanted)
+
+
+def test_op8_document_score(spark):
+    """The score of a text: the share of its language among the products of its words' sums over all segmentations."""
+    from siltstone.llm.langid import classify, distinct_words, fit, vocabulary, word_logs
+
+    import public_tokenizers as P
+    import pyarrow as pa
+
+    path = P.path("piece_bpe_32k.model")
+    texts = ["the cat and the dog", "a house on the hill", "der hund und die katze", "ein haus auf dem berg"]
+    model = fit(texts, ["en", "en", "de", "de"], vocabulary(path))
+    asked = ["the dog and the house", "der berg und das haus", "the haus", "123 !!", None]
+    got = {r["doc_id"]: r for r in classify(spark.createDataFrame(list(enumerate(asked)), "doc_id int, text string"), model, path).collect()}
+    for i, text in enumerate(asked[:3]):
+        data, starts, size, inverse, _ = distinct_words(pa.array([text]))
+        logs = word_logs(vocabulary(path), data, starts, size, model[1])
+        totals = [sum(logs[w][k] for w in inverse.tolist()) for k in range(len(model[0]))]
+        best = int(np.argmax(totals))
+        assert got[i]["lang_pred"] == model[0][best] and got[i]["score"] == pytest.approx(1 / sum(np.exp(t - totals[best]) for t in totals))
+    assert [got[i]["lang_pred"] for i in (0, 1)] == ["en", "de"] and all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 for i in (3, 4))
+
+
+def test_pipeline_stages_by_brute_force(spark, small, documents):
+    """Each stage on what its predecessor kept: rejected, grouped, cut and contaminated documents, judged anew in plain Python."""
+    import corpus_pipeline
+    from siltstone.llm.toxicity import learn, tag
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    kept = corpus_pipeline.toxicity(spark, docs, small)
+    score = {r["doc_id"]: r["tox_score"] for r in tag(docs, learn(docs, labels), spans=False).collect()}
+    left = {r["doc_id"]: r["text"] for r in kept.collect()}
+    assert set(left) == {k for k, v in score.items() if v < 0.5}
+    clean = {r["doc_id"] for r in labels.where("toxic = 0").collect()}
+    assert len(clean - set(left)) <= 0.02 * len(clean)
+
+    kept = corpus_pipeline.near_duplicates(spark, kept, small)
+    first = {i for i, _, _, kept_one in brute_components(left.items()) if kept_one}
+    left = {k: t for k, t in left.items() if k in first}
+    assert {r["doc_id"]: r["text"] for r in kept.collect()} == left
+
+    cut = corpus_pipeline.repeated_strings(spark, kept, small)
+    seen, after = set(), {}
+    for k in sorted(left):
+        raw = (left[k] or "").encode()
+        gone = bytearray(len(raw))
+        for i in range(len(raw) - 99):
+            if raw[i : i + 100] in seen:
+                gone[i : i + 100] = b"\x01" * 100
+            seen.add(raw[i : i + 100])
+        after[k] = (bytes(c for c, g in zip(raw, gone) if not g), left[k] is None)
+    got = {r["doc_id"]: r["text"] for r in cut.collect()}
+    assert set(got) == set(after)
+    for k, (raw, null) in after.items():
+        # A cut may fall inside a character.
+        assert got[k] is None if null else got[k].replace("\ufffd", "") == raw.decode(errors="ignore").replace("\ufffd", "")
+
+    kept = corpus_pipeline.decontamination(spark, cut, small)
+    wins = set()
+    for r in spark.read.parquet(f"{small}/benchmark.parquet").collect():
+        w = WORD9.findall(fold(r["text"]))
+        wins |= {tuple(w[i : i + 13]) for i in range(max(1, len(w) - 12))} if w else set()
+    sizes = {len(x) for x in wins}
+    clean = set()
+    for k, t in got.items():
+        w = WORD9.findall(fold(t))
+        hit = {j for n in sizes for i in range(len(w) - n + 1) if tuple(w[i : i + n]) in wins for j in range(i, i + n)}
+        if not (hit and 20 * len(hit) >= len(w)):
+            clean.add(k)
+    assert {r["doc_id"] for r in kept.collect()} == clean
