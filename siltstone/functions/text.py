@@ -241,5 +241,15 @@ def stale_days(field: Column) -> Column:
     return F.coalesce(table[kind], F.lit(rules.STALE_DAYS["identity"]))
 
 
+def stale(field: Column, age_days: Column, divisor: int = 1) -> Column:
+    """Whether a fact of that age in whole days needs to be looked at again; ``divisor`` shortens the windows."""
+    return age_days > F.floor(stale_days(field) / divisor)
+
+
+def penalised(confidence: Column, is_stale: Column, penalty: int = 30) -> Column:
+    """The confidence of a fact, less the penalty for a stale one, and never below zero."""
+    return F.when(is_stale, F.greatest(F.lit(0), confidence - penalty)).otherwise(confidence)
+
+
 def backoff(attempt: Column, base: float, most: float, jitter: Column) -> Column:
     return F.least(F.lit(base) * F.pow(F.lit(2.0), F.greatest(attempt - 1, F.lit(0))), F.lit(most)) * (F.lit(0.5) + F.lit(0.5) * jitter)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.storage import materialize
+
 
 def page(rows: DataFrame, order: list, number: int, size: int = 20) -> DataFrame:
     """One page of rows in a total order; sizes are 1 to 200."""
@@ -23,6 +27,11 @@ def job_status(status: Column, table: dict[str, str]) -> Column:
     return F.when(known.isNull(), F.raise_error(F.concat(F.lit("unknown status: "), F.coalesce(status, F.lit("null"))))).otherwise(known)
 
 
+def by_queue_time(jobs: DataFrame, at: str = "queued_at", tie: str = "run_id") -> list[Column]:
+    """The order of a list of jobs: the latest queued first, those without a time last, ties by id."""
+    return [F.desc_nulls_last(at), F.asc(tie)]
+
+
 def queue_stats(jobs: DataFrame, states: list[str], failed: str, most: int = 50) -> DataFrame:
     """Per queue: jobs by state and the first failed ids, at most ``most``."""
     ids = F.slice(F.array_sort(F.collect_list("id")), 1, most)
@@ -50,3 +59,18 @@ def import_rows(rows: DataFrame, domain: str = "domain", order: str = "row_numbe
     both = rows.join(first, [batch, domain], "left")
     outcome = F.when(F.col(domain).isNull(), "invalid").when(F.col(order) > F.col("_first"), "duplicate").otherwise("importable")
     return both.withColumn("outcome", outcome).select(*rows.columns, "outcome")
+
+
+def numbered(rows: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """``rows`` with their places 1, 2, ... in an order over all of them, however many: no task holds more than a range of it.
+
+    The rows are sorted by ranges and written to the shared folder; a row's place is its place in its range and the sizes of the ranges before.
+    The driver sees a number for each range. Rows that are equal in ``order`` have any order among them.
+    """
+    at = F.col("__at")
+    sorted_rows = materialize(rows.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()), "numbered")
+    sizes = sorted((r["part"], r["n"]) for r in sorted_rows.groupBy(F.shiftright(at, 33).cast("int").alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())
+    before = list(zip([p for p, _ in sizes], accumulate([0, *(n for _, n in sizes)])))
+    known = rows.sparkSession.createDataFrame(before, "__part int, __before long")
+    met = sorted_rows.withColumn("__part", F.shiftright(at, 33).cast("int")).join(F.broadcast(known), "__part")
+    return met.select(*[F.col(f"`{c}`") for c in rows.columns], (F.col("__before") + at.bitwiseAND((1 << 33) - 1) + 1).alias(name))

@@ -122,8 +122,8 @@ def staleness(spark, d):
     field = F.element_at(F.array(*[F.lit(x) for x in _FIELDS]), (F.col("event_id") % 7 + 1).cast("int"))
     rows = e.select("event_id", "ts", field.alias("field")).join(F.broadcast(now))
     age = F.floor((F.unix_micros(F.col("now").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 86400000000)
-    rows = rows.withColumn("stale", age > F.floor(text.stale_days(F.col("field")) / 20))
-    return rows.select("event_id", "field", "stale", F.when(F.col("stale"), 50).otherwise(80).alias("confidence"))
+    rows = rows.withColumn("stale", text.stale(F.col("field"), age, 20))
+    return rows.select("event_id", "field", "stale", text.penalised(F.lit(80), F.col("stale")).alias("confidence"))
 
 
 @query("SELECT o_custkey, o_orderkey, o_orderstatus FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")

@@ -170,11 +170,15 @@ def fact_filter(spark, d):
 
 @query("SELECT c_custkey, row_number() OVER (ORDER BY CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_acctbal END DESC NULLS LAST, c_custkey) AS place FROM customer WHERE contains(lower(c_name || ' ' || c_mktsegment), '7 furn')")
 def company_search(spark, d):
-    from pyspark.sql import Window
-
     c = filters.search(_t(spark, d, "customer"), " 7 FURN ", "c_name", "c_mktsegment").select(F.col("c_custkey"), F.when(F.col("c_custkey") % 5 != 0, F.col("c_acctbal")).alias("score"))
-    # The few rows that the search finds, ranked.
-    return c.select("c_custkey", F.row_number().over(Window.orderBy(*filters.by_score(c, tie="c_custkey"))).cast("long").alias("place"))
+    return views.numbered(c, filters.by_score(c, tie="c_custkey")).select("c_custkey", "place")
+
+
+@query("SELECT o_orderkey AS run_id, queued_at, row_number() OVER (ORDER BY queued_at DESC NULLS LAST, o_orderkey) AS place FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 9 > 0 THEN o_orderdate END AS queued_at FROM orders)")
+def jobs_by_queue_time(spark, d):
+    """All jobs in the order of their list, with their places."""
+    jobs = _t(spark, d, "orders").select(F.col("o_orderkey").alias("run_id"), F.when(F.col("o_orderkey") % 9 > 0, F.col("o_orderdate")).alias("queued_at"))
+    return views.numbered(jobs, views.by_queue_time(jobs))
 
 
 @query(
