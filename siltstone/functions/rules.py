@@ -262,3 +262,4 @@ EXTRACTORS = [
     ("growth", "growth.signals", "v1", [], 50),
 ]
 GROUPS = ["identity", "business", "catalogue", "operations", "technology", "organisation", "growth"]
+PLATFORMS = ["shopify", "woocommerce", "magento", "custom", "prestashop", "opencart"]

@@ -193,6 +193,19 @@ def website(value: Column) -> Column:
     return F.when(rejection(full).isNull() & (F.trim(value) != ""), F.regexp_replace(hostname(full), r"^www\.(?=.)", ""))
 
 
+def website_error(host: Column) -> Column:
+    """Why the host of a typed website is not taken; null if it is. Any scheme will do, and what stands around the host."""
+    address = F.when(host.startswith("[") | host.rlike(r"^[0-9.]+$"), ip_number(host))
+    return (
+        F.when(host == "", "malformed host")
+        .when((host == "localhost") | host.endswith(".localhost"), "localhost is not allowed")
+        .when(address.isNotNull(), "IP addresses are not allowed")
+        .when(F.length(host) > 253, "malformed host")
+        .when(~host.contains(".") | F.substring_index(host, ".", -1).isin(rules.RESERVED_SUFFIXES), "private/internal hostnames are not allowed")
+        .when(~host.rlike(_LABELS), "malformed host")
+    )
+
+
 def company_domain(value: Column) -> Column:
     """Lower-case host of whatever was typed, unchecked; null if nothing is left."""
     v = F.regexp_replace(F.lower(F.trim(value)), r"^[a-z][a-z0-9+.-]*://", "")

@@ -7,6 +7,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.functions import addresses, rules, text, urls
 from siltstone.storage import materialize
 
 
@@ -61,6 +62,25 @@ def import_rows(rows: DataFrame, domain: str = "domain", order: str = "row_numbe
     return both.withColumn("outcome", outcome).select(*rows.columns, "outcome")
 
 
+def checked_rows(rows: DataFrame, website: str = "website") -> DataFrame:
+    """Rows of a pasted list, checked: normalized_domain, platform, country, city, validation_status and errors (field, message).
+
+    ``rows`` has website, platform, country and city. Blank values are none, unknown platforms too. A row without a website or with one
+    whose host is not taken has an error and no domain; hosts beyond ASCII are encoded, and a leading ``www`` goes. Only such hosts pass through Python.
+    """
+    value = text.blank_to_null(F.col(website))
+    full = F.when(value.contains("://"), value).otherwise(F.concat(F.lit("http://"), value))
+    named = addresses.with_ascii_host(rows.withColumn("__full", full), "__full", "__ascii").withColumn("__host", urls.hostname(F.col("__ascii")))
+    why = F.when(F.col("__full").isNull(), "missing website").otherwise(urls.website_error(F.col("__host")))
+    none = F.array().cast("array<struct<field:string,message:string>>")
+    errors = F.when(F.col("__why").isNotNull(), F.array(F.struct(F.lit("website").alias("field"), F.col("__why").alias("message")))).otherwise(none)
+    cleaned = {"platform": text.platform(F.col("platform"), rules.PLATFORMS), "country": text.blank_to_null(F.col("country")), "city": text.blank_to_null(F.col("city"))}
+    return named.withColumn("__why", why).select(
+        *[cleaned[c].alias(c) if c in cleaned else F.col(f"`{c}`") for c in rows.columns], F.when(F.col("__why").isNull(), F.regexp_replace("__host", r"^www\.(?=.)", "")).alias("normalized_domain"),
+        F.when(F.col("__why").isNull(), "valid").otherwise("invalid").alias("validation_status"), errors.alias("errors"),
+    )
+
+
 def numbered(rows: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
     """``rows`` with their places 1, 2, ... in an order over all of them, however many: no task holds more than a range of it.
 

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.functions import addresses, rules, text, urls
-from siltstone.operators import asof, crawl, discovery, facts, gate, runs
-from siltstone.plans.queries import _CANON, _LINKS, _list, _t, query
+from siltstone.operators import asof, crawl, discovery, facts, gate, runs, views
+from siltstone.plans.queries import _CANON, _HOST, _LINKS, _list, _t, query
 from siltstone.plans.run_queries import _pick, _pick_sql
 
 # The references of section 5.4 of RFC 3986, normal and abnormal.
@@ -286,3 +286,26 @@ def page_link_candidates(spark, d):
     pages = _t(spark, d, "pages").select("page_id", "url", F.concat(head, "html").alias("html"))
     found = discovery.page_candidates(parse_pages(pages))
     return found.groupBy("page_id", "source", "normalized_url").agg(F.count("*").alias("n"))
+
+
+# What is typed as a website before a page's path, whether its own host stands in it, and what comes of it.
+_TYPED = [
+    ("", True, None), ("  WWW.", True, None), ("ftp://u:p@", True, None), ("", False, "missing website"), ("localhost:80", False, "localhost is not allowed"), ("http://10.0.0.1", False, "IP addresses are not allowed"),
+    ("[2606:4700::1]", False, "IP addresses are not allowed"), ("intranet", False, "private/internal hostnames are not allowed"), ("a.test", False, "private/internal hostnames are not allowed"), ("-a.co", False, "malformed host"), ("münchen.", True, None), ("http://", False, "malformed host"),
+]
+_SOLD = ["Shopify", " MAGENTO ", "unheard-of", "", "custom"]
+
+
+@query(
+    f"""WITH p AS (SELECT page_id, page_id % {len(_TYPED)} + 1 AS k, {_HOST} AS host, {_pick_sql(_SOLD, "page_id")} AS sold FROM pages)
+ SELECT page_id, CASE k WHEN 1 THEN regexp_replace(host, '^www\\.', '') WHEN 2 THEN host WHEN 3 THEN regexp_replace(host, '^www\\.', '') WHEN 11 THEN 'xn--mnchen-3ya.' || host END AS normalized_domain, CASE sold WHEN 'Shopify' THEN 'shopify' WHEN ' MAGENTO ' THEN 'magento' WHEN 'custom' THEN 'custom' END AS platform, CASE WHEN page_id % 2 = 0 THEN 'Perth' END AS city,
+  CASE WHEN k IN (1, 2, 3, 11) THEN 'valid' ELSE 'invalid' END AS validation_status, ([{", ".join("NULL" if w is None else f"'{w}'" for _, _, w in _TYPED)}])[k] AS message FROM p"""
+)
+def import_row_errors(spark, d):
+    """Every page's host as a row of a pasted list, typed in twelve ways, with what is wrong with it."""
+    k = F.col("page_id") % len(_TYPED)
+    own = F.when(_pick([str(x) for _, x, _ in _TYPED], F.col("page_id")) == "True", urls.hostname(F.col("url"))).otherwise("")
+    typed = F.when(k == 3, " ").otherwise(F.concat(_pick([x for x, _, _ in _TYPED], F.col("page_id")), own, F.lit("/x?y#z")))
+    rows = _t(spark, d, "pages").select("page_id", typed.alias("website"), _pick(_SOLD, F.col("page_id")).alias("platform"), F.lit(" ").alias("country"), F.when(F.col("page_id") % 2 == 0, " Perth").alias("city"))
+    found = views.checked_rows(rows)
+    return found.select("page_id", "normalized_domain", "platform", "city", "validation_status", F.get("errors.message", F.lit(0)).alias("message"))
