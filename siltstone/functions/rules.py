@@ -208,6 +208,22 @@ WORDING_RULES = [
     ("operations.pickup_available", "true", 75, [r"\bpickup\s+(?:is\s+)?available\b", r"\bcurbside\s+pickup\b", r"\bin-?store\s+pickup\b"]),
     ("organisation.internal_it_status", "detected", 72, [r"\b(?:head\s+of\s+engineering|software\s+engineer|in[\s-]house\s+develop(?:er|ment)|internal\s+it\s+team|technology\s+lead|engineering\s+careers|we\s+are\s+hiring\s+(?:a\s+)?developers?)\b"]),
 ]
+# Bits of which each text with such wording, or with the growth of that name, has one; as for BUSINESS_PARTS.
+WORDING_PARTS = {
+    "catalogue.bundle_evidence": ["bundle", "ft", "ece", "mult", "own"],
+    "catalogue.customization_evidence": ["onal", "engrav", "monogram", "tom"],
+    "operations.pickup_available": ["lable", "curb", "tore"],
+    "organisation.internal_it_status": ["head", "oftware", "develop", "ternal", "technology", "career"],
+}
+GROWTH_PARTS = {
+    "growth.hiring": ["'re", "\u2019re", "grow", "mult"],
+    "growth.new_store": ["open"],
+    "growth.warehouse_change": ["warehou", "centr"],
+    "growth.expansion": ["expan", "now", "qu", "merger", "rebrand"],
+    "growth.platform_migration": ["moved", "platform"],
+    "growth.new_category": ["launch", "category"],
+    "growth.subscription_launch": ["launch", "offer"],
+}
 # Places: wording of pages that list other firms' shops, and the parts of an address in order.
 STOCKIST_WORDING = [r"\bstockists?\b", r"\bfind\s+us\s+at\s+these\s+retailers\b", r"\bavailable\s+at\s+these\s+retailers\b"]
 ADDRESS_PARTS = ["streetAddress", "addressLocality", "addressRegion", "postalCode", "addressCountry"]

@@ -230,18 +230,30 @@ def people(pages: DataFrame) -> DataFrame:
     return rows.select(F.col("host").alias("company"), "page_id", fragment.alias("fragment"), key.alias("dedup_key"), F.explode(both).alias("x")).select("company", "x.field", "x.value", "x.confidence", "x.source", "page_id", "fragment", "dedup_key", "x.sort_key")
 
 
-def _placed(found: DataFrame, value, dedup_key=None) -> DataFrame:
-    """Candidates of matches: each with its place, its words and what stands around them."""
-    locator = F.concat(F.lit("text["), F.col("start"), F.lit(":"), F.col("end"), F.lit("]"))
-    key = F.lit(None).cast("string") if dedup_key is None else dedup_key
-    return found.select(F.col("host").alias("company"), "field", value.alias("value"), "confidence", F.lit("html_element").alias("source"), "page_id", "fragment", "prefix", "suffix", locator.alias("place"), key.alias("dedup_key"))
+def stated(pages: DataFrame, of: list[matches.Rule]) -> DataFrame:
+    """Candidates of all matches of pattern rules, in one pass over the texts: each with its place, its words and what stands around them.
 
+    Every match of each pattern counts by itself. A statement of growth comes with the date nearby, the date of publication and the one in effect. The
+    date is looked for in the statement with 200 characters of the text on both sides, where what must stand nearby is, too. The publication date is that of
+    ``article:published_time``, else the day of ``fetched_at`` if the pages have such a column; the date in effect is the one nearby, else that of publication.
+    """
+    kept = [c for c in ("host", "page_id", "page_type", "published", "fetched_at") if c in pages.columns]
+    rows = matches.pattern_matches(pages.select(*kept, "text"), of)
+    published = text.date(F.regexp_replace("published", r"^(\d{4}-\d{2}-\d{2})T.*", "$1"))
+    if "fetched_at" in kept:
+        published = F.coalesce(published, F.col("fetched_at").try_cast("date"))
+    event = text.date(F.concat_ws(" ", "prefix", "fragment", "suffix"))
+    dated = F.to_json(F.struct(F.lower("fragment").alias("statement"), event.alias("event_date"), published.alias("publication_date"), F.coalesce(event, published).alias("effective_date")))
+    grown = F.col("rule").isin([r.name for r in matches.GROWTH])
+    locator = F.concat(F.lit("text["), F.col("start"), F.lit(":"), F.col("end"), F.lit("]"))
+    return rows.select(
+        F.col("host").alias("company"), "field", F.when(grown, dated).otherwise(F.col("said")).alias("value"), "confidence", F.lit("html_element").alias("source"), "page_id", "fragment", "prefix", "suffix",
+        locator.alias("place"), F.when(grown, F.concat_ws("|", "rule", F.lower("fragment"))).alias("dedup_key"),
+    )
 
-def _stated(of: list[matches.Rule]):
-    def found(pages):
-        return _placed(matches.pattern_matches(pages.select("host", "page_id", "page_type", "text"), of), F.col("said"))
 
-    return found
+#: The pattern rules by the name of their extractor: all that are asked for share one pass.
+PATTERNS = {"business_model": matches.BUSINESS, "wording": matches.WORDING, "growth": matches.GROWTH}
 
 
 def ai_signals(pages: DataFrame) -> DataFrame:
@@ -250,27 +262,6 @@ def ai_signals(pages: DataFrame) -> DataFrame:
     return _several(pages, [("technology.ai_signals", F.nullif(said, F.lit("")), 55, "html_element")])
 
 
-def wording(pages: DataFrame) -> DataFrame:
-    return _full(_stated(matches.WORDING)(pages)).unionByName(_full(ai_signals(pages)))
-
-
-def growth(pages: DataFrame) -> DataFrame:
-    """Statements of growth, each with the date nearby, the date of publication and the one in effect.
-
-    Every match of each pattern counts by itself; the date is looked for in the statement with 200 characters of the text on
-    both sides, where what must stand nearby is, too. The publication date is that of ``article:published_time``, else the day of ``fetched_at`` if the
-    pages have such a column; the date in effect is the one nearby, else that of publication.
-    """
-    kept = [c for c in ("host", "page_id", "page_type", "published", "fetched_at") if c in pages.columns]
-    rows = matches.pattern_matches(pages.select(*kept, "text"), matches.GROWTH)
-    published = text.date(F.regexp_replace("published", r"^(\d{4}-\d{2}-\d{2})T.*", "$1"))
-    if "fetched_at" in kept:
-        published = F.coalesce(published, F.col("fetched_at").try_cast("date"))
-    event = text.date(F.concat_ws(" ", "prefix", "fragment", "suffix"))
-    dated = F.to_json(F.struct(F.lower("fragment").alias("statement"), event.alias("event_date"), published.alias("publication_date"), F.coalesce(event, published).alias("effective_date")))
-    return _placed(rows, dated, F.concat_ws("|", "rule", F.lower("fragment")))
-
-
 #: What candidates carry beside the common columns, and what stands for it where an extractor has none.
 MORE = ["fragment", "prefix", "suffix", "place", "dedup_key", "sort_key"]
 
@@ -286,8 +277,8 @@ def _full(rows: DataFrame) -> DataFrame:
 
 
 EXTRACTORS = {
-    "operations": shops.operations, "catalogue": shops.catalogue, "trading_name": trading_name, "brands": brands, "people": people, "wording": wording, "growth": growth, "company_name": company_name,
-    "language": language, "country": country, "business_model": _stated(matches.BUSINESS), "contacts": contacts, "technology": technology,
+    "operations": shops.operations, "catalogue": shops.catalogue, "trading_name": trading_name, "brands": brands, "people": people, "wording": ai_signals, "company_name": company_name,
+    "language": language, "country": country, "contacts": contacts, "technology": technology,
 }
 
 
@@ -314,5 +305,8 @@ def extract(pages: DataFrame, only: list[str] | None = None) -> DataFrame:
         return pages.where(F.col("page_type").isin(types[name])) if types.get(name) else pages
 
     parts = [_full(f(seen(name))) for name, f in EXTRACTORS.items() if only is None or name in only]
+    patterns = [rule for name, of in PATTERNS.items() if only is None or name in only for rule in of]
+    if patterns:
+        parts.append(_full(stated(pages, patterns)))
     drafts = reduce(DataFrame.unionByName, parts).withColumn("locator", F.lit(None).cast("string")).withColumn("extractor_id", extractor_of(F.col("field")))
     return facts.with_evidence(drafts).drop("fragment", "locator")

@@ -36,8 +36,8 @@ class Rule:
 
 
 BUSINESS = [Rule(f"{f}:{str(v).lower()}", f, str(v).lower(), c, tuple(ps), parts=tuple(rules.BUSINESS_PARTS[f])) for f, v, c, ps in rules.BUSINESS_RULES]
-WORDING = [Rule(f"{f}:{v}", f, v, c, tuple(ps)) for f, v, c, ps in rules.WORDING_RULES]
-GROWTH = [Rule(f, f, None, c, tuple(ps), nearby=(near,) if near else ()) for f, c, ps, near in rules.GROWTH_RULES]
+WORDING = [Rule(f"{f}:{v}", f, v, c, tuple(ps), parts=tuple(rules.WORDING_PARTS[f])) for f, v, c, ps in rules.WORDING_RULES]
+GROWTH = [Rule(f, f, None, c, tuple(ps), nearby=(near,) if near else (), parts=tuple(rules.GROWTH_PARTS[f])) for f, c, ps, near in rules.GROWTH_RULES]
 
 
 class Finder:

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from siltstone.functions import rules
 from siltstone.functions.canonical import json_text
+from siltstone.storage import drop, measured
 
 
 def idempotency_key(*parts: Column, options: list[Column] = ()) -> Column:
@@ -267,3 +268,18 @@ def content(pages: DataFrame) -> DataFrame:
 def storage_mode(body: Column, most: int = 250_000) -> Column:
     """Where a body of that size is kept."""
     return F.when(body.isNull(), "none").when(F.octet_length(body) <= most, "inline").otherwise("external")
+
+
+def store_bodies(pages: DataFrame, body: str = "body") -> DataFrame:
+    """(digest, body, n_pages): bodies under their SHA-256, each stored once, read back and checked.
+
+    ``body`` is a string or binary column; null ones are not stored. Equal bodies are put together before they move. The stored table must have as many rows as were
+    written, and every body its digest; else the function fails, and nothing is returned.
+    """
+    keyed = pages.where(F.col(body).isNotNull()).select(F.sha2(F.col(body).cast("binary"), 256).alias("digest"), F.col(body).alias("body"))
+    stored, written = measured(keyed.groupBy("digest").agg(F.first("body").alias("body"), F.count(F.lit(1)).alias("n_pages")), "bodies", F.count(F.lit(1)).alias("n"))
+    found = stored.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.sha2(F.col("body").cast("binary"), 256) != F.col("digest")).alias("bad")).first()
+    if found["n"] != written["n"] or found["bad"]:
+        drop(stored)
+        raise ValueError(f"of {written['n']} bodies {found['n']} were stored, {found['bad']} of them damaged")
+    return stored

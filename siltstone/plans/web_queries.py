@@ -309,3 +309,10 @@ def import_row_errors(spark, d):
     rows = _t(spark, d, "pages").select("page_id", typed.alias("website"), _pick(_SOLD, F.col("page_id")).alias("platform"), F.lit(" ").alias("country"), F.when(F.col("page_id") % 2 == 0, " Perth").alias("city"))
     found = views.checked_rows(rows)
     return found.select("page_id", "normalized_domain", "platform", "city", "validation_status", F.get("errors.message", F.lit(0)).alias("message"))
+
+
+@query("SELECT sha256(html) AS digest, count(*) AS n_pages, any_value(strlen(html)) AS n_bytes FROM pages WHERE html IS NOT NULL GROUP BY 1")
+def stored_bodies(spark, d):
+    """All pages' markup, stored under its digest and checked."""
+    found = runs.store_bodies(_t(spark, d, "pages").select("page_id", F.col("html").alias("body")))
+    return found.select("digest", "n_pages", F.octet_length("body").cast("long").alias("n_bytes"))
