@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import rules, text, urls
-from siltstone.operators import crawl, discovery, extract, reconcile, views
+from siltstone.operators import crawl, discovery, extract, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}

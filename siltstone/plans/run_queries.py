@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.operators import facts, filters, reconcile, runs, views
-from siltstone.plans.fact_queries import _parsed
 from siltstone.plans.queries import _list, _t, query
 
 

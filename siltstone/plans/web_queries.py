@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ipaddress
 
-from pyspark.sql import DataFrame
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
