@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from siltstone.plans import fact_queries, run_queries  # noqa: F401
+from siltstone.plans import fact_queries, run_queries, web_queries  # noqa: F401
 from siltstone.plans.queries import ORACLE, QUERIES
 
 
