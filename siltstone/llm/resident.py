@@ -29,6 +29,19 @@ def trim() -> None:
         pass
 
 
+def one_thread() -> None:
+    """Let this process's matrix products take one thread: its task has one core."""
+    try:
+        import numpy._core._multiarray_umath as umath
+
+        library = ctypes.CDLL(umath.__file__)
+    except (ImportError, OSError):
+        return
+    for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+        if hasattr(library, name):  # another library keeps its threads
+            getattr(library, name)(1)
+
+
 def enter(operator: str) -> None:
     """Say whose task this is; what another operator has left in this process goes."""
     global _operator

@@ -1,16 +1,22 @@
 """Exact BM25 top-k search with block-max dynamic pruning, per shard, merged with global statistics.
 
-Every document is hashed to a shard of about ``SHARD_DOCS`` documents. A shard's inverted index is built
-once and stored as a row of a Parquet table: for each term its postings, in blocks of ``BLOCK``
-neighbouring documents; each block's greatest impact follows when a shard is opened. The blocks are the same for all terms, so the
-maxima of a query's terms are added up for every block at once, and blocks are then scored from left to right where the sum is more than the
-k-th best score so far: the bound of block-max WAND, without cursors of single terms that leap over each other. Blocks that cannot
-reach the best k are not scored, but the postings of a shard are read whole. Inverse document frequencies and the average length are those of
-the whole corpus, so the shards' best k merge into the exact best k.
-
-Queries are packed into rows of ``QUERY_BLOCK`` each, and each row of queries meets each shard: a stated
-query set against all rows, in blocks. Nothing is copied for it: Spark reads the stored shards again for
-each part of the queries, without a shuffle.
+Rows with the same words, as often each, score alike and are one document of the index; its k smallest keys
+are put in at the end. Documents are dealt to clusters by their use of the most frequent terms (centroids
+fitted on a bounded sample, which decide speed but no result) and by a hash to the shards of a cluster, of about
+``SHARD_DOCS`` documents or ``SHARD_POSTINGS`` postings. A shard's inverted index is built once and stored as
+a row of a Parquet table: for each term its postings, and for each document its terms.
+
+Queries are packed into rows by cluster, and each row of queries meets each shard: a stated query set
+against all rows, in blocks. In a shard documents are in the order of their lengths, in blocks of ``BLOCK``. A query's
+bound of a block is the greatest sum of its rare terms there plus the block maxima of its frequent ones; the blocks
+whose bound is more than the k-th best score so far are the pivots, from left to right. Queries start with the k-th best score of one shard
+of their own cluster, so that blocks of other languages and lengths seldom become pivots. Many queries look
+for pivots and score them together: frequent terms, which have dense rows of impacts, by a matrix product in single
+precision, rare ones from their postings. What comes within that precision of the k-th best is scored again in double
+precision, in the order of terms, before it is compared, so results are exact. It is not WAND: no cursors of single terms
+leap over each other, as with whole documents as queries nearly every block of their language has most of their terms.
+Inverse document frequencies and the average length are those of the whole corpus, so the shards' best k
+merge into the exact best k.
 
 Defined cases: a null or wordless text matches nothing, and as a query finds nothing; very long texts are
 searched and asked for whole; equal scores (to six decimals) are ordered by key, a null key last; keys may
@@ -20,6 +26,8 @@ columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -27,38 +35,57 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.decontaminate import IS_WORD
-from siltstone.llm.resident import enter
+from siltstone.llm.resident import enter, one_thread, trim
 from siltstone.llm.textbytes import Words, list_array, pieces
-from siltstone.storage import drop, materialize, settings
+from siltstone.storage import drop, materialize, measured, settings
 
 K1, B = 1.2, 0.75
-BLOCK = 32
-SHARD_DOCS = 4096
-QUERY_BLOCK = 512
-FIRST_STEP, LAST_STEP = 2, 32  # pivots that are scored at once, before the k-th best score is looked at again
+BLOCK = 256
+SHARD_DOCS, SHARD_POSTINGS = 4096, 1 << 19
+QUERY_BLOCK, QUERY_ENTRIES = 2048, 1 << 19
+FREQUENT = 0.05  # share of a shard's documents from which a term has a dense row
+TOGETHER, EXPANDED = 256, 1 << 16  # queries in a product, postings of rare terms in a sum
+CLUSTERS, MARKS, SAMPLE = 8, 256, 4096
+SPREAD = 8  # parts of the index, each for tasks of its own: a task opens its shards once for about as many rows of queries
+ULP = 2.0**-23
+
 
+def term_rows(docs: DataFrame, key: str, text: str, label: str = "terms") -> tuple[DataFrame, dict]:
+    """(id, n, bag, fresh, terms, tfs) of every row, and their totals: words, distinct terms in order, how often each occurs.
 
-def term_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, n, terms, tfs) of every row: words, distinct terms in order, how often each occurs."""
+    ``bag`` is a digest of terms and frequencies. Of the rows with one bag, only those with a smaller key than
+    all before in their task are ``fresh``: among them is the smallest key of all.
+    """
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
         enter("search")
+        least = {}
         for b in pieces(batches, "text"):
             w = Words(b.column(1), IS_WORD)
             found = [np.unique(w.hashes[lo:hi].view(np.int64), return_counts=True) for lo, hi in zip(w.bounds[:-1], w.bounds[1:], strict=True)]
             sizes = np.array([len(t) for t, _ in found], np.int64)
+            bags = [hashlib.blake2b(t.tobytes() + c.tobytes(), digest_size=16).digest() for t, c in found]
+            fresh = []
+            for bag, id_ in zip(bags, b.column(0).to_pylist(), strict=True):
+                new = bag not in least or (id_ is not None and (least[bag] is None or id_ < least[bag]))
+                fresh.append(new)
+                if new:
+                    least[bag] = id_
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0),
                     pa.array(w.counts.astype(np.int64)),
+                    pa.array(bags, pa.binary()),
+                    pa.array(fresh, pa.bool_()),
                     list_array(np.concatenate([np.zeros(0, np.int64), *(t for t, _ in found)]), sizes, pa.int64()),
                     list_array(np.concatenate([np.zeros(0, np.int64), *(c for _, c in found)]).astype(np.int32), sizes, pa.int32()),
                 ],
-                ["id", "n", "terms", "tfs"],
+                ["id", "n", "bag", "fresh", "terms", "tfs"],
             )
 
-    return materialize(docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, n long, terms array<long>, tfs array<int>"), "terms")
+    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, n long, bag binary, fresh boolean, terms array<long>, tfs array<int>")
+    return measured(rows, label, F.count("*").alias("n"), F.avg("n").alias("length"), F.sum(F.size("terms")).alias("postings"))
 
 
 def _ranges(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -67,154 +94,361 @@ def _ranges(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     return np.arange(int(n.sum())) + np.repeat(start - np.cumsum(n) + n, n)
 
 
+def _bytes(x: np.ndarray) -> bytes:
+    """Numbers as a byte for their kind and their own bytes, as narrow as they can be: Spark copies them as they are."""
+    if x.dtype.kind != "f" and (not len(x) or x.min() >= 0):
+        x = x.astype(np.min_scalar_type(x.max() if len(x) else 0))
+    return x.dtype.char.encode() + x.tobytes()
+
+
+def _numbers(column: pa.Array, i: int) -> np.ndarray:
+    """The numbers of ``_bytes`` in row ``i``."""
+    held = column[i].as_buffer()
+    kind = np.dtype(chr(memoryview(held)[0]))
+    return np.frombuffer(held, np.uint8)[1:].view(kind) if kind.itemsize == 1 else np.frombuffer(bytes(memoryview(held)[1:]), kind)
+
+
+def _tidy() -> None:
+    """Give back what the stages before have left in this worker."""
+    trim()
+    pa.default_memory_pool().release_unused()
+
+
+class Clusters:
+    """Which cluster a document belongs to: the centroid nearest to its frequent terms, by their cosine."""
+
+    def __init__(self, marks: np.ndarray, weights: np.ndarray, sample: list, sizes: list, most: int):
+        order = np.argsort(marks)
+        self.marks, self.weights = marks[order], weights[order]
+        x = np.zeros((len(sample), len(marks)))
+        for i, terms in enumerate(sample):
+            at = np.searchsorted(self.marks, np.array(terms, np.int64))
+            x[i, at] = self.weights[at]
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+        some = x[x.any(axis=1)]
+        centers = some[:1] if len(some) else np.zeros((1, len(marks)))
+        for _ in range(min(most, len(some)) - 1):
+            centers = np.vstack([centers, some[np.argmin((some @ centers.T).max(axis=1))]])
+        for _ in range(8 if len(centers) > 1 else 0):
+            mine = np.argmax(x @ centers.T, axis=1)
+            sums = np.array([x[mine == c].sum(axis=0) if np.any(mine == c) else centers[c] for c in range(len(centers))])
+            centers = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+        self.centers = centers
+        share = np.bincount(np.argmax(x @ centers.T, axis=1), np.array(sizes, float) + 1, len(centers)) if len(x) else np.ones(1)
+        self.shares = share / share.sum()
+
+    def of(self, terms: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """The cluster of every document, whose terms are those between its bounds."""
+        if len(self.centers) < 2:
+            return np.zeros(len(bounds) - 1, np.int32)
+        at = np.searchsorted(self.marks, terms)
+        at[at == len(self.marks)] = 0
+        hit = np.flatnonzero(self.marks[at] == terms)
+        doc = np.searchsorted(bounds, hit, side="right") - 1
+        sums = [np.bincount(doc, (c * self.weights)[at[hit]], len(bounds) - 1) for c in self.centers]
+        return np.argmax(sums, axis=0).astype(np.int32)
+
+
+def fit_clusters(rows: DataFrame, df: DataFrame, n: int, shards: int) -> Clusters:
+    """Clusters from a sample of some ``SAMPLE`` rows, by the hash of their bags, and the ``MARKS`` most frequent terms."""
+    top = df.orderBy(F.desc("df"), "term").limit(MARKS).collect() if shards > 1 else []
+    sample = []
+    if top:
+        marks = F.array(*(F.lit(r["term"]) for r in top))
+        some = rows.where("n > 0 AND fresh").where(F.pmod(F.xxhash64("bag"), F.lit(max(1, n // SAMPLE))) == 0)
+        sample = some.select(F.array_intersect("terms", marks).alias("terms"), F.size("terms").alias("size")).collect()
+    weights = np.array([np.log1p((n - r["df"] + 0.5) / (r["df"] + 0.5)) for r in top])
+    return Clusters(np.array([r["term"] for r in top], np.int64), weights, [r["terms"] for r in sample], [r["size"] for r in sample], min(CLUSTERS, shards))
+
+
+def clustered(rows: DataFrame, clusters: Clusters) -> DataFrame:
+    """``rows`` with their cluster; they have ``terms``."""
+    at = rows.columns.index("terms")
+
+    def run(batches):
+        enter("search")
+        for b in batches:
+            lists = b.column(at)
+            bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+            found = clusters.of(lists.flatten().to_numpy(zero_copy_only=False), bounds)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.int32())], [*b.schema.names, "cluster"])
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(run, f"{fields}, cluster int")
+
+
 class Index:
-    """The inverted index of a shard: postings by term and document, in blocks with their maxima.
+    """The inverted index of a shard: postings by term and document, frequent terms as dense rows, with block maxima.
 
-    Documents are numbered in the order of their keys, so ties go by number. Stored are the documents'
-    lengths and, of each term in order, its number of postings, their documents and frequencies; the blocks
-    and their greatest impacts follow from these when a shard is opened.
+    Documents are numbered in the order of their lengths; ``rank`` is their place in the order of their keys, by which
+    ties go. Stored are also the documents' own lists of terms, for scores in double precision.
     """
 
-    FIELDS = ("lengths", "terms", "counts", "doc", "tf")
-    KINDS = "lengths array<int>, terms array<long>, counts array<int>, doc array<int>, tf array<int>"
-
-    def __init__(self, lengths: np.ndarray, terms: np.ndarray, counts: np.ndarray, doc: np.ndarray, tf: np.ndarray, average: float):
-        self.terms, self.doc, self.n_docs = terms, doc, len(lengths)
-        self.blocks = -(-self.n_docs // BLOCK)
-        norm = K1 * (1 - B + B * lengths / average)
-        self.impact = tf * (K1 + 1) / (tf + norm[doc])
-        at = np.cumsum(counts) - counts
-        block = doc // BLOCK
-        new = np.ones(len(doc), np.bool_)
-        new[1:] = block[1:] != block[:-1]
-        new[at] = True
-        self.entry_start = np.flatnonzero(new).astype(np.int32)
-        self.entry_stop = np.append(self.entry_start[1:], np.int32(len(doc)))
-        self.entry_block = block[self.entry_start]
-        self.entry_max = np.maximum.reduceat(self.impact, self.entry_start) if len(doc) else np.zeros(0)
-        self.term_start = np.searchsorted(self.entry_start, at)
-        self.term_stop = np.append(self.term_start[1:], len(self.entry_start))
+    FIELDS = ("lengths", "rank", "terms", "counts", "doc", "tf", "sizes", "own", "own_tf")
+    KINDS = ", ".join(f"{f} binary" for f in FIELDS)
+
+    def __init__(self, lengths: np.ndarray, rank: np.ndarray, terms: np.ndarray, counts: np.ndarray, doc: np.ndarray, tf: np.ndarray, sizes: np.ndarray, own: np.ndarray, own_tf: np.ndarray, average: float):
+        self.terms, self.doc, self.rank, self.own, self.own_tf = terms, doc, rank, own, own_tf
+        counts, sizes, lengths = counts.astype(np.int64), sizes.astype(np.int64), lengths.astype(np.int64)
+        self.blocks = -(-len(lengths) // BLOCK)
+        self.norm = K1 * (1 - B + B * lengths / average)
+        norm = self.norm.astype(np.float32)
+        tf = tf.astype(np.float32)
+        self.impact = tf * np.float32(K1 + 1) / (tf + norm[doc])
+        self.stop = np.cumsum(counts, dtype=np.int64)
+        self.start = self.stop - counts
+        self.own_stop = np.cumsum(sizes, dtype=np.int64)
+        self.own_start = self.own_stop - sizes
+        frequent = np.flatnonzero(counts >= max(FREQUENT * len(lengths), 2))
+        self.row = np.full(len(terms), -1, np.int32)
+        self.row[frequent] = np.arange(len(frequent))
+        self.dense = np.zeros((len(frequent), self.blocks * BLOCK), np.float32)
+        place = _ranges(self.start[frequent], self.stop[frequent])
+        self.dense[np.repeat(np.arange(len(frequent)), counts[frequent]), doc[place]] = self.impact[place]
+        self.most = self.dense.reshape(len(frequent), self.blocks, BLOCK).max(axis=2)
 
     @staticmethod
-    def sort(sizes: np.ndarray, terms: np.ndarray, tfs: np.ndarray) -> list[np.ndarray]:
-        """(terms, counts, doc, tf) from the documents' numbers of distinct terms, their terms and frequencies."""
+    def sort(n: np.ndarray, sizes: np.ndarray, terms: np.ndarray, tfs: np.ndarray) -> list[np.ndarray]:
+        """The stored fields, from the documents in the order of their keys."""
+        rank = np.argsort(n, kind="stable").astype(np.int32)
+        stop = np.cumsum(sizes)
+        mine = _ranges((stop - sizes)[rank], stop[rank])
+        sizes, terms, tfs = sizes[rank], terms[mine], tfs[mine]
         doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-        order = np.argsort(terms, kind="stable")
-        distinct, counts = np.unique(terms, return_counts=True)
-        return [distinct, counts.astype(np.int32), doc[order], tfs[order]]
-
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(documents, scores) of the best k of the shard, ties by number.
-
-        All terms go through the blocks together, in order. The next pivots are the next
-        blocks whose maxima add up to more than the k-th best score so far. Of
-        equal scores the earlier document wins, so a block that can only reach that score is passed by too.
+        distinct, own, counts = np.unique(terms, return_inverse=True, return_counts=True)
+        own = own.astype(np.int32)
+        order = np.argsort(own, kind="stable")
+        return [n[rank].astype(np.int32), rank, distinct, counts.astype(np.int32), doc[order], tfs[order], sizes.astype(np.int32), own, tfs]
+
+    def exact(self, at: np.ndarray, weights: np.ndarray, docs: np.ndarray, scratch: np.ndarray) -> np.ndarray:
+        """Scores of ``docs`` in double precision, to six decimals; ``scratch`` is zero for each term, before and after."""
+        scratch[at] = weights
+        start, stop = self.own_start[docs], self.own_stop[docs]
+        place = _ranges(start, stop)
+        tf = self.own_tf[place].astype(np.float64)
+        parts = scratch[self.own[place]] * (tf * (K1 + 1) / (tf + np.repeat(self.norm[docs], stop - start)))
+        scratch[at] = 0
+        return np.round(np.add.reduceat(parts, np.cumsum(stop - start) - (stop - start)), 6)
+
+    def search(self, vocabulary: np.ndarray, which: np.ndarray, weights: np.ndarray, sizes: np.ndarray, floors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(queries, documents, scores): the best k of the shard for every query, those below its floor left out, ties by rank.
+
+        Query i has the next ``sizes[i]`` entries: numbers of terms in ``vocabulary`` and their weights.
         """
-        at = np.searchsorted(self.terms, terms)
-        known = at < len(self.terms)
-        known[known] = self.terms[at[known]] == terms[known]
-        at, weights = at[known], weights[known]
-        lo, hi = self.term_start[at], self.term_stop[at]
-        entry = _ranges(lo, hi)
-        weight = np.repeat(weights, hi - lo)
-        blocks = self.entry_block[entry]
-        bound = np.bincount(blocks, self.entry_max[entry] * weight, self.blocks)
-        best, scores, floor, cursor, step = np.zeros(0, np.int64), np.zeros(0), 0.0, 0, FIRST_STEP
-        while True:
-            pivots = cursor + np.flatnonzero(bound[cursor:] > floor)[:step]
+        known = np.searchsorted(self.terms, vocabulary)
+        known[known == len(self.terms)] = 0
+        known[self.terms[known] != vocabulary] = -1
+        at = known[which]
+        mine = np.flatnonzero(at >= 0)
+        at, weights, query = at[mine], weights[mine], np.repeat(np.arange(len(sizes)), sizes)[mine]
+        row = self.row[at]
+        first = np.searchsorted(query, np.arange(len(sizes) + 1))
+        scratch, found = np.zeros(len(self.terms)), []
+        for lo in range(0, len(sizes), TOGETHER):
+            hi = min(lo + TOGETHER, len(sizes))
+            part = slice(first[lo], first[hi])
+            if first[hi] > first[lo]:
+                found += self._some(at[part], weights[part], query[part] - lo, row[part], first[lo : hi + 1] - first[lo], floors[lo:hi], k, scratch, lo)
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def _some(self, at, weights, query, row, first, floors, k, scratch, number) -> list[tuple]:
+        """``search`` for the queries of one product."""
+        n, width = len(floors), self.blocks * BLOCK
+        often = row >= 0
+        w = np.zeros((n, len(self.dense)), np.float32)
+        w[query[often], row[often]] = weights[often]
+        few = np.flatnonzero(~often)
+        rare = np.zeros((n, width), np.float32)
+        load = np.concatenate([[0], np.cumsum(self.stop[at[few]] - self.start[at[few]])])
+        cuts = np.searchsorted(query[few], np.arange(n + 1))
+        lo = 0
+        while lo < n:  # some queries at once, so that their postings stay in the cache
+            hi = max(lo + 1, int(np.searchsorted(load[cuts], load[cuts[lo]] + EXPANDED, side="right")) - 1)
+            mine = few[cuts[lo] : cuts[hi]]
+            start, stop = self.start[at[mine]], self.stop[at[mine]]
+            place, size = _ranges(start, stop), stop - start
+            key = np.repeat((query[mine] - lo) * width, size) + self.doc[place]
+            rare[lo:hi] = np.bincount(key, np.repeat(weights[mine], size) * self.impact[place], (hi - lo) * width).reshape(hi - lo, width)
+            lo = hi
+        rare = rare.reshape(n, self.blocks, BLOCK)
+        slack = 1 + (np.diff(first) + 16) * ULP  # sums of so many products in single precision
+        bound = (rare.max(axis=2) + w @ self.most) * slack[:, None] + 1e-6
+        floors = floors.copy()
+        best = [(np.zeros(0, np.int64), np.zeros(0))] * n
+        for b in range(self.blocks):
+            pivots = np.flatnonzero(bound[:, b] >= np.maximum(floors, 2e-6))
             if not len(pivots):
-                return best, scores
-            cursor, step = int(pivots[-1]) + 1, min(step * 2, LAST_STEP)
-            take = np.zeros(self.blocks, np.bool_)
-            take[pivots] = True
-            mine = take[blocks]
-            e, w = entry[mine], weight[mine]
-            start, stop = self.entry_start[e], self.entry_stop[e]
-            place = _ranges(start, stop)
-            first = int(pivots[0]) * BLOCK
-            total = np.bincount(self.doc[place] - first, self.impact[place] * np.repeat(w, stop - start))
-            hit = np.flatnonzero(total > 0)
-            best, scores = np.concatenate([best, hit + first]), np.concatenate([scores, np.round(total[hit], 6)])
-            if len(best) > k:
-                keep = np.lexsort((best, -scores))[:k]
-                best, scores = best[keep], scores[keep]
-            if len(best) == k:
-                floor = float(scores.min())
-
-
-def build_shards(rows: DataFrame, shards: int) -> DataFrame:
-    """A row per shard: its documents' keys in order, and its index. Written to the shared folder."""
-    kind = rows.schema["id"].dataType
-    shard = F.pmod(F.xxhash64("id", "terms"), F.lit(shards)).cast("int")
-    schema = f"ids array<{kind.simpleString()}>, {Index.KINDS}"
+                continue
+            score = w[pivots] @ self.dense[:, b * BLOCK : (b + 1) * BLOCK] + rare[pivots, b]
+            least = np.maximum(floors[pivots] - 1e-6, 1e-12) / slack[pivots]
+            near = score >= least[:, None]
+            for j in np.flatnonzero(near.any(axis=1)).tolist():
+                i, some = int(pivots[j]), np.flatnonzero(near[j])
+                if len(some) > k:
+                    mine = score[j, some]
+                    some = some[mine >= np.partition(mine, len(mine) - k)[len(mine) - k] / slack[i] ** 2 - 2e-6]
+                docs = np.concatenate([best[i][0], some + b * BLOCK])
+                terms = slice(first[i], first[i + 1])
+                scores = np.concatenate([best[i][1], self.exact(at[terms], weights[terms], some + b * BLOCK, scratch)])
+                keep = np.lexsort((self.rank[docs], -scores))[:k]
+                keep = keep[scores[keep] >= floors[i]]
+                best[i] = docs[keep], scores[keep]
+                if len(keep) == k:
+                    floors[i] = scores[keep[-1]]
+        return [(np.full(len(d), number + i), d, s) for i, (d, s) in enumerate(best) if len(d)]
+
+
+def build_shards(rows: DataFrame, clusters: Clusters, shards: int) -> DataFrame:
+    """A row per shard: its cluster, whether it is that cluster's first, its documents' bags, and its index. Written to the shared folder."""
+    parts = [max(1, int(np.ceil(shards * s))) for s in clusters.shares.tolist()]
+    first = [sum(parts[:i]) for i in range(len(parts))]
+    pick = lambda values: F.element_at(F.array(*(F.lit(v) for v in values)), F.col("cluster") + 1)
+    schema = f"shard int, cluster int, pilot boolean, bags array<binary>, {Index.KINDS}"
 
     def run(table: pa.Table) -> pa.Table:
         enter("search")
+        shard, cluster = table["shard"][0].as_py(), table["cluster"][0].as_py()
         table = table.take(pc.sort_indices(table, sort_keys=[("id", "ascending")])).combine_chunks()  # null last
-        lists, ids = table["terms"].combine_chunks(), table["id"].combine_chunks()
-        made = [table["n"].to_numpy().astype(np.int32), *Index.sort(lists.value_lengths().to_numpy(zero_copy_only=False), lists.flatten().to_numpy(), table["tfs"].combine_chunks().flatten().to_numpy())]
-        columns = [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)]
-        columns += [list_array(x, np.array([len(x)]), pa.from_numpy_dtype(x.dtype)) for x in made]
-        return pa.table(columns, names=["ids", *Index.FIELDS])
+        bags, seen = table["bag"].to_pylist(), set()
+        keep = [i for i, bag in enumerate(bags) if not (bag in seen or seen.add(bag))]
+        table = table.take(pa.array(keep)).combine_chunks()
+        lists = table["terms"].combine_chunks()
+        made = Index.sort(table["n"].to_numpy(), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), lists.flatten().to_numpy(), table["tfs"].combine_chunks().flatten().to_numpy())
+        ordered = table["bag"].combine_chunks().take(pa.array(made[1]))
+        columns = [pa.array([shard], pa.int32()), pa.array([cluster], pa.int32()), pa.array([shard == first[cluster]])]
+        columns += [pa.ListArray.from_arrays(pa.array([0, len(ordered)], pa.int32()), ordered)]
+        columns += [pa.array([_bytes(x)], pa.binary()) for x in made]
+        return pa.table(columns, names=["shard", "cluster", "pilot", "bags", *Index.FIELDS])
 
     # A file for each shard or two: a reader holds little at once.
-    mine = rows.where("n > 0").select(shard.alias("shard"), "id", "n", "terms", "tfs").repartition(shards, "shard")
+    shard = (pick(first) + F.pmod(F.xxhash64("bag"), pick(parts).cast("long"))).cast("int")
+    mine = clustered(rows.where("n > 0 AND fresh").select("id", "n", "bag", "terms", "tfs"), clusters).withColumn("shard", shard).repartition(sum(parts), "shard")
     return materialize(mine.groupBy("shard").applyInArrow(run, schema), "index")
 
 
-def pack_queries(asked: DataFrame, df: DataFrame, n: int, blocks: int) -> DataFrame:
-    """Rows of many queries each: (rows, sizes, terms_of, weights), terms with their weights. Written to the shared folder."""
+def pack_queries(asked: DataFrame, df: DataFrame, n: int, clusters: Clusters, blocks: int) -> DataFrame:
+    """Rows of many queries of a cluster each: (part, cluster, rows, entries, vocabulary, which, weights). Written to the shared folder."""
     idf = F.log1p((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    entries = asked.select("row", F.explode(F.arrays_zip("terms", "tfs")).alias("t")).select("row", F.col("t.terms").alias("term"), F.col("t.tfs").alias("tf"))
-    weighted = entries.join(df, "term").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("term", (idf * F.col("tf")).alias("w")))).alias("t"))
-    part = F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")
-    packed = weighted.groupBy(part.alias("part")).agg(F.collect_list(F.struct("row", "t")).alias("q"))
-    return materialize(
-        packed.select(F.col("q.row").alias("rows"), F.transform("q", lambda x: F.size(x["t"])).alias("sizes"), F.flatten(F.transform("q", lambda x: x["t"].getField("term"))).alias("terms_of"), F.flatten(F.transform("q", lambda x: x["t"].getField("w"))).alias("weights")), "queries"
+    mine = clustered(asked, clusters)
+    entries = mine.select("row", "cluster", F.explode(F.arrays_zip("terms", "tfs")).alias("t")).select("row", "cluster", F.col("t.terms").alias("term"), F.col("t.tfs").alias("tf"))
+    weighted = entries.join(df, "term").groupBy("row", "cluster").agg(F.array_sort(F.collect_list(F.struct("term", (idf * F.col("tf")).alias("w")))).alias("t"))
+    parts = [max(1, int(np.ceil(blocks * s))) for s in clusters.shares.tolist()]
+    first = [sum(parts[:i]) for i in range(len(parts))]
+    pick = lambda values: F.element_at(F.array(*(F.lit(v) for v in values)), F.col("cluster") + 1)
+    part = (pick(first) + F.pmod(F.xxhash64("row"), pick(parts).cast("long"))).cast("int")
+    packed = weighted.groupBy(part.alias("part"), "cluster").agg(F.collect_list(F.struct("row", "t")).alias("q"))
+    lists = packed.select(
+        "part",
+        "cluster",
+        F.col("q.row").alias("rows"),
+        F.transform("q", lambda x: F.size(x["t"])).alias("entries"),
+        F.flatten(F.transform("q", lambda x: x["t"].getField("term"))).alias("terms"),
+        F.flatten(F.transform("q", lambda x: x["t"].getField("w"))).alias("weights"),
     )
 
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                vocabulary, which = np.unique(_flat(b.column(4), i).to_numpy(zero_copy_only=False), return_inverse=True)
+                sizes, weights = (_flat(b.column(j), i).to_numpy(zero_copy_only=False) for j in (3, 5))
+                made = [pa.array([_bytes(x)], pa.binary()) for x in (sizes, vocabulary, which, weights)]
+                yield pa.RecordBatch.from_arrays([*(b.column(j).slice(i, 1) for j in range(3)), *made], ["part", "cluster", "rows", "entries", "vocabulary", "which", "weights"])
 
-def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(query, rank, key, score): the k best documents of every query; both tables have ``key`` and ``text``."""
-    rows = term_rows(docs, key, text)
-    stats = rows.agg(F.count("*").alias("n"), F.avg("n").alias("length")).first()
-    n, average = stats["n"], max(stats["length"] or 0.0, 1e-9)
-    asked = materialize(term_rows(queries, key, text).withColumn("row", F.monotonically_increasing_id()), "asked")
-    needed = asked.select(F.explode("terms").alias("term")).distinct()
-    df = rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")).join(needed, "term", "left_semi")
-    packed = pack_queries(asked, df, n, max(1, -(-asked.count() // QUERY_BLOCK)))
-    index = build_shards(rows, max(1, -(-n // SHARD_DOCS)))
-    drop(rows)
-    kind = docs.schema[key].dataType.simpleString()
+    with settings(asked.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "1"}):
+        return materialize(lists.mapInArrow(run, "part int, cluster int, rows array<long>, entries binary, vocabulary binary, which binary, weights binary"), "queries")
+
+
+def _flat(column: pa.Array, i: int) -> pa.Array:
+    return column.slice(i, 1).flatten()
+
+
+def meet(index: DataFrame, packed: DataFrame, parts: int, average: float, k: int, pilot: bool = False) -> DataFrame:
+    """Every row of queries with every shard: (part, row, bag, score), in each task the best k of each query and what equals the k-th.
 
-    def flat_list(column: pa.Array, i: int) -> pa.Array:
-        return column.slice(i, 1).flatten()
+    With ``pilot``, index has first shards only, and queries meet that of their cluster. Otherwise packed has ``floors``.
+    """
 
     def run(batches):
         enter("search")
+        one_thread()
+        _tidy()
+        opened, bags, held = None, {}, {}
         for b in batches:
             c = {name: b.column(j) for j, name in enumerate(b.schema.names)}
             for i in range(b.num_rows):
-                ids = flat_list(c["ids"], i)
-                index_ = Index(*(flat_list(c[f], i).to_numpy(zero_copy_only=False) for f in Index.FIELDS), average)
-                asked_rows, sizes, terms, weights = (flat_list(c[f], i).to_numpy(zero_copy_only=False) for f in ("rows", "sizes", "terms_of", "weights"))
-                found, at = [], 0
-                for row, end in zip(asked_rows.tolist(), np.cumsum(sizes).tolist(), strict=True):
-                    best, scores = index_.search(terms[at:end], weights[at:end], k)
-                    at = end
-                    found.append((np.full(len(best), row), best, scores))
-                if found:
-                    row, best, scores = (np.concatenate(x) for x in zip(*found, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(row), ids.take(pa.array(best)), pa.array(scores)], ["row", "found", "score"])
-
-    # Each block of queries meets each shard once. The rows are large: few are read and sent at a time.
-    with settings(docs.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "1", "spark.sql.parquet.columnarReaderBatchSize": "4"}):
-        found = materialize(index.crossJoin(packed).mapInArrow(run, f"row long, found {kind}, score double"), "found")
-    drop(index, packed)
-    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), F.asc_nulls_last("found")))
-    best = found.withColumn("rank", rank).where(F.col("rank") <= k)
-    names = asked.select("row", F.col("id").alias("query"))
-    return best.join(names, "row").select("query", "rank", F.col("found").alias(key), "score")
+                shard, part = c["shard"][i].as_py(), c["part"][i].as_py()
+                if pilot and c["cluster"][i].as_py() != c["asked_cluster"][i].as_py():
+                    continue
+                if opened is None or opened[0] != shard:
+                    opened = None  # its memory goes first
+                    opened = shard, Index(*(_numbers(c[f], i) for f in Index.FIELDS), average)
+                    if shard not in bags:
+                        bags[shard] = pa.concat_arrays([_flat(c["bags"], i)])
+                sizes, vocabulary, which, weights = (_numbers(c[f], i) for f in ("entries", "vocabulary", "which", "weights"))
+                if part not in held:
+                    rows = _flat(c["rows"], i).to_numpy(zero_copy_only=False).copy()
+                    floors = np.zeros(len(rows)) if pilot else _flat(c["floors"], i).to_numpy(zero_copy_only=False).copy()
+                    held[part] = rows, floors, [np.zeros(0, np.int64)] * 3 + [np.zeros(0)]
+                rows, floors, best = held[part]
+                query, doc, score = opened[1].search(vocabulary, which, weights, sizes, floors, k)
+                query, owner, doc, score = (np.concatenate(x) for x in zip(best, (query, np.full(len(query), shard), doc, score), strict=True))
+                order = np.lexsort((-score, query))
+                query, owner, doc, score = query[order], owner[order], doc[order], score[order]
+                at, many = (x.astype(np.int64) for x in np.unique(query, return_index=True, return_counts=True)[1:])
+                full = many >= k
+                floors[query[at[full]]] = np.maximum(floors[query[at[full]]], score[at[full] + k - 1])
+                keep = score >= floors[query]
+                held[part] = rows, floors, [query[keep], owner[keep], doc[keep], score[keep]]
+        for part, (rows, _, (query, owner, doc, score)) in held.items():
+            for shard in np.unique(owner).tolist():
+                mine = np.flatnonzero(owner == shard)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(mine), part), pa.int32()), pa.array(rows[query[mine]]), bags[shard].take(pa.array(doc[mine])), pa.array(score[mine])], ["part", "row", "bag", "score"])
+
+    # The rows are large: few are read and sent at a time.
+    with settings(index.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "1", "spark.sql.parquet.columnarReaderBatchSize": "4"}):
+        pairs = index.coalesce(SPREAD).crossJoin(packed.withColumnRenamed("cluster", "asked_cluster").coalesce(max(1, -(-parts // SPREAD))))
+        return materialize(pairs.mapInArrow(run, "part int, row long, bag binary, score double"), "found")
+
+
+def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(query, rank, key, score): the k best documents of every query; both tables have ``key`` and ``text``."""
+    rows, stats = term_rows(docs, key, text)
+    n, average = stats["n"], max(stats["length"] or 0.0, 1e-9)
+    terms, many = term_rows(queries, key, text, "asked_terms")
+    asked = materialize(terms.withColumn("row", F.monotonically_increasing_id()), "asked")
+    drop(terms)
+    firsts = asked.where("fresh").groupBy("bag").agg(F.min("row").alias("first"))
+    distinct = asked.select("bag", "row", "terms", "tfs").join(firsts.select(F.col("first").alias("row")), "row", "left_semi").select("row", "terms", "tfs")
+    df = materialize(rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")), "df")
+    shards = max(1, -(-n // SHARD_DOCS), -(-(stats["postings"] or 0) // SHARD_POSTINGS))
+    clusters = fit_clusters(rows, df, n, shards)
+    parts = max(1, -(-many["n"] // QUERY_BLOCK), -(-(many["postings"] or 0) // QUERY_ENTRIES))
+    packed = pack_queries(distinct, df, n, clusters, parts)
+    parts += CLUSTERS
+    drop(df)
+    index = build_shards(rows, clusters, shards)
+    smallest = F.row_number().over(Window.partitionBy("bag").orderBy(F.asc_nulls_last("id")))
+    members = materialize(rows.where("n > 0").select("bag", "id").withColumn("place", smallest).where(F.col("place") <= k).drop("place"), "members")
+    drop(rows)
+
+    # Queries start from the k-th best score of one shard of their cluster.
+    tried = meet(index.where("pilot"), packed, parts, average, k, pilot=True)
+    place = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score")))
+    kth = tried.withColumn("place", place).where(F.col("place") == k).groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("row", "score"))).alias("kth"))
+    floors = F.transform("rows", lambda r: F.coalesce(F.element_at("kth", r), F.lit(0.0)))
+    ready = materialize(packed.join(kth, "part", "left").withColumn("floors", F.when(F.col("kth").isNotNull(), floors).otherwise(F.transform("rows", lambda r: F.lit(0.0)))).drop("kth"), "queries")
+    drop(tried, packed)
+    found = meet(index, ready, parts, average, k)
+    drop(index, ready)
+
+    place = F.rank().over(Window.partitionBy("row").orderBy(F.desc("score")))
+    classes = found.withColumn("place", place).where(F.col("place") <= k).select(F.col("row").alias("first"), "bag", "score")
+    rank = F.row_number().over(Window.partitionBy("first").orderBy(F.desc("score"), F.asc_nulls_last("id")))
+    best = classes.join(members, "bag").withColumn("rank", rank).where(F.col("rank") <= k).select("first", "rank", F.col("id").alias(key), "score")
+    names = asked.select("bag", F.col("id").alias("query")).join(firsts, "bag")
+    return best.join(names, "first").select("query", "rank", key, "score")
 
 
 def op3_top_k_search(spark, sf_dir: str) -> DataFrame:

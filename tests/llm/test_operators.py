@@ -300,6 +300,40 @@ def test_search(spark, corpus, monkeypatch):
         assert [r["doc_id"] for r in sorted((r for r in got if r["query"] == q), key=lambda r: r["rank"])] == [i for _, i in sorted(scores)[:5]]
 
 
+def test_search_copies_and_shards(spark, monkeypatch):
+    """Copies are one document of an index, shards are sized by postings, many blocks and ties between near copies."""
+    import math
+    import random
+
+    from siltstone.llm import search
+
+    for name, value in {"SHARD_POSTINGS": 150, "BLOCK": 4, "TOGETHER": 3, "EXPANDED": 40, "QUERY_ENTRIES": 60, "SPREAD": 2, "SAMPLE": 30}.items():
+        monkeypatch.setattr(search, name, value)
+    rng = random.Random(3)
+    words = [[f"{c}{i}" for i in range(60)] for c in "xyz"]
+    texts = [" ".join(rng.choices(words[i % 3], weights=[1 / (j + 1) for j in range(60)], k=rng.choice((3, 12, 40)))) for i in range(70)]
+    texts += ["x1 x2 x3 same"] * 30 + [f"y1 y2 y3 near{i}" for i in range(30)] + ["", None]
+    rows = list(zip(rng.sample(range(400), len(texts)), texts, strict=True))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bags = {i: Counter(WORD9.findall(fold(t or ""))) for i, t in rows}
+    n, length = len(bags), {i: sum(b.values()) for i, b in bags.items()}
+    mean, df = sum(length.values()) / n, Counter(t for b in bags.values() for t in b)
+    made = []
+    build = search.build_shards
+    monkeypatch.setattr(search, "build_shards", lambda *a: made.append(t := build(*a)) or made.append((t.count(), t.agg({"shard": "max"}).first()[0], sum(len(r["bags"]) for r in t.select("bags").collect()))) or t)
+    got = {}
+    for r in search.top_k(docs, docs.where("doc_id % 3 = 0"), 4).collect():
+        got.setdefault(r["query"], []).append((r["rank"], r["doc_id"], r["score"]))
+    assert made[1][0] > 5 and made[1][2] == len({frozenset(b.items()) for b in bags.values() if b})
+    for q in [i for i in bags if i % 3 == 0]:
+        scores = []
+        for i, b in bags.items():
+            s = sum(m * math.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * b[t] * 2.2 / (b[t] + 1.2 * (0.25 + 0.75 * length[i] / mean)) for t, m in bags[q].items() if t in b)
+            if s > 0:
+                scores.append((-round(s, 6), i))
+        assert [(i, d) for i, d, _ in sorted(got.get(q, []))] == [(j + 1, d) for j, (_, d) in enumerate(sorted(scores)[:4])]
+
+
 def test_byte_bpe(spark, corpus):
     import base64
 
