@@ -20,9 +20,10 @@ def cleaned(clear: Callable[[], None]) -> None:
     _cleaners.append(clear)
 
 
-def trim() -> None:
-    """Give freed memory back to the system."""
-    gc.collect()
+def trim(collect: bool = True) -> None:
+    """Give freed memory back to the system; with ``collect``, that of cycles too."""
+    if collect:
+        gc.collect()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except OSError:  # another C library keeps what it keeps

@@ -1,18 +1,18 @@
-"""Exact BM25 top-k search with block-max dynamic pruning, per shard, merged with global statistics.
+"""Exact BM25 top-k search with block-max pruning of shards, merged with global statistics.
 
 Rows with the same words, as often each, score alike and are one document of the index; its k smallest keys
 are put in at the end. Documents are dealt to clusters by their use of the most frequent terms (centroids
-fitted on a bounded sample, which decide speed but no result) and by a hash to the shards of a cluster, of about
-``SHARD_DOCS`` documents or ``SHARD_POSTINGS`` postings. A shard's inverted index is built once and stored as
+fitted on a bounded sample, which decide speed but no result), in a cluster to classes by their lengths, and by a hash to the
+shards of a class, of about ``SHARD_DOCS`` documents or ``SHARD_POSTINGS`` postings. A shard's inverted index is built once and stored as
 a row of a Parquet table: for each term its postings, and for each document its terms.
 
-Queries are packed into rows by cluster, and each row of queries meets each shard: a stated query set
-against all rows, in blocks. In a shard documents are in the order of their lengths, in blocks of ``BLOCK``. A query's
-bound of a block is the greatest sum of its rare terms there plus the block maxima of its frequent ones; the blocks
-whose bound is more than the k-th best score so far are the pivots, from left to right. Queries start with the k-th best score of one shard
-of their own cluster, so that blocks of other languages and lengths seldom become pivots. Many queries look
-for pivots and score them together: frequent terms, which have dense rows of impacts, by a matrix product in single
-precision, rare ones from their postings. What comes within that precision of the k-th best is scored again in double
+Queries are packed into rows by cluster, in the order of their lengths, and each row of queries meets each shard: a stated query set
+against all rows, in blocks. A task gets a shard's data once for all its rows of queries. Queries start with the k-th best score of some
+shards of long documents of their own cluster. In a shard documents are in the order of their lengths, in blocks of ``BLOCK``; the sum of a query's
+block maxima is its bound of a block, and where no bound comes up to the k-th best score so far, the shard is left out: so are
+those of other languages. In the other shards all documents are scored, many queries together: terms that many of these queries and many
+documents have, by a matrix product of dense rows of impacts, the others from their postings, both in single
+precision. What comes within that precision of the k-th best is scored again in double
 precision, in the order of terms, before it is compared, so results are exact. It is not WAND: no cursors of single terms
 leap over each other, as with whole documents as queries nearly every block of their language has most of their terms.
 Inverse document frequencies and the average length are those of the whole corpus, so the shards' best k
@@ -42,11 +42,14 @@ from siltstone.storage import drop, materialize, measured, settings
 K1, B = 1.2, 0.75
 BLOCK = 256
 SHARD_DOCS, SHARD_POSTINGS = 4096, 1 << 19
-QUERY_BLOCK, QUERY_ENTRIES = 2048, 1 << 19
+QUERY_BLOCK, QUERY_ENTRIES = 1024, 1 << 18
 FREQUENT = 0.05  # share of a shard's documents from which a term has a dense row
-TOGETHER, EXPANDED = 256, 1 << 16  # queries in a product, postings of rare terms in a sum
-CLUSTERS, MARKS, SAMPLE = 8, 256, 4096
-SPREAD = 8  # parts of the index, each for tasks of its own: a task opens its shards once for about as many rows of queries
+DENSER = 350  # what adding a posting costs, in multiplications of a product
+TOGETHER, SCORES = 512, 1 << 20  # queries in a product, and its scores
+EXPANDED, STRIP = 1 << 15, 8  # postings in a sum, and postings of a term side by side
+CLUSTERS, LENGTHS, MARKS, SAMPLE = 8, 6, 256, 4096
+SPREAD, ROWS = 8, 8  # parts of the index, each for tasks of its own, and the rows of queries of a task, for which it opens its shards once
+PILOTS = 4  # one of so many shards of long documents is tried first
 ULP = 2.0**-23
 
 
@@ -117,7 +120,7 @@ def _tidy() -> None:
 class Clusters:
     """Which cluster a document belongs to: the centroid nearest to its frequent terms, by their cosine."""
 
-    def __init__(self, marks: np.ndarray, weights: np.ndarray, sample: list, sizes: list, most: int):
+    def __init__(self, marks: np.ndarray, weights: np.ndarray, sample: list, sizes: list, lengths: list, most: int, shards: int):
         order = np.argsort(marks)
         self.marks, self.weights = marks[order], weights[order]
         x = np.zeros((len(sample), len(marks)))
@@ -134,8 +137,18 @@ class Clusters:
             sums = np.array([x[mine == c].sum(axis=0) if np.any(mine == c) else centers[c] for c in range(len(centers))])
             centers = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
         self.centers = centers
-        share = np.bincount(np.argmax(x @ centers.T, axis=1), np.array(sizes, float) + 1, len(centers)) if len(x) else np.ones(1)
+        mine, sizes, lengths = np.argmax(x @ centers.T, axis=1), np.array(sizes, float) + 1, np.array(lengths, float)
+        share = np.bincount(mine, sizes, len(centers)) if len(x) else np.ones(1)
         self.shares = share / share.sum()
+        # The shards of a cluster: lengths at which its classes end, of about as many postings each, and the shards of a class.
+        self.cuts, self.parts = [], []
+        for c, part in enumerate(self.shares.tolist()):
+            own = max(1, int(np.ceil(shards * part)))
+            order = np.argsort(lengths[mine == c], kind="stable")
+            total = np.cumsum(sizes[mine == c][order])
+            at = [np.searchsorted(total, total[-1] * (i + 1) / LENGTHS) for i in range(min(LENGTHS, own) - 1)] if len(total) and own >= LENGTHS else []
+            self.cuts.append(np.unique(lengths[mine == c][order][at]).tolist() if len(at) else [])
+            self.parts.append(max(1, int(np.ceil(own / (len(self.cuts[-1]) + 1)))))
 
     def of(self, terms: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """The cluster of every document, whose terms are those between its bounds."""
@@ -156,9 +169,9 @@ def fit_clusters(rows: DataFrame, df: DataFrame, n: int, shards: int) -> Cluster
     if top:
         marks = F.array(*(F.lit(r["term"]) for r in top))
         some = rows.where("n > 0 AND fresh").where(F.pmod(F.xxhash64("bag"), F.lit(max(1, n // SAMPLE))) == 0)
-        sample = some.select(F.array_intersect("terms", marks).alias("terms"), F.size("terms").alias("size")).collect()
+        sample = some.select(F.array_intersect("terms", marks).alias("terms"), F.size("terms").alias("size"), "n").collect()
     weights = np.array([np.log1p((n - r["df"] + 0.5) / (r["df"] + 0.5)) for r in top])
-    return Clusters(np.array([r["term"] for r in top], np.int64), weights, [r["terms"] for r in sample], [r["size"] for r in sample], min(CLUSTERS, shards))
+    return Clusters(np.array([r["term"] for r in top], np.int64), weights, [r["terms"] for r in sample], [r["size"] for r in sample], [r["n"] for r in sample], min(CLUSTERS, shards), shards)
 
 
 def clustered(rows: DataFrame, clusters: Clusters) -> DataFrame:
@@ -178,7 +191,7 @@ def clustered(rows: DataFrame, clusters: Clusters) -> DataFrame:
 
 
 class Index:
-    """The inverted index of a shard: postings by term and document, frequent terms as dense rows, with block maxima.
+    """The inverted index of a shard: postings by term and document, frequent terms as dense rows too, and block maxima.
 
     Documents are numbered in the order of their lengths; ``rank`` is their place in the order of their keys, by which
     ties go. Stored are also the documents' own lists of terms, for scores in double precision.
@@ -188,24 +201,44 @@ class Index:
     KINDS = ", ".join(f"{f} binary" for f in FIELDS)
 
     def __init__(self, lengths: np.ndarray, rank: np.ndarray, terms: np.ndarray, counts: np.ndarray, doc: np.ndarray, tf: np.ndarray, sizes: np.ndarray, own: np.ndarray, own_tf: np.ndarray, average: float):
-        self.terms, self.doc, self.rank, self.own, self.own_tf = terms, doc, rank, own, own_tf
-        counts, sizes, lengths = counts.astype(np.int64), sizes.astype(np.int64), lengths.astype(np.int64)
-        self.blocks = -(-len(lengths) // BLOCK)
+        self.terms, self.rank, self.own, self.own_tf = terms, rank, own, own_tf
+        counts, sizes, lengths, doc = counts.astype(np.int64), sizes.astype(np.int64), lengths.astype(np.int64), doc.astype(np.int64)
+        self.size = n = len(lengths)
+        self.blocks = -(-n // BLOCK)
         self.norm = K1 * (1 - B + B * lengths / average)
         norm = self.norm.astype(np.float32)
         tf = tf.astype(np.float32)
-        self.impact = tf * np.float32(K1 + 1) / (tf + norm[doc])
-        self.stop = np.cumsum(counts, dtype=np.int64)
-        self.start = self.stop - counts
+        impact = tf * np.float32(K1 + 1) / (tf + norm[doc])
+        stop = np.cumsum(counts, dtype=np.int64)
+        start = stop - counts
         self.own_stop = np.cumsum(sizes, dtype=np.int64)
         self.own_start = self.own_stop - sizes
-        frequent = np.flatnonzero(counts >= max(FREQUENT * len(lengths), 2))
+        frequent = np.flatnonzero(counts >= max(FREQUENT * n, 2))
+        self.counts = counts[frequent]
         self.row = np.full(len(terms), -1, np.int32)
         self.row[frequent] = np.arange(len(frequent))
-        self.dense = np.zeros((len(frequent), self.blocks * BLOCK), np.float32)
-        place = _ranges(self.start[frequent], self.stop[frequent])
-        self.dense[np.repeat(np.arange(len(frequent)), counts[frequent]), doc[place]] = self.impact[place]
-        self.most = self.dense.reshape(len(frequent), self.blocks, BLOCK).max(axis=2)
+        self.dense = np.zeros((len(frequent), n), np.float32)
+        place = _ranges(start[frequent], stop[frequent])
+        self.dense[np.repeat(np.arange(len(frequent)), counts[frequent]), doc[place]] = impact[place]
+        self.postings = self._strips(counts, doc, impact)
+        part = doc // BLOCK
+        fresh = np.ones(len(doc), bool)
+        fresh[1:] = part[1:] != part[:-1]
+        fresh[start] = True
+        first = np.flatnonzero(fresh)
+        self.peaks = self._strips(np.add.reduceat(fresh, start, dtype=np.int64), part[first], np.maximum.reduceat(impact, first))
+        self.known = np.zeros(1 << 20, bool)
+        self.known[terms >> 44] = True  # by the first bits of a term's hash: most terms of queries are in no document of a shard
+
+    @staticmethod
+    def _strips(counts: np.ndarray, column: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Lists one behind another, each in strips of ``STRIP`` that end in zeros: for each list its first strip and the number of them, and the strips' columns and values."""
+        many = -(-counts // STRIP)
+        first = np.cumsum(many) - many
+        place = np.repeat(first * STRIP - (np.cumsum(counts) - counts), counts) + np.arange(len(column))
+        columns, values = np.zeros(int(many.sum()) * STRIP, np.int32), np.zeros(int(many.sum()) * STRIP, np.float32)
+        columns[place], values[place] = column, value
+        return first, many, columns.reshape(-1, STRIP), values.reshape(-1, STRIP)
 
     @staticmethod
     def sort(n: np.ndarray, sizes: np.ndarray, terms: np.ndarray, tfs: np.ndarray) -> list[np.ndarray]:
@@ -230,85 +263,112 @@ class Index:
         scratch[at] = 0
         return np.round(np.add.reduceat(parts, np.cumsum(stop - start) - (stop - start)), 6)
 
-    def search(self, vocabulary: np.ndarray, which: np.ndarray, weights: np.ndarray, sizes: np.ndarray, floors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def search(self, vocabulary: np.ndarray, which: np.ndarray, weights: np.ndarray, sizes: np.ndarray, floors: np.ndarray, k: int, near: bool = True, rough: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(queries, documents, scores): the best k of the shard for every query, those below its floor left out, ties by rank.
 
-        Query i has the next ``sizes[i]`` entries: numbers of terms in ``vocabulary`` and their weights.
+        Query i has the next ``sizes[i]`` entries: numbers of terms in ``vocabulary`` and their weights. Queries that are not
+        ``near`` the shard are first held against its blocks. With ``rough``, which has k values for every query, nothing is found, but the
+        values become the greatest of them and of what the shard's scores are at least, and floors the k-th ones.
         """
-        known = np.searchsorted(self.terms, vocabulary)
-        known[known == len(self.terms)] = 0
-        known[self.terms[known] != vocabulary] = -1
+        known = np.full(len(vocabulary), -1)
+        may = np.flatnonzero(self.known[vocabulary >> 44])
+        place = np.minimum(np.searchsorted(self.terms, vocabulary[may]), len(self.terms) - 1)
+        hit = self.terms[place] == vocabulary[may]
+        known[may[hit]] = place[hit]
         at = known[which]
         mine = np.flatnonzero(at >= 0)
         at, weights, query = at[mine], weights[mine], np.repeat(np.arange(len(sizes)), sizes)[mine]
-        row = self.row[at]
         first = np.searchsorted(query, np.arange(len(sizes) + 1))
         scratch, found = np.zeros(len(self.terms)), []
-        for lo in range(0, len(sizes), TOGETHER):
-            hi = min(lo + TOGETHER, len(sizes))
+        step = max(1, min(TOGETHER, SCORES // self.size))
+        for lo in range(0, len(sizes), step):
+            hi = min(lo + step, len(sizes))
             part = slice(first[lo], first[hi])
             if first[hi] > first[lo]:
-                found += self._some(at[part], weights[part], query[part] - lo, row[part], first[lo : hi + 1] - first[lo], floors[lo:hi], k, scratch, lo)
+                made, near = self._some(at[part], weights[part], query[part] - lo, floors[lo:hi], k, scratch, lo, near, None if rough is None else rough[lo:hi])
+                found += made
         if not found:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
-    def _some(self, at, weights, query, row, first, floors, k, scratch, number) -> list[tuple]:
-        """``search`` for the queries of one product."""
-        n, width = len(floors), self.blocks * BLOCK
-        often = row >= 0
-        w = np.zeros((n, len(self.dense)), np.float32)
-        w[query[often], row[often]] = weights[often]
-        few = np.flatnonzero(~often)
-        rare = np.zeros((n, width), np.float32)
-        load = np.concatenate([[0], np.cumsum(self.stop[at[few]] - self.start[at[few]])])
-        cuts = np.searchsorted(query[few], np.arange(n + 1))
+    @staticmethod
+    def _spread(lists: tuple, at: np.ndarray, weights: np.ndarray, query: np.ndarray, out: np.ndarray) -> None:
+        """Add to a query's row of ``out`` the weighted values of its terms' lists, at their columns; queries are in order."""
+        first, many, columns, values = lists
+        width, sums = out.shape[1], out.reshape(-1)
+        load = np.concatenate([[0], np.cumsum(many[at])])
         lo = 0
-        while lo < n:  # some queries at once, so that their postings stay in the cache
-            hi = max(lo + 1, int(np.searchsorted(load[cuts], load[cuts[lo]] + EXPANDED, side="right")) - 1)
-            mine = few[cuts[lo] : cuts[hi]]
-            start, stop = self.start[at[mine]], self.stop[at[mine]]
-            place, size = _ranges(start, stop), stop - start
-            key = np.repeat((query[mine] - lo) * width, size) + self.doc[place]
-            rare[lo:hi] = np.bincount(key, np.repeat(weights[mine], size) * self.impact[place], (hi - lo) * width).reshape(hi - lo, width)
+        while lo < len(at):  # so few at once that they stay in the cache
+            hi = max(lo + 1, int(np.searchsorted(load, load[lo] + EXPANDED // STRIP, side="right")) - 1)
+            some = slice(lo, hi)
+            count = many[at[some]]
+            strip = _ranges(first[at[some]], first[at[some]] + count)
+            key = np.repeat(query[some] * width, count * STRIP)
+            key += columns.take(strip, axis=0).ravel()
+            value = values.take(strip, axis=0).ravel()
+            value *= np.repeat(weights[some].astype(np.float32), count * STRIP)
+            np.add.at(sums, key, value)
             lo = hi
-        rare = rare.reshape(n, self.blocks, BLOCK)
-        slack = 1 + (np.diff(first) + 16) * ULP  # sums of so many products in single precision
-        bound = (rare.max(axis=2) + w @ self.most) * slack[:, None] + 1e-6
-        floors = floors.copy()
-        best = [(np.zeros(0, np.int64), np.zeros(0))] * n
-        for b in range(self.blocks):
-            pivots = np.flatnonzero(bound[:, b] >= np.maximum(floors, 2e-6))
-            if not len(pivots):
-                continue
-            score = w[pivots] @ self.dense[:, b * BLOCK : (b + 1) * BLOCK] + rare[pivots, b]
-            least = np.maximum(floors[pivots] - 1e-6, 1e-12) / slack[pivots]
-            near = score >= least[:, None]
-            for j in np.flatnonzero(near.any(axis=1)).tolist():
-                i, some = int(pivots[j]), np.flatnonzero(near[j])
-                if len(some) > k:
-                    mine = score[j, some]
-                    some = some[mine >= np.partition(mine, len(mine) - k)[len(mine) - k] / slack[i] ** 2 - 2e-6]
-                docs = np.concatenate([best[i][0], some + b * BLOCK])
-                terms = slice(first[i], first[i + 1])
-                scores = np.concatenate([best[i][1], self.exact(at[terms], weights[terms], some + b * BLOCK, scratch)])
-                keep = np.lexsort((self.rank[docs], -scores))[:k]
-                keep = keep[scores[keep] >= floors[i]]
-                best[i] = docs[keep], scores[keep]
-                if len(keep) == k:
-                    floors[i] = scores[keep[-1]]
-        return [(np.full(len(d), number + i), d, s) for i, (d, s) in enumerate(best) if len(d)]
+
+    def _some(self, at, weights, query, floors, k, scratch, number, near, rough) -> tuple[list[tuple], bool]:
+        """``search`` for the queries of one product, and whether those after them are near."""
+        n = len(floors)
+        slack = 1 + (np.bincount(query, minlength=n) + 16) * ULP  # sums of so many products in single precision
+        first = np.searchsorted(query, np.arange(n + 1))
+        here, mine = np.arange(n), slice(None)
+        if not near:
+            bound = np.zeros((n, self.blocks), np.float32)
+            self._spread(self.peaks, at, weights, query, bound)
+            stay = bound.max(axis=1) * slack + 1e-6 >= np.maximum(floors, 2e-6)
+            here, mine = np.flatnonzero(stay), stay[query]
+            if not len(here):
+                return [], False
+            near = len(here) > n / 2
+        terms, loads, line = at[mine], weights[mine], np.searchsorted(here, query[mine])
+        row = self.row[terms]
+        asked = np.bincount(row[row >= 0], minlength=len(self.counts))
+        chosen = np.flatnonzero(asked * self.counts * DENSER > len(here) * self.size)
+        new = np.full(len(self.counts) + 1, -1, np.int32)
+        new[chosen] = np.arange(len(chosen))
+        row = new[row]
+        often = row >= 0
+        w = np.zeros((len(here), len(chosen)), np.float32)
+        w[line[often], row[often]] = loads[often]
+        score = w @ (self.dense if len(chosen) == len(self.dense) else self.dense.take(chosen, axis=0))
+        self._spread(self.postings, terms[~often], loads[~often], line[~often], score)
+        slack = slack[here]
+        if rough is not None:
+            most = score if self.size <= k else np.partition(score, self.size - k, axis=1)[:, self.size - k :]
+            both = np.concatenate([rough[here], most / slack[:, None] - 2e-6], axis=1)
+            rough[here] = np.partition(both, both.shape[1] - k, axis=1)[:, both.shape[1] - k :]
+            floors[here] = np.maximum(floors[here], rough[here].min(axis=1))
+            return [], near
+        close = score >= (np.maximum(floors[here] - 1e-6, 1e-12) / slack)[:, None]
+        found = []
+        for j in np.flatnonzero(close.any(axis=1)).tolist():
+            i, docs = int(here[j]), np.flatnonzero(close[j])
+            if len(docs) > k:
+                those = score[j, docs]
+                docs = docs[those >= np.partition(those, len(those) - k)[len(those) - k] / slack[j] ** 2 - 2e-6]
+            own = slice(first[i], first[i + 1])
+            scores = self.exact(at[own], weights[own], docs, scratch)
+            keep = np.lexsort((self.rank[docs], -scores))[:k]
+            keep = keep[scores[keep] >= floors[i]]
+            if len(keep):
+                found.append((np.full(len(keep), number + i), docs[keep], scores[keep]))
+        return found, near
 
 
 def build_shards(rows: DataFrame, clusters: Clusters, shards: int) -> DataFrame:
-    """A row per shard: its cluster, whether it is that cluster's first, its documents' bags, and its index. Written to the shared folder."""
-    parts = [max(1, int(np.ceil(shards * s))) for s in clusters.shares.tolist()]
-    first = [sum(parts[:i]) for i in range(len(parts))]
+    """A row per shard: its cluster, whether queries of the cluster try it first, its documents' bags, and its index. Written to the shared folder."""
     pick = lambda values: F.element_at(F.array(*(F.lit(v) for v in values)), F.col("cluster") + 1)
+    first = np.cumsum([0, *(p * (len(cuts) + 1) for p, cuts in zip(clusters.parts, clusters.cuts, strict=True))]).tolist()
+    pilots = {f + i for f, p, cuts in zip(first[:-1], clusters.parts, clusters.cuts, strict=True) for long in range((len(cuts) + 1) // 2, len(cuts) + 1) for i in range(long * p, long * p + p, PILOTS)}
     schema = f"shard int, cluster int, pilot boolean, bags array<binary>, {Index.KINDS}"
 
     def run(table: pa.Table) -> pa.Table:
         enter("search")
+        trim(False)
         shard, cluster = table["shard"][0].as_py(), table["cluster"][0].as_py()
         table = table.take(pc.sort_indices(table, sort_keys=[("id", "ascending")])).combine_chunks()  # null last
         bags, seen = table["bag"].to_pylist(), set()
@@ -317,14 +377,16 @@ def build_shards(rows: DataFrame, clusters: Clusters, shards: int) -> DataFrame:
         lists = table["terms"].combine_chunks()
         made = Index.sort(table["n"].to_numpy(), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), lists.flatten().to_numpy(), table["tfs"].combine_chunks().flatten().to_numpy())
         ordered = table["bag"].combine_chunks().take(pa.array(made[1]))
-        columns = [pa.array([shard], pa.int32()), pa.array([cluster], pa.int32()), pa.array([shard == first[cluster]])]
+        columns = [pa.array([shard], pa.int32()), pa.array([cluster], pa.int32()), pa.array([shard in pilots])]
         columns += [pa.ListArray.from_arrays(pa.array([0, len(ordered)], pa.int32()), ordered)]
         columns += [pa.array([_bytes(x)], pa.binary()) for x in made]
         return pa.table(columns, names=["shard", "cluster", "pilot", "bags", *Index.FIELDS])
 
     # A file for each shard or two: a reader holds little at once.
-    shard = (pick(first) + F.pmod(F.xxhash64("bag"), pick(parts).cast("long"))).cast("int")
-    mine = clustered(rows.where("n > 0 AND fresh").select("id", "n", "bag", "terms", "tfs"), clusters).withColumn("shard", shard).repartition(sum(parts), "shard")
+    ends = F.element_at(F.array(*(F.array(*(F.lit(x) for x in cuts)).cast("array<double>") for cuts in clusters.cuts)), F.col("cluster") + 1)
+    length = F.size(F.filter(ends, lambda x: x < F.col("n")))
+    shard = (pick(first[:-1]) + length * pick(clusters.parts) + F.pmod(F.xxhash64("bag"), pick(clusters.parts).cast("long"))).cast("int")
+    mine = clustered(rows.where("n > 0 AND fresh").select("id", "n", "bag", "terms", "tfs"), clusters).withColumn("shard", shard).repartition(first[-1], "shard")
     return materialize(mine.groupBy("shard").applyInArrow(run, schema), "index")
 
 
@@ -351,10 +413,15 @@ def pack_queries(asked: DataFrame, df: DataFrame, n: int, clusters: Clusters, bl
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
-                vocabulary, which = np.unique(_flat(b.column(4), i).to_numpy(zero_copy_only=False), return_inverse=True)
                 sizes, weights = (_flat(b.column(j), i).to_numpy(zero_copy_only=False) for j in (3, 5))
-                made = [pa.array([_bytes(x)], pa.binary()) for x in (sizes, vocabulary, which, weights)]
-                yield pa.RecordBatch.from_arrays([*(b.column(j).slice(i, 1) for j in range(3)), *made], ["part", "cluster", "rows", "entries", "vocabulary", "which", "weights"])
+                order = np.argsort(sizes, kind="stable")  # those that use as many terms side by side
+                stop = np.cumsum(sizes)
+                mine = _ranges((stop - sizes)[order], stop[order])
+                vocabulary, which = np.unique(_flat(b.column(4), i).to_numpy(zero_copy_only=False)[mine], return_inverse=True)
+                rows = _flat(b.column(2), i).take(pa.array(order))
+                made = [pa.array([_bytes(x)], pa.binary()) for x in (sizes[order], vocabulary, which, weights[mine])]
+                lists = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
+                yield pa.RecordBatch.from_arrays([*(b.column(j).slice(i, 1) for j in range(2)), lists, *made], ["part", "cluster", "rows", "entries", "vocabulary", "which", "weights"])
 
     with settings(asked.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "1"}):
         return materialize(lists.mapInArrow(run, "part int, cluster int, rows array<long>, entries binary, vocabulary binary, which binary, weights binary"), "queries")
@@ -367,32 +434,44 @@ def _flat(column: pa.Array, i: int) -> pa.Array:
 def meet(index: DataFrame, packed: DataFrame, parts: int, average: float, k: int, pilot: bool = False) -> DataFrame:
     """Every row of queries with every shard: (part, row, bag, score), in each task the best k of each query and what equals the k-th.
 
-    With ``pilot``, index has first shards only, and queries meet that of their cluster. Otherwise packed has ``floors``.
+    With ``pilot``, queries meet the shards of their cluster alone, and there are no bags but what the best k scores are at least.
+    Otherwise packed has ``floors``.
     """
 
     def run(batches):
         enter("search")
         one_thread()
         _tidy()
-        opened, bags, held = None, {}, {}
+        opened, shard, own, asked, bags, held = None, None, None, {}, {}, {}
         for b in batches:
             c = {name: b.column(j) for j, name in enumerate(b.schema.names)}
             for i in range(b.num_rows):
-                shard, part = c["shard"][i].as_py(), c["part"][i].as_py()
-                if pilot and c["cluster"][i].as_py() != c["asked_cluster"][i].as_py():
-                    continue
-                if opened is None or opened[0] != shard:
-                    opened = None  # its memory goes first
-                    opened = shard, Index(*(_numbers(c[f], i) for f in Index.FIELDS), average)
-                    if shard not in bags:
-                        bags[shard] = pa.concat_arrays([_flat(c["bags"], i)])
-                sizes, vocabulary, which, weights = (_numbers(c[f], i) for f in ("entries", "vocabulary", "which", "weights"))
-                if part not in held:
+                part, cluster = c["part"][i].as_py(), c["cluster"][i].as_py()
+                if c["rows"][i].is_valid:
                     rows = _flat(c["rows"], i).to_numpy(zero_copy_only=False).copy()
-                    floors = np.zeros(len(rows)) if pilot else _flat(c["floors"], i).to_numpy(zero_copy_only=False).copy()
-                    held[part] = rows, floors, [np.zeros(0, np.int64)] * 3 + [np.zeros(0)]
+                    asked[part] = tuple(_numbers(c[f], i) for f in ("vocabulary", "which", "weights", "entries"))
+                    if pilot:
+                        held[part] = rows, np.zeros(len(rows)), np.zeros((len(rows), k))
+                    else:
+                        held[part] = rows, _flat(c["floors"], i).to_numpy(zero_copy_only=False).copy(), [np.zeros(0, np.int64)] * 3 + [np.zeros(0)]
+                if c["lengths"][i].is_valid:
+                    shard, opened = c["shard"][i].as_py(), None  # its memory goes first
+                    trim(False)
+                    opened = Index(*(_numbers(c[f], i) for f in Index.FIELDS), average)
+                    own = None if pilot else pa.concat_arrays([_flat(c["bags"], i)])
+                if shard != c["shard"][i].as_py() or part not in asked:
+                    raise RuntimeError("a shard or a row of queries has come without its data")
+                near = cluster == c["asked_cluster"][i].as_py()
                 rows, floors, best = held[part]
-                query, doc, score = opened[1].search(vocabulary, which, weights, sizes, floors, k)
+                if pilot:
+                    if near:
+                        opened.search(*asked[part], floors, k, rough=best)
+                    continue
+                query, doc, score = opened.search(*asked[part], floors, k, near)
+                if not len(query):
+                    continue
+                if shard not in bags:
+                    bags[shard] = own
                 query, owner, doc, score = (np.concatenate(x) for x in zip(best, (query, np.full(len(query), shard), doc, score), strict=True))
                 order = np.lexsort((-score, query))
                 query, owner, doc, score = query[order], owner[order], doc[order], score[order]
@@ -401,14 +480,31 @@ def meet(index: DataFrame, packed: DataFrame, parts: int, average: float, k: int
                 floors[query[at[full]]] = np.maximum(floors[query[at[full]]], score[at[full] + k - 1])
                 keep = score >= floors[query]
                 held[part] = rows, floors, [query[keep], owner[keep], doc[keep], score[keep]]
-        for part, (rows, _, (query, owner, doc, score)) in held.items():
+        opened = b = c = None
+        asked.clear()
+        names = ["part", "row", "bag", "score"]
+        for part, (rows, _, best) in held.items():
+            if pilot:
+                line, place = np.nonzero(best > 0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(line), part), pa.int32()), pa.array(rows[line]), pa.nulls(len(line), pa.binary()), pa.array(best[line, place])], names)
+                continue
+            query, owner, doc, score = best
             for shard in np.unique(owner).tolist():
                 mine = np.flatnonzero(owner == shard)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(mine), part), pa.int32()), pa.array(rows[query[mine]]), bags[shard].take(pa.array(doc[mine])), pa.array(score[mine])], ["part", "row", "bag", "score"])
-
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(mine), part), pa.int32()), pa.array(rows[query[mine]]), bags[shard].take(pa.array(doc[mine])), pa.array(score[mine])], names)
+        held = bags = own = None
+        _tidy()  # the worker goes on to other stages
+
+    begins = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0
+    left = index.coalesce(2 if pilot else SPREAD).withColumn("opening", begins)
+    right = packed.withColumnRenamed("cluster", "asked_cluster").coalesce(max(1, -(-parts // (4 if pilot else ROWS)))).withColumn("lead", begins)
+    # The product takes a shard with each row of queries of a task before it turns to the next one: a shard's data are
+    # sent with the first of these rows, and a row's with the task's first shard.
+    once = {**dict.fromkeys(["bags", *Index.FIELDS], "lead"), **dict.fromkeys(["rows", "entries", "vocabulary", "which", "weights", "floors"], "opening")}
+    pairs = left.hint("shuffle_replicate_nl").crossJoin(right)
+    pairs = pairs.select("shard", "cluster", "part", "asked_cluster", *(F.when(F.col(flag), F.col(c)).alias(c) for c, flag in once.items() if c in pairs.columns))
     # The rows are large: few are read and sent at a time.
     with settings(index.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "1", "spark.sql.parquet.columnarReaderBatchSize": "4"}):
-        pairs = index.coalesce(SPREAD).crossJoin(packed.withColumnRenamed("cluster", "asked_cluster").coalesce(max(1, -(-parts // SPREAD))))
         return materialize(pairs.mapInArrow(run, "part int, row long, bag binary, score double"), "found")
 
 

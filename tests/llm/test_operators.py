@@ -334,6 +334,46 @@ def test_search_copies_and_shards(spark, monkeypatch):
         assert [(i, d) for i, d, _ in sorted(got.get(q, []))] == [(j + 1, d) for j, (_, d) in enumerate(sorted(scores)[:4])]
 
 
+def test_search_of_a_shard(monkeypatch):
+    """A shard's best, for queries near and far, with dense rows for some terms, all or none, equal all scores; what is tried first is at most the k-th of them."""
+    import numpy as np
+
+    from siltstone.llm import search
+
+    monkeypatch.setattr(search, "BLOCK", 16)
+    rng = np.random.default_rng(7)
+    names = np.unique(rng.integers(-(2**63), 2**63 - 1, 400))
+    rates = np.minimum(1, 6 / np.arange(1, len(names) + 1))
+    counts = rng.poisson(rates * rng.choice([0.3, 1, 9], (90, 1)), (90, len(names)))
+    counts[:, 0] += counts.sum(axis=1) == 0
+    counts[5] = counts[17]
+    lists = [np.flatnonzero(c) for c in counts]
+    n, average, k = counts.sum(axis=1), counts.sum() / len(counts), 4
+    made = search.Index.sort(n, np.array([len(x) for x in lists]), np.concatenate([names[x] for x in lists]), np.concatenate([c[x] for c, x in zip(counts, lists, strict=True)]))
+    weight = np.log1p(1 / np.linspace(0.5, 0.01, len(names)))
+    asked = [*lists[:40], np.array([], np.int64)]
+    loads = [*(counts[i][x] * weight[x] for i, x in enumerate(lists[:40])), np.zeros(0)]
+    vocabulary, which = np.unique(np.concatenate([names[x] for x in asked] + [names[:1] + 1]), return_inverse=True)
+    query = vocabulary, which[:-1], np.concatenate(loads), np.array([len(x) for x in asked])
+    impact = counts * 2.2 / (counts + 1.2 * (0.25 + 0.75 * n / average)[:, None])
+    scores = np.array([np.round(impact[:, x] @ w, 6) for x, w in zip(asked, loads, strict=True)])
+    kth = np.sort(scores, axis=1)[:, -k]
+    for denser, together, near in ((350, 512, True), (350, 7, False), (0, 512, True), (1e9, 3, False)):
+        monkeypatch.setattr(search, "DENSER", denser)
+        monkeypatch.setattr(search, "TOGETHER", together)
+        index = search.Index(*made, average)
+        place = np.argsort(n, kind="stable")
+        floors, rough = np.zeros(len(asked)), np.zeros((len(asked), k))
+        index.search(*query, floors, k, rough=rough)
+        assert np.all(floors <= kth) and np.allclose(floors, kth, atol=1e-2)
+        for start in (np.zeros(len(asked)), floors):
+            got = index.search(*query, start, k, near)
+            for q in range(len(asked)):
+                best = sorted((-s, int(d)) for d, s in enumerate(scores[q]) if s > 0)[:k]
+                mine = sorted((-s, int(place[d])) for d, s in zip(got[1][got[0] == q], got[2][got[0] == q], strict=True))
+                assert [d for _, d in mine] == [d for _, d in best] and np.allclose([s for s, _ in mine], [s for s, _ in best], atol=2e-6)
+
+
 def test_byte_bpe(spark, corpus):
     import base64
 
